@@ -1,0 +1,265 @@
+"""Near-duplicate vectors through navigable small-world graphs, one for each shard of a label.
+
+Equal vectors of a label are one class with a count. The classes of a label are dealt by hash into shards of a bounded
+size; each shard gets a graph and an audit: for a part of its own vectors the nearest are also found by comparing all, and
+the beam widens until enough of them are found by the graph. Every class is then a query to every shard of its label, in
+blocks; while a beam is full of links it widens, so no group is cut short. Links are verified in double precision. A block
+returns sums of links and the edges of a spanning forest of what it linked, never all pairs of a group.
+
+Defined results: vectors that are null, zero, or hold null or non-finite components, and those without a label, have no
+links and are kept; rows that repeat are links of each other; an empty table gives no rows; other columns are ignored.
+"""
+
+from __future__ import annotations
+
+import heapq
+import io
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from braidlake.llm._common import Workspace, file_system, write_file
+from braidlake.llm.components import components
+
+COSINE = 0.93
+SHARD, BLOCK = 8_192, 512
+NEIGHBOURS, BUILD_BEAM, BEAM = 12, 64, 48
+#: The audit: so many vectors of a shard, so many of their nearest, and the part of these that must be found.
+AUDITED, NEAREST, RECALL = 48, 10, 0.97
+
+
+class Graph:
+    """A hierarchical navigable small-world graph over unit vectors. layers[l] maps a node to its neighbours."""
+
+    def __init__(self, unit: np.ndarray, beam: int = BEAM):
+        self.unit, self.layers, self.entry, self.beam = unit, [{}], 0, beam
+
+    def add(self, i: int, level: int) -> None:
+        q, top = self.unit[i], len(self.layers) - 1
+        if not self.layers[0]:
+            self.layers = [{i: []} for _ in range(level + 1)]
+            self.entry = i
+            return
+        at = [self.entry]
+        for layer in range(top, level, -1):
+            at = [self.search(q, at, 1, layer)[0][1]]
+        for layer in range(min(top, level), -1, -1):
+            near = self.search(q, at, BUILD_BEAM, layer)
+            chosen = self._diverse(near, NEIGHBOURS)
+            self.layers[layer][i] = chosen
+            for j in chosen:
+                links = self.layers[layer][j]
+                links.append(i)
+                if len(links) > (2 * NEIGHBOURS if layer == 0 else NEIGHBOURS):
+                    d = self.unit[links] @ self.unit[j]
+                    order = sorted(zip(d.tolist(), links, strict=True), reverse=True)
+                    self.layers[layer][j] = self._diverse(order, 2 * NEIGHBOURS if layer == 0 else NEIGHBOURS)
+            at = [j for _, j in near]
+        for _ in range(top, level):
+            self.layers.append({i: []})
+            self.entry = i
+
+    def _diverse(self, near: list[tuple[float, int]], most: int) -> list[int]:
+        """Neighbours that are nearer to the point than to each other, filled up with the nearest others."""
+        if len(near) <= most:
+            return [j for _, j in near]
+        ids = [j for _, j in near]
+        among = self.unit[ids] @ self.unit[ids].T
+        closest, kept, rest = np.full(len(ids), -2.0), [], []
+        for k, (d, j) in enumerate(near):
+            if closest[k] < d and len(kept) < most:
+                kept.append(j)
+                np.maximum(closest, among[k], out=closest)
+            else:
+                rest.append(j)
+        return kept + rest[: most - len(kept)]
+
+    def search(self, q: np.ndarray, entries: list[int], beam: int, layer: int = 0) -> list[tuple[float, int]]:
+        """The (cosine, node) nearest to q, best first."""
+        links, unit = self.layers[layer], self.unit
+        seen = set(entries)
+        found = [(float(d), j) for d, j in zip((unit[entries] @ q).tolist(), entries, strict=True)]
+        heapq.heapify(found)
+        todo = [(-d, j) for d, j in found]
+        heapq.heapify(todo)
+        while len(found) > beam:
+            heapq.heappop(found)
+        while todo:
+            d, j = heapq.heappop(todo)
+            if len(found) >= beam and -d < found[0][0]:
+                break
+            new = [k for k in links[j] if k not in seen]
+            if not new:
+                continue
+            seen.update(new)
+            for d, k in zip((unit[new] @ q).tolist(), new, strict=True):
+                if len(found) < beam:
+                    heapq.heappush(found, (d, k))
+                    heapq.heappush(todo, (-d, k))
+                elif d > found[0][0]:
+                    heapq.heapreplace(found, (d, k))
+                    heapq.heappush(todo, (-d, k))
+        return sorted(found, reverse=True)
+
+    def nearest(self, q: np.ndarray, beam: int, own: int | None = None) -> list[tuple[float, int]]:
+        at = self.entry
+        for layer in range(len(self.layers) - 1, 0, -1):
+            at = self.search(q, [at], 1, layer)[0][1]
+        return self.search(q, [at] if own is None or own == at else [at, own], beam)
+
+    def within(self, q: np.ndarray, cosine: float, own: int | None = None) -> list[int]:
+        """Nodes found with at least that cosine; the beam widens while it holds nothing else."""
+        beam = self.beam
+        while True:
+            found = self.nearest(q, beam, own)
+            if found[-1][0] < cosine or len(found) < beam or beam >= len(self.unit):
+                return [j for d, j in found if d >= cosine]
+            beam *= 2
+
+
+def build(unit: np.ndarray, ids: np.ndarray) -> Graph:
+    """A graph whose levels come from hashes of the ids, with a beam that passes the audit."""
+    g = Graph(unit)
+    draws = ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(11)).astype(np.float64) / (1 << 53)
+    levels = np.minimum(12, (-np.log(np.maximum(draws, 1e-12)) / np.log(NEIGHBOURS)).astype(int)).tolist()
+    for i in range(len(unit)):
+        g.add(i, levels[i])
+    audited = np.argsort(draws, kind="stable")[:AUDITED].tolist()
+    n = min(NEAREST, len(unit))
+    cosines = unit[audited] @ unit.T
+    true = np.argpartition(-cosines, n - 1, axis=1)[:, :n]
+    least = np.take_along_axis(cosines, true, 1).min(axis=1)
+    while g.beam < len(unit):
+        hits = sum(min(n, sum(d >= least[k] - 1e-6 for d, _ in g.nearest(unit[i], g.beam))) for k, i in enumerate(audited))
+        if hits >= RECALL * n * len(audited):
+            break
+        g.beam *= 2
+    return g
+
+
+def _save(path: str, g: Graph, ids, counts, vectors) -> None:
+    parts = {"ids": ids, "counts": counts, "vectors": vectors, "head": np.array([g.entry, g.beam, len(g.layers)])}
+    for k, layer in enumerate(g.layers):
+        nodes = sorted(layer)
+        parts[f"nodes{k}"] = np.array(nodes, np.int32)
+        parts[f"sizes{k}"] = np.array([len(layer[i]) for i in nodes], np.int32)
+        parts[f"links{k}"] = np.array([j for i in nodes for j in layer[i]], np.int32)
+    out = io.BytesIO()
+    np.savez(out, **parts)
+    write_file(path, [out.getvalue()])
+
+
+def _load(path: str, graph: bool = True):
+    fs, path = file_system(path)
+    with fs.open_input_stream(path, compression=None) as f:
+        parts = np.load(io.BytesIO(f.read()))
+    vectors = parts["vectors"]
+    norms = np.sqrt((vectors * vectors).sum(axis=1))
+    g = None
+    if graph:
+        g = Graph((vectors / norms[:, None]).astype(np.float32))
+        g.entry, g.beam, layers = map(int, parts["head"])
+        g.layers = []
+        for k in range(layers):
+            ends = np.cumsum(parts[f"sizes{k}"])
+            links = parts[f"links{k}"].tolist()
+            g.layers.append({i: links[e - s : e] for i, s, e in zip(parts[f"nodes{k}"].tolist(), parts[f"sizes{k}"].tolist(), ends.tolist(), strict=True)})
+    return g, parts["ids"], parts["counts"], vectors, norms
+
+
+def _forest(edges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """As many of the edges as connect what all of them connect."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    out = []
+    for a, b in edges:
+        x, y = find(a), find(b)
+        if x != y:
+            root[x] = y
+            out.append((a, b))
+    return out
+
+
+def search_block(index_path: str, query_path: str, block: int, cosine: float) -> tuple[list, list]:
+    """(id, links) of a block of one shard's classes among another shard's, and edges that connect them."""
+    g, ids, counts, vectors, norms = _load(index_path)
+    own = index_path == query_path
+    _, qids, _, qvectors, qnorms = (None, ids, None, vectors, norms) if own else _load(query_path, False)
+    sums, edges = [], []
+    for i in range(block * BLOCK, min(len(qids), (block + 1) * BLOCK)):
+        q = (qvectors[i] / qnorms[i]).astype(np.float32)
+        near = np.array([j for j in g.within(q, cosine - 1e-4, i if own else None) if not own or j != i], np.int64)
+        if len(near):
+            exact = (vectors[near] @ qvectors[i]) / (norms[near] * qnorms[i])
+            near = near[exact >= cosine]
+        if len(near):
+            sums.append((int(qids[i]), int(counts[near].sum())))
+            edges += [(int(qids[i]), int(j)) for j in ids[near]]
+            if len(edges) > 200_000:
+                edges = _forest(edges)
+    return sums, _forest(edges)
+
+
+def near_vectors(rows: DataFrame, cosine: float = COSINE) -> DataFrame:
+    """vec_id, n_links, component_id and kept for every row of (vec_id, embedding, label). Written."""
+    spark = rows.sparkSession
+    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    usable = F.col("label").isNotNull() & F.coalesce(finite & F.exists("embedding", lambda x: x != 0), F.lit(False))
+    with Workspace(spark, "vectors") as ws:
+        rows = rows.select("vec_id", "embedding", "label").withColumn("id", F.when(usable, F.xxhash64("label", "embedding")))
+        named = ws.table(rows.select("vec_id", "id"), "named")
+        classes = rows.where("id is not null").groupBy("id", "label", "embedding").agg(F.count("*").alias("c"))
+        classes = ws.table(classes.withColumn("embedding", F.col("embedding").cast("array<double>")), "classes")
+        sizes = classes.groupBy("label").agg(F.ceil(F.count("*") / SHARD).alias("shards"))
+        dealt = classes.join(sizes, "label").withColumn("shard", F.pmod("id", F.col("shards")))
+        folder = ws.path("graphs")
+
+        def index(key, table):
+            label, shard = (k.as_py() for k in key)
+            ids = table.column("id").to_numpy()
+            order = np.argsort(ids)
+            width = np.array([len(v) for v in table.column("embedding")])
+            paths = []
+            for d in np.unique(width):  # vectors of other lengths can't be compared
+                at = order[width[order] == d]
+                vectors = np.array(table.column("embedding").take(pa.array(at)).to_pylist(), np.float64).reshape(len(at), d)
+                vectors /= np.abs(vectors).max(axis=1, keepdims=True)
+                norms = np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
+                g = build((vectors / norms).astype(np.float32), ids[at])
+                paths.append((label, int(d), shard, f"{folder}/{label}-{d}-{shard}.npz", len(at)))
+                _save(paths[-1][3], g, ids[at], table.column("c").to_numpy()[at], vectors)
+            names = ["label", "d", "shard", "path", "n"]
+            return pa.Table.from_pylist([dict(zip(names, p, strict=True)) for p in paths], schema=graphs)
+
+        label_type = pa.int64()
+        graphs = pa.schema([("label", label_type), ("d", pa.int64()), ("shard", pa.int64()), ("path", pa.string()), ("n", pa.int64())])
+        made = dealt.select(F.col("label").cast("long").alias("label"), "shard", "id", "embedding", "c").groupBy("label", "shard")
+        made = ws.table(made.applyInArrow(index, "label long, d long, shard long, path string, n long"), "shards")
+        asked = made.select("label", "d", F.col("path").alias("query"), F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / BLOCK) - 1)).alias("block"))
+        jobs = ws.table(asked.join(made.select("label", "d", "path"), ["label", "d"]).select("path", "query", "block"), "jobs")
+        out = pa.schema([("id", pa.int64()), ("links", pa.int64()), ("other", pa.int64())])
+
+        def search(batches):
+            for b in batches:
+                for job in b.to_pylist():
+                    sums, edges = search_block(job["path"], job["query"], job["block"], cosine)
+                    columns = [[x for x, _ in sums + edges], [n for _, n in sums] + [None] * len(edges), [None] * len(sums) + [y for _, y in edges]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=out)
+
+        spread = jobs.repartition(max(1, min(4096, jobs.count())))
+        found = ws.table(spread.mapInArrow(search, "id long, links long, other long"), "found")
+        groups = components(found.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")), ws)
+        links = found.where("links is not null").groupBy("id").agg(F.sum("links").alias("links"))
+        facts = classes.select("id", "c").join(links, "id", "left").join(groups, "id", "left")
+        facts = facts.select("id", (F.col("c") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component"))
+        named = ws.table(named.join(facts, "id", "left"), "facts")
+        least = named.where("component is not null").groupBy("component").agg(F.min("vec_id").alias("least"))
+        out_rows = named.join(least, "component", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("least", "vec_id").alias("component_id"))
+        return ws.table(out_rows.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id"))), "result", keep=True)
