@@ -39,14 +39,15 @@ def shares(sizes: list[int], weights: list[float], most: float = MOST_PASSES) ->
     return target
 
 
-def mix(docs: DataFrame, weights=(1, 2, 3), most: float = MOST_PASSES, seed: int = 7) -> DataFrame:
-    """doc_id, source, size, source_size, target, passes (times the document is taken), taken (words)."""
-    spark = docs.sparkSession
+def _keyed(docs: DataFrame, seed: int) -> tuple:
+    """Size and hash of a document, as columns."""
     h = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", F.xxhash64("text")), 64 - BITS * LEVELS)
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    with Workspace(spark, "mixing") as ws:
-        rows = ws.table(docs.select("doc_id", "source", size.alias("size"), h.alias("h")), "sizes", keep=True)
-        totals = rows.groupBy("source").agg(F.sum("size")).collect()
+    return F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"), h
+
+
+def plan_mix(rows: DataFrame, weights=(1, 2, 3), most: float = MOST_PASSES) -> list[tuple]:
+    """(source, source_size, target, whole passes, threshold) for each source of written rows (source, size, h)."""
+    totals = rows.groupBy("source").agg(F.sum("size")).collect()
     totals = sorted(((r[0], r[1]) for r in totals), key=lambda x: (x[0] is None, x[0] or ""))
     targets = shares([n for _, n in totals], [weights[i % len(weights)] for i in range(len(totals))], most)
     plan = {}
@@ -54,11 +55,35 @@ def mix(docs: DataFrame, weights=(1, 2, 3), most: float = MOST_PASSES, seed: int
         passes = min(int(target // n), int(most)) if n else 0
         plan[source] = {"n": n, "target": target, "passes": passes, "left": target - passes * n, "prefix": 0}
     _refine(rows, plan)
-    table = [(s, p["n"], p["target"], p["passes"], p["prefix"]) for s, p in plan.items()]
-    plan_rows = spark.createDataFrame(table, "s string, source_size long, target double, whole int, threshold long")
-    joined = rows.join(F.broadcast(plan_rows) if len(table) <= BROADCAST_SOURCES else plan_rows, F.col("source").eqNullSafe(F.col("s")))
-    passes = (F.col("whole") + (F.col("h") < F.col("threshold")).cast("int")).alias("passes")
-    return joined.select("doc_id", "source", "size", "source_size", "target", passes, (passes * F.col("size")).cast("long").alias("taken"))
+    return [(s, p["n"], p["target"], p["passes"], p["prefix"]) for s, p in plan.items()]
+
+
+def _planned(rows: DataFrame, plan: list[tuple]) -> DataFrame:
+    """Adds source_size, target and passes to rows (source, size, h)."""
+    table = rows.sparkSession.createDataFrame(plan, "__s__ string, source_size long, target double, __whole__ int, __threshold__ long")
+    joined = rows.join(F.broadcast(table) if len(plan) <= BROADCAST_SOURCES else table, F.col("source").eqNullSafe(F.col("__s__")))
+    passes = F.col("__whole__") + (F.col("h") < F.col("__threshold__")).cast("int")
+    return joined.withColumn("passes", passes).drop("__s__", "__whole__", "__threshold__")
+
+
+def mix(docs: DataFrame, weights=(1, 2, 3), most: float = MOST_PASSES, seed: int = 7) -> DataFrame:
+    """doc_id, source, size, source_size, target, passes (times the document is taken), taken (words)."""
+    size, h = _keyed(docs, seed)
+    with Workspace(docs.sparkSession, "mixing") as ws:
+        rows = ws.table(docs.select("doc_id", "source", size.alias("size"), h.alias("h")), "sizes", keep=True)
+        plan = plan_mix(rows, weights, most)
+    taken = (F.col("passes") * F.col("size")).cast("long").alias("taken")
+    return _planned(rows, plan).select("doc_id", "source", "size", "source_size", "target", "passes", taken)
+
+
+def mixed_documents(docs: DataFrame, weights=(1, 2, 3), most: float = MOST_PASSES, seed: int = 7) -> DataFrame:
+    """The documents of the mix with all their columns, each as many times as it is taken."""
+    size, h = _keyed(docs, seed)
+    with Workspace(docs.sparkSession, "mixing") as ws:
+        plan = plan_mix(ws.table(docs.select("source", size.alias("size"), h.alias("h")), "sizes"), weights, most)
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row__"), "source", h.alias("h"))
+    times = F.explode(F.sequence(F.lit(1), F.col("passes"))).alias("__pass__")
+    return _planned(packed, plan).where("passes > 0").select("__row__", times).select("__row__.*")
 
 
 def _refine(rows: DataFrame, plan: dict) -> None:

@@ -24,7 +24,7 @@ BUCKETS = 1 << 16
 #: About so many trusted documents are used, by the hash of their id.
 TRUSTED = 20_000
 SMOOTHING = 0.5
-THRESHOLD = -0.25
+THRESHOLD = -0.15
 WINDOW, FEWEST, REPEATED_PERCENT = 8, 20, 30
 
 
