@@ -12,7 +12,7 @@ def ingest(spark: SparkSession, source: str, target: str, checkpoint: str):
     """Starts a query that takes in new text files of a folder and stops when there are none left. Malformed lines go to target/bad."""
 
     def append(batch: DataFrame, batch_id: int) -> None:
-        lines = batch.where(~F.col("value").startswith("@") & (F.col("value") != ""))
+        lines = batch.withColumn("m", F.monotonically_increasing_id()).where(~F.col("value").startswith("@") & (F.col("value") != ""))
         # The id holds the batch, so a batch that is repeated gets its old ids again.
         number = F.row_number().over(Window.partitionBy("file").orderBy("m")).cast("long")
         files = lines.select("file").distinct().withColumn("f", F.dense_rank().over(Window.orderBy("file")).cast("long"))
@@ -21,5 +21,5 @@ def ingest(spark: SparkSession, source: str, target: str, checkpoint: str):
         parsed.where("error is null").drop("error").write.mode("overwrite").parquet(f"{target}/reads/batch={batch_id}")
         parsed.where("error is not null").select("aln_id", "error").write.mode("overwrite").parquet(f"{target}/bad/batch={batch_id}")
 
-    lines = spark.readStream.text(source).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("m"))
+    lines = spark.readStream.text(source).select("value", F.col("_metadata.file_path").alias("file"))
     return lines.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
