@@ -2,7 +2,7 @@
 
 Words and pairs of neighbouring words are hashed to a fixed number of buckets. Two multinomials over the buckets are
 counted: one over a trusted target (labelled good, not toxic), one over the whole raw corpus. A document's score is the
-mean over its n-grams of log p_target - log p_raw; a document is kept if no base rule fails and its score reaches a fixed
+mean over its n-grams of log p_target - log p_raw, its own n-gram left out of both counts; a document is kept if no base rule fails and its score reaches a fixed
 threshold, so every document is judged alike, whatever else is in the corpus run.
 
 The bucket weights are one row of fixed length. The trusted ids are a sample with a documented bound, so they may be
@@ -23,8 +23,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 BUCKETS = 1 << 16
 #: About so many trusted documents are used, by the hash of their id.
 TRUSTED = 20_000
-SMOOTHING = 0.5
-THRESHOLD = -0.15
+#: Raw n-grams that each bucket is taken to hold beforehand; the target gets its share of them, so few n-grams weigh little.
+SMOOTHING = 20.0
+THRESHOLD = -0.1
 WINDOW, FEWEST, REPEATED_PERCENT = 8, 20, 30
 
 
@@ -67,13 +68,14 @@ def buckets(words: Column) -> Column:
     return F.transform(grams, lambda g: F.pmod(g, F.lit(BUCKETS)).cast("int"))
 
 
-def with_words(docs: DataFrame) -> DataFrame:
+def with_words(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
-    return docs.select("doc_id", text.alias("text"), F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("words"))
+    marked = docs.select("doc_id", "text").join(F.broadcast(trusted.select("doc_id", F.lit(True).alias("trusted"))), "doc_id", "left")
+    return marked.select("doc_id", F.coalesce("trusted", F.lit(False)).alias("trusted"), text.alias("text"), F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("words"))
 
 
 def weights(docs: DataFrame, trusted: DataFrame, ws: Workspace) -> DataFrame:
-    """One row: the log ratio of every bucket. trusted: doc_ids, few enough to broadcast (at most about TRUSTED)."""
+    """One row: the log ratio of every bucket, for other and for trusted documents. trusted: doc_ids, few enough to broadcast (at most about TRUSTED)."""
     spark = docs.sparkSession
     marked = docs.join(F.broadcast(trusted.select("doc_id", F.lit(1).alias("good"))), "doc_id", "left")
     text = F.coalesce("text", F.lit(""))
@@ -81,18 +83,24 @@ def weights(docs: DataFrame, trusted: DataFrame, ws: Workspace) -> DataFrame:
     counts = grams.groupBy("b").agg(F.count("*").alias("raw"), F.count("good").alias("target"))
     counts = ws.table(spark.range(BUCKETS).select(F.col("id").cast("int").alias("b")).join(counts, "b", "left").fillna(0), "counts")
     total = counts.agg(F.sum("raw").alias("r"), F.sum("target").alias("t")).first()
-    raw = F.log((F.col("raw") + SMOOTHING) / (total["r"] + SMOOTHING * BUCKETS))
-    target = F.log((F.col("target") + SMOOTHING) / (total["t"] + SMOOTHING * BUCKETS))
-    weight = F.when(F.lit(total["t"] > 0), target - raw).otherwise(0.0)
-    row = counts.select("b", weight.alias("w")).agg(F.sort_array(F.collect_list(F.struct("b", "w"))).alias("all"))
-    return ws.table(row.select(F.col("all.w").alias("w")), "weights", keep=True)
+    r, t = total["r"] or 0, total["t"] or 0
+    prior = SMOOTHING * t / max(1, r)
+
+    def ratio(own: int) -> Column:
+        """Log ratio for an n-gram of a document: without its own count, which is in the target too if it is trusted."""
+        raw = F.log((F.greatest(F.col("raw") - 1, F.lit(0)) + SMOOTHING) / (r + SMOOTHING * BUCKETS))
+        target = F.log((F.greatest(F.col("target") - own, F.lit(0)) + prior) / (t + prior * BUCKETS))
+        return (target - raw if t else F.lit(0.0)).alias("w")
+
+    sorted_ = lambda own: F.sort_array(F.collect_list(F.struct("b", ratio(own))))["w"]
+    return ws.table(counts.agg(sorted_(0).alias("w"), sorted_(1).alias("w_trusted")), "weights", keep=True)
 
 
 def base_rules(docs: DataFrame) -> DataFrame:
     """Adds the base columns to (doc_id, text, words)."""
     n = F.size("words").cast("long")
     docs = docs.select(
-        "doc_id", "words", n.alias("n_words"), F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
+        "doc_id", "trusted", "words", n.alias("n_words"), F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         F.length(F.regexp_replace("text", r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
         repeated_lines(F.col("text")).alias("n_dup_lines"), repeated_words(F.col("words")).alias("n_repeat_words"),
     )
@@ -104,8 +112,9 @@ def scored(docs: DataFrame, weights_row: DataFrame) -> DataFrame:
     """Adds the length-normalised log-likelihood ratio to rows with words. The weights are a subquery's one value, read once."""
     total = lambda w: F.aggregate(buckets(F.col("words")), F.lit(0.0), lambda a, b: a + F.get(w, b))
     grams = F.greatest(F.lit(1), 2 * F.size("words") - 1)
-    docs = docs.select("*", weights_row.select("w").scalar().alias("__weights__"))
-    return docs.withColumn("score", let(F.col("__weights__"), total) / grams).drop("__weights__")
+    docs = docs.select("*", *[weights_row.select(w).scalar().alias(f"__{w}__") for w in ("w", "w_trusted")])
+    score = F.when(F.col("trusted"), let(F.col("__w_trusted__"), total)).otherwise(let(F.col("__w__"), total))
+    return docs.withColumn("score", score / grams).drop("__w__", "__w_trusted__")
 
 
 def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, most_trusted: int = TRUSTED) -> DataFrame:
@@ -113,8 +122,8 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, most
     good = labels.where("quality = 1 and toxic = 0").select("doc_id").distinct()
     n = good.count()
     with Workspace(docs.sparkSession, "quality") as ws:
-        trusted = ws.table(good.where(share_of(F.col("doc_id"), most_trusted / max(1, n))), "trusted")
+        trusted = ws.table(good.where(share_of(F.col("doc_id"), most_trusted / max(1, n))), "trusted", keep=True)
         table = weights(docs.select("doc_id", "text"), trusted, ws)
-    judged = scored(base_rules(with_words(docs)), table)
+    judged = scored(base_rules(with_words(docs, trusted)), table)
     kept = ~F.col("base_failed") & (F.col("score") >= threshold)
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", kept.alias("kept"))

@@ -30,14 +30,22 @@ def test_quality(spark, docs, rows, empty):
     want = Counter((r[0], *base(r[1])) for r in [*rows, *extra])
     assert Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in got) == want
     assert all(r.kept == (not r.base_failed and r.score >= quality.THRESHOLD) for r in got)
-    truth = {r.doc_id: r.quality for r in labels.collect()}
-    judged = [(truth[r.doc_id], r.kept) for r in got if r.doc_id in truth and r.doc_id != 5 and not r.base_failed]
-    assert sum(k for q, k in judged if q) >= 0.95 * sum(1 for q, _ in judged if q)
-    assert sum(not k for q, k in judged if not q) >= 0.8 * sum(1 for q, _ in judged if not q)
     assert quality.judge(empty, labels).count() == 0
     assert all(r.score == 0 for r in quality.judge(docs.limit(5), labels.where("false")).collect())
 
 
+def test_quality_of_held_out_labels(spark):
+    """Trusted documents come from even ids; the verdict is held against the labels of odd ones. A few hundred labels would not do: a language that the target has too little of then scores low."""
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    judged = quality.judge(spark.read.parquet(f"{sf}/documents.parquet"), labels.where("doc_id % 2 = 0"))
+    got = judged.join(labels.where("doc_id % 2 = 1"), "doc_id").where("not base_failed").select("quality", "toxic", "kept").collect()
+    good = [r.kept for r in got if r.quality and not r.toxic]
+    junk = [r.kept for r in got if not r.quality]
+    assert len(good) > 100 and sum(good) >= 0.98 * len(good)
+    assert len(junk) >= 10 and sum(junk) <= 0.1 * len(junk)
+
+
 def test_license(spark, docs, rows, empty):
     extra = [
         (3000, "Under the MIT license. under THE mit-license!"), (3001, "Apache License, Version 2 under the mit"), (3002, "cc by nc cc by nc x cc-by-nc-4"),
