@@ -39,13 +39,17 @@ class Workspace:
         (self.kept if keep else self.temporary).append(path)
         return path
 
-    def table(self, df: DataFrame, name: str, keep: bool = False) -> DataFrame:
-        """Writes df and reads it again: its lineage ends in files that outlive any executor."""
+    def table(self, df: DataFrame, name: str, keep: bool = False, large: bool = False) -> DataFrame:
+        """Writes df and reads it again: its lineage ends in files that outlive any executor.
+
+        large: what it shuffled is worth dropping at once.
+        """
         path = self.path(name, keep)
         df.write.parquet(path)
         schema = df.schema
         del df
-        self.release()
+        if large:
+            self.release()
         return self.spark.read.schema(schema).parquet(path)
 
     def drop(self, *names: str) -> None:

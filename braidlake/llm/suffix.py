@@ -116,9 +116,9 @@ class SuffixFamily:
         twice = everything.groupBy("key").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi").select("key")
         if self.levels:
             twice = twice.join(new.select("key").distinct(), "key", "left_semi")
-        twice = self.ws.table(twice, "twice")
+        twice = self.ws.table(twice, "twice", large=True)
         found = everything.join(twice, "key", "left_semi").groupBy("tid").agg(F.collect_set(F.struct("pos", "key")).alias("anchors"))
-        found = self.ws.table(found, "found")
+        found = self.ws.table(found, "found", large=True)
         self.levels.append((0, new))
         while not last and len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
             (size, a), (_, b) = self.levels.pop(), self.levels.pop()
@@ -243,15 +243,15 @@ def find_repeats(docs: DataFrame, ws: Workspace, batch_bytes: int = BATCH_BYTES)
         found = family.append(batch.select("tid", "text"), last=k + 1 == batches)
         found = found.join(owners.select("tid", "owner"), "tid").withColumnRenamed("owner", "doc_id")
         same = (long_["tid"] == found["tid"]) & (F.coalesce(long_["doc_id"], F.lit(-1)) == F.coalesce(found["doc_id"], F.lit(-1)))
-        candidates = ws.table(long_.join(found, same).select(long_["tid"], "text", "anchors"), "candidates")
+        candidates = ws.table(long_.join(found, same).select(long_["tid"], "text", "anchors"), "candidates", large=True)
         ws.drop("twice", "found")
-        new = ws.table(_spans(_contexts(candidates)), "spans")
+        new = ws.table(_spans(_contexts(candidates)), "spans", large=True)
         spans = new if spans is None else spans.unionByName(new)
         texts = candidates.select("tid", "text")
         seen = texts if seen is None else seen.unionByName(texts).dropDuplicates(["tid"])
     merged = spans.groupBy("tid").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     once = owners.where("copies = 1").select("tid")
-    parts = ws.table(seen.join(merged, "tid").join(once, "tid", "left_semi"), "parts")
+    parts = ws.table(seen.join(merged, "tid").join(once, "tid", "left_semi"), "parts", large=True)
     return owners.where(F.col("copies") > 1).where(F.col("size") >= LENGTH).select("tid", "copies"), parts
 
 
