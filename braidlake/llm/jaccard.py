@@ -8,8 +8,10 @@ apart. The parts, kept sparse as 64-bit codes of their bits, are join keys; what
 
 Sets that are equal are one class from the start. Of the classes that share a key, each is first compared with the one
 that shares most with others (a star, not all pairs); what that links is contracted, and only classes of different
-components that still share a key are compared further, until a last join compares all that are left. No pair over the
-threshold can be missed: its members are in one component already, or they meet.
+components that still share a key are compared further. In the last round all of these meet, key by key in blocks of a
+bounded size, as dense parity sketches of about four bits a shingle: a pair whose Hamming distance is over what a link
+allows is left there, and only the others become rows. No pair over the threshold can be missed: its members are in one
+component already, or they meet.
 
 Defined results: a text without words (or null) has an empty set, no links, and is a component of its own; rows that
 repeat are linked (equal sets); a null doc_id never names a component that has another; an empty table gives no rows.
@@ -28,7 +30,9 @@ from braidlake.llm.words import byte_chunks, mix, shingle_set, word_hashes
 
 WORDS, PERCENT = 5, 80
 SPARE = 0.3
-STAR_ROUNDS = 3
+STAR_ROUNDS = 2
+#: Classes of one key that meet in one task; larger groups meet block by block.
+BLOCK = 2_048
 
 
 class Bands:
@@ -114,16 +118,91 @@ def sketches(docs: DataFrame, k: int, percent: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(rows, "doc_id long, n long, id long, key long")
 
 
+def dense_sketch(tokens: np.ndarray) -> np.ndarray:
+    """A parity sketch of four to eight bits a shingle, as 64-bit words. Halves XORed are the sketch of half the size."""
+    bits = 64
+    while bits < 4 * len(tokens):
+        bits *= 2
+    at = (mix(tokens ^ np.uint64(0x2545F4914F6CDD1D)) & np.uint64(bits - 1)).astype(np.int64)
+    odd = (np.bincount(at, minlength=bits) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view(np.uint64)
+
+
+def folded(sketch: np.ndarray, words: int) -> np.ndarray:
+    while len(sketch) > words:
+        sketch = sketch[: len(sketch) // 2] ^ sketch[len(sketch) // 2 :]
+    return sketch
+
+
 def _tokens(docs: DataFrame, k: int) -> DataFrame:
-    """(id, tokens) of (id, text): the whole sets, as ascending 64-bit values."""
+    """(id, n, sketch, tokens) of (id, text): the whole sets as ascending 64-bit values, and their dense sketches."""
 
     def rows(batches):
         for whole in batches:
             for b in byte_chunks(whole, 1):
-                sets = pa.array([t.tobytes() for t in _sets(b, 1, k)], pa.binary())
-                yield pa.RecordBatch.from_arrays([b.column(0), sets], ["id", "tokens"])
+                sets = list(_sets(b, 1, k))
+                columns = [pa.array([len(t) for t in sets], pa.int64()), pa.array([dense_sketch(t).tobytes() for t in sets], pa.binary()), pa.array([t.tobytes() for t in sets], pa.binary())]
+                yield pa.RecordBatch.from_arrays([b.column(0), *columns], ["id", "n", "sketch", "tokens"])
 
-    return docs.select("id", "text").mapInArrow(rows, "id long, tokens binary")
+    return docs.select("id", "text").mapInArrow(rows, "id long, n long, sketch binary, tokens binary")
+
+
+def _near(ids, component, n, side, sketches: list[bytes], percent: int, within: bool) -> list[np.ndarray]:
+    """Pairs of different components whose sketches allow a link: all pairs, or those of a row of each side."""
+    words = min(map(len, sketches)) // 8
+    grid = np.stack([folded(np.frombuffer(s, np.uint64), words) for s in sketches])
+    out = []
+    first = np.arange(len(ids)) if within else np.flatnonzero(side == 0)
+    for i in first.tolist():
+        others = np.arange(i + 1, len(ids)) if within else np.flatnonzero(side == 1)
+        total = n[others] + n[i]
+        fits = (component[others] != component[i]) & (100 * np.minimum(n[others], n[i]) >= percent * np.maximum(n[others], n[i]))
+        others, total = others[fits], total[fits]
+        if len(others):
+            apart = np.bitwise_count(grid[others] ^ grid[i]).sum(axis=1, dtype=np.int64)
+            others = others[apart * (100 + percent) <= total * (100 - percent)]
+            if len(others):
+                out.append(np.stack([np.full(len(others), ids[i]), ids[others]]))
+    return out
+
+
+def _meetings(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of classes that share a key, are of different components, and may link by their dense sketches."""
+    counts = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    rows = members.join(counts, "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component").join(sets.select("id", "n", "sketch"), "id")
+
+    def compared(table: pa.Table):
+        key, i, j, own, ids, component, n = (table.column(c).to_numpy() for c in ("key", "i", "j", "own", "id", "component", "n"))
+        edges = np.flatnonzero((np.diff(key) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1
+        sketch, out = table.column("sketch").to_pylist(), []
+        for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(key)], strict=True):
+            if b - a > 1:
+                part = slice(a, b)
+                out += _near(ids[part], component[part], n[part], (own[part] == j[part]).astype(int), sketch[part], percent, i[a] == j[a])
+        pairs = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
+        pairs = np.unique(np.sort(pairs, axis=0), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+
+    def meet(batches):
+        held, n = [], 0
+        for batch in batches:
+            for b in (batch.slice(k, BLOCK) for k in range(0, batch.num_rows, BLOCK)):
+                held.append(b)
+                n += b.num_rows
+                if n >= 2 * BLOCK:
+                    table = pa.Table.from_batches(held)
+                    last = [table.column(c).to_numpy() for c in ("key", "i", "j")]
+                    whole = int(np.argmax((last[0] == last[0][-1]) & (last[1] == last[1][-1]) & (last[2] == last[2][-1])))
+                    if whole:
+                        yield compared(table.slice(0, whole))
+                    held, n = table.slice(whole).to_batches(), n - whole
+        if n:
+            yield compared(pa.Table.from_batches(held))
+
+    group = ["key", "i", "j"]
+    return rows.repartition(*group).sortWithinPartitions(*group).mapInArrow(meet, "a long, b long").distinct()
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -162,13 +241,13 @@ def link_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) ->
         rows = ws.table(sketches(docs, k, percent), "sketches")
         keys = rows.where("key is not null").select("key", "id")
         multi = keys.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key")
-        multi = ws.table(multi, "multi")
-        shared = ws.table(keys.join(multi, "key", "left_semi").distinct(), "shared")
+        multi = ws.table(multi, "multi", large=True)
+        shared = ws.table(keys.join(multi, "key", "left_semi").distinct(), "shared", large=True)
         owners = rows.where("key is null and id is not null").join(shared.select("id").distinct(), "id", "left_semi")
         owners = ws.table(owners.groupBy("id").agg(F.min("doc_id").alias("doc_id")), "owners")
         ws.drop("multi")
         chosen = docs.select("doc_id", "text").join(owners, "doc_id").select("id", "text")
-        sets = ws.table(_tokens(chosen, k), "sets")
+        sets = ws.table(_tokens(chosen, k), "sets", large=True)
         members = shared.withColumn("component", F.col("id"))
         tested = edges = docs.sparkSession.createDataFrame([], "a long, b long")
         groups = docs.sparkSession.createDataFrame([], "id long, component long")
@@ -180,9 +259,8 @@ def link_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) ->
             if round_ < STAR_ROUNDS:
                 pairs = _stars(members)
             else:
-                other = members.select("key", F.col("id").alias("other"), F.col("component").alias("own"))
-                pairs = members.join(other, "key").where("component < own").select(*_ordered("id", "other")).distinct()
-            pairs = ws.table(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+                pairs = _meetings(members, sets, percent)
+            pairs = ws.table(pairs.join(tested, ["a", "b"], "left_anti"), "pairs", large=True)
             tested = tested.unionByName(pairs)
             edges = ws.table(edges.unionByName(_verify(pairs, sets, percent)), "links")
             groups = components(edges, ws)
