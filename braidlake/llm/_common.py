@@ -6,7 +6,6 @@ import gc
 import tempfile
 import uuid
 
-import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -101,18 +100,10 @@ def slices(batches, rows: int = 256):
             yield batch.slice(i, rows)
 
 
-def emit(schema: pa.Schema, **columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type, from_pandas=False) for f in schema], schema=schema)
-
-
 def share_of(column, share: float):
     """A repeatable sample: rows whose hash falls under a share of its range."""
     return F.pmod(F.xxhash64(column, F.lit(0x5EED)), F.lit(1 << 30)) < F.lit(int(min(1.0, share) * (1 << 30)))
 
 
-def fit_size(n: int) -> int:
-    return max(1, n)
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -7,7 +7,6 @@ from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from braidlake.llm import chat, hnsw, jaccard, langid, license, mixing, packing, quality, suffix, tokenbin
 from braidlake.llm._common import Workspace, documents
