@@ -9,8 +9,8 @@ Strings that look like special tokens are ordinary text.
 from __future__ import annotations
 
 import re
-
-import numpy as np
+import sys
+from array import array
 
 MEMORY = 500_000
 _WIDE = re.compile(r"[^\S\x1c-\x1f] ")
@@ -27,6 +27,13 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _bytes(ids: list[int]) -> bytes:
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 class _Memory(dict):
     """chunk -> its ids as little-endian 32-bit bytes; two generations of at most MEMORY chunks each."""
 
@@ -64,7 +71,7 @@ class Encoder:
             if body.isalpha():
                 mark = "" if memory is self.bare else "\u0120"
                 piece = mark + (body if body.isascii() else body.encode().decode("latin-1").translate(_BYTE_CHARS))
-                return np.array([t.id for t in tokenize(piece)], "<u4").tobytes()
+                return _bytes([t.id for t in tokenize(piece)])
             if "\n" in body:
                 head, _, tail = body.partition("\n")
                 if head and tail and not head[-1].isspace() and not tail[0].isspace():
@@ -74,7 +81,7 @@ class Encoder:
             ids = [t.id for piece, _ in self.pre.pre_tokenize_str(chunk) for t in tokenize(piece)]
         else:
             ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
-        return np.array(ids, "<u4").tobytes()
+        return _bytes(ids)
 
     def encode(self, text: str | None) -> bytes:
         """All ids of a text, little-endian 32-bit. Null is taken as empty."""
