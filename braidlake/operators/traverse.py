@@ -140,6 +140,71 @@ class Adjacency:
         return nodes if self.visible_link(nodes) else self.enclosing(nodes)
 
 
+def dominators(near: Adjacency, start: int, end: int) -> list[int]:
+    """The handles on every directed walk from start to end, in order; empty if there is none."""
+    order, seen, stack = [], {start}, [(start, iter(near.successors(start)))]
+    while stack:
+        h, out = stack[-1]
+        for x in out:
+            if x not in seen:
+                seen.add(x)
+                stack.append((x, iter(near.successors(x))))
+                break
+        else:
+            order.append(h)
+            stack.pop()
+    if end not in seen:
+        return []
+    rank = {h: i for i, h in enumerate(order)}
+    before: dict[int, list[int]] = {h: [] for h in order}
+    for h in order:
+        for x in near.successors(h):
+            before[x].append(h)
+    idom = {start: start}
+    changed = True
+    while changed:
+        changed = False
+        for h in reversed(order[:-1]):
+            best = None
+            for p in before[h]:
+                if p in idom:
+                    a = p
+                    while best is not None and a != best:
+                        if rank[a] < rank[best]:
+                            a = idom[a]
+                        else:
+                            best = idom[best]
+                    best = a
+            if idom.get(h) != best:
+                idom[h], changed = best, True
+    chain = [end]
+    while chain[-1] != start:
+        chain.append(idom[chain[-1]])
+    return chain[::-1]
+
+
+def discover_chains(near: Adjacency) -> list[tuple[int, int]]:
+    """Chain links (handle, next), both ways, of the components with exactly two tips that a directed walk connects.
+
+    A tip is a handle without predecessors. Boundaries are the handles on every walk from one tip to the other.
+    """
+    left, out = set(near.length), []
+    while left:
+        stack, members = [left.pop()], []
+        while stack:
+            v = stack.pop()
+            members.append(v)
+            for x in near.successors(2 * v) + near.successors(2 * v + 1):
+                if x >> 1 in left:
+                    left.discard(x >> 1)
+                    stack.append(x >> 1)
+        tips = sorted(h for v in members for h in (2 * v, 2 * v + 1) if not near.successors(h ^ 1))
+        if len(tips) == 2:
+            chain = dominators(near, tips[0], tips[1] ^ 1)
+            out += [p for a, b in zip(chain, chain[1:], strict=False) for p in ((a, b), (b ^ 1, a ^ 1))]
+    return sorted(out)
+
+
 def adjacency(graph: Graph, most: int = MAX_EDGES) -> Adjacency | None:
     """Tier 1, or None if the graph has more edges than may come to the driver."""
     rows = graph.edges.select("src", "dst").limit(most + 1).collect()

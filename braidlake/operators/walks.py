@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from braidlake.schema import Graph, edge_is_canonical, flip, flipped_path, is_reverse, node_of, walk_text
+from braidlake.schema import Graph, edge_is_canonical, flipped_path, is_reverse, node_of, walk_text
 
 
 def islands(offsets: DataFrame, nodes: DataFrame, ref_path: int | None = None, ref_step: int | None = None) -> DataFrame:
@@ -123,7 +123,3 @@ def json_document(nodes: DataFrame, edges: DataFrame, named_walks: DataFrame) ->
     parts = [[r.json for r in json_nodes(nodes).orderBy("node_id").collect()], [r.json for r in json_edges(edges).orderBy("src", "dst").collect()]]
     parts.append([r.json for r in json_paths(named_walks).orderBy(F.desc("is_ref"), "haplotype").collect()])
     return "{" + ", ".join(f'"{k}": [{", ".join(p)}]' for k, p in zip(("nodes", "edges", "paths"), parts, strict=True)) + "}"
-
-
-def reference_mirror(walk: Column) -> Column:
-    return F.transform(F.reverse(walk), flip)

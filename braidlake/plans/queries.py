@@ -615,6 +615,46 @@ def read_counters(g, spark, sf_dir):
     return R.counters(fixtures.lines(spark, sf_dir), region(g), g.chain_links)
 
 
+def _store_folder(spark: SparkSession, name: str) -> str:
+    import uuid
+
+    from braidlake.operators._shared import ensure_checkpoint
+
+    ensure_checkpoint(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+@query(INDEX + """ SELECT 'nodes' AS name, COUNT(*) AS n FROM nodes UNION ALL SELECT 'edges', COUNT(*) FROM edges UNION ALL SELECT 'steps', COUNT(*) FROM offsets UNION ALL SELECT 'paths', COUNT(*) FROM paths
+UNION ALL SELECT 'chain_links', COUNT(*) FROM links UNION ALL SELECT 'reference_index', COUNT(*) FROM ix""")
+def graph_store(g, spark, sf_dir):
+    """Builds a graph store, opens it, and counts the rows of its tables."""
+    path = _store_folder(spark, "graph")
+    store.write_graph(g, path, 20)
+    opened = store.open_graph(spark, path)
+    tables = {n: getattr(opened, n) for n in ("nodes", "edges", "steps", "paths", "chain_links")} | {"reference_index": spark.read.parquet(f"{path}/reference_index")}
+    rows = [df.agg(F.count("*").alias("n")).select(F.lit(n).alias("name"), "n") for n, df in tables.items()]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out
+
+
+@query(f", {BLOCKS}, {TOKENS} SELECT 'alignments' AS name, COUNT(*) AS n FROM bl UNION ALL SELECT 'blocks', COUNT(*) FROM bs UNION ALL SELECT 'nodes', COUNT(DISTINCT CAST(substr(tok, 2) AS BIGINT)) FROM tk")
+def alignment_store(g, spark, sf_dir):
+    """Builds a store of alignments, opens it, and counts its reads, blocks and visited nodes."""
+    path = _store_folder(spark, "reads")
+    store.write_alignments(_reads(spark, sf_dir).drop("error"), path, store.AlignmentParams(block_size=50))
+    opened = store.open_alignments(spark, path)
+    count = lambda df, n: df.agg(F.count("*").alias("n")).select(F.lit(n).alias("name"), "n")
+    return count(opened.alignments, "alignments").unionByName(count(opened.blocks, "blocks")).unionByName(count(opened.nodes, "nodes"))
+
+
+@query()
+def chain_discovery(g):
+    near = traverse.adjacency(g)
+    return g.spark.createDataFrame(traverse.discover_chains(near) if near else [], "handle long, next long")
+
+
 def _by_path(g: Graph, output: str) -> DataFrame:
     row = g.paths.where("path_handle = 10").first()
     q = SubgraphQuery.path_offset(row.contig, 33, sample=row.sample, haplotype=row.haplotype).with_(context=12, output=output)

@@ -49,10 +49,6 @@ def edge_is_canonical(src: Column, dst: Column) -> Column:
     return F.when(is_reverse(src) == 0, b >= a).otherwise((b > a) | ((b == a) & (is_reverse(dst) == 0)))
 
 
-def path_is_canonical(path: Column) -> Column:
-    return path <= flipped_path(path)
-
-
 def handle(node_id: int, rev: int = FORWARD) -> int:
     return 2 * node_id + rev
 

@@ -22,7 +22,7 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     counts = raw.groupBy("f", "b").agg(F.count("*").alias("n"), F.min("m").alias("m0"))
     before = Window.orderBy("f", "b").rowsBetween(Window.unboundedPreceding, -1)  # one row for each split
     counts = counts.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    return raw.join(F.broadcast(counts.select("f", "b", "m0", "base")), ["f", "b"]).select((F.col("base") + F.col("m") - F.col("m0")).alias("line_no"), "value")
+    return raw.join(counts.select("f", "b", "m0", "base"), ["f", "b"]).select((F.col("base") + F.col("m") - F.col("m0")).alias("line_no"), "value")
 
 
 def headers(lines: DataFrame) -> DataFrame:
@@ -46,11 +46,15 @@ def read_gaf(spark: SparkSession, path: str, on_error: str = "raise") -> DataFra
     return parsed.where("error is null").drop("error") if on_error == "drop" else parsed
 
 
-def write_gaf(lines: DataFrame, path: str, header_lines: list[str] = ()) -> None:
-    """(line_no, line) as one text, after the version header and others."""
+def write_gaf(lines: DataFrame, path: str, header_lines: list[str] = (), single_file: bool = False) -> None:
+    """(line_no, line) as text, after the version header and others.
+
+    The part files, in the order of their names, are the sorted text; single_file makes one, in one task.
+    """
     spark = lines.sparkSession
     head = spark.createDataFrame([(i - 1_000_000, h) for i, h in enumerate(["@HD\tVN:Z:1.0", *header_lines])], "line_no long, line string")
-    head.unionByName(lines.select("line_no", "line")).orderBy("line_no").select("line").coalesce(1).write.text(path)
+    ordered = head.unionByName(lines.select(F.col("line_no").cast("long").alias("line_no"), "line")).orderBy("line_no").select("line")
+    (ordered.coalesce(1) if single_file else ordered).write.text(path)
 
 
 def read_gfa(spark: SparkSession, path: str) -> Graph:

@@ -99,6 +99,36 @@ def test_tiers_agree(spark, graph):
         traverse.between_frontier(graph, ends, 2)
 
 
+def test_chains_are_found(graph):
+    near = traverse.adjacency(graph)
+    assert [p for p in traverse.discover_chains(near) if p[0] >> 1 < 20] == [(22, 28), (28, 34), (29, 23), (35, 29)]
+    assert traverse.dominators(near, 22, 26) == [22, 26] and traverse.dominators(near, 34, 22) == []
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from braidlake.__main__ import main
+
+    gfa = "H\tVN:Z:1.1\nS\t1\tAC\nS\t2\tG\nS\t3\tT\nS\t4\tCC\n" + "".join(f"L\t{a}\t+\t{b}\t+\t0M\n" for a, b in ((1, 2), (1, 3), (2, 4), (3, 4)))
+    (tmp_path / "g.gfa").write_text(gfa + "W\tref\t0\tc\t0\t5\t>1>2>4\nW\ts\t1\tc\t0\t5\t>1>3>4\n")
+    (tmp_path / "r.gaf").write_text("@HD\tVN:Z:1.0\n" + "b\t3\t0\t3\t+\t>3>4\t3\t0\t3\t3\t3\t60\tcs:Z::3\n" + "a\t2\t0\t2\t+\t>1\t2\t0\t2\t2\t2\t60\tcs:Z::2\n")
+    at = lambda x: f"{tmp_path}/{x}"
+    main(["build-graph", at("g.gfa"), at("graph")])
+    main(["build-reads", at("r.gaf"), at("reads")])
+    main(["query", at("graph"), "--sample", "ref", "--contig", "c", "--offset", "2", "--context", "1", "--snarls", "--cigar", "--reads", at("reads"), "--reads-output", at("out")])
+    out = capsys.readouterr().out
+    assert "W\tref\t0\tc\t0\t5\t>1>2>4" in out and "W\tunknown\t1\tc\t0\t5\t>1>3>4\tCG:Z:5M" in out
+    text = lambda x: "".join(open(f).read() for f in sorted(__import__("glob").glob(at(x) + "/part-*"))).splitlines()
+    assert [x.split("\t")[0] for x in text("out")] == ["@HD", "b", "a"]
+    main(["export-reads", at("reads"), at("graph"), at("export")])
+    assert text("export")[1:] == (tmp_path / "r.gaf").read_text().splitlines()[1:]
+    main(["sort", at("r.gaf"), at("sorted")])
+    assert [x.split("\t")[0] for x in text("sorted")] == ["@HD", "a", "b"]
+    main(["query", at("graph"), "--between", "1+:4+", "--format", "json"])
+    assert '"edges": [{"from": "1"' in capsys.readouterr().out
+    with pytest.raises(SystemExit):
+        main(["query", at("graph")])
+
+
 def test_errors(graph):
     for bad in (off("A", 5), off("C", 0), SubgraphQuery.path_interval("A", 2, 9), SubgraphQuery.path_interval("A", 2, 2)):
         with pytest.raises(ValueError):
