@@ -61,12 +61,12 @@ def read_gfa(spark: SparkSession, path: str) -> Graph:
     """A graph from S, L, W and P lines; node names must be numbers. Paths of P lines are generic."""
     lines = read_lines(spark, path).withColumn("p", F.split("value", "\t", -1))
     get = lambda i: F.get("p", F.lit(i))
-    nodes = lines.where(get(0) == "S").select(get(1).cast("long").alias("node_id"), get(2).alias("sequence"), F.length(get(2)).cast("long").alias("seq_len"))
-    end = lambda i: encode(get(i).cast("long"), (get(i + 1) == "-").cast("long"))
+    nodes = lines.where(get(0) == "S").select(get(1).try_cast("long").alias("node_id"), get(2).alias("sequence"), F.length(get(2)).cast("long").alias("seq_len"))
+    end = lambda i: encode(get(i).try_cast("long"), (get(i + 1) == "-").cast("long"))
     edges = lines.where(get(0) == "L").select(end(1).alias("src"), end(3).alias("dst"))
     edges = edges.unionByName(edges.select(F.col("dst").bitwiseXOR(F.lit(1)).alias("src"), F.col("src").bitwiseXOR(F.lit(1)).alias("dst"))).distinct()
-    w = lines.where(get(0) == "W").select("line_no", get(1).alias("sample"), get(3).alias("contig"), get(2).cast("long").alias("haplotype"), F.coalesce(get(4).try_cast("long"), F.lit(0)).alias("fragment"), gaf.parse_path(get(6)).alias("walk"))
-    signs = F.transform(F.split(get(2), ","), lambda s: F.rtrim(F.regexp_replace(s, "[+-]$", "")).cast("long") * 2 + F.when(s.endswith("-"), 1).otherwise(0))
+    w = lines.where(get(0) == "W").select("line_no", get(1).alias("sample"), get(3).alias("contig"), get(2).try_cast("long").alias("haplotype"), F.coalesce(get(4).try_cast("long"), F.lit(0)).alias("fragment"), gaf.parse_path(get(6)).alias("walk"))
+    signs = F.transform(F.split(get(2), ","), lambda s: F.rtrim(F.regexp_replace(s, "[+-]$", "")).try_cast("long") * 2 + F.when(s.endswith("-"), 1).otherwise(0))
     p = lines.where(get(0) == "P").select("line_no", F.lit("_gbwt_ref").alias("sample"), get(1).alias("contig"), F.lit(0).cast("long").alias("haplotype"), F.lit(0).cast("long").alias("fragment"), signs.alias("walk"))
     both = w.unionByName(p).withColumn("path_handle", F.row_number().over(Window.orderBy("line_no")).cast("long") - 1)
     steps = both.select("path_handle", F.posexplode("walk").alias("step", "handle")).withColumn("step", F.col("step").cast("long"))
