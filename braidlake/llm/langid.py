@@ -29,7 +29,7 @@ from braidlake.llm._common import share_of, slices
 #: Training reads about so many documents of each language, taken by the hash of their id.
 SAMPLE_DOCUMENTS = 1_000
 ROUNDS, PSEUDO, FLOOR = 2, 200.0, 1e-9
-LONGEST, MEMORY = 24, 400_000
+LONGEST, MEMORY = 24, 250_000
 UNDETERMINED = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
 _TRIES: dict[str, dict] = {}

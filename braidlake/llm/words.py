@@ -49,7 +49,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, at - at[0]
 
 
-def byte_chunks(batch: pa.RecordBatch, column: int, most: int = 4 << 20):
+def byte_chunks(batch: pa.RecordBatch, column: int, most: int = 1 << 20):
     """Slices of a batch of about `most` bytes of text, one row at least."""
     _, at = text_bytes(batch.column(column))
     i = 0
