@@ -5,8 +5,8 @@ counted: one over a trusted target (labelled good, not toxic), one over the whol
 mean over its n-grams of log p_target - log p_raw, its own n-gram left out of both counts; a document is kept if no base rule fails and its score reaches a fixed
 threshold, so every document is judged alike, whatever else is in the corpus run.
 
-The bucket weights are one row of fixed length. The trusted ids are a sample with a documented bound, so they may be
-broadcast; the raw counts are over all n-grams of all documents, added up per task before they are shuffled.
+The bucket weights are one row of fixed length. All trusted ids count, so they are joined, not forced into a broadcast;
+counts are over all n-grams of all documents, trusted or raw, added up per task before they are shuffled.
 
 Defined results: a null or empty text has no words and fails; without trusted documents all weights are 0 and only the
 base rules decide; rows that repeat are judged each; a null doc_id is never trusted; other columns are ignored.
@@ -17,12 +17,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from braidlake.llm._common import Workspace, share_of
+from braidlake.llm._common import Workspace
 
 WORD = r"[^\x20\x09-\x0D]+"
 BUCKETS = 1 << 16
-#: About so many trusted documents are used, by the hash of their id.
-TRUSTED = 20_000
 #: Raw n-grams that each bucket is taken to hold beforehand; the target gets its share of them, so few n-grams weigh little.
 SMOOTHING = 20.0
 THRESHOLD = -0.1
@@ -70,14 +68,14 @@ def buckets(words: Column) -> Column:
 
 def with_words(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
-    marked = docs.select("doc_id", "text").join(F.broadcast(trusted.select("doc_id", F.lit(True).alias("trusted"))), "doc_id", "left")
+    marked = docs.select("doc_id", "text").join(trusted.select("doc_id", F.lit(True).alias("trusted")), "doc_id", "left")
     return marked.select("doc_id", F.coalesce("trusted", F.lit(False)).alias("trusted"), text.alias("text"), F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("words"))
 
 
 def weights(docs: DataFrame, trusted: DataFrame, ws: Workspace) -> DataFrame:
-    """One row: the log ratio of every bucket, for other and for trusted documents. trusted: doc_ids, few enough to broadcast (at most about TRUSTED)."""
+    """One row: the log ratio of every bucket, for other and for trusted documents. trusted: distinct doc_ids."""
     spark = docs.sparkSession
-    marked = docs.join(F.broadcast(trusted.select("doc_id", F.lit(1).alias("good"))), "doc_id", "left")
+    marked = docs.join(trusted.select("doc_id", F.lit(1).alias("good")), "doc_id", "left")
     text = F.coalesce("text", F.lit(""))
     grams = marked.select("good", F.explode(buckets(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)))).alias("b"))
     counts = grams.groupBy("b").agg(F.count("*").alias("raw"), F.count("good").alias("target"))
@@ -117,12 +115,11 @@ def scored(docs: DataFrame, weights_row: DataFrame) -> DataFrame:
     return docs.withColumn("score", score / grams).drop("__w__", "__w_trusted__")
 
 
-def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, most_trusted: int = TRUSTED) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, the base columns, base_failed, score and kept for every document."""
-    good = labels.where("quality = 1 and toxic = 0").select("doc_id").distinct()
-    n = good.count()
+    good = labels.where("quality = 1 and toxic = 0 and doc_id is not null").select("doc_id").distinct()
     with Workspace(docs.sparkSession, "quality") as ws:
-        trusted = ws.table(good.where(share_of(F.col("doc_id"), most_trusted / max(1, n))), "trusted", keep=True)
+        trusted = ws.table(good, "trusted", keep=True)
         table = weights(docs.select("doc_id", "text"), trusted, ws)
     judged = scored(base_rules(with_words(docs, trusted)), table)
     kept = ~F.col("base_failed") & (F.col("score") >= threshold)

@@ -46,6 +46,13 @@ def test_quality_of_held_out_labels(spark):
     assert len(junk) >= 10 and sum(junk) <= 0.1 * len(junk)
 
 
+def test_quality_counts_all_trusted_documents(spark):
+    """Where every document is trusted, target and raw counts are the same and no score is off 0, however many there are."""
+    docs = spark.range(25_000).selectExpr("id AS doc_id", "concat('w', id % 97, ' x', id % 89) AS text")
+    got = quality.judge(docs, docs.selectExpr("doc_id", "1 AS quality", "0 AS toxic")).selectExpr("count(score) AS n", "max(abs(score)) AS worst").first()
+    assert got.n == 25_000 and got.worst < 1e-9
+
+
 def test_license(spark, docs, rows, empty):
     extra = [
         (3000, "Under the MIT license. under THE mit-license!"), (3001, "Apache License, Version 2 under the mit"), (3002, "cc by nc cc by nc x cc-by-nc-4"),
