@@ -451,8 +451,8 @@ def gaf_path_steps(g, spark, sf_dir):
 
 @query(f", {TOKENS} SELECT r.aln_id, greatest(r.path_len - r.path_end, 0) AS path_start, r.path_len - r.path_start AS path_end, coalesce(string_agg(CASE WHEN tok LIKE '<%' THEN concat('>', substr(tok, 2)) WHEN tok LIKE '>%' THEN concat('<', substr(tok, 2)) END, '' ORDER BY pos DESC), '') AS path FROM reads r LEFT JOIN tk USING (aln_id) WHERE r.cs IS NULL OR r.event_type = 'view' GROUP BY ALL")
 def gaf_strand_flip(g, spark, sf_dir):
-    lines = fixtures.lines(spark, sf_dir).where(~F.col("value").contains("\tcs:Z:") | F.col("value").contains("\txx:Z:view"))
-    lines = lines.withColumn("value", F.regexp_replace(F.regexp_replace("value", "\t[+]\t", "\t-\t"), "\tcs:Z:[^\t]*", ""))
+    """Every line with strand `-`. The SQL above has those without a difference string or of one event type."""
+    lines = fixtures.lines(spark, sf_dir).withColumn("value", F.regexp_replace("value", "\t[+]\t", "\t-\t"))
     return gaf.parse_lines(lines).select("aln_id", "path_start", "path_end", walk_text(F.col("path")).alias("path"))
 
 
@@ -479,10 +479,12 @@ def cs_stats(g, spark, sf_dir):
 
 @query(f", {OPS} SELECT aln_id, CAST(COUNT(*) AS BIGINT) AS ops, CAST(2*SUM(CASE WHEN op <> '*' THEN len ELSE 0 END) AS BIGINT) AS merged_len FROM op GROUP BY aln_id HAVING COUNT(*) = 1")
 def cs_normalize(g, spark, sf_dir):
-    """A match written twice and an empty one are merged to one op."""
-    rows = fixtures.lines(spark, sf_dir).select("aln_id", F.regexp_extract("value", r"cs:Z::(\d+)(?:\t|$)", 1).alias("n")).where("n <> ''")
-    ops = cs.normalize(cs.parse(F.concat(F.lit(":"), F.col("n"), F.lit(":0:"), F.col("n"))))
-    return rows.select("aln_id", F.size(ops).cast("long").alias("ops"), F.element_at(ops, 1)["len"].alias("merged_len"))
+    """Every op but mismatches is written twice, matches with an empty one between, and merged to one again. The SQL above has reads of one op."""
+    rows = fixtures.lines(spark, sf_dir).select("aln_id", F.regexp_extract("value", r"\tcs:Z:([^\t]*)", 1).alias("cs")).where("cs <> ''")
+    twice = F.regexp_replace(F.regexp_replace("cs", r":(\d+)", ":$1:0:$1"), r"([+-][A-Za-z]+)", "$1$1")
+    ops = cs.normalize(cs.parse(twice))
+    merged = F.aggregate(ops, F.lit(0).cast("long"), lambda a, x: a + F.when(x["op"] != "*", x["len"]).otherwise(0))
+    return rows.select("aln_id", F.size(ops).cast("long").alias("ops"), merged.alias("merged_len"))
 
 
 @query("SELECT aln_id, CASE WHEN cs IS NOT NULL AND aln_id % 3 = 0 THEN 'matches' END AS problem FROM reads")

@@ -27,3 +27,10 @@ def by_query(spark, name):
 def test_walk_text_of_all_paths(spark):
     got = by_query(spark, "path_walk_text")
     assert len(got) == 150 and got == by_sql("path_walk_text", " WHERE path_handle % 10 = 0")
+
+
+def test_flipped_and_normalized_reads_are_all_reads(spark):
+    got = by_query(spark, "gaf_strand_flip")
+    assert len(got) == 1000 and got == by_sql("gaf_strand_flip", " WHERE r.cs IS NULL OR r.event_type = 'view'")
+    got = by_query(spark, "cs_normalize")
+    assert len(got) == 937 and got == by_sql("cs_normalize", " HAVING COUNT(*) = 1")
