@@ -269,6 +269,83 @@ def components_frontier(graph: Graph, nodes: DataFrame) -> DataFrame:
         labels = new.select("node_id", F.col("new").alias("component"))
 
 
+def enclosing_frontier(graph: Graph, nodes: DataFrame) -> DataFrame:
+    """Tier 2 of `enclosing`: (node_id). Handles of a round carry their place in the first tier's queue."""
+    ensure_checkpoint(graph.spark)
+    edges, links, one = graph.edges.where("dst <> 0"), graph.chain_links, F.lit(1)
+    nodes = nodes.select("node_id").distinct().checkpoint()
+    both = F.array(encode(F.col("node_id"), F.lit(0)), encode(F.col("node_id"), F.lit(1)))
+    start = nodes.select(F.explode(both).alias("handle"))
+    if components_frontier(graph, nodes).select("component").distinct().limit(2).count() != 1 or links.isEmpty() or not start.join(links, "handle", "left_semi").isEmpty():
+        return nodes
+    place = lambda df, *by: df.orderBy(*by).select("handle", F.monotonically_increasing_id().alias("place")).checkpoint()
+    frontier = place(start, "handle")
+    seen = frontier.select("handle")
+    while not frontier.isEmpty():
+        hit = frontier.join(links.select(F.col("handle").bitwiseXOR(one).alias("handle"), "next"), "handle").orderBy("place").first()
+        if hit is not None:
+            h = hit.handle ^ 1
+            out = [x.dst for x in edges.where(F.col("src") == h).select("dst").distinct().orderBy("dst").limit(2).collect()]
+            entry = len(out) > 1 or len(out) == 1 and edges.where(F.col("src") == out[0] ^ 1).distinct().limit(2).count() > 1
+            if not entry:
+                return nodes
+            ends = graph.spark.createDataFrame([(0, h, hit.next)], "query_id long, start long, end long")
+            inner = between_frontier(Graph(graph.nodes, edges, graph.steps, graph.paths, links, graph.tags), ends).select("node_id")
+            before = seen.join(frontier.where(F.col("place") >= hit.place), "handle", "left_anti").select(node_of(F.col("handle")).alias("node_id"))
+            return nodes.unionByName(before).unionByName(inner).distinct()
+        reached = frontier.join(edges, F.col("handle") == F.col("src")).select("place", "dst", F.explode(F.array(F.lit(0), one)).alias("turn"))
+        reached = reached.select(F.col("dst").bitwiseXOR(F.col("turn")).alias("handle"), F.struct("place", "dst", "turn").alias("at"))
+        frontier = place(reached.groupBy("handle").agg(F.min("at").alias("at")).join(seen, "handle", "left_anti"), "at")
+        seen = seen.unionByName(frontier.select("handle")).checkpoint()
+    return nodes
+
+
+def _stars(pairs: DataFrame, large: bool) -> DataFrame:
+    """Large: neighbours above a are linked to a's least neighbour. Small: those below, and a itself, are."""
+    if large:
+        both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    else:
+        both = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    joined = both.join(least, "a")
+    if large:
+        out = joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    else:
+        out = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
+    return out.where("a <> b").distinct()
+
+
+def _chain(table):
+    """Links of one component from its edges and two tips, in a task."""
+    import pyarrow as pa
+
+    near = Adjacency(zip(table["src"].to_pylist(), table["dst"].to_pylist(), strict=True), {})
+    chain = dominators(near, table["first"][0].as_py(), table["last"][0].as_py() ^ 1)
+    out = [p for a, b in zip(chain, chain[1:], strict=False) for p in ((a, b), (b ^ 1, a ^ 1))]
+    return pa.table({"handle": pa.array([a for a, _ in out], pa.int64()), "next": pa.array([b for _, b in out], pa.int64())})
+
+
+def discover_chains_frontier(graph: Graph) -> DataFrame:
+    """Tier 2 of `discover_chains`: (handle, next). Components by stars, in few rounds however long they are; each is then walked in a task."""
+    ensure_checkpoint(graph.spark)
+    edges = graph.edges.where("src > 1 and dst > 1").select("src", "dst").distinct().checkpoint()
+    a, b = node_of(F.col("src")), node_of(F.col("dst"))
+    pairs, before = edges.select(a.alias("a"), b.alias("b")).where("a <> b").distinct().checkpoint(), None
+    while True:
+        now = pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if now == before:
+            break
+        before, pairs = now, _stars(_stars(pairs, True), False).checkpoint()
+    label = pairs.select(F.col("a").alias("node_id"), F.col("b").alias("component"))
+    own = edges.select(F.explode(F.array(a, b)).alias("node_id")).distinct()
+    label = own.join(label, "node_id", "left").select("node_id", F.coalesce("component", "node_id").alias("component")).checkpoint()
+    ends = label.select("component", F.explode(F.array(encode(F.col("node_id"), F.lit(0)), encode(F.col("node_id"), F.lit(1)))).alias("tip"))
+    ends = ends.join(edges.select(F.col("src").bitwiseXOR(F.lit(1)).alias("tip")), "tip", "left_anti")
+    ends = ends.groupBy("component").agg(F.count("*").alias("n"), F.min("tip").alias("first"), F.max("tip").alias("last")).where("n = 2").drop("n")
+    rows = edges.withColumn("node_id", a).join(label, "node_id").join(ends, "component").select("component", "src", "dst", "first", "last")
+    return rows.groupBy("component").applyInArrow(_chain, "handle long, next long")
+
+
 def degrees(edges: DataFrame) -> DataFrame:
     """(handle, out_degree)."""
     return edges.groupBy(F.col("src").alias("handle")).agg(F.count("*").alias("out_degree"))

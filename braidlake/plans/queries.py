@@ -305,8 +305,9 @@ def extract_snarls(g):
 @query()
 def enclosing_snarl(g):
     near = traverse.adjacency(g)
-    found = near.enclosing({23}) if near else set()
-    return g.spark.createDataFrame([(n,) for n in sorted(found)], "node_id long")
+    if near is None:
+        return traverse.enclosing_frontier(g, g.spark.createDataFrame([(23,)], "node_id long"))
+    return g.spark.createDataFrame([(n,) for n in sorted(near.enclosing({23}))], "node_id long")
 
 
 @query(f""", cc AS (SELECT node_id, node_id AS c FROM nodes WHERE node_id % 5 <> 0 UNION SELECT {NODE.format(h='e.dst')}, cc.c FROM cc JOIN edges e ON FLOOR(e.src/2) = cc.node_id
@@ -655,7 +656,9 @@ def alignment_store(g, spark, sf_dir):
 @query()
 def chain_discovery(g):
     near = traverse.adjacency(g)
-    return g.spark.createDataFrame(traverse.discover_chains(near) if near else [], "handle long, next long")
+    if near is None:
+        return traverse.discover_chains_frontier(g)
+    return g.spark.createDataFrame(traverse.discover_chains(near), "handle long, next long")
 
 
 def _by_path(g: Graph, output: str) -> DataFrame:

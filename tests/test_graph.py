@@ -105,6 +105,19 @@ def test_chains_are_found(graph):
     assert traverse.dominators(near, 22, 26) == [22, 26] and traverse.dominators(near, 34, 22) == []
 
 
+def test_snarls_and_chains_beyond_the_first_tier(spark, graph, monkeypatch):
+    from braidlake.plans import queries
+
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    near = traverse.adjacency(graph)
+    for nodes in ({12}, {25}, {12, 16}):
+        df = spark.createDataFrame([(n,) for n in nodes], "node_id long")
+        assert rows(traverse.enclosing_frontier(graph, df)) == [(n,) for n in sorted(near.enclosing(nodes))], nodes
+    want = rows(queries.enclosing_snarl(graph)), rows(queries.chain_discovery(graph))
+    monkeypatch.setattr(traverse, "adjacency", lambda graph: None)
+    assert (rows(queries.enclosing_snarl(graph)), rows(queries.chain_discovery(graph))) == want and all(want)
+
+
 def test_command_line(spark, tmp_path, capsys):
     from braidlake.__main__ import main
 
