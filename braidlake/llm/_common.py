@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import gc
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -10,11 +11,16 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Spark deletes what a query shuffled when that query ends, instead of whenever the driver next collects garbage.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share, from spark.checkpoint.dir. A local session without one gets its own."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="braidlake-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
@@ -25,12 +31,36 @@ def remove(spark: SparkSession, path: str) -> None:
     hpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hpath, True)
 
 
+@contextlib.contextmanager
+def settings(spark: SparkSession, values: dict[str, str]):
+    """Session settings for the length of a block."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+_left_over: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def _remove_left_over() -> None:
+    for spark, path in _left_over:
+        with contextlib.suppress(Exception):  # the context may have been stopped already
+            remove(spark, path)
+
+
 class Workspace:
-    """Tables in the shared folder. Those not kept go when the block ends; a failed block takes all along."""
+    """Tables in the shared folder. Those not kept go when the block ends, kept ones when the driver's process ends; a
+    failed block takes all along."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_root(spark)}/braidlake-{name}-{uuid.uuid4().hex[:12]}"
-        self.n, self.temporary, self.kept = 0, [], []
+        self.n, self.temporary, self.kept, self.named = 0, [], [], {}
 
     def path(self, name: str, keep: bool = False) -> str:
         self.n += 1
@@ -38,36 +68,46 @@ class Workspace:
         (self.kept if keep else self.temporary).append(path)
         return path
 
-    def table(self, df: DataFrame, name: str, keep: bool = False, large: bool = False) -> DataFrame:
-        """Writes df and reads it again: its lineage ends in files that outlive any executor.
-
-        large: what it shuffled is worth dropping at once.
-        """
+    def write(self, df: DataFrame, name: str, by: str | None = None, keep: bool = False) -> str:
+        """Writes df, in a folder for each value of `by` if given, and returns the path."""
         path = self.path(name, keep)
-        df.write.parquet(path)
-        schema = df.schema
-        del df
-        if large:
-            self.release()
-        return self.spark.read.schema(schema).parquet(path)
+        writer = df.write.partitionBy(by) if by else df.write
+        with settings(self.spark, {SHUFFLE_CLEANUP: "true", "spark.sql.maxConcurrentOutputFileWriters": "64"}):
+            writer.parquet(path)
+        return path
+
+    def table(self, df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+        """Writes df and reads it again: its lineage ends in files that outlive any executor."""
+        return self.spark.read.schema(df.schema).parquet(self.write(df, name, keep=keep))
+
+    def bucketed(self, df: DataFrame, name: str, *by: str) -> DataFrame:
+        """Writes df dealt out and sorted by columns: joins on them read it as it lies, without a shuffle of this side."""
+        path, table = self.path(name), f"braidlake_{name}_{uuid.uuid4().hex[:12]}"
+        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        with settings(self.spark, {SHUFFLE_CLEANUP: "true"}):
+            df.repartition(n, *by).write.bucketBy(n, *by).sortBy(*by).option("path", path).saveAsTable(table)
+        self.named[path] = table
+        return self.spark.table(table)
+
+    def _forget(self, path: str) -> None:
+        if path in self.named:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.named.pop(path)}")
+        remove(self.spark, path)
 
     def drop(self, *names: str) -> None:
         for path in [p for p in self.temporary if p.rsplit("-", 1)[1] in names]:
-            remove(self.spark, path)
+            self._forget(path)
             self.temporary.remove(path)
 
-    def release(self) -> None:
-        """Lets Spark's cleaner drop the shuffle files of plans that nothing refers to any more."""
-        gc.collect()
-        self.spark._jvm.System.gc()
-
     def __enter__(self) -> Workspace:
         return self
 
     def __exit__(self, kind, value, trace) -> None:
         for path in self.temporary + (self.kept if kind else []):
-            remove(self.spark, path)
+            self._forget(path)
         self.temporary = []
+        if self.kept and not kind:
+            _left_over.append((self.spark, self.root))
 
 
 def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
