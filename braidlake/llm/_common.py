@@ -80,12 +80,15 @@ class Workspace:
         """Writes df and reads it again: its lineage ends in files that outlive any executor."""
         return self.spark.read.schema(df.schema).parquet(self.write(df, name, keep=keep))
 
-    def bucketed(self, df: DataFrame, name: str, *by: str) -> DataFrame:
-        """Writes df dealt out and sorted by columns: joins on them read it as it lies, without a shuffle of this side."""
+    def bucketed(self, df: DataFrame, name: str, *by: str, dealt: bool = False) -> DataFrame:
+        """Writes df dealt out and sorted by columns: joins on them read it as it lies, without a shuffle of this side.
+
+        dealt: df comes out of a grouping by these columns, whose partitions are the buckets already.
+        """
         path, table = self.path(name), f"braidlake_{name}_{uuid.uuid4().hex[:12]}"
         n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         with settings(self.spark, {SHUFFLE_CLEANUP: "true"}):
-            df.repartition(n, *by).write.bucketBy(n, *by).sortBy(*by).option("path", path).saveAsTable(table)
+            (df if dealt else df.repartition(n, *by)).write.bucketBy(n, *by).sortBy(*by).option("path", path).saveAsTable(table)
         self.named[path] = table
         return self.spark.table(table)
 

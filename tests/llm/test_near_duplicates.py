@@ -108,7 +108,7 @@ def repeated_passages(seed):
     return out + ["ab" * 300, "x" * 450, text(150) + passages[4] + text(9) + passages[4], passages[3], passages[3][1:]]
 
 
-def test_suffix_repeats_equal_all_windows(spark, rows):
+def test_suffix_repeats_equal_all_windows(spark, rows, monkeypatch):
     texts = [r[1] or "" for r in rows[:90]] + repeated_passages(1) + ["", "short"]
     ids = list(range(len(texts)))
     want = {}
@@ -117,8 +117,9 @@ def test_suffix_repeats_equal_all_windows(spark, rows):
         edges = np.flatnonzero(np.diff(np.concatenate(([False], gone, [False])).astype(int)) == 1)
         want[i] = (len(data), int(gone.sum()), len(edges), hashlib.sha256(data[~gone].tobytes()).hexdigest())
     df = spark.createDataFrame([(i, t, 5) for i, t in zip(ids, texts, strict=True)], "doc_id long, text string, tid int")
-    for batch_bytes in (1 << 40, 30_000):
-        got = suffix.dedup_report(df, batch_bytes).collect()
+    for batches, at_once in ((suffix.BATCHES, suffix.AT_ONCE), (7, 3)):  # also with all hits compared in blocks
+        monkeypatch.setattr(suffix, "AT_ONCE", at_once)
+        got = suffix.dedup_report(df, batches).collect()
         assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == want
     kept = {r.doc_id: r.text for r in suffix.remove(df).collect()}
     assert all((i in kept) == (want[i][0] == 0 or want[i][1] < want[i][0]) for i in ids)
