@@ -46,7 +46,7 @@ PREFIX = LENGTH - REACH
 #: Batches of a one-shot run.
 BATCHES = 4
 #: Classes of a hit that are compared at once; those of larger hits meet in blocks.
-AT_ONCE = 16_384
+AT_ONCE = 1 << 17
 
 _COEFFICIENTS = mix(np.arange(1, LENGTH + REACH + 64, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 #: Places of the eight-byte words, from the anchor, that make up the context; the last two overlap in a byte.
