@@ -10,12 +10,13 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from braidlake.functions import gaf, seq
+from braidlake.operators import locate, traverse, walks
 from braidlake.operators import reads as R
-from braidlake.operators import traverse
 from braidlake.operators.reads import path_steps
-from braidlake.plans.query import ALL, DISTINCT, GENERIC, REFERENCE, SubgraphQuery, run
+from braidlake.plans.query import ALL, DISTINCT, GENERIC, REFERENCE, SubgraphQuery, node_records, run
 from braidlake.schema import Graph, is_reverse, node_of
 from braidlake.sources import store, text
+from braidlake.sources.names import GraphName, require_reference
 
 
 def _parser() -> argparse.ArgumentParser:
@@ -60,6 +61,7 @@ def _parser() -> argparse.ArgumentParser:
     p.add_argument("gaf")
     p.add_argument("output")
     p.add_argument("--hash", action="store_true", help="shuffle by a hash of the line")
+    p.add_argument("--partitions", type=int, help="output files, about; Spark's number of shuffle partitions by default")
     return top
 
 
@@ -71,9 +73,20 @@ def with_targets(reads, nodes):
     return reads.join(whole, "aln_id", "left").withColumn("target", F.coalesce("target", F.lit("")))
 
 
-def _write_reads(reads, nodes, path: str) -> None:
+def _write_reads(reads, nodes, path: str, name: GraphName) -> None:
     lines = with_targets(reads, nodes).select(F.col("aln_id").alias("line_no"), gaf.to_line(F.col("target")).alias("line"))
-    text.write_gaf(lines, path)
+    text.write_gaf(lines, path, name.gaf_headers())
+
+
+def _say(**values) -> None:
+    print(", ".join(f"{v} {k.replace('_', ' ')}" for k, v in values.items()), file=sys.stderr)
+
+
+def _peak_memory() -> str:
+    """The most memory that this process held; executors have their own."""
+    import resource
+
+    return f"{resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024:.0f} MB"
 
 
 def _query(args) -> SubgraphQuery:
@@ -94,32 +107,43 @@ def main(argv: list[str] | None = None) -> None:
     if args.command == "build-graph":
         g = text.read_gfa(spark, args.gfa)
         near = traverse.adjacency(g)
-        links = spark.createDataFrame(traverse.discover_chains(near) if near else [], "handle long, next long")
-        store.write_graph(Graph(g.nodes, g.edges, g.steps, g.paths, links, g.tags), args.output, args.interval)
+        links = traverse.discover_chains_frontier(g) if near is None else spark.createDataFrame(traverse.discover_chains(near), "handle long, next long")
+        name = GraphName(walks.stable_name(g.nodes, g.edges).first().name)
+        store.write_graph(Graph(g.nodes, g.edges, g.steps, g.paths, links, g.tags), args.output, args.interval, name)
+        _say(**{r.key: r.value for r in store.header_counts(store.open_graph(spark, args.output)).collect()})
     elif args.command == "build-reads":
         graph = store.open_graph(spark, args.ref_free) if args.ref_free else None
         params = store.AlignmentParams(args.block_size, graph is not None, not args.no_quality, not args.no_optional)
-        store.write_alignments(text.read_gaf(spark, args.gaf), args.output, params, graph)
+        heads = [r.value for r in text.headers(text.read_lines(spark, args.gaf)).collect()]
+        store.write_alignments(text.read_gaf(spark, args.gaf), args.output, params, graph, name=GraphName.from_headers(heads))
+        opened = store.open_alignments(spark, args.output)
+        _say(alignments=opened.n_alignments, blocks=opened.n_blocks(), nodes=opened.n_nodes, bytes=opened.size(), **R.column_bytes(opened.alignments).first().asDict())
     elif args.command == "export-reads":
-        opened = store.open_alignments(spark, args.reads)
-        nodes = opened.nodes if opened.params.reference_free else store.open_graph(spark, args.graph).nodes
-        _write_reads(opened.alignments, nodes, args.output)
+        opened, graph = store.open_alignments(spark, args.reads), store.open_graph(spark, args.graph)
+        require_reference(opened.graph_name(), store.graph_name(graph))
+        _write_reads(opened.alignments, node_records(opened, graph=graph), args.output, opened.graph_name())
     elif args.command == "sort":
         lines = text.read_lines(spark, args.gaf)
         data = lines.where(~F.col("value").startswith("@") & (F.col("value") != ""))
-        ordered = R.sort_lines(data, by_hash=args.hash).select("value")
+        ordered = R.sort_lines(data, by_hash=args.hash, partitions=args.partitions).select("value")
         heads = [(h.value,) for h in text.headers(lines).orderBy("line_no").collect()]
         if heads:  # a union keeps the order of its parts, so the headers' file is the first
             ordered = spark.createDataFrame(heads, "value string").coalesce(1).unionByName(ordered)
         ordered.write.text(args.output)
+        _say(records=spark.read.text(args.output).count() - len(heads))
     else:
         graph = store.open_graph(spark, args.graph)
         sub = run(graph, _query(args))
         sub = sub.with_cigars() if args.cigar else sub
-        print("\n".join(sub.gfa()) if args.format == "gfa" else sub.json())
+        name = sub.graph_name(store.graph_name(graph))
+        print("\n".join(sub.gfa(name)) if args.format == "gfa" else sub.json())
         if args.reads:
-            _write_reads(sub.reads(store.open_alignments(spark, args.reads).alignments, args.reads_how, graph), graph.nodes, args.reads_output)
-    print(f"{args.command}: {time.time() - began:.3f} seconds", file=sys.stderr)
+            opened = store.open_alignments(spark, args.reads)
+            found = sub.reads(opened, args.reads_how, graph)
+            _write_reads(found, graph.nodes, args.reads_output, opened.graph_name())
+            met = R.blocks_meeting(opened.blocks, locate.clusters(sub.nodes))
+            _say(**R.counters(R.select(opened.alignments, sub.nodes), found, met).first().asDict())
+    print(f"{args.command}: {time.time() - began:.3f} seconds, peak memory of the driver's Python {_peak_memory()}", file=sys.stderr)
 
 
 if __name__ == "__main__":

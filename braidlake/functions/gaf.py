@@ -44,53 +44,56 @@ def _value(tag: str) -> Column:
     return F.try_element_at(F.filter(F.col("fields"), lambda f: f["tag"] == tag), F.lit(1))["value"]
 
 
+def evaluated(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns that are computed once a row: no filter or projection above can pull their expressions up or repeat them."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
+
+
 def parse_lines(lines: DataFrame) -> DataFrame:
     """Columns of records in lines (aln_id, value, …); error is null for a good record and says what is wrong otherwise.
 
     Header lines must be taken out before. Records with strand `-` come out on the flipped path.
     """
-    df = lines.withColumn("part", F.split(F.regexp_replace("value", "\n$", ""), "\t", -1))
     get = lambda i: F.get(F.col("part"), F.lit(i))
-    df = df.withColumn("raw", F.when(F.size("part") > 12, F.slice("part", 13, F.greatest(F.size("part") - 12, F.lit(0)))).otherwise(F.array().cast("array<string>")))
-    df = df.withColumn("fields", F.transform("raw", typed_field)).withColumn("bad_field", F.exists("raw", lambda x: ~typed_field_is_valid(x)))
+    df = evaluated(lines, part=F.split(F.regexp_replace("value", "\n$", ""), "\t", -1)).drop("value")
+    raw = F.when(F.size("part") > 12, F.slice("part", 13, F.greatest(F.size("part") - 12, F.lit(0)))).otherwise(F.array().cast("array<string>"))
+    df = evaluated(df, raw=raw)
     count = lambda tag: F.size(F.filter(F.col("fields"), lambda f: f["tag"] == tag))
     twice = (count("AS") > 1) | (count("bq") > 1) | (count("cs") > 1) | (count("pd") > 1) | (count("fn") + count("fp") > 1)
-    df = df.withColumn("cs", _value("cs")).withColumn("twice", twice)
-    df = df.withColumn("diff", F.when(cs.is_valid(F.coalesce("cs", F.lit(""))), cs.normalize(cs.parse(F.coalesce("cs", F.lit(""))))))
-    df = df.withColumn("has_diff", F.size("diff") > 0)
-    start, end, size = number(get(7)), number(get(8)), number(get(6))
+    df = evaluated(df, fields=F.transform("raw", typed_field), bad_field=F.exists("raw", lambda x: ~typed_field_is_valid(x))).drop("raw")
+    df = evaluated(df, cs=F.coalesce(_value("cs"), F.lit("")), twice=twice, path0=parse_path(get(5)), **{f"n{i}": number(get(i)) for i in (1, 2, 3, 6, 7, 8, 9, 10, 11)})
+    df = evaluated(df, ops=cs.parse(F.col("cs")), good=cs.is_valid(F.col("cs"))).drop("cs")
+    df = evaluated(df, diff=F.when(F.col("good"), cs.normalize(F.col("ops")))).drop("ops", "good")
+    n, has, diff = (lambda i: F.col(f"n{i}")), F.coalesce(F.size("diff") > 0, F.lit(False)), F.col("diff")
     error = (
         F.when(F.size("part") < 12, F.lit("too few fields"))
-        .when(number(get(1)).isNull() | number(get(2)).isNull() | number(get(3)).isNull(), "bad query interval")
-        .when(~get(4).isin("+", "-", "*"), "bad strand").when(parse_path(get(5)).isNull(), "bad path").when(size.isNull(), "bad path length")
-        .when((start.isNull() | end.isNull()) & ~F.coalesce("has_diff", F.lit(False)), "bad target interval")
-        .when(number(get(9)).isNull() | number(get(10)).isNull() | number(get(11)).isNull(), "bad number")
-        .when(F.col("bad_field"), "bad optional field").when(F.col("twice"), "duplicate field").when(F.col("diff").isNull(), "bad difference string")
+        .when(n(1).isNull() | n(2).isNull() | n(3).isNull(), "bad query interval")
+        .when(~get(4).isin("+", "-", "*"), "bad strand").when(F.col("path0").isNull(), "bad path").when(n(6).isNull(), "bad path length")
+        .when((n(7).isNull() | n(8).isNull()) & ~has, "bad target interval")
+        .when(n(9).isNull() | n(10).isNull() | n(11).isNull(), "bad number")
+        .when(F.col("bad_field"), "bad optional field").when(F.col("twice"), "duplicate field").when(diff.isNull(), "bad difference string")
     )
-    df = df.withColumn("error", error)
-    start = F.coalesce(start, F.lit(0).cast("long"))
-    end = F.coalesce(end, start)
-    df = df.select("*", parse_path(get(5)).alias("path0"), size.alias("path_len"), start.alias("start0"), end.alias("end0"), get(4).alias("strand"))
-    back = F.col("strand") == "-"
-    start = F.when(back, F.greatest(F.col("path_len") - F.col("end0"), F.lit(0))).otherwise(F.col("start0"))
-    end = F.when(back, F.greatest(F.col("path_len") - F.col("start0"), F.lit(0))).otherwise(F.col("end0"))
-    has, diff = F.col("has_diff"), F.col("diff")
-    mapq = number(get(11))
+    start0 = F.coalesce(n(7), F.lit(0).cast("long"))
+    back = get(4) == "-"
+    path = F.when(back, flipped_path(F.col("path0"))).otherwise(F.col("path0"))
+    df = evaluated(df, error=error, start0=start0, end0=F.coalesce(n(8), start0), back=back, path=path)
+    back, path_len = F.col("back"), F.col("n6")
+    start = F.when(back, F.greatest(path_len - F.col("end0"), F.lit(0))).otherwise(F.col("start0"))
+    end = F.when(back, F.greatest(path_len - F.col("start0"), F.lit(0))).otherwise(F.col("end0"))
+    mapq = n(11)
     rest = F.filter(F.col("fields"), lambda f: ~f["tag"].isin(*KNOWN))
     keep = [F.col(c) for c in lines.columns if c != "value"]
     return df.select(
-        *keep, "error", get(0).alias("name"), number(get(1)).alias("seq_len"), number(get(2)).alias("seq_start"),
-        F.when(has, number(get(2)) + cs.query_len(diff)).otherwise(number(get(3))).alias("seq_end"),
-        F.when(back, flipped_path(F.col("path0"))).otherwise(F.col("path0")).alias("path"), "path_len", start.alias("path_start"),
+        *keep, "error", get(0).alias("name"), n(1).alias("seq_len"), n(2).alias("seq_start"),
+        F.when(has, n(2) + cs.query_len(diff)).otherwise(n(3)).alias("seq_end"), "path", path_len.alias("path_len"), start.alias("path_start"),
         F.when(has, start + cs.target_len(diff)).otherwise(end).alias("path_end"),
-        F.when(has, cs.matches(diff)).otherwise(number(get(9))).alias("matches"),
-        F.when(has, cs.edits(diff)).otherwise(F.greatest(number(get(10)) - number(get(9)), F.lit(0))).alias("edits"),
+        F.when(has, cs.matches(diff)).otherwise(n(9)).alias("matches"),
+        F.when(has, cs.edits(diff)).otherwise(F.greatest(n(10) - n(9), F.lit(0))).alias("edits"),
         F.when(mapq != MISSING_MAPQ, mapq).alias("mapq"), _value("AS").try_cast("long").alias("score"), F.coalesce(_value("bq"), F.lit("")).alias("base_quality"),
         "diff", F.coalesce(_value("fn"), _value("fp")).alias("pair_name"),
         F.when(_value("fn").isNotNull(), True).when(_value("fp").isNotNull(), False).alias("pair_is_next"),
         F.when(F.coalesce(_value("fn"), _value("fp")).isNotNull(), F.coalesce(_value("pd") == "1", F.lit(False))).alias("pair_is_proper"),
-        rest.alias("optional"), F.array_min(F.when(back, F.transform("path0", flip)).otherwise(F.col("path0"))).alias("min_handle"),
-        F.array_max(F.when(back, F.transform("path0", flip)).otherwise(F.col("path0"))).alias("max_handle"),
+        rest.alias("optional"), F.array_min("path").alias("min_handle"), F.array_max("path").alias("max_handle"),
     )
 
 

@@ -5,32 +5,55 @@ Offsets are joined through bins of a fixed width, so a query meets the steps of
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BIN = 1000
 KEY = ["sample", "contig", "haplotype"]
 
 
+#: Steps of a path, or offsets of a key, that one task takes in a row; their totals are carried on to the next bin.
+STEPS_AT_ONCE, OFFSETS_AT_ONCE = 1 << 16, 1 << 20
+
+
 def step_offsets(steps: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Adds step_start and step_end: the running offset of each step on its path."""
-    before = Window.partitionBy("path_handle").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
+    """Adds step_start and step_end: the running offset of each step on its path.
+
+    A path is added up in bins of steps, each with the total of the bins before it, so a long path is no single task's.
+    """
     rows = steps.withColumn("node_id", F.shiftright("handle", 1)).join(nodes.select("node_id", "seq_len"), "node_id")
-    start = F.coalesce(F.sum("seq_len").over(before), F.lit(0)).cast("long")
-    rows = rows.withColumn("step_start", start)
+    rows = rows.withColumn("bin", F.floor(F.col("step") / STEPS_AT_ONCE))
+    bins = Window.partitionBy("path_handle").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy("path_handle", "bin").agg(F.sum("seq_len").alias("total"))
+    totals = totals.select("path_handle", "bin", F.coalesce(F.sum("total").over(bins), F.lit(0)).alias("before"))
+    inside = Window.partitionBy("path_handle", "bin").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("start", F.coalesce(F.sum("seq_len").over(inside), F.lit(0))).join(totals, ["path_handle", "bin"])
+    rows = rows.withColumn("step_start", (F.col("before") + F.col("start")).cast("long"))
     return rows.select("path_handle", "step", "handle", "step_start", (F.col("step_start") + F.col("seq_len")).cast("long").alias("step_end"))
 
 
 def as_of(queries: DataFrame, facts: DataFrame, keys: list[str], at: str, fact_at: str, values: list[str]) -> DataFrame:
     """For each query the values of the last fact of its keys with fact_at <= at; null if there is none.
 
-    One sort over the union of both sides, whatever the number of facts a key has.
+    The union of both sides is sorted bin by bin; a bin that begins without a fact takes the last one of the bins before.
     """
-    q = queries.select("*", F.lit(1).alias("__q"), F.col(at).alias("__at"), F.lit(None).cast(facts.select(F.struct(fact_at, *values).alias("v")).schema["v"].dataType).alias("__v"))
-    f = facts.select(*keys, F.lit(0).alias("__q"), F.col(fact_at).alias("__at"), F.struct(fact_at, *values).alias("__v"))
-    both = q.unionByName(f, allowMissingColumns=True)
-    order = Window.partitionBy(*keys).orderBy("__at", "__q").rowsBetween(Window.unboundedPreceding, 0)
-    found = both.withColumn("__v", F.last("__v", ignorenulls=True).over(order)).where("__q = 1")
+    bin_of = lambda c: F.floor(F.col(c) / OFFSETS_AT_ONCE).alias("__bin")
+    value = F.struct(fact_at, *values)
+    f = facts.select(*keys, bin_of(fact_at), F.lit(0).alias("__q"), F.col(fact_at).alias("__at"), value.alias("__v")).where("__at is not null")
+    q = queries.select("*", bin_of(at), F.lit(1).alias("__q"), F.col(at).alias("__at"), F.lit(None).cast(f.schema["__v"].dataType).alias("__v"))
+    lasts = f.groupBy(*keys, "__bin").agg(F.max_by("__v", "__at").alias("__last"))
+    bins = q.select(*keys, "__bin").distinct().withColumn("__last", F.lit(None).cast(f.schema["__v"].dataType)).unionByName(lasts)
+    bins = bins.groupBy(*keys, "__bin").agg(F.max("__last").alias("__last"))
+    before = Window.partitionBy(*keys).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
+    carried = bins.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__bin").alias("__b"), F.last("__last", ignorenulls=True).over(before).alias("__carried"))
+    order = Window.partitionBy(*keys, "__bin").orderBy("__at", "__q").rowsBetween(Window.unboundedPreceding, 0)
+    found = q.unionByName(f, allowMissingColumns=True).withColumn("__v", F.last("__v", ignorenulls=True).over(order)).where("__q = 1")
+    same = found["__bin"].eqNullSafe(carried["__b"])
+    for i, k in enumerate(keys):
+        same = same & found[k].eqNullSafe(carried[f"__k{i}"])
+    found = found.join(carried, same, "left").withColumn("__v", F.coalesce("__v", "__carried"))
     return found.select(*queries.columns, *[F.col(f"__v.{v}").alias(v) for v in dict.fromkeys([fact_at, *values]) if v not in queries.columns])
 
 
@@ -46,18 +69,46 @@ def find_paths(queries: DataFrame, paths: DataFrame) -> DataFrame:
 def reference_index(offsets: DataFrame, paths: DataFrame, interval: int = BIN) -> DataFrame:
     """Node starts about every `interval` bases of indexed paths, the first at 0; each at least that far from the last.
 
-    With nodes no longer than the interval, the greedy rule takes steps one by one; it runs as a fold over each path's starts.
+    Each choice depends on the one before, so a path's sorted starts stream through one task, which keeps the last choice
+    and jumps to the next by bisection. Paths without an index raise no error: they have no rows.
     """
+    if interval < 1:
+        raise ValueError("the interval must be positive")
+    names = ["path_handle", "path_offset", "node_handle", "step"]
     rows = offsets.join(paths.where("is_indexed").select("path_handle"), "path_handle", "left_semi")
-    starts = F.sort_array(F.collect_list(F.struct("step_start", "handle", "step"))).alias("s")
-    zero = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<struct<step_start:bigint,handle:bigint,step:bigint>>").alias("out"))
-
-    def step(a: Column, x: Column) -> Column:
-        take = a["last"].isNull() | (x["step_start"] - a["last"] >= interval)
-        return F.struct(F.when(take, x["step_start"]).otherwise(a["last"]).alias("last"), F.when(take, F.concat(a["out"], F.array(x))).otherwise(a["out"]).alias("out"))
-
-    picked = rows.groupBy("path_handle").agg(starts).select("path_handle", F.explode(F.aggregate("s", zero, step)["out"]).alias("x"))
-    return picked.select("path_handle", F.col("x.step_start").alias("path_offset"), F.col("x.handle").alias("node_handle"), F.col("x.step").alias("step"))
+    rows = rows.select("path_handle", F.col("step_start").alias("path_offset"), F.col("handle").alias("node_handle"), "step")
+
+    def picked(batches):
+        path, due = None, 0
+        for b in batches:
+            paths_, starts = b.column(0).to_numpy(), b.column(1).to_numpy()
+            edges = np.flatnonzero(np.diff(paths_)) + 1
+            take = []
+            for i, j in zip([0, *edges.tolist()], [*edges.tolist(), b.num_rows], strict=True):
+                if i < j and paths_[i] != path:
+                    path, due = paths_[i], 0
+                at = i + int(np.searchsorted(starts[i:j], due))
+                while at < j:
+                    take.append(at)
+                    due = int(starts[at]) + interval
+                    at += int(np.searchsorted(starts[at:j], due))
+            yield b.take(pa.array(take, pa.int64()))
+
+    ordered = rows.repartition("path_handle").sortWithinPartitions("path_handle", "path_offset", "step")
+    return ordered.mapInArrow(picked, ", ".join(f"{c} long" for c in names))
+
+
+def path_named(paths: DataFrame, sample: str, contig: str, haplotype: int = 0, fragment: int = 0) -> DataFrame:
+    """The path of exactly this name, or no row."""
+    return paths.where((F.col("sample") == sample) & (F.col("contig") == contig) & (F.col("haplotype") == haplotype) & (F.col("fragment") == fragment))
+
+
+def indexed_paths(paths: DataFrame) -> DataFrame:
+    """(path_handle, path_len) of paths with a reference index; raises if there are none to index."""
+    rows = paths.where("is_indexed").select("path_handle", "path_len")
+    if rows.isEmpty():
+        raise ValueError("the graph has no paths to index")
+    return rows
 
 
 def indexed_positions(queries: DataFrame, index: DataFrame) -> DataFrame:

@@ -20,14 +20,40 @@ def handle_range(reads: DataFrame) -> DataFrame:
     return reads.select("aln_id", F.array_min("path").alias("min_handle"), F.array_max("path").alias("max_handle"))
 
 
+#: Reads that one task numbers in a row, if they are numbered without gaps; their counts are carried on to the next bin.
+READS_AT_ONCE = 1 << 16
+
+
 def blocks(reads: DataFrame, size: int = 1000) -> DataFrame:
-    """Adds block_id: consecutive reads, cut where being unaligned flips and after `size` of them (0 counts as 1)."""
-    order = Window.orderBy("aln_id")
-    flips = F.coalesce(F.col("is_unaligned") != F.lag("is_unaligned").over(order), F.lit(False)).cast("long")
-    rows = reads.withColumn("__run", F.sum(flips).over(order))
-    part = F.floor((F.row_number().over(Window.partitionBy("__run").orderBy("aln_id")) - 1) / max(size, 1))
-    rows = rows.withColumn("__part", part)
-    return rows.withColumn("block_id", (F.dense_rank().over(Window.orderBy("__run", "__part")) - 1).cast("long")).drop("__run", "__part")
+    """Adds block_id: consecutive reads, cut where being unaligned flips and after `size` of them (0 counts as 1).
+
+    Reads are numbered bin by bin of their ids; what passes from a bin to the next is its number of reads, its last run's
+    start and its number of blocks, one row a bin.
+    """
+    if size < 0:
+        raise ValueError("the size of a block must not be negative")
+    size = max(size, 1)
+    rows = reads.withColumn("__bin", F.floor(F.col("aln_id") / READS_AT_ONCE))
+    inside = Window.partitionBy("__bin").orderBy("aln_id")
+    flag = F.col("is_unaligned")
+    rows = rows.withColumn("__i", F.row_number().over(inside).cast("long") - 1).withColumn("__flip", F.coalesce(flag != F.lag(flag).over(inside), F.lit(False)))
+    bins = rows.groupBy("__bin").agg(
+        F.count("*").alias("n"), F.min_by(flag, "__i").alias("first"), F.max_by(flag, "__i").alias("last"), F.max(F.when(F.col("__flip"), F.col("__i"))).alias("flip"))
+    order = Window.orderBy("__bin")  # one row for each bin of reads
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    bins = bins.withColumn("__base", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    bins = bins.withColumn("__opens", F.coalesce(F.lag("last").over(order) != F.col("first"), F.lit(True)))
+    start = F.when(F.col("flip").isNotNull(), F.col("__base") + F.col("flip")).when(F.col("__opens"), F.col("__base"))
+    bins = bins.withColumn("__run", F.last(start, ignorenulls=True).over(before)).select("__bin", "__base", "__opens", "__run")
+    rows = rows.join(bins, "__bin")
+    number, opens = F.col("__base") + F.col("__i"), F.col("__flip") | ((F.col("__i") == 0) & F.col("__opens"))
+    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
+    run = F.coalesce(F.last(F.when(opens, number), ignorenulls=True).over(upto), F.col("__run"))
+    rows = rows.withColumn("__start", ((number - run) % size == 0).cast("long"))
+    starts = rows.groupBy("__bin").agg(F.sum("__start").alias("n"))
+    starts = starts.select("__bin", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__blocks"))
+    rows = rows.join(starts, "__bin").withColumn("block_id", (F.col("__blocks") + F.sum("__start").over(upto) - 1).cast("long"))
+    return rows.select(*[F.col(f"`{c}`") for c in reads.columns], "block_id")
 
 
 def block_summary(blocked: DataFrame) -> DataFrame:
@@ -40,11 +66,17 @@ def block_summary(blocked: DataFrame) -> DataFrame:
 
 
 def start_ranks(reads: DataFrame) -> DataFrame:
-    """(aln_id, start, rank): how many earlier reads start at the same handle; null for reads without a path."""
-    start = F.try_element_at("path", F.lit(1))
-    rows = reads.select("aln_id", start.alias("start"))
-    rank = (F.row_number().over(Window.partitionBy("start").orderBy("aln_id")) - 1).cast("long")
-    return rows.withColumn("rank", F.when(F.col("start").isNotNull(), rank))
+    """(aln_id, start, rank): how many earlier reads start at the same handle; null for reads without a path.
+
+    Ranks are counted bin by bin of ids, so a handle at which very many reads start is no single task's.
+    """
+    rows = reads.select("aln_id", F.try_element_at("path", F.lit(1)).alias("start"), F.floor(F.col("aln_id") / READS_AT_ONCE).alias("bin"))
+    some = rows.where("start is not null")
+    before = Window.partitionBy("start").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    counts = some.groupBy("start", "bin").agg(F.count("*").alias("n")).select("start", "bin", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    rank = F.row_number().over(Window.partitionBy("start", "bin").orderBy("aln_id")) - 1
+    ranked = some.withColumn("rank", rank).join(counts, ["start", "bin"]).select("aln_id", "start", (F.col("base") + F.col("rank")).cast("long").alias("rank"))
+    return ranked.unionByName(rows.where("start is null").select("aln_id", "start", F.lit(None).cast("long").alias("rank")))
 
 
 def blocks_meeting(block_rows: DataFrame, clusters: DataFrame) -> DataFrame:
@@ -142,10 +174,27 @@ def clip(reads: DataFrame, nodes: DataFrame, ids: DataFrame) -> DataFrame:
     return out.withColumn("fragment", F.when(~alone, F.col("number"))).drop("q0", "q1", "number", "total")
 
 
-def sort_lines(lines: DataFrame, by_hash: bool = False, stable: bool = True) -> DataFrame:
-    """Lines (line_no, value) in the order of their sort key, or of a hash; equal keys in the order of line_no."""
+def sort_lines(lines: DataFrame, by_hash: bool = False, stable: bool = True, partitions: int | None = None) -> DataFrame:
+    """Lines (line_no, value) in the order of their sort key, or of a hash; equal keys in the order of line_no if stable.
+
+    partitions: into how many sorted parts, about; by default as many as the session shuffles into.
+    """
+    if partitions is not None and partitions < 1:
+        raise ValueError("partitions must be greater than 0")
     key = F.xxhash64("value") if by_hash else gaf.sort_key(F.col("value"))
-    return lines.orderBy(key, *(["line_no"] if stable else []))
+    rows = lines.withColumn("__key", key)
+    order = ["__key", *(["line_no"] if stable else [])]
+    rows = rows.orderBy(*order) if partitions is None else rows.repartitionByRange(partitions, *order).sortWithinPartitions(*order)
+    return rows.drop("__key")
+
+
+def column_bytes(reads: DataFrame) -> DataFrame:
+    """One row: the bytes that names, quality strings, optional fields and pair names take, and the number of ops."""
+    size = lambda c: F.coalesce(F.sum(F.octet_length(c)), F.lit(0)).cast("long")
+    fields = F.aggregate("optional", F.lit(0), lambda a, x: a + F.octet_length(x["tag"]) + F.octet_length(x["type"]) + F.octet_length(x["value"]) + 2)
+    return reads.agg(
+        size("name").alias("name_bytes"), size("base_quality").alias("quality_bytes"), F.coalesce(F.sum(fields), F.lit(0)).cast("long").alias("optional_bytes"),
+        size("pair_name").alias("pair_name_bytes"), F.coalesce(F.sum(F.greatest(F.size("diff"), F.lit(0))), F.lit(0)).cast("long").alias("diff_ops"))
 
 
 def roundtrip(reads: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -157,8 +206,7 @@ def roundtrip(reads: DataFrame, nodes: DataFrame) -> DataFrame:
     return out.withColumn("diff", F.when(gaf.is_exact(), whole).otherwise(masked))
 
 
-def counters(reads: DataFrame, fragments: DataFrame, block_rows: DataFrame) -> DataFrame:
+def counters(selected: DataFrame, fragments: DataFrame, block_rows: DataFrame) -> DataFrame:
+    """One row: the reads of a set, the fragments that clipping made of them, and the blocks that were read for it."""
     n = lambda df, name: df.agg(F.count("*").alias(name))
-    both = n(reads, "reads").join(n(fragments, "fragments"), F.lit(True)).join(n(block_rows, "blocks"), F.lit(True))
-    return both
-
+    return n(selected, "reads").join(n(fragments, "fragments"), F.lit(True)).join(n(block_rows, "blocks"), F.lit(True))

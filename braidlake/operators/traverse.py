@@ -206,10 +206,11 @@ def discover_chains(near: Adjacency) -> list[tuple[int, int]]:
 
 
 def adjacency(graph: Graph, most: int = MAX_EDGES) -> Adjacency | None:
-    """Tier 1, or None if the graph has more edges than may come to the driver."""
-    rows = graph.edges.select("src", "dst").limit(most + 1).collect()
-    if len(rows) > most:
+    """Tier 1, or None if the graph has more edges, or nodes, than may come to the driver. Both are counted before they are fetched."""
+    count = lambda df: df.limit(most + 1).count()
+    if count(graph.edges.select("src")) > most or count(graph.nodes.select("node_id")) > most:
         return None
+    rows = graph.edges.select("src", "dst").collect()
     lengths = graph.nodes.select("node_id", "seq_len").collect()
     return Adjacency(map(tuple, rows), map(tuple, lengths), map(tuple, graph.chain_links.select("handle", "next").collect()))
 
@@ -255,18 +256,15 @@ def between_frontier(graph: Graph, ends: DataFrame, limit: int | None = None) ->
 
 
 def components_frontier(graph: Graph, nodes: DataFrame) -> DataFrame:
-    """(node_id, component): weak components of the subgraph on the nodes, by the least id, in rounds of label passing."""
+    """(node_id, component): weak components of the subgraph on the nodes, by the least id. Large and small stars take turns,
+    so the rounds grow with the logarithm of a component's size and not with its diameter."""
     ensure_checkpoint(graph.spark)
     pairs = graph.edges.select(node_of(F.col("src")).alias("node_id"), node_of(F.col("dst")).alias("other"))
     ids = nodes.select("node_id").distinct()
-    pairs = pairs.join(ids, "node_id", "left_semi").join(ids.withColumnRenamed("node_id", "other"), "other", "left_semi").distinct().checkpoint()
-    labels = ids.select("node_id", F.col("node_id").alias("component")).checkpoint()
-    while True:
-        heard = pairs.join(labels, "node_id").groupBy("other").agg(F.min("component").alias("heard")).withColumnRenamed("other", "node_id")
-        new = labels.join(heard, "node_id", "left").select("node_id", "component", F.least("component", "heard").alias("new")).checkpoint()
-        if new.where("new < component").isEmpty():
-            return labels
-        labels = new.select("node_id", F.col("new").alias("component"))
+    pairs = pairs.join(ids, "node_id", "left_semi").join(ids.withColumnRenamed("node_id", "other"), "other", "left_semi")
+    stars = _components(pairs.select(F.col("node_id").alias("a"), F.col("other").alias("b")))
+    label = stars.select(F.col("a").alias("node_id"), F.col("b").alias("component"))
+    return ids.join(label, "node_id", "left").select("node_id", F.coalesce("component", "node_id").alias("component"))
 
 
 def enclosing_frontier(graph: Graph, nodes: DataFrame) -> DataFrame:
@@ -315,6 +313,16 @@ def _stars(pairs: DataFrame, large: bool) -> DataFrame:
     return out.where("a <> b").distinct()
 
 
+def _components(pairs: DataFrame) -> DataFrame:
+    """(a, b): each id that is not the least of its component, and that least one."""
+    pairs, before = pairs.where("a <> b").distinct().checkpoint(), None
+    while True:
+        now = pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if now == before:
+            return pairs
+        before, pairs = now, _stars(_stars(pairs, True), False).checkpoint()
+
+
 def _chain(table):
     """Links of one component from its edges and two tips, in a task."""
     import pyarrow as pa
@@ -330,12 +338,7 @@ def discover_chains_frontier(graph: Graph) -> DataFrame:
     ensure_checkpoint(graph.spark)
     edges = graph.edges.where("src > 1 and dst > 1").select("src", "dst").distinct().checkpoint()
     a, b = node_of(F.col("src")), node_of(F.col("dst"))
-    pairs, before = edges.select(a.alias("a"), b.alias("b")).where("a <> b").distinct().checkpoint(), None
-    while True:
-        now = pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before, pairs = now, _stars(_stars(pairs, True), False).checkpoint()
+    pairs = _components(edges.select(a.alias("a"), b.alias("b")))
     label = pairs.select(F.col("a").alias("node_id"), F.col("b").alias("component"))
     own = edges.select(F.explode(F.array(a, b)).alias("node_id")).distinct()
     label = own.join(label, "node_id", "left").select("node_id", F.coalesce("component", "node_id").alias("component")).checkpoint()
@@ -346,6 +349,27 @@ def discover_chains_frontier(graph: Graph) -> DataFrame:
     return rows.groupBy("component").applyInArrow(_chain, "handle long, next long")
 
 
+def with_snarls(graph: Graph, nodes: DataFrame) -> DataFrame:
+    """Tier 2 of `with_snarls`: the nodes and those of the snarls that they cover."""
+    found = covered_snarls(graph, nodes).withColumn("query_id", F.monotonically_increasing_id())
+    return nodes.select("node_id").unionByName(between_frontier(graph, found).select("node_id")).distinct()
+
+
+def extended(graph: Graph, nodes: DataFrame) -> DataFrame:
+    """Tier 2 of `extended`: with covered snarls, and with the snarl around the nodes if none of them is a boundary."""
+    return enclosing_frontier(graph, with_snarls(graph, nodes))
+
+
+def add_node(nodes: DataFrame, node_id: int) -> DataFrame:
+    """A set of nodes with one more; it may be in already."""
+    one = nodes.sparkSession.createDataFrame([(node_id,)], "node_id long")
+    return nodes.select("node_id").unionByName(one).distinct()
+
+
+def remove_node(nodes: DataFrame, node_id: int) -> DataFrame:
+    return nodes.where(F.col("node_id") != node_id)
+
+
 def degrees(edges: DataFrame) -> DataFrame:
     """(handle, out_degree)."""
     return edges.groupBy(F.col("src").alias("handle")).agg(F.count("*").alias("out_degree"))
@@ -361,7 +385,8 @@ def snarl_entries(graph: Graph) -> DataFrame:
 
 
 def covered_snarls(graph: Graph, nodes: DataFrame, partial: bool = False) -> DataFrame:
-    """(start, end) of snarls of which the nodes hold the entry and a successor; partial: but not the other boundary."""
+    """(start, end) of snarls of which the nodes hold the entry and a successor; partial: but not the other boundary, and
+    only if the nodes are one weak component."""
     from braidlake.schema import edge_is_canonical, flip
 
     ids = nodes.select("node_id").distinct()
@@ -369,6 +394,8 @@ def covered_snarls(graph: Graph, nodes: DataFrame, partial: bool = False) -> Dat
     rows = snarl_entries(graph).join(inside, "handle", "left_semi").join(ids, node_of(F.col("handle")) == F.col("node_id"), "left_semi")
     if partial:
         rows = rows.join(ids, node_of(F.col("next")) == F.col("node_id"), "left_anti")
+        if components_frontier(graph, ids).select("component").distinct().limit(2).count() != 1:
+            rows = rows.where(F.lit(False))
     a, b = F.col("handle"), F.col("next")
     start = F.when(edge_is_canonical(a, b), a).otherwise(flip(b))
     end = F.when(edge_is_canonical(a, b), b).otherwise(flip(a))

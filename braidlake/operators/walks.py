@@ -38,8 +38,25 @@ def distinct_walks(all_walks: DataFrame) -> DataFrame:
     return all_walks.groupBy("walk").agg(F.count("*").alias("weight"), F.max("is_ref").alias("is_ref"), F.first("len").alias("len"))
 
 
+def edges_of_steps(steps: DataFrame) -> DataFrame:
+    """(src, dst): the edges that paths use, in both mirror forms. Steps meet the next of their path by its number."""
+    nxt = steps.select("path_handle", (F.col("step") - 1).alias("step"), F.col("handle").alias("dst"))
+    fw = steps.select("path_handle", "step", F.col("handle").alias("src")).join(nxt, ["path_handle", "step"]).select("src", "dst").distinct()
+    one = F.lit(1)
+    return fw.unionByName(fw.select(F.col("dst").bitwiseXOR(one).alias("src"), F.col("src").bitwiseXOR(one).alias("dst"))).distinct()
+
+
+def path_start(graph: Graph, path_handle: int) -> tuple[int, int]:
+    """The (handle, offset) at which a path starts; (0, 0) if it is empty."""
+    row = graph.steps.where(F.col("path_handle") == path_handle).agg(F.min_by("handle", "step").alias("handle")).first()
+    return (row.handle or 0, 0)
+
+
 def named(rows: DataFrame, sample: str | None, contig: str | None, haplotype: int | None, start: int | None, end: int | None) -> DataFrame:
-    """Names: the reference's own with its interval; others are `unknown`, numbered from 1 in the order of their walks."""
+    """Names: the reference's own with its interval; others are `unknown`, numbered from 1 in the order of their walks.
+
+    The walks of one subgraph are numbered in a task: no more than the haplotypes that pass through it.
+    """
     order = [c for c in ("walk", "path_handle", "first_step") if c in rows.columns]
     ref = F.col("is_ref")
     number = F.row_number().over(Window.partitionBy("is_ref").orderBy(*order))
@@ -63,23 +80,33 @@ def statistics(graph: Graph) -> DataFrame:
     return n.join(canonical_edges(graph.edges).agg(F.count("*").alias("edges")), F.lit(True)).select("nodes", "edges", "bases")
 
 
+#: Nodes, by their ids, whose lines make one digest of a graph's name.
+NAMED_AT_ONCE = 1 << 14
+
+
 def stable_name(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """A hash of the content, whatever order it is stored in: SHA-256 over the sorted lines of nodes and canonical edges."""
-    lines = nodes.select(F.concat_ws("\t", F.lit("S"), F.lpad(F.col("node_id").cast("string"), 20, "0"), "sequence").alias("line"))
+    """A hash of the content, whatever order it is stored in: SHA-256 over the digests of runs of node ids, each over the
+    sorted lines of its nodes and of the canonical edges that begin there."""
+    part = lambda node_id: F.floor(node_id / NAMED_AT_ONCE).alias("part")
+    lines = nodes.select(part(F.col("node_id")), F.concat_ws("\t", F.lit("S"), F.lpad(F.col("node_id").cast("string"), 20, "0"), "sequence").alias("line"))
     ends = [F.lpad(F.col(c).cast("string"), 20, "0") for c in ("src", "dst")]
-    lines = lines.unionByName(canonical_edges(edges).select(F.concat_ws("\t", F.lit("L"), *ends).alias("line")))
-    return lines.agg(F.sha2(F.array_join(F.sort_array(F.collect_list("line")), "\n"), 256).alias("name"))
+    lines = lines.unionByName(canonical_edges(edges).select(part(node_of(F.col("src"))), F.concat_ws("\t", F.lit("L"), *ends).alias("line")))
+    joined = lambda c: F.sha2(F.array_join(F.sort_array(F.collect_list(c)), "\n"), 256)
+    digests = lines.groupBy("part").agg(joined("line").alias("digest"))
+    numbered = F.concat(F.lpad(F.col("part").cast("string"), 20, "0"), F.lit(" "), F.col("digest"))
+    return digests.select(numbered.alias("line")).agg(joined("line").alias("name"))
 
 
 def _sign(h: Column) -> Column:
     return F.when(is_reverse(h) == 0, "+").otherwise("-")
 
 
-def gfa_lines(nodes: DataFrame, edges: DataFrame, named_walks: DataFrame | None, ref_sample: str | None = None) -> DataFrame:
-    """(section, k1, k2, line): the text of a subgraph, to be sorted by section, k1, k2."""
+def gfa_lines(nodes: DataFrame, edges: DataFrame, named_walks: DataFrame | None, ref_sample: str | None = None, header_lines: list[str] = ()) -> DataFrame:
+    """(section, k1, k2, line): the text of a subgraph, to be sorted by section, k1, k2. header_lines follow the first."""
     spark = nodes.sparkSession
     head = "H\tVN:Z:1.1" + (f"\tRS:Z:{ref_sample}" if ref_sample else "")
-    out = spark.range(1).select(F.lit(0).alias("section"), F.lit(0).cast("long").alias("k1"), F.lit(0).cast("long").alias("k2"), F.lit(head).alias("line"))
+    heads = F.array(*[F.lit(x) for x in (head, *header_lines)])
+    out = spark.range(1).select(F.lit(0).alias("section"), F.lit(0).cast("long").alias("k1"), F.posexplode(heads).alias("k2", "line")).withColumn("k2", F.col("k2").cast("long"))
     out = out.unionByName(nodes.select(F.lit(1).alias("section"), F.col("node_id").alias("k1"), F.lit(0).cast("long").alias("k2"), F.concat_ws("\t", F.lit("S"), F.col("node_id").cast("string"), "sequence").alias("line")))
     src, dst = F.col("src"), F.col("dst")
     line = F.concat_ws("\t", F.lit("L"), node_of(src).cast("string"), _sign(src), node_of(dst).cast("string"), _sign(dst), F.lit("0M"))

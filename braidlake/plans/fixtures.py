@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from braidlake.operators.locate import step_offsets
+from braidlake.operators.walks import edges_of_steps
 from braidlake.schema import Graph
 
 _CACHE: dict[tuple, Graph] = {}
@@ -85,10 +86,7 @@ def load(spark: SparkSession, sf_dir: str) -> Graph:
     nodes = raw.select(F.shiftright("handle", 1).alias("node_id")).distinct()
     sequence = F.substr(F.repeat(F.lit("ACGTTGCAAC"), 3), (1 + node_id % 10).cast("int"), (1 + node_id % 5).cast("int"))
     nodes = nodes.select("node_id", sequence.alias("sequence"), (1 + node_id % 5).alias("seq_len")).persist()
-    nxt = F.lead("handle").over(Window.partitionBy("path_handle").orderBy("step"))
-    fw = raw.select(F.col("handle").alias("src"), nxt.alias("dst")).where("dst is not null").distinct()
-    back = fw.select(F.col("dst").bitwiseXOR(F.lit(1)).alias("src"), F.col("src").bitwiseXOR(F.lit(1)).alias("dst"))
-    edges = fw.unionByName(back).distinct().persist()
+    edges = edges_of_steps(raw).persist()
     offsets = step_offsets(raw, nodes).persist()
     anchors = nodes.where("node_id % 3 = 1").select("node_id")
     pairs = anchors.join(anchors.select((F.col("node_id") - 3).alias("node_id")), "node_id").select((2 * node_id).alias("handle"), (2 * node_id + 6).alias("next"))

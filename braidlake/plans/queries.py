@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from braidlake.functions import cs, gaf, seq
 from braidlake.operators import cigar, locate, traverse, walks
 from braidlake.operators import reads as R
+from braidlake.operators._shared import ensure_checkpoint, numbered
 from braidlake.plans import fixtures
 from braidlake.plans.query import DISTINCT, REFERENCE, SubgraphQuery, run, slide
 from braidlake.schema import Graph, is_reverse, node_of, walk_text
@@ -197,9 +198,9 @@ def interval_to_nodes(g, spark, sf_dir):
     return locate.interval_to_steps(q, g.steps).select("query_id", "step", "handle")
 
 
-@query("SELECT MIN(node_id) AS cluster_min, MAX(node_id) AS cluster_max, COUNT(*) AS n FROM (SELECT node_id, SUM(CASE WHEN gap > 4 THEN 1 ELSE 0 END) OVER (ORDER BY node_id) AS c FROM (SELECT node_id, node_id - LAG(node_id) OVER (ORDER BY node_id) AS gap FROM nodes WHERE node_id % 7 <> 0 AND node_id % 11 < 6) x) y GROUP BY c")
+@query("SELECT MIN(node_id) AS cluster_min, MAX(node_id) AS cluster_max, COUNT(*) AS n FROM (SELECT node_id, SUM(CASE WHEN gap > 1 THEN 1 ELSE 0 END) OVER (ORDER BY node_id) AS c FROM (SELECT node_id, node_id - LAG(node_id) OVER (ORDER BY node_id) AS gap FROM nodes) x) y GROUP BY c")
 def node_id_clusters(g):
-    return locate.clusters(g.nodes.where("node_id % 7 <> 0 and node_id % 11 < 6"), gap=4)
+    return locate.clusters(g.nodes, gap=1)
 
 
 # --- traversals ----------------------------------------------------------------------------------------------------
@@ -285,7 +286,12 @@ def covered_snarls(g):
     return traverse.covered_snarls(g, region(g))
 
 
-@query(f", {ENTRIES}, {snarls_sql(f' AND NOT FLOOR(next/2) BETWEEN {LO} AND {HI}').replace(f'AND {HI}', f'AND {HI + 1}')} SELECT \"start\", \"end\" FROM sn")
+WITHIN = f"BETWEEN {LO} AND {HI + 1}"
+ONE_COMPONENT = f"""cc AS (SELECT node_id, node_id AS c FROM nodes WHERE node_id {WITHIN} UNION SELECT {NODE.format(h='e.dst')}, cc.c FROM cc JOIN edges e ON FLOOR(e.src/2) = cc.node_id WHERE FLOOR(e.dst/2) {WITHIN}),
+one AS (SELECT COUNT(*) AS n FROM (SELECT node_id, MIN(c) AS m FROM cc GROUP BY node_id) z WHERE m = node_id)"""
+
+
+@query(f", {ENTRIES}, {ONE_COMPONENT}, {snarls_sql(f' AND NOT FLOOR(next/2) BETWEEN {LO} AND {HI}').replace(f'AND {HI}', f'AND {HI + 1}')} SELECT \"start\", \"end\" FROM sn WHERE (SELECT n FROM one) = 1")
 def partial_snarls(g):
     return traverse.covered_snarls(g, g.nodes.where(F.col("node_id").between(LO, HI + 1)), partial=True)
 
@@ -302,18 +308,18 @@ def extract_snarls(g):
     return g.spark.createDataFrame([(n,) for n in sorted(nodes)], "node_id long")
 
 
-@query()
+@query("SELECT node_id FROM nodes WHERE node_id BETWEEN 22 AND 25")
 def enclosing_snarl(g):
+    """An allele between two anchors, and the snarl that they bound."""
     near = traverse.adjacency(g)
     if near is None:
         return traverse.enclosing_frontier(g, g.spark.createDataFrame([(23,)], "node_id long"))
     return g.spark.createDataFrame([(n,) for n in sorted(near.enclosing({23}))], "node_id long")
 
 
-@query(f""", cc AS (SELECT node_id, node_id AS c FROM nodes WHERE node_id % 5 <> 0 UNION SELECT {NODE.format(h='e.dst')}, cc.c FROM cc JOIN edges e ON FLOOR(e.src/2) = cc.node_id
- WHERE FLOOR(e.dst/2) % 5 <> 0) SELECT node_id, MIN(c) AS component FROM cc GROUP BY node_id""")
+@query(f""", cc AS (SELECT node_id, node_id AS c FROM nodes UNION SELECT {NODE.format(h='e.dst')}, cc.c FROM cc JOIN edges e ON FLOOR(e.src/2) = cc.node_id) SELECT node_id, MIN(c) AS component FROM cc GROUP BY node_id""")
 def weak_components(g):
-    return traverse.components_frontier(g, g.nodes.where("node_id % 5 <> 0").select("node_id"))
+    return traverse.components_frontier(g, g.nodes.select("node_id"))
 
 
 # --- haplotypes ----------------------------------------------------------------------------------------------------
@@ -396,9 +402,9 @@ def json_paths(g):
     return walks.json_paths(_named(g))
 
 
-@query("SELECT path_handle, string_agg(concat(CASE WHEN rev = 0 THEN '>' ELSE '<' END, CAST(node_id AS VARCHAR)), '' ORDER BY step) AS walk FROM steps WHERE path_handle % 10 = 0 GROUP BY path_handle")
+@query("SELECT path_handle, string_agg(concat(CASE WHEN rev = 0 THEN '>' ELSE '<' END, CAST(node_id AS VARCHAR)), '' ORDER BY step) AS walk FROM steps GROUP BY path_handle")
 def path_walk_text(g):
-    """The walk of every path. The SQL above has a tenth of them."""
+    """The walk of every path."""
     rows = g.steps.groupBy("path_handle").agg(F.sort_array(F.collect_list(F.struct("step", "handle")))["handle"].alias("w"))
     return rows.select("path_handle", walk_text(F.col("w")).alias("walk"))
 
@@ -411,7 +417,9 @@ def cigar_walks(g):
     return cigar.with_cigars(rows, ref, sequences).select(walk_text(F.col("walk")).alias("walk"), "weight", "cigar")
 
 
-@query(f"SELECT sha256(string_agg(line, chr(10) ORDER BY line)) AS name FROM (SELECT concat('S', chr(9), lpad(CAST(node_id AS VARCHAR), 20, '0'), chr(9), sequence) AS line FROM nodes UNION ALL SELECT concat('L', chr(9), lpad(CAST(src AS VARCHAR), 20, '0'), chr(9), lpad(CAST(dst AS VARCHAR), 20, '0')) FROM edges WHERE {CANONICAL}) x")
+@query(f"""SELECT sha256(string_agg(concat(lpad(CAST(part AS VARCHAR), 20, '0'), ' ', digest), chr(10) ORDER BY part)) AS name FROM (SELECT part, sha256(string_agg(line, chr(10) ORDER BY line)) AS digest FROM (
+ SELECT CAST(FLOOR(node_id / {walks.NAMED_AT_ONCE}) AS BIGINT) AS part, concat('S', chr(9), lpad(CAST(node_id AS VARCHAR), 20, '0'), chr(9), sequence) AS line FROM nodes UNION ALL
+ SELECT CAST(FLOOR(FLOOR(src/2) / {walks.NAMED_AT_ONCE}) AS BIGINT), concat('L', chr(9), lpad(CAST(src AS VARCHAR), 20, '0'), chr(9), lpad(CAST(dst AS VARCHAR), 20, '0')) FROM edges WHERE {CANONICAL}) x GROUP BY part) y""")
 def stable_name(g):
     return walks.stable_name(g.nodes, g.edges)
 
@@ -450,9 +458,9 @@ def gaf_path_steps(g, spark, sf_dir):
     return R.path_steps(_reads(spark, sf_dir))
 
 
-@query(f", {TOKENS} SELECT r.aln_id, greatest(r.path_len - r.path_end, 0) AS path_start, r.path_len - r.path_start AS path_end, coalesce(string_agg(CASE WHEN tok LIKE '<%' THEN concat('>', substr(tok, 2)) WHEN tok LIKE '>%' THEN concat('<', substr(tok, 2)) END, '' ORDER BY pos DESC), '') AS path FROM reads r LEFT JOIN tk USING (aln_id) WHERE r.cs IS NULL OR r.event_type = 'view' GROUP BY ALL")
+@query(f", {TOKENS} SELECT r.aln_id, greatest(r.path_len - r.path_end, 0) AS path_start, r.path_len - r.path_start AS path_end, coalesce(string_agg(CASE WHEN tok LIKE '<%' THEN concat('>', substr(tok, 2)) WHEN tok LIKE '>%' THEN concat('<', substr(tok, 2)) END, '' ORDER BY pos DESC), '') AS path FROM reads r LEFT JOIN tk USING (aln_id) GROUP BY ALL")
 def gaf_strand_flip(g, spark, sf_dir):
-    """Every line with strand `-`. The SQL above has those without a difference string or of one event type."""
+    """Every line with strand `-`."""
     lines = fixtures.lines(spark, sf_dir).withColumn("value", F.regexp_replace("value", "\t[+]\t", "\t-\t"))
     return gaf.parse_lines(lines).select("aln_id", "path_start", "path_end", walk_text(F.col("path")).alias("path"))
 
@@ -478,9 +486,9 @@ def cs_stats(g, spark, sf_dir):
     return rows.select("aln_id", cs.query_len(F.col("diff")).alias("query_len"), cs.target_len(F.col("diff")).alias("target_len"), cs.matches(F.col("diff")).alias("matches"), cs.edits(F.col("diff")).alias("edits"))
 
 
-@query(f", {OPS} SELECT aln_id, CAST(COUNT(*) AS BIGINT) AS ops, CAST(2*SUM(CASE WHEN op <> '*' THEN len ELSE 0 END) AS BIGINT) AS merged_len FROM op GROUP BY aln_id HAVING COUNT(*) = 1")
+@query(f", {OPS} SELECT aln_id, CAST(COUNT(*) AS BIGINT) AS ops, CAST(2*SUM(CASE WHEN op <> '*' THEN len ELSE 0 END) AS BIGINT) AS merged_len FROM op GROUP BY aln_id")
 def cs_normalize(g, spark, sf_dir):
-    """Every op but mismatches is written twice, matches with an empty one between, and merged to one again. The SQL above has reads of one op."""
+    """Every op but mismatches is written twice, matches with an empty one between, and merged to one again."""
     rows = fixtures.lines(spark, sf_dir).select("aln_id", F.regexp_extract("value", r"\tcs:Z:([^\t]*)", 1).alias("cs")).where("cs <> ''")
     twice = F.regexp_replace(F.regexp_replace("cs", r":(\d+)", ":$1:0:$1"), r"([+-][A-Za-z]+)", "$1$1")
     ops = cs.normalize(cs.parse(twice))
@@ -533,9 +541,18 @@ def block_summary(g, spark, sf_dir):
     return R.block_summary(_blocked(spark, sf_dir))
 
 
+@query(f""", {OPS} SELECT (SELECT CAST(SUM(length(name)) AS BIGINT) FROM reads) AS name_bytes, CAST(0 AS BIGINT) AS quality_bytes, (SELECT CAST(SUM(length(event_type) + 5) AS BIGINT) FROM reads) AS optional_bytes,
+(SELECT CAST(SUM(CASE WHEN aln_id % 4 = 0 THEN length(CAST(aln_id + 1 AS VARCHAR)) + 1 WHEN aln_id % 4 = 1 THEN length(CAST(aln_id - 1 AS VARCHAR)) + 1 ELSE 0 END) AS BIGINT) FROM reads) AS pair_name_bytes, (SELECT COUNT(*) FROM op WHERE len > 0) AS diff_ops""")
+def column_bytes(g, spark, sf_dir):
+    return R.column_bytes(_reads(spark, sf_dir))
+
+
 @query(f", {BLOCKS} SELECT aln_id, name FROM bl WHERE block_id >= 3 AND block_id < 7")
 def row_range_scan(g, spark, sf_dir):
-    return _blocked(spark, sf_dir).where("block_id >= 3 and block_id < 7").select("aln_id", "name")
+    """The rows of some blocks of a store."""
+    path = _store_folder(spark, "rows")
+    store.write_alignments(_reads(spark, sf_dir).drop("error"), path, store.AlignmentParams(block_size=50))
+    return store.open_alignments(spark, path).rows(3, 7).select("aln_id", "name")
 
 
 @query(f", {TOKENS} SELECT r.aln_id, t.h AS \"start\", CASE WHEN t.h IS NOT NULL THEN ROW_NUMBER() OVER (PARTITION BY t.h ORDER BY r.aln_id) - 1 END AS rank FROM reads r LEFT JOIN (SELECT aln_id, {HANDLE} AS h FROM tk WHERE pos = 0) t USING (aln_id)")
@@ -580,20 +597,31 @@ def read_mappings(g, spark, sf_dir):
     return rows.select("aln_id", F.col("op_no").cast("long").alias("op_no"), "pos", "handle", "node_start", "node_end", "query_start", "op", "len")
 
 
-@query(f""", {MAPPINGS}, m1 AS (SELECT *, FLOOR(handle/2) BETWEEN {LO} AND {HI} AS inside FROM mp), m2 AS (SELECT *, SUM(apart) OVER (PARTITION BY aln_id ORDER BY op_no, pos) AS run FROM (SELECT *, CASE WHEN inside = LAG(inside) OVER (PARTITION BY aln_id ORDER BY op_no, pos) THEN 0 ELSE 1 END AS apart FROM m1) z)
-SELECT aln_id, MIN(query_start) AS seq_start, CAST(MAX(query_start + CASE WHEN op = '-' THEN 0 ELSE len END) AS BIGINT) AS seq_end, string_agg(DISTINCT CAST(handle AS VARCHAR), ',' ORDER BY CAST(handle AS VARCHAR)) AS handles FROM m2 WHERE inside GROUP BY aln_id, run""")
+CLIPPED_RUNS = f"""m1 AS (SELECT *, FLOOR(handle/2) BETWEEN {LO} AND {HI} AS inside FROM mp), m2 AS (SELECT *, SUM(apart) OVER (PARTITION BY aln_id ORDER BY op_no, pos) AS run FROM (SELECT *, CASE WHEN inside = LAG(inside) OVER (PARTITION BY aln_id ORDER BY op_no, pos) THEN 0 ELSE 1 END AS apart FROM m1) z)"""
+
+
+@query(f""", {MAPPINGS}, {CLIPPED_RUNS},
+f1 AS (SELECT aln_id, run, MIN(query_start) AS seq_start, CAST(MAX(query_start + CASE WHEN op = '-' THEN 0 ELSE len END) AS BIGINT) AS seq_end, arg_min(node_start, op_no * 100000 + pos) AS path_start,
+ arg_max(node_end, op_no * 100000 + pos) AS last_end, arg_max(node_len, op_no * 100000 + pos) AS last_len FROM m2 WHERE inside GROUP BY aln_id, run),
+f2 AS (SELECT aln_id, run, string_agg(CAST(handle AS VARCHAR), ',' ORDER BY pos) AS path, CAST(SUM(node_len) AS BIGINT) AS path_len FROM (SELECT DISTINCT aln_id, run, pos, handle, node_len FROM m2 WHERE inside) a GROUP BY aln_id, run),
+d1 AS (SELECT *, SUM(new) OVER (PARTITION BY aln_id, run ORDER BY op_no, pos) AS g FROM (SELECT *, CASE WHEN op <> '*' AND op = LAG(op) OVER (PARTITION BY aln_id, run ORDER BY op_no, pos) THEN 0 ELSE 1 END AS new FROM m2 WHERE inside) b),
+d2 AS (SELECT aln_id, run, string_agg(concat(op, CAST(len AS VARCHAR)), '' ORDER BY g) AS diff FROM (SELECT aln_id, run, g, MIN(op) AS op, CAST(SUM(len) AS BIGINT) AS len FROM d1 GROUP BY aln_id, run, g) c WHERE len > 0 GROUP BY aln_id, run)
+SELECT aln_id, seq_start, seq_end, path, path_len, path_start, path_len - last_len + last_end AS path_end, diff,
+ CASE WHEN COUNT(*) OVER (PARTITION BY aln_id) > 1 OR seq_start > 0 OR seq_end < r.seq_len THEN ROW_NUMBER() OVER (PARTITION BY aln_id ORDER BY run) END AS fragment
+FROM f1 JOIN f2 USING (aln_id, run) JOIN d2 USING (aln_id, run) JOIN (SELECT aln_id, seq_len FROM reads) r USING (aln_id)""")
 def reads_clipped(g, spark, sf_dir):
     rows = R.clip(_reads(spark, sf_dir), g.nodes, region(g))
-    return rows.select("aln_id", "seq_start", "seq_end", F.array_join(F.sort_array(F.array_distinct(F.transform("path", lambda h: h.cast("string")))), ",").alias("handles"))
+    path = F.array_join(F.transform("path", lambda h: h.cast("string")), ",").alias("path")
+    diff = F.array_join(F.transform("diff", lambda d: F.concat(d["op"], d["len"].cast("string"))), "").alias("diff")
+    return rows.select("aln_id", "seq_start", "seq_end", path, "path_len", "path_start", "path_end", diff, "fragment")
 
 
 @query("SELECT aln_id, ROW_NUMBER() OVER (ORDER BY min_handle NULLS LAST, max_handle, aln_id) AS rank FROM reads")
 def gaf_sort_interval(g, spark, sf_dir):
-    from pyspark.sql import Window
-
+    """The place of each line in the sorted text."""
     lines = fixtures.lines(spark, sf_dir).withColumnRenamed("aln_id", "line_no")
-    rank = F.row_number().over(Window.orderBy(gaf.sort_key(F.col("value")), "line_no")).cast("long")
-    return lines.select(F.col("line_no").alias("aln_id"), rank.alias("rank"))
+    ranked = numbered(R.sort_lines(lines).select("line_no"), "rank")
+    return ranked.select(F.col("line_no").alias("aln_id"), (F.col("rank") + 1).alias("rank"))
 
 
 @query("SELECT COUNT(*) AS n, COUNT(DISTINCT line) AS lines FROM lines")
@@ -614,16 +642,19 @@ def alignment_store_roundtrip(g, spark, sf_dir):
     return rows.select("aln_id", "path_len", F.size("diff").cast("long").alias("ops"))
 
 
-@query(f"SELECT (SELECT COUNT(*) FROM reads) AS reads, (SELECT COUNT(*) FROM nodes WHERE node_id BETWEEN {LO} AND {HI}) AS fragments, (SELECT COUNT(*) FROM links) AS blocks")
+@query(f""", {MAPPINGS}, {BLOCKS}, {CLIPPED_RUNS} SELECT (SELECT COUNT(DISTINCT aln_id) FROM tk WHERE CAST(substr(tok, 2) AS BIGINT) BETWEEN {LO} AND {HI}) AS reads,
+(SELECT COUNT(DISTINCT (aln_id, run)) FROM m2 WHERE inside) AS fragments, (SELECT COUNT(*) FROM bs WHERE min_handle <= {2 * HI + 1} AND max_handle >= {2 * LO}) AS blocks""")
 def read_counters(g, spark, sf_dir):
-    return R.counters(fixtures.lines(spark, sf_dir), region(g), g.chain_links)
+    """Reads that overlap a region, the fragments of them inside it, and the blocks whose handle range meets it."""
+    ids = region(g)
+    found = R.select(_reads(spark, sf_dir), ids)
+    met = R.blocks_meeting(R.block_summary(_blocked(spark, sf_dir)), locate.clusters(ids, gap=1000))
+    return R.counters(found, R.clip(found, g.nodes, ids), met)
 
 
 def _store_folder(spark: SparkSession, name: str) -> str:
     import uuid
 
-    from braidlake.operators._shared import ensure_checkpoint
-
     ensure_checkpoint(spark)
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex[:12]}"
 
@@ -653,11 +684,15 @@ def alignment_store(g, spark, sf_dir):
     return count(opened.alignments, "alignments").unionByName(count(opened.blocks, "blocks")).unionByName(count(opened.nodes, "nodes"))
 
 
-@query()
+@query(f"SELECT handle, next FROM links WHERE FLOOR(handle/2) <= {HI} AND FLOOR(next/2) <= {HI}")
 def chain_discovery(g):
-    near = traverse.adjacency(g)
+    """The graph up to an anchor has two tips; the chain between them runs along the anchors."""
+    nodes = g.nodes.where(F.col("node_id") <= HI)
+    edges = g.edges.where((node_of(F.col("src")) <= HI) & (node_of(F.col("dst")) <= HI))
+    upto = Graph(nodes, edges, g.steps, g.paths, g.chain_links.limit(0), g.tags)
+    near = traverse.adjacency(upto)
     if near is None:
-        return traverse.discover_chains_frontier(g)
+        return traverse.discover_chains_frontier(upto)
     return g.spark.createDataFrame(traverse.discover_chains(near), "handle long, next long")
 
 

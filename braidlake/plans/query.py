@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from braidlake.operators import cigar, locate, reads, traverse, walks
 from braidlake.schema import Graph, node_of
+from braidlake.sources.names import GraphName, require_reference
+from braidlake.sources.store import AlignmentStore, graph_name
 
 ALL, DISTINCT, REFERENCE = "all", "distinct", "reference"
 GENERIC = "_gbwt_ref"
@@ -79,20 +81,43 @@ class Subgraph:
         sequences = {r.node_id: r.sequence for r in self.nodes.collect()}
         return replace(self, walks=cigar.with_cigars(self.walks, list(self.ref_walk), sequences))
 
-    def gfa(self) -> list[str]:
-        rows = walks.gfa_lines(self.nodes, self.edges, self.walks, self.sample)
+    def graph_name(self, parent: GraphName | None = None) -> GraphName:
+        """The stable name of the subgraph, as a subgraph of its parent."""
+        return GraphName(walks.stable_name(self.nodes, self.edges).first().name).subgraph_of(parent or GraphName())
+
+    def gfa(self, name: GraphName | None = None) -> list[str]:
+        """The text of the subgraph, with header lines for its name if given."""
+        rows = walks.gfa_lines(self.nodes, self.edges, self.walks, self.sample, name.gfa_headers() if name else ())
         return [r.line for r in rows.orderBy("section", "k1", "k2").collect()]
 
     def json(self) -> str:
         return walks.json_document(self.nodes, self.edges, self.walks)
 
-    def reads(self, alignments: DataFrame, how: str = reads.OVERLAPPING, graph: Graph | None = None) -> DataFrame:
-        """Reads of the subgraph: those that overlap it, their fragments inside, or those wholly contained."""
+    def reads(self, alignments: DataFrame | AlignmentStore, how: str = reads.OVERLAPPING, graph: Graph | None = None) -> DataFrame:
+        """Reads of the subgraph: those that overlap it, their fragments inside, or those wholly contained.
+
+        Of a store only the blocks are read whose handle range meets the subgraph, after its reference has been checked.
+        """
+        if isinstance(alignments, AlignmentStore):
+            if graph is not None:
+                require_reference(alignments.graph_name(), graph_name(graph))
+            alignments = alignments.meeting(locate.clusters(self.nodes)).drop("block_id")
         if how == reads.CLIPPED:
             return reads.clip(reads.select(alignments, self.nodes), (graph.nodes if graph else self.nodes), self.nodes)
         return reads.select(alignments, self.nodes, how)
 
 
+def node_records(store: AlignmentStore, sub: Subgraph | None = None, graph: Graph | None = None) -> DataFrame:
+    """(node_id, sequence) of the nodes that a store's reads visit: from its own table, else the subgraph, else the graph."""
+    own = store.nodes
+    rows = own.select("node_id", F.col("sequence") if "sequence" in own.columns else F.lit(None).cast("string").alias("sequence"))
+    for other in (sub, graph):
+        if other is not None:
+            more = other.nodes.select("node_id", F.col("sequence").alias("more"))
+            rows = rows.join(more, "node_id", "left").select("node_id", F.coalesce("sequence", "more").alias("sequence"))
+    return rows
+
+
 def locate_path(graph: Graph, query: SubgraphQuery):
     """The (path_handle, path_offset, fragment) of a query's start."""
     q = graph.spark.createDataFrame([(0, query.sample, query.contig, query.haplotype, query.start)], "query_id long, sample string, contig string, haplotype long, offset long")
@@ -141,13 +166,14 @@ def run(graph: Graph, query: SubgraphQuery) -> Subgraph:
                 raise KeyError(f"The graph does not contain handle {2 * n}")
         seeds = [(n, side, 0) for n in query.nodes for side in (0, 1)]
     if near is None:
-        if query.snarls or query.extend_snarls:
-            raise ValueError("snarls need a graph whose edges fit the driver")
         if query.kind == "between":
             ids = traverse.between_frontier(graph, spark.createDataFrame([(0, *query.handles)], "query_id long, start long, end long"), query.limit)
         else:
             ids = traverse.context_frontier(graph, spark.createDataFrame([(0, *s) for s in seeds], "query_id long, node_id long, side int, dist long"), query.context)
-        ids = ids.select("node_id")
+        ids = ids.select("node_id").distinct()
+        if query.kind != "between":
+            ids = traverse.extended(graph, ids) if query.extend_snarls else traverse.with_snarls(graph, ids) if query.snarls else ids
+        ids = ids.checkpoint()
     else:
         if query.kind == "between":
             found = near.between(*query.handles, limit=query.limit)

@@ -13,6 +13,7 @@ from braidlake.functions import gaf
 from braidlake.operators import reads as reads_ops
 from braidlake.operators.locate import reference_index
 from braidlake.schema import VERSION, Graph, encode, node_of
+from braidlake.sources.names import NAME, SUBGRAPHS, GraphName, require_reference
 
 GRAPH_TABLES = ("nodes", "edges", "steps", "paths", "chain_links", "tags")
 GRAPH_VERSION, READS_VERSION = f"graph {VERSION}", f"alignments {VERSION}"
@@ -58,13 +59,14 @@ def oriented_nodes(graph: Graph) -> DataFrame:
     return rows.select(encode(F.col("node_id"), F.col("rev")).alias("handle"), oriented(F.col("sequence"), F.col("rev")).alias("sequence"))
 
 
-def write_graph(graph: Graph, path: str, interval: int = 1000) -> None:
-    """Fails if the folder exists. Paths need names; the reference index covers indexed paths."""
+def write_graph(graph: Graph, path: str, interval: int = 1000, name: GraphName | None = None) -> None:
+    """Fails if the folder exists. Paths need names; the reference index covers indexed paths. name goes into the tags."""
     bad = graph.paths.where("sample is null or contig is null or sample = '' or contig = ''")
     if not bad.isEmpty():
         raise ValueError("every path needs a sample and a contig")
     spark = graph.spark
-    tags = graph.tags.unionByName(header_counts(graph)).unionByName(spark.createDataFrame([("version", GRAPH_VERSION)], "key string, value string"))
+    own = [("version", GRAPH_VERSION), *(name or GraphName()).tags().items()]
+    tags = graph.tags.unionByName(header_counts(graph)).unionByName(spark.createDataFrame(own, "key string, value string"))
     for name in GRAPH_TABLES[:-1]:
         df = getattr(graph, name)
         df = df.repartitionByRange("path_handle").sortWithinPartitions("path_handle", "step") if name == "steps" else df
@@ -88,7 +90,21 @@ def open_graph(spark: SparkSession, path: str) -> Graph:
     return Graph(*[spark.read.parquet(f"{path}/{t}") for t in GRAPH_TABLES])
 
 
-def stored_version(path: str) -> str | None:
+def graph_name(graph: Graph) -> GraphName:
+    """The graph's name by its tags, empty if they have none or cannot be read."""
+    return GraphName.from_tags({r.key: r.value for r in graph.tags.where(F.col("key").isin(NAME, SUBGRAPHS)).collect()})
+
+
+def has_chain_links(graph: Graph) -> bool:
+    return not graph.chain_links.isEmpty()
+
+
+def stored_version(path: str, spark: SparkSession | None = None) -> str | None:
+    if spark is not None:
+        hpath = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/tags")
+        if not hpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hpath):
+            return None
+        return tag(spark.read.parquet(f"{path}/tags"), "version")
     if not os.path.isdir(f"{path}/tags"):
         return None
     import pyarrow.parquet as pq
@@ -107,11 +123,19 @@ def tags_with_prefix(tags: DataFrame, prefix: str) -> DataFrame:
     return tags.where(F.col("key").startswith(prefix)).select(F.substring("key", len(prefix) + 1, 1 << 20).alias("key"), "value")
 
 
-def write_alignments(reads: DataFrame, path: str, params: AlignmentParams | None = None, graph: Graph | None = None, tags: dict | None = None) -> None:
-    """Reads in blocks, sorted by handle range within a block's place, with the nodes they visit."""
-    params = params or AlignmentParams()
+def write_alignments(
+    reads: DataFrame, path: str, params: AlignmentParams | None = None, graph: Graph | None = None, tags: dict | None = None, name: GraphName | None = None
+) -> None:
+    """Reads in blocks, in their order, with the nodes they visit. name is that of the graph they are aligned to.
+
+    A reference-free store needs a graph, which has to fit that name, and takes the bases of the visited nodes from it;
+    otherwise a graph is not used.
+    """
+    params, name = params or AlignmentParams(), name or GraphName()
     if params.reference_free and graph is None:
         raise ValueError("a reference-free store needs a graph")
+    if params.reference_free:
+        require_reference(name, graph_name(graph))
     reads = reads_ops.blocks(reads.withColumn("is_unaligned", gaf.is_unaligned()), params.block_size).drop("is_unaligned")
     if not params.quality_strings:
         reads = reads.withColumn("base_quality", F.lit(""))
@@ -125,7 +149,7 @@ def write_alignments(reads: DataFrame, path: str, params: AlignmentParams | None
     if params.reference_free:
         visited = visited.join(graph.nodes, "node_id", "left")
     visited.write.parquet(f"{path}/nodes")
-    counts = {"version": READS_VERSION, "alignments": str(stored.count()), "nodes": str(spark.read.parquet(f"{path}/nodes").count()), "bidirectional_gbwt": "0", "params": params.to_json(), **(tags or {})}
+    counts = {"version": READS_VERSION, "alignments": str(stored.count()), "nodes": str(spark.read.parquet(f"{path}/nodes").count()), "bidirectional_gbwt": "0", "params": params.to_json(), **name.tags(), **(tags or {})}
     spark.createDataFrame(sorted(counts.items()), "key string, value string").coalesce(1).write.parquet(f"{path}/tags")
 
 
@@ -136,6 +160,45 @@ class AlignmentStore:
     nodes: DataFrame
     tags: dict
     params: AlignmentParams
+    path: str = ""
+
+    @property
+    def version(self) -> str:
+        return self.tags["version"]
+
+    @property
+    def n_alignments(self) -> int:
+        return int(self.tags["alignments"])
+
+    @property
+    def n_nodes(self) -> int:
+        return int(self.tags["nodes"])
+
+    @property
+    def bidirectional(self) -> bool:
+        return self.tags["bidirectional_gbwt"] == "1"
+
+    def n_blocks(self) -> int:
+        return self.blocks.count()
+
+    def size(self) -> int:
+        """Bytes on disk."""
+        spark = self.alignments.sparkSession
+        hpath = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        return hpath.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(hpath).getLength()
+
+    def graph_name(self) -> GraphName:
+        """The name of the graph that the reads are aligned to; tags that cannot be read are an error."""
+        return GraphName.from_tags(self.tags, strict=True)
+
+    def meeting(self, clusters: DataFrame, most: int = 10_000) -> DataFrame:
+        """The reads of the blocks whose handle range meets a cluster of nodes. Up to `most` blocks are read by their ids,
+        which prunes files and row groups, as reads are stored in the order of blocks; more are joined."""
+        blocks = reads_ops.blocks_meeting(self.blocks, clusters).select("block_id")
+        ids = [r.block_id for r in blocks.limit(most + 1).collect()]
+        if len(ids) > most:
+            return self.alignments.join(blocks, "block_id", "left_semi")
+        return self.alignments.where(F.col("block_id").isin(ids))
 
     def rows(self, first: int, last: int) -> DataFrame:
         """The reads of blocks first <= block_id < last."""
@@ -147,14 +210,4 @@ def open_alignments(spark: SparkSession, path: str) -> AlignmentStore:
     if tags.get("bidirectional_gbwt") not in ("0", "1"):
         raise ValueError("bidirectional_gbwt must be 0 or 1")
     tables = [spark.read.parquet(f"{path}/{t}") for t in ("alignments", "blocks", "nodes")]
-    return AlignmentStore(*tables, tags, AlignmentParams.from_json(tags["params"]))
-
-
-def check_compatible(name: str | None, reference: str | None, subgraph_of: dict[str, str] | None = None) -> None:
-    """Fails if both names are known and the one does not lead to the other through subgraph relations."""
-    seen, at = set(), name
-    while at and reference and at != reference:
-        seen.add(at)
-        at = (subgraph_of or {}).get(at)
-        if at is None or at in seen:
-            raise ValueError(f"{name} is not a subgraph of {reference}")
+    return AlignmentStore(*tables, tags, AlignmentParams.from_json(tags["params"]), path)

@@ -2,23 +2,92 @@
 
 from __future__ import annotations
 
+import gzip
+import io
+import itertools
 import os
+import sys
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from braidlake.functions import gaf
+from braidlake.operators._shared import ensure_checkpoint
 from braidlake.schema import Graph, encode
 
 GZIP = b"\x1f\x8b"
 
 
+def _file_system(spark: SparkSession, path: str):
+    """Hadoop's path and file system, so that any store that Spark reads can be asked."""
+    hpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hpath, hpath.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def file_head(spark: SparkSession, path: str, n: int = 64) -> bytes:
+    hpath, fs = _file_system(spark, path)
+    stream = fs.open(hpath)
+    try:
+        return bytes(stream.readNBytes(n))
+    finally:
+        stream.close()
+
+
+def _files(spark: SparkSession, path: str) -> list[str]:
+    """The files of a path, folder or pattern that Spark would read as text."""
+    hpath, fs = _file_system(spark, path)
+    found, out = fs.globStatus(hpath) or [], []
+    for status in found:
+        inside = fs.listStatus(status.getPath()) if status.isDirectory() else [status]
+        out += [str(x.getPath().toString()) for x in inside if x.isFile() and not x.getPath().getName().startswith(("_", "."))]
+    return sorted(out)
+
+
+def _from_stdin(spark: SparkSession) -> str:
+    """Spools standard input to the shared folder."""
+    ensure_checkpoint(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/stdin-{uuid.uuid4().hex[:12]}"
+    hpath, fs = _file_system(spark, path)
+    out = fs.create(hpath)
+    for block in iter(lambda: sys.stdin.buffer.read(1 << 20), b""):
+        out.write(block)
+    out.close()
+    return path
+
+
+def _unzipped(spark: SparkSession, files: list[str]) -> DataFrame:
+    """Lines of gzip files whatever they are called, each in one task, as such a file can only be read from its start."""
+    import pyarrow as pa
+
+    def lines(batches):
+        for b in batches:
+            for path, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                with gzip.open(io.BytesIO(content.as_buffer()), "rt", encoding="utf-8", newline="\n") as f:
+                    while chunk := [x.rstrip("\r\n") for x in itertools.islice(f, 10_000)]:
+                        n = len(chunk)
+                        yield pa.RecordBatch.from_arrays([pa.array(chunk), pa.array([path] * n), pa.array([0] * n, pa.int64())], ["value", "f", "b"])
+
+    whole = spark.read.format("binaryFile").load(files).select("path", "content")
+    return whole.mapInArrow(lines, "value string, f string, b long").withColumn("m", F.monotonically_increasing_id())
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """(line_no, value): lines numbered from 0 in file order, files in the order of their names.
 
-    Lines get their place in their file's split first, then splits are added up, so no sort of all lines is needed.
+    `-` is standard input. Gzip is known by its first bytes, whatever the file's name. Lines get their place in their file's
+    split first, then splits are added up, so no sort of all lines is needed.
     """
-    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("m"))
+    path = _from_stdin(spark) if path == "-" else path
+    files = _files(spark, path)
+    zipped = [f for f in files if not f.endswith(".gz") and file_head(spark, f, 2) == GZIP]
+    plain = [f for f in files if f not in zipped] or ([] if zipped else [path])
+    raw = None
+    if plain:
+        raw = spark.read.text(plain).select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("m"))
+    if zipped:
+        more = _unzipped(spark, zipped)
+        raw = raw.unionByName(more) if raw is not None else more
     counts = raw.groupBy("f", "b").agg(F.count("*").alias("n"), F.min("m").alias("m0"))
     before = Window.orderBy("f", "b").rowsBetween(Window.unboundedPreceding, -1)  # one row for each split
     counts = counts.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0)))
@@ -68,7 +137,9 @@ def read_gfa(spark: SparkSession, path: str) -> Graph:
     w = lines.where(get(0) == "W").select("line_no", get(1).alias("sample"), get(3).alias("contig"), get(2).try_cast("long").alias("haplotype"), F.coalesce(get(4).try_cast("long"), F.lit(0)).alias("fragment"), gaf.parse_path(get(6)).alias("walk"))
     signs = F.transform(F.split(get(2), ","), lambda s: F.rtrim(F.regexp_replace(s, "[+-]$", "")).try_cast("long") * 2 + F.when(s.endswith("-"), 1).otherwise(0))
     p = lines.where(get(0) == "P").select("line_no", F.lit("_gbwt_ref").alias("sample"), get(1).alias("contig"), F.lit(0).cast("long").alias("haplotype"), F.lit(0).cast("long").alias("fragment"), signs.alias("walk"))
-    both = w.unionByName(p).withColumn("path_handle", F.row_number().over(Window.orderBy("line_no")).cast("long") - 1)
+    both = w.unionByName(p)
+    numbers = both.select("line_no").withColumn("path_handle", F.row_number().over(Window.orderBy("line_no")).cast("long") - 1)  # one number a path, without its walk
+    both = both.join(numbers, "line_no")
     steps = both.select("path_handle", F.posexplode("walk").alias("step", "handle")).withColumn("step", F.col("step").cast("long"))
     from braidlake.operators.locate import step_offsets
 
@@ -80,18 +151,27 @@ def read_gfa(spark: SparkSession, path: str) -> Graph:
     return Graph(nodes, edges, offsets, paths, empty, tags)
 
 
-def identify_source(path: str) -> str:
-    """missing, not a file, gfa, gaf, gzip, store:<version> or unknown."""
-    local = path.removeprefix("file://")
-    if not os.path.exists(local):
-        return "missing"
-    if os.path.isdir(local):
-        from braidlake.sources.store import stored_version
+def identify_source(path: str, spark: SparkSession | None = None) -> str:
+    """missing, not a file, gfa, gaf, gzip, store:<version> or unknown. With a session, for any path that Spark reads."""
+    from braidlake.sources.store import stored_version
 
-        version = stored_version(local)
+    if spark is None:
+        local = path.removeprefix("file://")
+        exists, folder = os.path.exists(local), os.path.isdir(local)
+    else:
+        hpath, fs = _file_system(spark, path)
+        exists = fs.exists(hpath)
+        folder = exists and fs.getFileStatus(hpath).isDirectory()
+    if not exists:
+        return "missing"
+    if folder:
+        version = stored_version(path if spark else local, spark)
         return f"store:{version}" if version else "not a file"
-    with open(local, "rb") as f:
-        head = f.read(64)
+    if spark is None:
+        with open(local, "rb") as f:
+            head = f.read(64)
+    else:
+        head = file_head(spark, path)
     if head[:2] == GZIP:
         return "gzip"
     if head[:2] in (b"H\t", b"S\t"):

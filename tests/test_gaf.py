@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from braidlake.functions import cs, gaf, seq
 from braidlake.operators import cigar, locate
+from braidlake.operators._shared import numbered
 from braidlake.operators import reads as R
 from braidlake.sources import store, text
+from braidlake.sources.names import GraphName, require_reference
 
 T = "\t"
 GOOD = [
@@ -167,7 +169,7 @@ def test_mappings_and_clipping(spark):
         assert sorted(clipped.get(i, [])) == sorted((*e, not alone) for e in expected), i
 
 
-def test_selection_blocks_and_ranks(spark):
+def test_selection_blocks_and_ranks(spark, monkeypatch):
     reads = random_reads(9, 40)
     df, nodes = as_frame(spark, reads)
     ids = spark.createDataFrame([(1,), (3,)], "node_id long")
@@ -183,6 +185,15 @@ def test_selection_blocks_and_ranks(spark):
         size += 1
     assert got == want
     assert [r.block_id for r in R.blocks(flags, 0).orderBy("aln_id").collect()] == list(range(40))
+    with pytest.raises(ValueError):
+        R.blocks(flags, -1)
+    starts = {i: p[0] for i, p, *_ in reads}
+    ranks = [(i, h, sum(starts[j] == h for j in range(i))) for i, h in starts.items()]
+    empty = df.limit(1).withColumn("aln_id", F.lit(99).cast("long")).withColumn("path", F.array().cast("array<bigint>"))
+    for at_once in (1 << 16, 7):  # also with counts carried over bins
+        monkeypatch.setattr(R, "READS_AT_ONCE", at_once)
+        assert [r.block_id for r in R.blocks(flags, 4).orderBy("aln_id").collect()] == want
+        assert sorted(map(tuple, R.start_ranks(df.unionByName(empty)).collect())) == sorted([*ranks, (99, None, None)])
 
 
 def test_store_and_export(spark, tmp_path):
@@ -196,7 +207,10 @@ def test_store_and_export(spark, tmp_path):
     store.write_alignments(reads, path, store.AlignmentParams(block_size=2))
     opened = store.open_alignments(spark, path)
     assert opened.params.block_size == 2 and opened.tags["alignments"] == str(len(GOOD)) and opened.blocks.count() == opened.alignments.select("block_id").distinct().count()
-    assert opened.rows(0, 1).count() <= 2
+    assert opened.rows(0, 1).count() <= 2 and opened.n_alignments == len(GOOD) and opened.n_blocks() == opened.blocks.count() and opened.size() > 0 and not opened.bidirectional
+    assert opened.graph_name() == GraphName() and R.column_bytes(opened.alignments).first().name_bytes == sum(len(x.split(T)[0]) for x in GOOD)
+    near = opened.meeting(spark.createDataFrame([(15, 15)], "cluster_min long, cluster_max long"))
+    assert {r.name for r in near.collect()} >= {"forward", "reverse", "fallback"} and near.count() < len(GOOD)
     back = opened.alignments.where("name in ('reverse', 'no_mapq', 'missing')").select("name", gaf.to_line().alias("line"))
     assert {r.name: r.line for r in back.collect()}["no_mapq"] == GOOD[2]
     with pytest.raises(ValueError):
@@ -211,7 +225,29 @@ def test_store_and_export(spark, tmp_path):
 def test_sorting(spark):
     lines = spark.createDataFrame([(i, "\t".join(["r", "1", "0", "1", "+", p])) for i, p in enumerate([">5<10>15", "*", ">1>2>3", ">1>2>3", "bad"])], "line_no long, value string")
     assert [r.line_no for r in R.sort_lines(lines).collect()] == [2, 3, 0, 1, 4]
-    assert sorted(r.line_no for r in R.sort_lines(lines, by_hash=True).collect()) == [0, 1, 2, 3, 4]
+    hashed = R.sort_lines(lines, by_hash=True).select(F.xxhash64("value").alias("h"), "line_no").collect()
+    assert hashed == sorted(hashed, key=lambda r: (r.h, r.line_no)) and sorted(r.line_no for r in hashed) == [0, 1, 2, 3, 4]
+    assert [r.line_no for r in R.sort_lines(lines, partitions=2).collect()] == [2, 3, 0, 1, 4]
+    assert [(r.line_no, r.at) for r in sorted(numbered(R.sort_lines(lines), "at").collect(), key=lambda r: r.at)] == [(2, 0), (3, 1), (0, 2), (1, 3), (4, 4)]
+    with pytest.raises(ValueError):
+        R.sort_lines(lines, partitions=0)
+
+
+def test_lines_are_split_once(spark):
+    """However a line is made, no filter or column of a parsed record computes it again."""
+    made = spark.range(5).select(F.col("id").alias("aln_id"), F.concat_ws("\t", *[F.concat(F.lit("x"), F.col("id").cast("string"))] * 12).alias("value"))
+    plan = gaf.parse_lines(made).where("error is null").select("name", "path", "matches")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1 and len(plan) < 40_000
+
+
+def test_gzip_is_known_by_its_bytes(spark, tmp_path):
+    import gzip
+
+    (tmp_path / "a.gaf").write_bytes(gzip.compress("\n".join(GOOD[:2]).encode() + b"\n") + gzip.compress(GOOD[2].encode()))
+    (tmp_path / "b.gaf").write_text(GOOD[3] + "\n")
+    got = text.read_lines(spark, str(tmp_path)).orderBy("line_no").collect()
+    assert [tuple(r) for r in got] == list(enumerate(GOOD[:4]))
+    assert text.identify_source(f"{tmp_path}/a.gaf", spark) == "gzip" and text.identify_source(f"{tmp_path}/b.gaf", spark) == "gaf" and text.identify_source(f"{tmp_path}/c", spark) == "missing"
 
 
 def test_streaming_ingest(spark, tmp_path):
@@ -244,10 +280,21 @@ def test_small_functions():
     for bad in (lambda: seq.parse_interval("9..3"), lambda: seq.parse_oriented("x+"), lambda: seq.parse_between("34")):
         with pytest.raises(ValueError):
             bad()
-    store.check_compatible("a", None)
-    store.check_compatible("a", "b", {"a": "c", "c": "b"})
+
+
+def test_graph_names():
+    a, b = GraphName("a"), GraphName("b")
+    require_reference(a, GraphName())
+    require_reference(GraphName(), b)
+    require_reference(GraphName("a", (("a", "c"),)), GraphName("b", (("c", "b"),)))
     with pytest.raises(ValueError):
-        store.check_compatible("a", "b", {"b": "a"})
+        require_reference(a, GraphName("b", (("b", "a"),)))
+    both = a.subgraph_of(GraphName("b", (("b", "c"),)))
+    assert both == GraphName("a", (("b", "c"), ("a", "b"))) and a.subgraph_of(a) == a
+    assert GraphName.from_tags(both.tags()) == both and GraphName.from_headers(both.gaf_headers()) == both and GraphName.from_headers(["H\tVN:Z:1.1", *both.gfa_headers()]) == both
+    assert GraphName.from_tags({"graph_name": "a", "graph_subgraphs": "x"}) == GraphName()
+    with pytest.raises(ValueError):
+        GraphName.from_tags({"graph_subgraphs": "x"}, strict=True)
 
 
 def test_clusters(spark):
@@ -262,3 +309,34 @@ def test_clusters(spark):
     want.append(run)
     got = locate.clusters(spark.createDataFrame([(i,) for i in ids + ids[:5]], "node_id long"), 500).collect()
     assert sorted(map(tuple, got)) == [(r[0], r[-1], len(r)) for r in want]
+
+
+def test_as_of_and_offsets_over_bins(spark, monkeypatch):
+    rng = random.Random(6)
+    facts = sorted({(k, rng.randint(0, 300)) for k in (1, 2, None) for _ in range(12)}, key=str)
+    queries = [(i, rng.choice([1, 2, 3, None]), rng.randint(-5, 320)) for i in range(80)]
+    want = {i: max((f for q, f in facts if q == k and f <= at), default=None) for i, k, at in queries}
+    steps = [(p, s, 2 * rng.randint(1, 5)) for p in (1, 2) for s in range(40)]
+    nodes = spark.createDataFrame([(n, s, len(s)) for n, s in NODES.items()], "node_id long, sequence string, seq_len long")
+    offsets, at = {}, {1: 0, 2: 0}
+    for p, s, h in steps:
+        offsets[p, s] = (at[p], at[p] + len(NODES[h >> 1]))
+        at[p] = offsets[p, s][1]
+    index = []
+    for p in (1, 2):
+        last = None
+        for s in range(40):
+            if last is None or offsets[p, s][0] >= last + 9:
+                last = offsets[p, s][0]
+                index.append((p, last, s))
+    f, q = spark.createDataFrame(facts, "k long, v long"), spark.createDataFrame(queries, "i long, k long, at long")
+    for width in (1 << 20, 40):
+        monkeypatch.setattr(locate, "OFFSETS_AT_ONCE", width)
+        monkeypatch.setattr(locate, "STEPS_AT_ONCE", width)
+        assert {r.i: r.v for r in locate.as_of(q, f, ["k"], "at", "v", ["v"]).collect()} == want
+        got = locate.step_offsets(spark.createDataFrame(steps, "path_handle long, step long, handle long"), nodes).cache()
+        assert {(r.path_handle, r.step): (r.step_start, r.step_end) for r in got.collect()} == offsets
+        paths = spark.createDataFrame([(1, True), (2, True), (3, True)], "path_handle long, is_indexed boolean")
+        assert sorted((r.path_handle, r.path_offset, r.step) for r in locate.reference_index(got, paths, 9).collect()) == index
+    with pytest.raises(ValueError):
+        locate.indexed_paths(spark.createDataFrame([(1, False, 3)], "path_handle long, is_indexed boolean, path_len long"))

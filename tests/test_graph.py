@@ -1,4 +1,7 @@
-"""The 12-node graph: node sets, walks, snarls and text that are known for it."""
+"""The 12-node graph: node sets, walks, snarls and text that are known for it.
+
+Its sequences, walks, links and the text and node sets expected of queries on it are fixed values.
+"""
 
 import pytest
 from pyspark.sql import functions as F
@@ -74,8 +77,10 @@ def test_snarls_in_both_tiers(spark, graph):
         assert near.snarls(set(nodes)) == want, nodes
         df = spark.createDataFrame([(n,) for n in nodes], "node_id long")
         assert sorted(map(tuple, traverse.covered_snarls(graph, df).collect())) == want, nodes
-    for nodes, want in PARTIAL:
+    for nodes, want in [*PARTIAL, ([11, 12, 21], [])]:  # the last in two components
         assert near.snarls(set(nodes), partial=True) == want, nodes
+        df = spark.createDataFrame([(n,) for n in nodes], "node_id long")
+        assert sorted(map(tuple, traverse.covered_snarls(graph, df, partial=True).collect())) == want, nodes
 
 
 def test_tiers_agree(spark, graph):
@@ -113,9 +118,13 @@ def test_snarls_and_chains_beyond_the_first_tier(spark, graph, monkeypatch):
     for nodes in ({12}, {25}, {12, 16}):
         df = spark.createDataFrame([(n,) for n in nodes], "node_id long")
         assert rows(traverse.enclosing_frontier(graph, df)) == [(n,) for n in sorted(near.enclosing(nodes))], nodes
-    want = rows(queries.enclosing_snarl(graph)), rows(queries.chain_discovery(graph))
+    want = rows(queries.enclosing_snarl(graph)), rows(traverse.discover_chains_frontier(graph))
+    extended = [(q, n, p) for q, n, p in QUERIES if q.snarls or q.extend_snarls][::2]
     monkeypatch.setattr(traverse, "adjacency", lambda graph: None)
-    assert (rows(queries.enclosing_snarl(graph)), rows(queries.chain_discovery(graph))) == want and all(want)
+    for query, nodes, paths in extended:
+        sub = run(graph, query)
+        assert ids(sub) == nodes and sub.walks.count() == paths
+    assert rows(queries.enclosing_snarl(graph)) == want[0] and [p for p in want[1] if p[0] >> 1 < 20] == [(22, 28), (28, 34), (29, 23), (35, 29)]
 
 
 def test_command_line(spark, tmp_path, capsys):
@@ -142,6 +151,15 @@ def test_command_line(spark, tmp_path, capsys):
         main(["query", at("graph")])
 
 
+def test_sets_edges_and_starts(spark, graph):
+    one = spark.createDataFrame([(11,)], "node_id long")
+    nodes = lambda df: sorted(r.node_id for r in df.collect())
+    assert nodes(traverse.add_node(traverse.add_node(one, 12), 12)) == [11, 12] and nodes(traverse.remove_node(one, 11)) == nodes(traverse.remove_node(one.where("false"), 5)) == []
+    assert sorted(map(tuple, walks.edges_of_steps(graph.steps).collect())) == sorted(map(tuple, graph.edges.collect()))
+    assert walks.path_start(graph, 1) == (42, 0) and walks.path_start(graph, 77) == (0, 0)
+    assert [r.path_handle for r in locate.path_named(graph.paths, "sample", "A", 2).collect()] == [3] and locate.indexed_paths(graph.paths).count() == 2
+
+
 def test_errors(graph):
     for bad in (off("A", 5), off("C", 0), SubgraphQuery.path_interval("A", 2, 9), SubgraphQuery.path_interval("A", 2, 2)):
         with pytest.raises(ValueError):
