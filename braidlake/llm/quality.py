@@ -5,11 +5,14 @@ counted: one over a trusted target (labelled good, not toxic), one over the whol
 mean over its n-grams of log p_target - log p_raw, its own n-gram left out of both counts; a document is kept if no base rule fails and its score reaches a fixed
 threshold, so every document is judged alike, whatever else is in the corpus run.
 
-The bucket weights are one row of fixed length. All trusted ids count, so they are joined, not forced into a broadcast;
-counts are over all n-grams of all documents, trusted or raw, added up per task before they are shuffled.
+The bucket weights are one row of fixed length. All trusted ids count, whatever their number: texts meet them once, in a
+merge join, to be counted, and counts are over all n-grams of all documents, trusted or raw, added up per task before they
+are shuffled. Texts are then scored where they lie, as a trusted document and as another, and only the figures meet the
+trusted ids to say which holds.
 
 Defined results: a null or empty text has no words and fails; without trusted documents all weights are 0 and only the
-base rules decide; rows that repeat are judged each; a null doc_id is never trusted; other columns are ignored.
+base rules decide; rows that repeat are judged each; a null doc_id is never trusted; very long texts are one row's arrays;
+an empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -66,16 +69,15 @@ def buckets(words: Column) -> Column:
     return F.transform(grams, lambda g: F.pmod(g, F.lit(BUCKETS)).cast("int"))
 
 
-def with_words(docs: DataFrame, trusted: DataFrame) -> DataFrame:
+def with_words(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
-    marked = docs.select("doc_id", "text").join(trusted.select("doc_id", F.lit(True).alias("trusted")), "doc_id", "left")
-    return marked.select("doc_id", F.coalesce("trusted", F.lit(False)).alias("trusted"), text.alias("text"), F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("words"))
+    return docs.select("doc_id", text.alias("text"), F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("words"))
 
 
 def weights(docs: DataFrame, trusted: DataFrame, ws: Workspace) -> DataFrame:
     """One row: the log ratio of every bucket, for other and for trusted documents. trusted: distinct doc_ids."""
     spark = docs.sparkSession
-    marked = docs.join(trusted.select("doc_id", F.lit(1).alias("good")), "doc_id", "left")
+    marked = docs.hint("merge").join(trusted.select("doc_id", F.lit(1).alias("good")), "doc_id", "left")
     text = F.coalesce("text", F.lit(""))
     grams = marked.select("good", F.explode(buckets(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)))).alias("b"))
     counts = grams.groupBy("b").agg(F.count("*").alias("raw"), F.count("good").alias("target"))
@@ -95,10 +97,10 @@ def weights(docs: DataFrame, trusted: DataFrame, ws: Workspace) -> DataFrame:
 
 
 def base_rules(docs: DataFrame) -> DataFrame:
-    """Adds the base columns to (doc_id, text, words)."""
+    """The base columns of (doc_id, text, words)."""
     n = F.size("words").cast("long")
     docs = docs.select(
-        "doc_id", "trusted", "words", n.alias("n_words"), F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
+        "doc_id", "words", n.alias("n_words"), F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         F.length(F.regexp_replace("text", r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
         repeated_lines(F.col("text")).alias("n_dup_lines"), repeated_words(F.col("words")).alias("n_repeat_words"),
     )
@@ -107,12 +109,13 @@ def base_rules(docs: DataFrame) -> DataFrame:
 
 
 def scored(docs: DataFrame, weights_row: DataFrame) -> DataFrame:
-    """Adds the length-normalised log-likelihood ratio to rows with words. The weights are a subquery's one value, read once."""
-    total = lambda w: F.aggregate(buckets(F.col("words")), F.lit(0.0), lambda a, b: a + F.get(w, b))
+    """Replaces words by the length-normalised log-likelihood ratios of a document that is not trusted and of one that is.
+    The weights are a subquery's one value, read once."""
+    total = lambda b, w: F.aggregate(b, F.lit(0.0), lambda a, x: a + F.get(w, x))
     grams = F.greatest(F.lit(1), 2 * F.size("words") - 1)
     docs = docs.select("*", *[weights_row.select(w).scalar().alias(f"__{w}__") for w in ("w", "w_trusted")])
-    score = F.when(F.col("trusted"), let(F.col("__w_trusted__"), total)).otherwise(let(F.col("__w__"), total))
-    return docs.withColumn("score", score / grams).drop("__w__", "__w_trusted__")
+    both = let(buckets(F.col("words")), lambda b: F.array(total(b, F.col("__w__")), total(b, F.col("__w_trusted__"))))
+    return docs.withColumn("__scores__", F.transform(both, lambda x: x / grams)).drop("__w__", "__w_trusted__", "words")
 
 
 def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -121,6 +124,8 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> D
     with Workspace(docs.sparkSession, "quality") as ws:
         trusted = ws.table(good, "trusted", keep=True)
         table = weights(docs.select("doc_id", "text"), trusted, ws)
-    judged = scored(base_rules(with_words(docs, trusted)), table)
+    judged = scored(base_rules(with_words(docs)), table)
+    judged = judged.hint("merge").join(trusted.withColumn("__trusted__", F.lit(1)), "doc_id", "left")
+    judged = judged.withColumn("score", F.get("__scores__", F.coalesce("__trusted__", F.lit(0))))
     kept = ~F.col("base_failed") & (F.col("score") >= threshold)
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", kept.alias("kept"))
