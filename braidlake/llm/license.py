@@ -1,14 +1,16 @@
 """License scans by diagonal voting: word n-grams of texts are joined with places in license templates.
 
 Every run of three words of every text is hashed and joined with the templates' runs (a fixed table, broadcast). A match at
-word p of the text and q of the template votes for the diagonal p - q. Votes are added up by diagonal; for long templates
-diagonals a few words apart are one span, for words put in or left out. A span is verified by the part of the template's
-runs that it matched: all of them for phrases, most of them for paragraphs.
+word p of the text and q of the template votes for the diagonal p - q. Votes are added up by diagonal, as bits of the places
+q; for long templates diagonals a few words apart are one span, for words put in or left out. A span is verified by the part
+of the template's runs that it holds, each counted once however often it occurs: all of them for phrases, most of them for
+paragraphs.
 
 Words are in lower case (A-Z) and consist of ASCII letters and digits and of all characters beyond ASCII.
 
-Defined results: a null or empty text has no words and no labels (an empty string); rows that repeat are scanned each; an
-empty table gives no rows; other columns are ignored.
+Defined results: a null or empty text has no words and no labels (an empty string); rows that repeat, and rows of a null
+doc_id, are scanned each; very long texts are hashed one at a time; an empty table gives no rows; other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ from pyspark.sql import functions as F
 from braidlake.llm.words import ALNUM, byte_chunks, shingles, word_hashes
 
 RUN = 3
+#: Places of a template that one column of votes holds as bits.
+BITS = 62
 #: Diagonals of a long template that are this near each other are one span, and the part of it that must match.
 NEAR, COVERED, LONG = 4, 0.6, 16
 
@@ -91,16 +95,19 @@ def scan(docs: DataFrame) -> DataFrame:
     facts = spark.createDataFrame(facts, "template int, label string, base boolean, size long, runs long, near long, least double")
     rows = grams(docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text"))
     votes = rows.join(F.broadcast(table), "h", "left").where("template is not null or pos < 0")
+    masks = [f"places{k}" for k in range(-(-max(sizes) // BITS))]
+    bit = lambda k: F.when(F.floor(F.col("place") / BITS) == k, F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("place") % BITS).cast("int"))).otherwise(F.lit(0))
     votes = votes.groupBy("uid", "template", (F.col("pos") - F.col("place")).alias("diagonal")).agg(
-        F.count("*").alias("votes"), F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.min("pos").alias("first"))
+        *[F.bit_or(bit(k)).alias(m) for k, m in enumerate(masks)], F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.min("pos").alias("first"))
     votes = votes.join(F.broadcast(facts), "template", "left")
     of = Window.partitionBy("uid", "template").orderBy("diagonal")
     apart = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(of) > F.col("near"), F.lit(True))
     spans = votes.withColumn("span", F.sum(apart.cast("int")).over(of))
     spans = spans.groupBy("uid", "template", "span").agg(
-        F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.sum("votes").alias("votes"), F.min("diagonal").alias("start"),
+        F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), *[F.bit_or(m).alias(m) for m in masks], F.min("diagonal").alias("start"),
         *[F.first(c).alias(c) for c in ("label", "base", "size", "runs", "least")])
-    spans = spans.withColumn("covered", F.least(F.lit(1.0), F.col("votes") / F.col("runs")))
+    places = sum((F.bit_count(m) for m in masks), F.lit(0))
+    spans = spans.withColumn("covered", F.when(F.col("template").isNotNull(), places / F.col("runs")))
     found = F.coalesce(F.col("covered") >= F.col("least"), F.lit(False))
     base = found & F.col("base")
     start = F.greatest("start", F.lit(0))
