@@ -165,8 +165,13 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | N
 
 
 def sequences(docs: DataFrame, packed: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None, end_id: int = 0) -> DataFrame:
-    """The packed sequences themselves: sequence_id, ids, and lengths of the pieces in order. doc_ids must be distinct."""
-    ids = cut(docs, capacity, tokenizer, end_id, with_ids=True).select("doc_id", "piece", "ids")
-    rows = packed.join(ids, (packed.doc_id.eqNullSafe(ids.doc_id)) & (packed.piece == ids.piece)).select("sequence_id", "offset", "length", "ids")
+    """The packed sequences themselves: sequence_id, ids, and lengths of the pieces in order. Rows that repeat a doc_id, as
+    mixing makes them, are told apart by their pieces' places and checksums."""
+    name = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    ids = cut(docs, capacity, tokenizer, end_id, with_ids=True).dropDuplicates(name).withColumnsRenamed({c: f"_{c}" for c in name})
+    same = packed.doc_id.eqNullSafe(ids._doc_id)
+    for c in name[1:]:
+        same = same & (packed[c] == ids[f"_{c}"])
+    rows = packed.join(ids, same).select("sequence_id", "offset", "length", "ids")
     parts = F.array_sort(F.collect_list(F.struct("offset", "length", "ids")))
     return rows.groupBy("sequence_id").agg(parts.alias("p")).select("sequence_id", F.flatten("p.ids").alias("ids"), F.col("p.length").alias("lengths"))
