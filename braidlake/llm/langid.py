@@ -5,11 +5,13 @@ the sum over all ways to cut the word into pieces, found by a forward pass; a te
 distributions are trained by expectation maximisation over words of labelled documents. Counts come back per language and
 piece, so what reaches the driver is bounded by the vocabulary times the languages, and so is what is broadcast.
 
-A word is a run of letters, in lower case; runs over 24 letters are scored in parts of 24, so that nothing underflows.
+A word is a run of letters, in lower case; runs over 24 letters are scored in parts of 24, so that nothing underflows. Words
+that a task has not met are scored together, all words of a length at once.
 
 Defined results: `und` and score 0 for a text that is null or has no letter, and for all texts when nothing was learned;
-equal scores go to the language first in order; rows that repeat are scored each; other columns pass
-through unread, but for columns named lang_pred and score, which the results replace.
+equal scores go to the language first in order; rows that repeat are scored each; very long texts are scored in parts; an
+empty table gives no rows; other columns pass through unread, but for columns named lang_pred and score, which the results
+replace.
 """
 
 from __future__ import annotations
@@ -29,7 +31,8 @@ from braidlake.llm._common import share_of, slices
 #: Training reads about so many documents of each language, taken by the hash of their id.
 SAMPLE_DOCUMENTS = 1_000
 ROUNDS, PSEUDO, FLOOR = 2, 200.0, 1e-9
-LONGEST, MEMORY = 24, 250_000
+#: Letters of a word that are summed over at once, words that a task remembers, and words that it looks up together.
+LONGEST, MEMORY, AT_ONCE = 24, 120_000, 50_000
 UNDETERMINED = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
 _TRIES: dict[str, dict] = {}
@@ -152,29 +155,116 @@ def train(docs: DataFrame, vocabulary: str | None = None, sample: int = SAMPLE_D
     return Model(vocabulary, languages, table)
 
 
+class Pieces:
+    """The trie as a hash table of all prefixes of pieces: a 64-bit hash of code points -> the piece's number, NONE if it is
+    no piece itself. Slots are probed one after another, for whole arrays of hashes."""
+
+    BITS, BASE, SPREAD, NONE = 20, 0x9E3779B97F4A7C15, 0xD1342543DE82EF95, -2
+
+    def __init__(self, root: dict):
+        self.longest, todo, hashes, pieces = 0, [(root, 0, 0)], [], []
+        while todo:
+            node, h, depth = todo.pop()
+            self.longest = max(self.longest, depth)
+            for ch, child in node.items():
+                if ch != 0:
+                    below = (h * self.BASE + ord(ch) + 1) & (1 << 64) - 1
+                    hashes.append(below)
+                    pieces.append(child.get(0, self.NONE))
+                    todo.append((child, below, depth + 1))
+        bits = max(self.BITS, len(hashes).bit_length() + 2)
+        self.shift, self.keys, self.values = np.uint64(64 - bits), np.zeros((1 << bits) + len(hashes), np.uint64), np.zeros((1 << bits) + len(hashes), np.int32)
+        for h, at, piece in zip(hashes, self._slots(np.array(hashes, np.uint64)).tolist(), pieces, strict=True):
+            while self.keys[at]:
+                at += 1
+            self.keys[at], self.values[at] = h, piece
+
+    def _slots(self, h: np.ndarray) -> np.ndarray:
+        return (h * np.uint64(self.SPREAD) >> self.shift).astype(np.int64)
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each hash is that of a prefix, and its piece."""
+        at = self._slots(h)
+        key = self.keys[at]
+        there = key == h
+        left = np.flatnonzero(~there & (key != 0))
+        while len(left):
+            at[left] += 1
+            key = self.keys[at[left]]
+            there[left] = key == h[left]
+            left = left[(key != 0) & (key != h[left])]
+        return there, self.values[at]
+
+
+def forward_all(pieces: Pieces, found: list[str], table: np.ndarray) -> np.ndarray:
+    """What `forward` gives at the end of words, all of one length, for each language: one step takes the pieces of a start
+    and a length in all words."""
+    m, n = len(found), len(found[0]) + 1
+    points = np.frombuffer("".join("▁" + w for w in found).encode("utf-32-le"), np.uint32).reshape(m, n).T.astype(np.uint64) + np.uint64(1)
+    alpha = np.zeros((n + 1, m, table.shape[1]))
+    alpha[0] = 1.0
+    for i in range(n):
+        rows, h = np.arange(m), np.zeros(m, np.uint64)
+        for j in range(i, min(n, i + pieces.longest)):
+            h = h * np.uint64(Pieces.BASE) + points[j, rows]
+            there, piece = pieces.find(h)
+            if j == i:  # a letter that is no piece is one outside the vocabulary
+                alpha[i + 1] += alpha[i] * table[np.where(there & (piece >= 0), piece, -1)]
+            else:
+                use = there & (piece >= 0)
+                alpha[j + 1, rows[use]] += alpha[i, rows[use]] * table[piece[use]]
+            rows, h = rows[there], h[there]
+            if not len(rows):
+                break
+    return alpha[n]
+
+
 class Scorer(dict):
-    """word -> row of a table of log probabilities; starts afresh when it holds MEMORY words."""
+    """word -> row of a table of log probabilities; starts afresh when it would hold more than MEMORY words."""
 
     def __init__(self, model: Model):
         super().__init__()
-        self.root, self.rows, self.width = trie(model.vocabulary), model.table.tolist(), len(model.languages)
-        self.logs = np.zeros((MEMORY, self.width))
-
-    def __missing__(self, word: str) -> int:
-        n = len(self)
-        self.logs[n] = [math.log(max(p, 1e-300)) for p in forward(arcs(self.root, word), len(word) + 1, self.rows, self.width)[-1]]
-        self[word] = n
-        return n
-
-    def score(self, text: str) -> np.ndarray | None:
-        """Log probability of the text under each language; None without letters."""
-        found, total = words(text), np.zeros(self.width)
-        for i in range(0, len(found), 50_000):
-            part = found[i : i + 50_000]
-            if len(self) + len(part) > MEMORY:
-                self.clear()
-            total += self.logs[np.fromiter(map(self.__getitem__, part), np.int64, len(part))].sum(axis=0)
-        return total if found else None
+        self.pieces, self.table = Pieces(trie(model.vocabulary)), model.table
+        _TRIES.clear()  # a worker that scores needs the table only
+        self.logs = np.zeros((MEMORY, len(model.languages)))
+
+    def _learn(self, parts: list[list[str]]) -> None:
+        new = set().union(*parts).difference(self)
+        if len(self) + len(new) > MEMORY:
+            self.clear()
+            new = set().union(*parts)
+        by: dict[int, list[str]] = defaultdict(list)
+        for word in new:
+            by[len(word)].append(word)
+        for same in by.values():
+            for k in range(0, len(same), 8_192):
+                some, n = same[k : k + 8_192], len(self)
+                self.logs[n : n + len(some)] = np.log(np.maximum(forward_all(self.pieces, some, self.table), 1e-300))
+                self.update(zip(some, range(n, n + len(some)), strict=True))
+
+    def scores(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Log probabilities of texts under each language, and the number of words of each."""
+        total, sizes = np.zeros((len(texts), self.logs.shape[1])), np.zeros(len(texts), np.int64)
+        held: list[tuple[int, list[str]]] = []
+
+        def settle():
+            self._learn([p for _, p in held])
+            for k, part in held:
+                total[k] += self.logs[np.fromiter(map(self.__getitem__, part), np.int64, len(part))].sum(axis=0)
+            held.clear()
+
+        n = 0
+        for k, text in enumerate(texts):
+            found = words(text) if text else []
+            sizes[k] = len(found)
+            for i in range(0, len(found), AT_ONCE):
+                held.append((k, found[i : i + AT_ONCE]))
+                n += len(held[-1][1])
+                if n >= AT_ONCE:
+                    settle()
+                    n = 0
+        settle()
+        return total, sizes
 
 
 _SCORERS: dict[str, Scorer] = {}
@@ -192,16 +282,13 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             _SCORERS.clear()
             scorer = _SCORERS[key] = Scorer(shared.value)
         for b in slices(batches, 512):
-            langs, scores = [], []
-            for text in b.column(at).to_pylist():
-                logs = scorer.score(text) if scorer is not None and text else None
-                if logs is None:
-                    langs.append(UNDETERMINED)
-                    scores.append(0.0)
-                else:
-                    best = int(logs.argmax())
-                    langs.append(shared.value.languages[best])
-                    scores.append(float(1.0 / np.exp(np.clip(logs - logs[best], -700, 0)).sum()))
+            langs, scores = [UNDETERMINED] * b.num_rows, np.zeros(b.num_rows)
+            if scorer is not None:
+                logs, sizes = scorer.scores(b.column(at).to_pylist())
+                best = logs.argmax(axis=1)
+                logs = np.clip(logs - logs.max(axis=1, keepdims=True), -700, 0)
+                scores = np.where(sizes > 0, 1.0 / np.exp(logs).sum(axis=1), 0.0)
+                langs = [shared.value.languages[k] if n else UNDETERMINED for k, n in zip(best.tolist(), sizes.tolist(), strict=True)]
             own = pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], schema=schema)
             yield pa.RecordBatch.from_arrays([*b.columns, *own.columns], [*b.schema.names, "lang_pred", "score"])
 

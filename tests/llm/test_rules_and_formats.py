@@ -2,6 +2,7 @@ import hashlib
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -142,6 +143,26 @@ def test_forward_sums_all_segmentations():
     for word in ["a", "ab", "abab", "aabba", "axb", "ü"]:
         got = langid.forward(langid.arcs(root, word), len(word) + 1, [[p] for p in table], 1)[-1][0]
         assert got == pytest.approx(segmentations("▁" + word, table, vocabulary))
+        all_ = langid.forward_all(langid.Pieces(root), [word, word[::-1]], np.array(table)[:, None])
+        assert all_[:, 0].tolist() == pytest.approx([got, segmentations("▁" + word[::-1], table, vocabulary)])
+
+
+def test_scores_of_many_texts(monkeypatch):
+    """Words scored together, and forgotten again, are scored as one by one."""
+    vocabulary = langid.default_vocabulary()
+    root, rng = langid.trie(vocabulary), np.random.default_rng(4)
+    table = np.vstack([rng.random((root[0], 3)) ** 4 / root[0], np.full(3, langid.FLOOR)])
+    texts = [None, "", "12 .", "a Ab üb " + "x" * 60, *(" ".join(f"w{'abcdefg'[i % 7]}{'hijklmnopq'[k % 10] * (k % 5)}" for k in range(i)) for i in range(40))]
+    for memory, at_once in ((120_000, 50_000), (60, 10)):
+        monkeypatch.setattr(langid, "MEMORY", memory)
+        monkeypatch.setattr(langid, "AT_ONCE", at_once)
+        scorer = langid.Scorer(langid.Model(vocabulary, ["a", "b", "c"], table))
+        logs, sizes = scorer.scores(texts)
+        rows = table.tolist()
+        for text, got, n in zip(texts, logs, sizes, strict=True):
+            found = langid.words(text or "")
+            want = sum((np.log(langid.forward(langid.arcs(root, w), len(w) + 1, rows, 3)[-1]) for w in found), np.zeros(3))
+            assert n == len(found) and got == pytest.approx(want)
 
 
 def test_language(spark, docs, empty):
