@@ -9,7 +9,7 @@ keys; of what shares a key, pairs whose dense sketches allow a link are verified
 
 Sets that are equal are one class from the start. Of the classes that share a key, each is first compared with the one
 that shares most keys with others (a star, not all pairs); what that links is contracted, and only classes of different
-components that still share a key are compared further. In the last round all of these meet, key by key in blocks of a
+components that still share a key are compared further, in another star and then with each other. In that last round all of these meet, key by key in blocks of a
 bounded size, as dense parity sketches of about four bits a shingle: a pair whose Hamming distance is over what a link
 allows is left there, and only the others become rows. No pair over the threshold can be missed: its members are in one
 component already, or they meet.
@@ -177,11 +177,10 @@ def _tokens(texts: DataFrame, k: int) -> DataFrame:
     return texts.select("id", "text").mapInArrow(rows, "id long, n long, sketch binary, tokens binary")
 
 
-def _near(ids, component, n, side, sketches: list[bytes], percent: int, within: bool) -> list[np.ndarray]:
+def _near(ids, component, n, side, sketches: list[bytes], percent: int, within: bool):
     """Pairs of different components whose sketches allow a link: all pairs, or those of a row of each side."""
     words = min(map(len, sketches)) // 8
     grid = np.stack([folded(np.frombuffer(s, np.uint64), words) for s in sketches])
-    out = []
     first = np.arange(len(ids)) if within else np.flatnonzero(side == 0)
     for i in first.tolist():
         others = np.arange(i + 1, len(ids)) if within else np.flatnonzero(side == 1)
@@ -192,8 +191,7 @@ def _near(ids, component, n, side, sketches: list[bytes], percent: int, within:
             apart = np.bitwise_count(grid[others] ^ grid[i]).sum(axis=1, dtype=np.int64)
             others = others[apart * (100 + percent) <= total * (100 - percent)]
             if len(others):
-                out.append(np.stack([np.full(len(others), ids[i]), ids[others]]))
-    return out
+                yield np.stack([np.full(len(others), ids[i]), ids[others]])
 
 
 def _meetings(members: DataFrame, sets: DataFrame, percent: int, ws: Workspace) -> DataFrame:
@@ -207,14 +205,24 @@ def _meetings(members: DataFrame, sets: DataFrame, percent: int, ws: Workspace)
     def compared(table: pa.Table):
         key, i, j, own, ids, component, n = (table.column(c).to_numpy() for c in ("key", "i", "j", "own", "id", "component", "n"))
         edges = np.flatnonzero((np.diff(key) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1
-        sketch, out = table.column("sketch").to_pylist(), []
+        sketch, out, pairs = table.column("sketch").to_pylist(), [], 0
+
+        def made():
+            pairs = np.unique(np.sort(np.concatenate(out, axis=1), axis=0), axis=1)
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+
         for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(key)], strict=True):
             if b - a > 1:
                 part = slice(a, b)
-                out += _near(ids[part], component[part], n[part], (own[part] == j[part]).astype(int), sketch[part], percent, i[a] == j[a])
-        pairs = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
-        pairs = np.unique(np.sort(pairs, axis=0), axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+                for found in _near(ids[part], component[part], n[part], (own[part] == j[part]).astype(int), sketch[part], percent, i[a] == j[a]):
+                    out.append(found)
+                    pairs += found.shape[1]
+                    if pairs >= 100_000:
+                        yield made()
+                        pairs = 0
+        if out:
+            yield made()
 
     def meet(batches):
         held, n = [], 0
@@ -227,10 +235,10 @@ def _meetings(members: DataFrame, sets: DataFrame, percent: int, ws: Workspace)
                     last = [table.column(c).to_numpy() for c in ("key", "i", "j")]
                     whole = int(np.argmax((last[0] == last[0][-1]) & (last[1] == last[1][-1]) & (last[2] == last[2][-1])))
                     if whole:
-                        yield compared(table.slice(0, whole))
+                        yield from compared(table.slice(0, whole))
                     held, n = table.slice(whole).to_batches(), n - whole
         if n:
-            yield compared(pa.Table.from_batches(held))
+            yield from compared(pa.Table.from_batches(held))
 
     group = ["key", "i", "j"]
     return rows.repartition(*group).sortWithinPartitions(*group).mapInArrow(meet, "a long, b long").distinct()
@@ -272,9 +280,11 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.hint("merge").join(a, "a").hint("merge").join(b, "b").select("a", "b", "ta", "tb").mapInArrow(linked, "a long, b long")
 
 
-def _stars(members: DataFrame) -> DataFrame:
-    """Pairs of each key's members (key, id, w, component) with the one of most shared keys, of another component."""
-    centre = members.groupBy("key").agg(F.max(F.struct("w", "id", "component")).alias("m"))
+def _stars(members: DataFrame, round_: int) -> DataFrame:
+    """Pairs of each key's members (key, id, w, component) with one of another component: first with the one of most shared
+    keys, in later rounds with the first in an order of that round."""
+    first = F.col("w") if round_ == 0 else F.xxhash64("id", F.lit(round_))
+    centre = members.groupBy("key").agg(F.max(F.struct(first.alias("o"), "id", "component")).alias("m"))
     pairs = members.select("key", "id", "component").hint("merge").join(centre.select("key", F.col("m.id").alias("centre"), F.col("m.component").alias("own")), "key")
     return pairs.where("component <> own").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
 
@@ -301,7 +311,7 @@ def link_classes(docs: DataFrame, k: int, percent: int, ws: Workspace) -> tuple[
     tested = edges = spark.createDataFrame([], "a long, b long")
     groups = spark.createDataFrame([], "id long, component long")
     for round_ in range(STAR_ROUNDS + 1):
-        pairs = _stars(members) if round_ < STAR_ROUNDS else _meetings(members, sets, percent, ws)
+        pairs = _stars(members, round_) if round_ < STAR_ROUNDS else _meetings(members, sets, percent, ws)
         pairs = ws.table(pairs.hint("merge").join(tested, ["a", "b"], "left_anti"), "pairs")
         tested = tested.unionByName(pairs)
         near = ws.table(_allowed(pairs, sets, percent), "near") if round_ < STAR_ROUNDS else pairs

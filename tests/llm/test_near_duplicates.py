@@ -63,6 +63,18 @@ def test_jaccard_components_equal_all_pairs(spark, rows, k, percent):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == Counter((r[0], len(s), c) for r, s, c in zip(every, sets, want, strict=True))
 
 
+def test_jaccard_of_null_and_repeated_ids(spark):
+    """A null doc_id that has near copies, one doc_id on two texts that have others, and rows that repeat."""
+    base = [" ".join(f"{c}{i}" for i in range(60)) for c in "pqr"]
+    near = [t.rsplit(" ", 1)[0] + " changed" for t in base]
+    rows = [(None, base[0]), (3, near[0]), (3, base[1]), (4, near[1]), (5, base[2]), (5, base[2]), (6, "alone"), (None, near[2]), (None, "x y"), (None, "x y"), (7, None), (7, None)]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, row int")
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.link_components(df).collect())
+    assert got == Counter([(None, 56, 3), (3, 56, 3), (3, 56, 3), (4, 56, 3), (5, 56, 5), (5, 56, 5), (6, 1, 6), (None, 56, 5), (None, 1, None), (None, 1, None), (7, 0, 7), (7, 0, 7)])
+    kept = Counter((r.doc_id, r.text) for r in jaccard.keep_one(df).collect())
+    assert kept == Counter([(3, near[0]), (3, base[1]), (5, base[2]), (6, "alone"), (None, "x y"), (7, None), (7, None)])
+
+
 def test_jaccard_keeps_one(spark, docs, empty):
     kept = [r[0] for r in jaccard.keep_one(docs).select("doc_id").collect()]
     want = {(r.component_id) for r in jaccard.link_components(docs).collect()}
