@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ def gap(n: int) -> int:
     return GAP_OPEN + GAP_EXTEND * (n - 1) if n else 0
 
 
-def common_prefix(a: str, b: str) -> int:
+def common_prefix(a, b) -> int:
     n = 0
     for x, y in zip(a, b, strict=False):
         if x != y:
@@ -34,23 +35,31 @@ def align_gap(a: str, b: str) -> list[tuple[str, int]]:
 
 
 def weighted_lcs(a: list[int], b: list[int], weight) -> list[tuple[int, int]]:
-    """Places (in a, in b) of a common subsequence of the greatest total weight."""
-    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in range(len(a) - 1, -1, -1):
-        for j in range(len(b) - 1, -1, -1):
-            best[i][j] = max(best[i + 1][j], best[i][j + 1])
-            if a[i] == b[j]:
-                best[i][j] = max(best[i][j], best[i + 1][j + 1] + weight(a[i]))
-    i, j, out = 0, 0, []
-    while i < len(a) and j < len(b):
-        if a[i] == b[j] and best[i][j] == best[i + 1][j + 1] + weight(a[i]):
-            out.append((i, j))
-            i, j = i + 1, j + 1
-        elif best[i][j] == best[i + 1][j]:
-            i += 1
-        else:
-            j += 1
-    return out
+    """Places (in a, in b) of a common subsequence of the greatest total weight.
+
+    Equal ends belong to one in any case; what lies between them is compared a row at a time.
+    """
+    start = common_prefix(a, b)
+    tail = min(common_prefix(a[::-1], b[::-1]), len(a) - start, len(b) - start)
+    n, m = len(a) - start - tail, len(b) - start - tail
+    out = [(k, k) for k in range(start)]
+    if n and m:
+        y = np.array(b[start : start + m], np.int64)
+        best = np.zeros((n + 1, m + 1), np.int32)
+        for i in range(n - 1, -1, -1):
+            x = a[start + i]
+            row = np.maximum(best[i + 1, :-1], np.where(y == x, best[i + 1, 1:] + weight(x), 0))
+            best[i, :-1] = np.maximum.accumulate(row[::-1])[::-1]
+        i = j = 0
+        while i < n and j < m:
+            if a[start + i] == b[start + j] and best[i, j] == best[i + 1, j + 1] + weight(a[start + i]):
+                out.append((start + i, start + j))
+                i, j = i + 1, j + 1
+            elif best[i, j] == best[i + 1, j]:
+                i += 1
+            else:
+                j += 1
+    return out + [(len(a) - k, len(b) - k) for k in range(tail, 0, -1)]
 
 
 def cigar(walk: list[int], ref: list[int], sequence) -> str:

@@ -40,7 +40,7 @@ def as_of(queries: DataFrame, facts: DataFrame, keys: list[str], at: str, fact_a
     The union of both sides is sorted bin by bin; a bin that begins without a fact takes the last one of the bins before.
     """
     bin_of = lambda c: F.floor(F.col(c) / OFFSETS_AT_ONCE).alias("__bin")
-    value = F.struct(fact_at, *values)
+    value = F.struct(*dict.fromkeys([fact_at, *values]))
     f = facts.select(*keys, bin_of(fact_at), F.lit(0).alias("__q"), F.col(fact_at).alias("__at"), value.alias("__v")).where("__at is not null")
     q = queries.select("*", bin_of(at), F.lit(1).alias("__q"), F.col(at).alias("__at"), F.lit(None).cast(f.schema["__v"].dataType).alias("__v"))
     lasts = f.groupBy(*keys, "__bin").agg(F.max_by("__v", "__at").alias("__last"))

@@ -1,8 +1,9 @@
 """Traversals in two tiers.
 
-Tier 1 fetches the distinct edges to the driver, once their number is known to be under MAX_EDGES, and walks them there: a
-query touches a few thousand nodes, and rounds of joins would cost seconds each. Tier 2 stays in DataFrames, a frontier a
-round, each written to the checkpoint folder; it takes any number of edges and of queries at once. Both give equal results.
+Tier 1 walks on the driver and fetches nodes, edges and links by ranges of node ids as it meets them: a query touches a few
+thousand nodes, most of them near each other, whatever the size of the graph, and rounds of joins would cost seconds each.
+Tier 2 stays in DataFrames, a frontier a round, each written to the checkpoint folder; it takes any number of nodes and of
+queries at once. A traversal that meets too many ranges goes on in tier 2. Both give equal results.
 """
 
 from __future__ import annotations
@@ -16,13 +17,18 @@ from pyspark.sql import functions as F
 from braidlake.operators._shared import ensure_checkpoint
 from braidlake.schema import Graph, canonical_snarl, encode, is_reverse, node_of
 
-MAX_EDGES = 2_000_000
+#: Rows that may come to the driver at once, node ids fetched together, and ranges that tier 1 fetches for one query.
+MAX_EDGES, WIDTH, RANGES = 2_000_000, 4_096, 64
 
 
 class LimitExceeded(ValueError):
     pass
 
 
+class Spread(Exception):
+    """A traversal meets more of the graph than the driver should hold."""
+
+
 class Adjacency:
     """The graph on the driver: successors by handle, node lengths, chain links."""
 
@@ -38,6 +44,15 @@ class Adjacency:
     def successors(self, handle: int) -> list[int]:
         return self.next.get(handle, [])
 
+    def length_of(self, node: int) -> int:
+        return self.length[node]
+
+    def link_of(self, handle: int) -> int | None:
+        return self.link.get(handle)
+
+    def has_links(self) -> bool:
+        return bool(self.link)
+
     def context(self, seeds: list[tuple[int, int, int]], limit: int) -> dict[int, int]:
         """Nodes within `limit` of the seeds (node, side, distance), with their least distance. Seeds are always in."""
         heap, done, best = [(d, n, s) for n, s, d in seeds], set(), {}
@@ -48,7 +63,7 @@ class Adjacency:
                 continue
             done.add((n, s))
             best.setdefault(n, d)
-            across = d + self.length[n] - 1
+            across = d + self.length_of(n) - 1
             if across <= limit and (n, 1 - s) not in done:
                 heapq.heappush(heap, (across, n, 1 - s))
             if d + 1 <= limit:
@@ -75,7 +90,7 @@ class Adjacency:
     def is_entry(self, handle: int, within: set[int] | None = None) -> bool:
         """Whether a boundary handle opens a snarl: it branches, or its one successor is entered from elsewhere too."""
         out = self.successors(handle)
-        if handle not in self.link or not out:
+        if self.link_of(handle) is None or not out:
             return False
         if len(out) > 1:
             return True
@@ -88,8 +103,8 @@ class Adjacency:
         out = set()
         for n in nodes:
             for h in (2 * n, 2 * n + 1):
-                if self.is_entry(h, nodes) and any(x >> 1 in nodes for x in self.successors(h)) and not (partial and self.link[h] >> 1 in nodes):
-                    out.add(canonical_snarl(h, self.link[h]))
+                if self.is_entry(h, nodes) and any(x >> 1 in nodes for x in self.successors(h)) and not (partial and self.link_of(h) >> 1 in nodes):
+                    out.add(canonical_snarl(h, self.link_of(h)))
         return sorted(out)
 
     def components(self, nodes: set[int]) -> int:
@@ -111,20 +126,20 @@ class Adjacency:
         return nodes
 
     def visible_link(self, nodes: set[int]) -> bool:
-        return any(h in self.link for n in nodes for h in (2 * n, 2 * n + 1))
+        return any(self.link_of(h) is not None for n in nodes for h in (2 * n, 2 * n + 1))
 
     def enclosing(self, nodes: set[int]) -> set[int]:
         """The nodes and those of the snarl around them, if a traversal outwards meets its boundary first."""
-        if not nodes or self.components(nodes) != 1 or not self.link or self.visible_link(nodes):
+        if not nodes or self.components(nodes) != 1 or not self.has_links() or self.visible_link(nodes):
             return nodes
         active = deque(h for n in sorted(nodes) for h in (2 * n, 2 * n + 1))
         visited, collected = set(active), set()
         while active:
             h = active.popleft()
-            if h ^ 1 in self.link:
+            if self.link_of(h ^ 1) is not None:
                 if self.is_entry(h ^ 1):
                     nodes = nodes | collected
-                    return nodes | self.between(h ^ 1, self.link[h ^ 1], nodes)
+                    return nodes | self.between(h ^ 1, self.link_of(h ^ 1), nodes)
                 return nodes
             if h >> 1 not in nodes:
                 collected.add(h >> 1)
@@ -140,6 +155,65 @@ class Adjacency:
         return nodes if self.visible_link(nodes) else self.enclosing(nodes)
 
 
+class Ranged(Adjacency):
+    """The part of a graph that a traversal has met so far, by ranges of node ids. A stored graph is sorted by them, so a
+    fetch reads what it needs of the files."""
+
+    def __init__(self, graph: Graph, width: int | None = None, ranges: int | None = None):
+        super().__init__((), ())
+        self.graph, self.width, self.left, self.loaded = graph, width or WIDTH, ranges or RANGES, set()
+
+    def _need(self, node: int) -> None:
+        at = node // self.width
+        if at in self.loaded:
+            return
+        if not self.left:
+            raise Spread
+        self.left -= 1
+        self.loaded.add(at)
+        lo, hi, g = at * self.width, (at + 1) * self.width - 1, self.graph
+        kind = lambda k: F.lit(k).alias("kind")
+        rows = g.nodes.where(F.col("node_id").between(lo, hi)).select(kind(0), F.col("node_id").alias("a"), F.col("seq_len").alias("b"))
+        rows = rows.unionByName(g.edges.where(F.col("src").between(2 * lo, 2 * hi + 1)).select(kind(1), F.col("src").alias("a"), F.col("dst").alias("b")))
+        rows = rows.unionByName(g.chain_links.where(F.col("handle").between(2 * lo, 2 * hi + 1)).select(kind(2), F.col("handle").alias("a"), F.col("next").alias("b")))
+        rows = rows.limit(MAX_EDGES + 1).collect()
+        if len(rows) > MAX_EDGES:
+            raise Spread
+        for k, a, b in rows:
+            if k == 0:
+                self.length[a] = b
+            elif k == 2:
+                self.link[a] = b
+            elif b:
+                self.next.setdefault(a, []).append(b)
+        for k, a, _ in rows:
+            if k == 1 and a in self.next:
+                self.next[a].sort()
+
+    def successors(self, handle: int) -> list[int]:
+        self._need(handle >> 1)
+        return super().successors(handle)
+
+    def length_of(self, node: int) -> int:
+        self._need(node)
+        return super().length_of(node)
+
+    def link_of(self, handle: int) -> int | None:
+        self._need(handle >> 1)
+        return super().link_of(handle)
+
+    def has_links(self) -> bool:
+        return bool(self.link) or not self.graph.chain_links.isEmpty()
+
+
+def tiered(graph: Graph, first, second):
+    """first(part of the graph on the driver), or second() if that meets too much of it."""
+    try:
+        return first(Ranged(graph))
+    except Spread:
+        return second()
+
+
 def dominators(near: Adjacency, start: int, end: int) -> list[int]:
     """The handles on every directed walk from start to end, in order; empty if there is none."""
     order, seen, stack = [], {start}, [(start, iter(near.successors(start)))]
@@ -206,7 +280,7 @@ def discover_chains(near: Adjacency) -> list[tuple[int, int]]:
 
 
 def adjacency(graph: Graph, most: int = MAX_EDGES) -> Adjacency | None:
-    """Tier 1, or None if the graph has more edges, or nodes, than may come to the driver. Both are counted before they are fetched."""
+    """A whole graph on the driver, for what has to see all of it, or None if the graph has more edges, or nodes, than may come to the driver. Both are counted before they are fetched."""
     count = lambda df: df.limit(most + 1).count()
     if count(graph.edges.select("src")) > most or count(graph.nodes.select("node_id")) > most:
         return None

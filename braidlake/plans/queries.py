@@ -209,11 +209,15 @@ CONTEXT = "ctx AS ({seeds} UNION SELECT m.n2, m.s2, c.d + m.w FROM ctx c JOIN mo
 
 
 def _context(g: Graph, seeds, limit: int) -> DataFrame:
-    near = traverse.adjacency(g)
-    if near is None:
+    def in_frames():
         df = g.spark.createDataFrame([(0, *s) for s in seeds], "query_id long, node_id long, side int, dist long")
         return traverse.context_frontier(g, df, limit).select("node_id", "dist")
-    return g.spark.createDataFrame(sorted(near.context(seeds, limit).items()), "node_id long, dist long")
+
+    return traverse.tiered(g, lambda near: g.spark.createDataFrame(sorted(near.context(seeds, limit).items()), "node_id long, dist long"), in_frames)
+
+
+def _ids(g: Graph, nodes) -> DataFrame:
+    return g.spark.createDataFrame([(n,) for n in sorted(nodes)], "node_id long")
 
 
 SEED_40 = "SELECT CAST(40 AS BIGINT) AS n, CAST(0 AS BIGINT) AS s, CAST(0 AS BIGINT) AS d UNION ALL SELECT 40, 1, 0"
@@ -253,10 +257,8 @@ BETWEEN = """bt AS (SELECT CAST(2*22 AS BIGINT) AS h UNION SELECT CAST(2*31 + 1
 
 @query(f", {BETWEEN} SELECT DISTINCT {NODE.format(h='h')} AS node_id FROM bt")
 def between_nodes(g):
-    near = traverse.adjacency(g)
-    if near is None:
-        return traverse.between_frontier(g, g.spark.createDataFrame([(0, 44, 62)], "query_id long, start long, end long")).select("node_id")
-    return g.spark.createDataFrame([(n,) for n in sorted(near.between(44, 62))], "node_id long")
+    ends = g.spark.createDataFrame([(0, 44, 62)], "query_id long, start long, end long")
+    return traverse.tiered(g, lambda near: _ids(g, near.between(44, 62)), lambda: traverse.between_frontier(g, ends).select("node_id"))
 
 
 @query(", " + CONTEXT.format(seeds=f"SELECT * FROM ({SEED_40}) z", limit=10).replace("ctx", "c1").split(" SELECT n AS")[0] + ", " + CONTEXT.format(seeds=f"SELECT * FROM ({SEED_40.replace('40', '46')}) z", limit=10).replace("ctx", "c2").split(" SELECT n AS")[0] + " SELECT DISTINCT n AS node_id, 'inserted' AS change FROM c2 WHERE n NOT IN (SELECT n FROM c1) UNION ALL SELECT DISTINCT n, 'removed' FROM c1 WHERE n NOT IN (SELECT n FROM c2)")
@@ -301,20 +303,13 @@ def partial_snarls(g):
  SELECT DISTINCT {NODE.format(h='h')} AS node_id FROM ex""")
 def extract_snarls(g):
     found = traverse.covered_snarls(g, region(g)).withColumn("query_id", F.monotonically_increasing_id())
-    near = traverse.adjacency(g)
-    if near is None:
-        return traverse.between_frontier(g, found).select("node_id").distinct()
-    nodes = set().union(*[near.between(s, e) for s, e in found.select("start", "end").collect()])
-    return g.spark.createDataFrame([(n,) for n in sorted(nodes)], "node_id long")
+    return traverse.between_frontier(g, found).select("node_id").distinct()
 
 
 @query("SELECT node_id FROM nodes WHERE node_id BETWEEN 22 AND 25")
 def enclosing_snarl(g):
     """An allele between two anchors, and the snarl that they bound."""
-    near = traverse.adjacency(g)
-    if near is None:
-        return traverse.enclosing_frontier(g, g.spark.createDataFrame([(23,)], "node_id long"))
-    return g.spark.createDataFrame([(n,) for n in sorted(near.enclosing({23}))], "node_id long")
+    return traverse.tiered(g, lambda near: _ids(g, near.enclosing({23})), lambda: traverse.enclosing_frontier(g, _ids(g, [23])))
 
 
 @query(f""", cc AS (SELECT node_id, node_id AS c FROM nodes UNION SELECT {NODE.format(h='e.dst')}, cc.c FROM cc JOIN edges e ON FLOOR(e.src/2) = cc.node_id) SELECT node_id, MIN(c) AS component FROM cc GROUP BY node_id""")

@@ -134,7 +134,7 @@ def seeds_of(graph: Graph, query: SubgraphQuery):
     if end <= offset:
         raise ValueError("empty interval")
     q = graph.spark.createDataFrame([(0, path, offset, end)], "query_id long, path_handle long, start long, end long")
-    steps = locate.interval_to_steps(q, graph.steps).orderBy("step").collect()
+    steps = locate.interval_to_steps(q, graph.steps.where(F.col("path_handle") == path)).orderBy("step").collect()
     if not steps or steps[-1].step_end < end:
         raise ValueError(f"path {query.contig} does not contain offset {end - 1}")
     out = []
@@ -155,8 +155,7 @@ def seeds_of(graph: Graph, query: SubgraphQuery):
 
 def run(graph: Graph, query: SubgraphQuery) -> Subgraph:
     """Executes a query. The node set is found by a traversal (see traverse), all else by joins with it."""
-    spark, place = graph.spark, None
-    near = traverse.adjacency(graph)
+    spark, place, seeds = graph.spark, None, ()
     if query.kind in ("offset", "interval"):
         seeds, place = seeds_of(graph, query)
     elif query.kind == "nodes":
@@ -165,7 +164,16 @@ def run(graph: Graph, query: SubgraphQuery) -> Subgraph:
             if n not in known:
                 raise KeyError(f"The graph does not contain handle {2 * n}")
         seeds = [(n, side, 0) for n in query.nodes for side in (0, 1)]
-    if near is None:
+
+    def on_driver(near: traverse.Adjacency) -> DataFrame:
+        if query.kind == "between":
+            found = near.between(*query.handles, limit=query.limit)
+        else:
+            found = set(near.context(seeds, query.context))
+            found = near.extended(found) if query.extend_snarls else near.with_snarls(found) if query.snarls else found
+        return spark.createDataFrame([(n,) for n in sorted(found)], "node_id long")
+
+    def in_frames() -> DataFrame:
         if query.kind == "between":
             ids = traverse.between_frontier(graph, spark.createDataFrame([(0, *query.handles)], "query_id long, start long, end long"), query.limit)
         else:
@@ -173,22 +181,30 @@ def run(graph: Graph, query: SubgraphQuery) -> Subgraph:
         ids = ids.select("node_id").distinct()
         if query.kind != "between":
             ids = traverse.extended(graph, ids) if query.extend_snarls else traverse.with_snarls(graph, ids) if query.snarls else ids
-        ids = ids.checkpoint()
-    else:
-        if query.kind == "between":
-            found = near.between(*query.handles, limit=query.limit)
-        else:
-            found = set(near.context(seeds, query.context))
-            found = near.extended(found) if query.extend_snarls else near.with_snarls(found) if query.snarls else found
-        ids = spark.createDataFrame([(n,) for n in sorted(found)], "node_id long")
-    return extract(graph, ids, query, place)
+        return ids.checkpoint()
+
+    return extract(graph, traverse.tiered(graph, on_driver, in_frames), query, place)
+
+
+#: Runs of node ids that a subgraph is read by; more are only joined.
+RUNS = 64
+
+
+def in_runs(handle, runs, per_node: int):
+    """Whether a handle (two a node) or node id (one a node) is in one of the runs; a filter that files can be pruned by."""
+    out = F.lit(False)
+    for r in runs:
+        out = out | handle.between(per_node * r.cluster_min, per_node * r.cluster_max + per_node - 1)
+    return out
 
 
 def extract(graph: Graph, ids: DataFrame, query: SubgraphQuery, place=None) -> Subgraph:
-    nodes = graph.nodes.join(ids, "node_id", "left_semi")
-    inside = graph.edges.join(ids, node_of(F.col("src")) == F.col("node_id"), "left_semi").join(ids, node_of(F.col("dst")) == F.col("node_id"), "left_semi")
+    runs = locate.clusters(ids).limit(RUNS + 1).collect()
+    near = (lambda df, c, k: df.where(in_runs(F.col(c), runs, k))) if len(runs) <= RUNS else (lambda df, c, k: df)
+    nodes = near(graph.nodes, "node_id", 1).join(ids, "node_id", "left_semi")
+    inside = near(graph.edges, "src", 2).join(ids, node_of(F.col("src")) == F.col("node_id"), "left_semi").join(ids, node_of(F.col("dst")) == F.col("node_id"), "left_semi")
     path, step, fragment = place or (None, None, None)
-    islands = walks.islands(graph.steps, ids, path, step)
+    islands = walks.islands(near(graph.steps_by_node or graph.steps, "handle", 2), ids, path, step)
     sample = contig = haplotype = start = end = None
     ref: tuple[int, ...] = ()
     if place:

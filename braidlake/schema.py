@@ -69,7 +69,10 @@ def walk_text(path: Column) -> Column:
 
 @dataclass(frozen=True)
 class Graph:
-    """A bidirected sequence graph with haplotype paths. steps have offsets; edges hold both mirror forms."""
+    """A bidirected sequence graph with haplotype paths. steps have offsets; edges hold both mirror forms.
+
+    steps_by_node: the same steps in the order of their handles, for those near some nodes, if a store has them.
+    """
 
     nodes: DataFrame
     edges: DataFrame
@@ -77,6 +80,7 @@ class Graph:
     paths: DataFrame
     chain_links: DataFrame
     tags: DataFrame
+    steps_by_node: DataFrame | None = None
 
     @property
     def spark(self):

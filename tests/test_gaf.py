@@ -269,6 +269,16 @@ def test_cigars():
     s = lambda h: table[h >> 1]
     assert cigar.cigar([2, 4], [2, 4], s) == "2M" and cigar.cigar([2], [6], s) == "1M1D" and cigar.cigar([], [6], s) == "2D" and cigar.cigar([6], [], s) == "2I"
     assert cigar.cigar([2, 10, 2], [2, 12, 2], s) == "5M"
+    rng = random.Random(8)
+    for _ in range(80):
+        a, b = ([2 * rng.randint(1, 6) for _ in range(rng.randint(0, 9))] for _ in "ab")
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(len(a)):
+            for j in range(len(b)):
+                best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + len(s(a[i])) if a[i] == b[j] else 0)
+        got = cigar.weighted_lcs(a, b, lambda h: len(s(h)))
+        assert all(a[i] == b[j] for i, j in got) and got == sorted(got) and len({i for i, _ in got}) == len({j for _, j in got}) == len(got)
+        assert sum(len(s(a[i])) for i, _ in got) == best[-1][-1]
 
 
 def test_small_functions():

@@ -3,6 +3,8 @@
 Its sequences, walks, links and the text and node sets expected of queries on it are fixed values.
 """
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -104,6 +106,13 @@ def test_tiers_agree(spark, graph):
         traverse.between_frontier(graph, ends, 2)
 
 
+def test_ranges_are_fetched_as_they_are_met(graph):
+    near = traverse.Ranged(graph, width=2, ranges=20)
+    whole = traverse.adjacency(graph)
+    assert near.context([(14, 0, 0), (14, 1, 0)], 1) == whole.context([(14, 0, 0), (14, 1, 0)], 1)
+    assert near.loaded == {6, 7, 8} and near.extended({12}) == whole.extended({12}) and near.snarls({12, 13, 14}) == [(22, 28)]
+
+
 def test_chains_are_found(graph):
     near = traverse.adjacency(graph)
     assert [p for p in traverse.discover_chains(near) if p[0] >> 1 < 20] == [(22, 28), (28, 34), (29, 23), (35, 29)]
@@ -120,7 +129,10 @@ def test_snarls_and_chains_beyond_the_first_tier(spark, graph, monkeypatch):
         assert rows(traverse.enclosing_frontier(graph, df)) == [(n,) for n in sorted(near.enclosing(nodes))], nodes
     want = rows(queries.enclosing_snarl(graph)), rows(traverse.discover_chains_frontier(graph))
     extended = [(q, n, p) for q, n, p in QUERIES if q.snarls or q.extend_snarls][::2]
-    monkeypatch.setattr(traverse, "adjacency", lambda graph: None)
+    monkeypatch.setattr(traverse, "RANGES", 1)
+    monkeypatch.setattr(traverse, "WIDTH", 2)  # so the first tier meets too much at once
+    with pytest.raises(traverse.Spread):
+        traverse.Ranged(graph).context([(14, 0, 0), (14, 1, 0)], 9)
     for query, nodes, paths in extended:
         sub = run(graph, query)
         assert ids(sub) == nodes and sub.walks.count() == paths
@@ -187,6 +199,9 @@ def test_store_round_trip(spark, graph, tmp_path):
     store.write_graph(graph, path, interval=3)
     again = store.open_graph(spark, path)
     assert run(again, QUERIES[0][0]).gfa() == run(graph, QUERIES[0][0]).gfa()
+    found = run(again, QUERIES[0][0])  # the steps in the order of nodes are read, by a range of handles
+    assert any("steps_by_node" in f for f in found.walks.inputFiles()) and not any("/steps/" in f for f in found.walks.inputFiles())
+    assert re.search(r"handle#\d+L >= 24\)", found.walks._jdf.queryExecution().executedPlan().toString())
     tags = {r.key: r.value for r in again.tags.collect()}
     assert {k: tags[k] for k in ("nodes", "paths", "samples", "haplotypes", "contigs", "chain_links", "chains")} == {"nodes": "12", "paths": "6", "samples": "2", "haplotypes": "3", "contigs": "2", "chain_links": "8", "chains": "2"}
     assert {r.key for r in store.tags_with_prefix(again.tags, "gbwt_").collect()} == {"a"} and [r.key for r in store.tags_with_prefix(again.tags, "gbz_").collect()] == ["gbz_c"]
