@@ -1,7 +1,10 @@
 """The corpus pipeline: language, near-duplicates, repeated passages, mixing, packing. Each stage works on what the last one kept.
 
-A null text has no language and goes in the first stage. Stages return the columns of documents, but for the last, which
-returns the packed pieces. Empty tables pass through; extra columns stay until packing.
+Defined results: a null text, or one without letters, has no language and goes in the first stage; of rows that are near
+copies, or repeat, one stays; with a character that a cut falls into all its bytes go; rows of a source are taken up to three
+times by mixing, and are then packed as often. Very long texts stay whole up to packing, which cuts them into pieces. Stages
+return the columns of documents, but for the last, which returns the packed pieces; `packing.sequences` turns these and the
+mixed documents into token ids. Empty tables pass through; extra columns stay until packing, whatever their names.
 """
 
 from __future__ import annotations
@@ -50,4 +53,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     with Workspace(spark, "pipeline") as ws:
         for k, (name, stage) in enumerate(STAGES):
             docs = ws.table(stage(spark, docs, sf_dir), f"stage{k}{name}", keep=k + 1 == len(STAGES))
+            if k:
+                ws.drop(f"stage{k - 1}{STAGES[k - 1][0]}")
     return docs
