@@ -7,11 +7,13 @@ blocks; while a beam is full of links it widens, so no group is cut short. Links
 returns sums of links and the edges of a spanning forest of what it linked, never all pairs of a group.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components, and those without a label, have no
-links and are kept; rows that repeat are links of each other; an empty table gives no rows; other columns are ignored.
+links and are kept; rows that repeat are links of each other; labels may be of any type that can be written as text; an
+empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import io
 
@@ -233,15 +235,14 @@ def near_vectors(rows: DataFrame, cosine: float = COSINE) -> DataFrame:
                 vectors /= np.abs(vectors).max(axis=1, keepdims=True)
                 norms = np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
                 g = build((vectors / norms).astype(np.float32), ids[at])
-                paths.append((label, int(d), shard, f"{folder}/{label}-{d}-{shard}.npz", len(at)))
+                paths.append((label, int(d), shard, f"{folder}/{hashlib.sha1(label.encode()).hexdigest()[:16]}-{d}-{shard}.npz", len(at)))
                 _save(paths[-1][3], g, ids[at], table.column("c").to_numpy()[at], vectors)
             names = ["label", "d", "shard", "path", "n"]
             return pa.Table.from_pylist([dict(zip(names, p, strict=True)) for p in paths], schema=graphs)
 
-        label_type = pa.int64()
-        graphs = pa.schema([("label", label_type), ("d", pa.int64()), ("shard", pa.int64()), ("path", pa.string()), ("n", pa.int64())])
-        made = dealt.select(F.col("label").cast("long").alias("label"), "shard", "id", "embedding", "c").groupBy("label", "shard")
-        made = ws.table(made.applyInArrow(index, "label long, d long, shard long, path string, n long"), "shards")
+        graphs = pa.schema([("label", pa.string()), ("d", pa.int64()), ("shard", pa.int64()), ("path", pa.string()), ("n", pa.int64())])
+        made = dealt.select(F.col("label").cast("string").alias("label"), "shard", "id", "embedding", "c").groupBy("label", "shard")
+        made = ws.table(made.applyInArrow(index, "label string, d long, shard long, path string, n long"), "shards")
         asked = made.select("label", "d", F.col("path").alias("query"), F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / BLOCK) - 1)).alias("block"))
         jobs = ws.table(asked.join(made.select("label", "d", "path"), ["label", "d"]).select("path", "query", "block"), "jobs")
         out = pa.schema([("id", pa.int64()), ("links", pa.int64()), ("other", pa.int64())])
