@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from braidlake.functions import cs, gaf
@@ -16,6 +16,20 @@ def path_steps(reads: DataFrame) -> DataFrame:
     return reads.select("aln_id", F.posexplode("path").alias("pos", "handle")).withColumn("pos", F.col("pos").cast("long"))
 
 
+def has_path() -> Column:
+    """Whether a read has a target path that is not empty; null if the path is not known yet."""
+    return F.size("path") > 0
+
+
+def with_paths(reads: DataFrame, paths: DataFrame) -> DataFrame:
+    """Reads whose path is not known (null) take it and its length from (aln_id, path, path_len), and their handle range from it."""
+    new = paths.select("aln_id", F.col("path").alias("__path"), F.col("path_len").alias("__len"))
+    rows = reads.join(new, "aln_id", "left").withColumn("__old", F.col("path"))
+    rows = rows.withColumns({"path": F.coalesce("path", "__path"), "path_len": F.when(F.col("path").isNull(), F.coalesce("__len", "path_len")).otherwise(F.col("path_len"))})
+    fresh = {c: F.when(F.col("__old").isNull(), f("path")).otherwise(F.col(c)) for c, f in (("min_handle", F.array_min), ("max_handle", F.array_max)) if c in reads.columns}
+    return rows.withColumns(fresh).select(*[F.col(f"`{c}`") for c in reads.columns])
+
+
 def handle_range(reads: DataFrame) -> DataFrame:
     return reads.select("aln_id", F.array_min("path").alias("min_handle"), F.array_max("path").alias("max_handle"))
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from braidlake.functions import cs, gaf, seq
+from braidlake.functions import cs, gaf, mapping, seq
 from braidlake.operators import cigar, locate, traverse, walks
 from braidlake.operators import reads as R
 from braidlake.operators._shared import ensure_checkpoint, numbered
@@ -592,6 +592,19 @@ def read_mappings(g, spark, sf_dir):
     return rows.select("aln_id", F.col("op_no").cast("long").alias("op_no"), "pos", "handle", "node_start", "node_end", "query_start", "op", "len")
 
 
+@query(f""", {MAPPINGS}, {'m0 AS (SELECT *, LAG(handle) OVER w AS h, LAG(node_end) OVER w AS e FROM mp WINDOW w AS (PARTITION BY aln_id ORDER BY op_no, pos))'}
+SELECT aln_id, op_no, pos, CASE WHEN op = '-' THEN 0 ELSE len END AS query_len, node_end - node_start AS target_len, node_start = 0 AS at_start, node_end = node_len AS at_end, coalesce(handle = h AND node_start = e, false) AS follows FROM m0""")
+def mapping_algebra(g, spark, sf_dir):
+    """Lengths of each mapping, where it lies in its node, and whether it goes on from the one before."""
+    from pyspark.sql import Window
+
+    before = F.lag(F.struct("handle", "node_end")).over(Window.partitionBy("aln_id").orderBy("op_no", "pos"))
+    rows = R.mappings(_reads(spark, sf_dir), g.nodes).withColumn("before", before)
+    return rows.select(
+        "aln_id", F.col("op_no").cast("long").alias("op_no"), "pos", mapping.query_len().alias("query_len"), mapping.target_len().alias("target_len"), mapping.is_at_start().alias("at_start"),
+        mapping.is_at_end().alias("at_end"), F.coalesce(mapping.follows(F.col("before")), F.lit(False)).alias("follows"))
+
+
 CLIPPED_RUNS = f"""m1 AS (SELECT *, FLOOR(handle/2) BETWEEN {LO} AND {HI} AS inside FROM mp), m2 AS (SELECT *, SUM(apart) OVER (PARTITION BY aln_id ORDER BY op_no, pos) AS run FROM (SELECT *, CASE WHEN inside = LAG(inside) OVER (PARTITION BY aln_id ORDER BY op_no, pos) THEN 0 ELSE 1 END AS apart FROM m1) z)"""
 
 

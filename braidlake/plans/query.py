@@ -78,7 +78,11 @@ class Subgraph:
     ref_walk: tuple[int, ...] = ()
 
     def with_cigars(self) -> Subgraph:
-        sequences = {r.node_id: r.sequence for r in self.nodes.collect()}
+        """Adds alignments to the reference walk. The bases of the subgraph go to the tasks, so they have to be few."""
+        rows = self.nodes.select("node_id", "sequence").limit(traverse.MAX_EDGES + 1).collect()
+        if len(rows) > traverse.MAX_EDGES:
+            raise ValueError(f"a subgraph of more than {traverse.MAX_EDGES} nodes is too large to align")
+        sequences = {r.node_id: r.sequence for r in rows}
         return replace(self, walks=cigar.with_cigars(self.walks, list(self.ref_walk), sequences))
 
     def graph_name(self, parent: GraphName | None = None) -> GraphName:
@@ -119,12 +123,13 @@ def node_records(store: AlignmentStore, sub: Subgraph | None = None, graph: Grap
 
 
 def locate_path(graph: Graph, query: SubgraphQuery):
-    """The (path_handle, path_offset, fragment) of a query's start."""
-    q = graph.spark.createDataFrame([(0, query.sample, query.contig, query.haplotype, query.start)], "query_id long, sample string, contig string, haplotype long, offset long")
-    row = locate.find_paths(q, graph.paths).first()
-    if row is None or row.path_handle is None:
+    """The (path_handle, path_offset, fragment) of a query's start. One lookup is a filter; many are `locate.find_paths`."""
+    named = (F.col("sample") == query.sample) & (F.col("contig") == query.contig) & (F.col("haplotype") == query.haplotype)
+    found = graph.paths.where(named & (F.col("fragment") <= query.start))
+    row = found.agg(F.max_by("path_handle", "fragment").alias("path_handle"), F.max("fragment").alias("fragment")).first()
+    if row.path_handle is None:
         raise ValueError(f"no path {query.sample}#{query.haplotype}#{query.contig} at {query.start}")
-    return row.path_handle, row.path_offset, row.fragment
+    return row.path_handle, query.start - row.fragment, row.fragment
 
 
 def seeds_of(graph: Graph, query: SubgraphQuery):
@@ -133,8 +138,8 @@ def seeds_of(graph: Graph, query: SubgraphQuery):
     end = offset + (query.end - query.start if query.kind == "interval" else 1)
     if end <= offset:
         raise ValueError("empty interval")
-    q = graph.spark.createDataFrame([(0, path, offset, end)], "query_id long, path_handle long, start long, end long")
-    steps = locate.interval_to_steps(q, graph.steps.where(F.col("path_handle") == path)).orderBy("step").collect()
+    here = (F.col("path_handle") == path) & (F.col("step_start") < end) & (F.col("step_end") > offset)
+    steps = graph.steps.where(here).orderBy("step").collect()
     if not steps or steps[-1].step_end < end:
         raise ValueError(f"path {query.contig} does not contain offset {end - 1}")
     out = []

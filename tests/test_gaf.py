@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from braidlake.functions import cs, gaf, seq
+from braidlake.functions import cs, gaf, mapping, seq
 from braidlake.operators import cigar, locate
 from braidlake.operators._shared import numbered
 from braidlake.operators import reads as R
@@ -77,6 +77,24 @@ def test_difference_strings(spark):
     assert spark.range(1).select(cs.normalize(cs.parse(F.lit(":2:0:3+A+CT-A*AC*AC"))).alias("n")).first().n == [(":", 5, None), ("+", 3, "ACT"), ("-", 1, None), ("*", 1, "C"), ("*", 1, "C")]
 
 
+def test_ops_and_mappings(spark):
+    ops = spark.range(1).select(F.explode(cs.parse(F.lit(":2:0*AC+GA-T"))).alias("d"))
+    got = ops.select(mapping.op_len(F.col("d")), mapping.op_query_len(F.col("d")), mapping.op_target_len(F.col("d")), mapping.op_is_empty(F.col("d"))).collect()
+    assert [tuple(r) for r in got] == [(2, 2, 2, False), (0, 0, 0, True), (1, 1, 1, False), (2, 2, 0, False), (1, 0, 1, False)]
+    rows = spark.createDataFrame([(0, 0, 0, 0, 0, 3), (4, 1, 3, 3, 3, 5), (4, 0, 1, 3, 5, 6)], "handle long, node_start long, node_end long, node_len long, query_start long, query_end long")
+    before = F.struct(F.lit(4).alias("handle"), F.lit(1).alias("node_end"))
+    got = rows.select(mapping.query_len(), mapping.target_len(), mapping.is_unaligned(), mapping.is_at_start(), mapping.is_at_end(), mapping.follows(before)).collect()
+    assert [tuple(r) for r in got] == [(3, 0, True, True, True, False), (2, 2, False, False, True, True), (1, 1, False, True, False, False)]
+
+
+def test_paths_of_reads_that_have_none(spark):
+    reads = spark.createDataFrame([(0, [4], 2, 4, 4), (1, None, 0, None, None), (2, [], 0, None, None), (3, None, 0, None, None)], "aln_id long, path array<bigint>, path_len long, min_handle long, max_handle long")
+    paths = spark.createDataFrame([(0, [9, 8], 7), (1, [9, 8], 7), (2, [9], 7)], "aln_id long, path array<bigint>, path_len long")
+    got = R.with_paths(reads, paths).orderBy("aln_id")
+    assert [tuple(r) for r in got.collect()] == [(0, [4], 2, 4, 4), (1, [9, 8], 7, 8, 9), (2, [], 0, None, None), (3, None, 0, None, None)]
+    assert [r.h for r in got.select(R.has_path().alias("h")).collect()] == [True, True, False, None]
+
+
 NODES = {1: "AA", 2: "CCC", 3: "GGGG", 4: "T", 5: "ACGT"}
 
 
