@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Spark deletes what a query shuffled when that query ends, instead of whenever the driver next collects garbage.
-SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Rows go to Python in small batches, as they may hold whole texts.
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -72,7 +73,7 @@ class Workspace:
         """Writes df, in a folder for each value of `by` if given, and returns the path."""
         path = self.path(name, keep)
         writer = df.write.partitionBy(by) if by else df.write
-        with settings(self.spark, {SHUFFLE_CLEANUP: "true", "spark.sql.maxConcurrentOutputFileWriters": "64"}):
+        with settings(self.spark, {**WRITING, "spark.sql.maxConcurrentOutputFileWriters": "64"}):
             writer.parquet(path)
         return path
 
@@ -87,7 +88,7 @@ class Workspace:
         """
         path, table = self.path(name), f"braidlake_{name}_{uuid.uuid4().hex[:12]}"
         n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        with settings(self.spark, {SHUFFLE_CLEANUP: "true"}):
+        with settings(self.spark, WRITING):
             (df if dealt else df.repartition(n, *by)).write.bucketBy(n, *by).sortBy(*by).option("path", path).saveAsTable(table)
         self.named[path] = table
         return self.spark.table(table)
