@@ -10,7 +10,8 @@ parsing gives back every turn exactly. The loss mask lists (start, length) in ch
 
 Defined results: null text and role are empty; a message whose parent does not exist is a root; messages that never reach
 a root (cycles) are on no path; of branches with equal scores the one with the smaller leaf ranks first; an empty table
-gives no conversations; other columns are ignored. (tree_id, node_id) must be distinct and not null.
+gives no conversations; very long texts are one turn each; other columns are ignored, whatever their names. (tree_id,
+node_id) must be distinct and not null; `from_turns` makes them so of rows that repeat and of null conversations.
 """
 
 from __future__ import annotations

@@ -357,11 +357,10 @@ def keep_one(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFra
         first = rows.groupBy("component").agg(F.min(order).alias("row"), F.min_by("times", order).alias("times"))
         empty = heads.where("id is null").select("doc_id", "text_hash").distinct().withColumn("times", F.lit(1).cast("long"))
         first = first.select(F.col("row.doc_id").alias("doc_id"), F.col("row.text_hash").alias("text_hash"), "times").unionByName(empty)
-        first = ws.table(first.withColumnsRenamed({"doc_id": "__doc__", "text_hash": "__hash__", "times": "__times__"}), "first", keep=True)
-        repeated = not first.where("__times__ > 1").isEmpty()
-    hashed = docs.withColumn("__text__", F.xxhash64(F.coalesce("text", F.lit(""))))
-    same = hashed["doc_id"].eqNullSafe(first["__doc__"]) & (hashed["__text__"] == first["__hash__"])
-    kept = hashed.hint("merge").join(first, same)
+        first = ws.table(first, "first", keep=True)
+        repeated = not first.where("times > 1").isEmpty()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("document"), F.col("doc_id").alias("own_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("own_hash"))
+    kept = rows.hint("merge").join(first, rows["own_id"].eqNullSafe(first["doc_id"]) & (rows["own_hash"] == first["text_hash"]))
     if repeated:
-        kept = kept.where("__times__ = 1").unionByName(kept.where("__times__ > 1").dropDuplicates(["__doc__", "__hash__"]))
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+        kept = kept.where("times = 1").unionByName(kept.where("times > 1").dropDuplicates(["own_id", "own_hash"]))
+    return kept.select("document.*")

@@ -7,7 +7,8 @@ finer buckets, until one hash value is left. A larger budget has a larger thresh
 sorted. What reaches the driver is one row per source and level.
 
 Defined results: a null text has size 0; a null source is a source of its own, last in order; rows that repeat a doc_id
-and text share their hash and are taken or left together; an empty table gives an empty mix; other columns are ignored.
+and text share their hash and are taken or left together; very long texts count by their words and are never cut; an empty
+table gives an empty mix; other columns are ignored by `mix` and passed on by `mixed_documents`, whatever their names.
 """
 
 from __future__ import annotations

@@ -7,8 +7,9 @@ That gives the very bins that best-fit decreasing makes one piece after another
 short list of segments (length, first rank, bins, place); every piece gets a rank among its equals, in salted buckets so
 that a common length doesn't meet in one task, and looks its segment up.
 
-Defined results: a null or empty text is the end id alone; rows that repeat a doc_id are packed each; no documents give
-no pieces; other columns are ignored.
+Defined results: a null or empty text is the end id alone; rows that repeat a doc_id are packed each; very long texts are
+encoded in chunks and cut into pieces of the capacity; no documents give no pieces; other columns are ignored, whatever their
+names.
 """
 
 from __future__ import annotations

@@ -314,14 +314,10 @@ def _compared(contexts: DataFrame) -> DataFrame:
     return contexts.repartition("key", "block").sortWithinPartitions("key", "block").mapInArrow(rows, _FOUND)
 
 
-def _with_row(docs: DataFrame, name: str = "row") -> DataFrame:
-    return docs.withColumn(name, F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
-
-
 def find_repeats(docs: DataFrame, ws: Workspace, batches: int = BATCHES, keep: bool = True) -> DataFrame:
     """(doc, row, spans): of each text with repeated parts, the doc_id, the hash of both and the parts. Written."""
     spark = docs.sparkSession
-    texts = _with_row(docs.select("doc_id", "text"))
+    texts = docs.select("doc_id", "text", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("row"))
     made = ws.write(suffix_entries(texts, batches), "entries", by="batch")
     entries = spark.read.schema(_ENTRY).parquet(made)
     family, hits = SuffixFamily(ws), None
@@ -376,10 +372,14 @@ def _cut(text: str | None, spans) -> tuple[bytes, list[tuple[int, int]], int]:
 
 
 def _joined(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """docs with the columns __row__ and __spans__."""
-    rows = _with_row(docs, "__row__")
-    spans = spans.select(F.col("doc").alias("__doc__"), F.col("row").alias("__in__"), F.col("spans").alias("__spans__"))
-    return rows.hint("merge").join(spans, rows["doc_id"].eqNullSafe(F.col("__doc__")) & (rows["__row__"] == F.col("__in__")), "left")
+    """The columns of docs, and last the parts of each text."""
+    columns = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(columns.alias("document"), F.col("doc_id").alias("own_id"), F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("own_row"))
+    joined = rows.hint("merge").join(spans, rows["own_id"].eqNullSafe(spans["doc"]) & (rows["own_row"] == spans["row"]), "left")
+    name = "spans"
+    while name in map(str.lower, docs.columns):
+        name += "_"
+    return joined.select("document.*", F.col("spans").alias(name))
 
 
 def dedup_report(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
@@ -398,7 +398,7 @@ def dedup_report(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "n_removed", "n_spans", "runs", "kept_sha256"])
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, runs array<struct<start:bigint,end:bigint>>, kept_sha256 string"
-    return _joined(docs.select("doc_id", "text"), spans).select("doc_id", "text", "__spans__").mapInArrow(rows, schema)
+    return _joined(docs.select("doc_id", "text"), spans).mapInArrow(rows, schema)
 
 
 def remove(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
@@ -406,7 +406,7 @@ def remove(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     with Workspace(docs.sparkSession, "suffix") as ws:
         spans = find_repeats(docs, ws, batches)
     joined = _joined(docs, spans)
-    at, last = docs.columns.index("text"), len(docs.columns)
+    at, last, names = docs.columns.index("text"), len(docs.columns), list(docs.columns)
 
     def rows(stream):
         for whole in stream:
@@ -415,8 +415,6 @@ def remove(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
                 texts = [_cut(t, s)[0].decode(errors="ignore") if cut else t for t, s, cut in zip(b.column(at).to_pylist(), b.column(last).to_pylist(), cuts.to_pylist(), strict=True)]
                 stays = pa.array([not cut or bool(t) for t, cut in zip(texts, cuts.to_pylist(), strict=True)], pa.bool_())
                 columns = [pa.array(texts, pa.string()) if i == at else b.column(i) for i in range(last)]
-                yield pa.RecordBatch.from_arrays(columns, docs_names).filter(stays)
+                yield pa.RecordBatch.from_arrays(columns, names).filter(stays)
 
-    docs_names = list(docs.columns)
-    schema = docs.schema
-    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], "__spans__").mapInArrow(rows, schema)
+    return joined.mapInArrow(rows, docs.schema)

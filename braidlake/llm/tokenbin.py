@@ -5,7 +5,8 @@ ascending doc_id order, and an index (doc_id, null flag, place, tokens) found th
 read with two short reads and one frame. `dictionary.zdict` lies beside the shards.
 
 Defined results: a null text is an empty text (it has the end id alone); null doc_ids come first; rows that repeat a
-doc_id are all written, in the order of their texts' hashes; an empty table gives no shard; other columns are ignored.
+doc_id are all written, in the order of their texts' hashes; very long texts are encoded in chunks; an empty table
+gives no shard; other columns are ignored, whatever their names.
 A shard is written under another name and moved when whole, so an attempt that is lost or runs twice leaves no harm.
 """
 

@@ -1,4 +1,8 @@
-"""Words, shingles and their hashes for whole batches of texts at once, on bytes in numpy."""
+"""Words, shingles and their hashes for whole batches of texts at once, on bytes in numpy.
+
+Defined results: a null text is empty and has no words; texts of a batch never share a word or shingle; memory is that of
+about eight numbers a byte of the batch, so callers cut batches by bytes, and a very long text is a batch of its own.
+"""
 
 from __future__ import annotations
 

@@ -159,3 +159,40 @@ def test_language_training(spark):
     got = langid.predict(spark.createDataFrame([(1, "the hund")], "doc_id long, text string"), model).select("score", F.col("lang_pred")).first()
     logs = [sum(math.log(sum(math.prod(rows[lang][p] if p >= 0 else langid.FLOOR for p in way) for way in cuts("▁" + w, pieces))) for w in ("the", "hund")) for lang in languages]
     assert got.lang_pred == languages[logs.index(max(logs))] and got.score == pytest.approx(1 / sum(math.exp(x - max(logs)) for x in logs), rel=1e-3)
+
+
+NAMES = "id key h n row rows words trusted good b start piece rank salt size passes spans document own_id own_hash own_row doc text_hash times w component blocks label template pos uid ids length kind ctx anchors __row__ __pass__ __text__ __scores__".split()
+
+
+def test_other_columns_change_nothing(spark, docs):
+    """Operators give the same beside columns whose names also occur inside them, and pass these on where they pass columns on."""
+    from braidlake.llm import jaccard, packing, suffix, tokenbin
+    from braidlake.llm._common import Workspace
+
+    few = docs.select("doc_id", "text", "lang", "source").where("doc_id < 40 or doc_id >= 1000 or doc_id is null")
+    more = few.withColumns({c: F.lit(f"x{k}") for k, c in enumerate(NAMES)})
+    labels = spark.createDataFrame([(1, 1, 0), (3, 1, 0), (5, 0, 1)], "doc_id long, quality int, toxic int").withColumns({c: F.lit(1) for c in NAMES})
+    rows = lambda df: Counter(map(str, df.collect()))
+    for run in (lambda d: quality.judge(d, labels), mixing.mix, license.scan, packing.pack_documents, jaccard.link_components, suffix.dedup_report):
+        assert rows(run(few)) == rows(run(more))
+    with Workspace(spark, "t") as ws:
+        for k, d in enumerate((few, more)):
+            folder = ws.path(f"files{k}")
+            got = rows(tokenbin.read_tokens(spark, folder, tokenbin.write_tokens(d, folder, shards=2), digest_only=True))
+            assert k == 0 or got == before
+            before = got
+    for run in (jaccard.keep_one, suffix.remove, mixing.mixed_documents, lambda d: langid.predict(d, langid.train(few.where("lang = 'en'"))).drop("lang_pred", "score")):
+        got = run(more)
+        assert got.columns == more.columns and {(r["key"], r["__row__"]) for r in got.collect()} == {(f"x{NAMES.index('key')}", f"x{NAMES.index('__row__')}")}
+        assert rows(got.select("doc_id", "text")) == rows(run(few).select("doc_id", "text"))
+
+
+def test_conversations_beside_other_columns(spark):
+    from braidlake.llm import chat
+    from braidlake.llm._common import Workspace
+
+    turns = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "assistant", "b" * 300_000), (2, 0, "user", None)], "conv_id long, turn long, role string, text string")
+    more = turns.withColumns({c: F.lit(1) for c in ("tree_id", "node_id", "parent_id", "score", "rank", "depth", "up", "leaf", "path", "id", "key", "n")})
+    with Workspace(spark, "t") as ws:
+        got = [sorted(map(str, chat.format_trees(ws.table(chat.from_turns(t), f"m{k}"), ws).collect())) for k, t in enumerate((turns, more))]
+    assert got[0] == got[1] and len(got[0]) == 2
