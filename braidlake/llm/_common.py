@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -45,6 +47,8 @@ def settings(spark: SparkSession, values: dict[str, str]):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+#: Narrow rows that make a file, where their number is known.
+ROWS_A_FILE = 250_000
 _left_over: list[tuple[SparkSession, str]] = []
 
 
@@ -77,8 +81,13 @@ class Workspace:
             writer.parquet(path)
         return path
 
-    def table(self, df: DataFrame, name: str, keep: bool = False) -> DataFrame:
-        """Writes df and reads it again: its lineage ends in files that outlive any executor."""
+    def table(self, df: DataFrame, name: str, keep: bool = False, rows: int | None = None) -> DataFrame:
+        """Writes df and reads it again: its lineage ends in files that outlive any executor.
+
+        rows: about how many it has, if that is known, so that few rows don't make many files.
+        """
+        if rows is not None:
+            df = df.coalesce(max(8, -(-rows // ROWS_A_FILE)))
         return self.spark.read.schema(df.schema).parquet(self.write(df, name, keep=keep))
 
     def bucketed(self, df: DataFrame, name: str, *by: str, dealt: bool = False) -> DataFrame:
@@ -144,6 +153,13 @@ def slices(batches, rows: int = 256):
             yield batch.slice(i, rows)
 
 
+def give_back() -> None:
+    """Returns memory that a Python worker has freed: it may live on in stages that need it elsewhere on its machine."""
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def share_of(column, share: float):
     """A repeatable sample: rows whose hash falls under a share of its range."""
     return F.pmod(F.xxhash64(column, F.lit(0x5EED)), F.lit(1 << 30)) < F.lit(int(min(1.0, share) * (1 << 30)))

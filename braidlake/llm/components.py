@@ -30,13 +30,13 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
 
 def components(edges: DataFrame, ws: Workspace) -> DataFrame:
     """(id, component) for every id in edges (a, b); a component is named by its least id. Written."""
-    edges = ws.table(edges.select("a", "b").where("a <> b").distinct(), "edges")
+    edges = ws.table(edges.select("a", "b").where("a <> b").distinct(), "edges", rows=edges.count())
     before = None
     while True:
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before or not now[0]:
             break
         before = now
-        edges = ws.table(_stars(_stars(edges, True), False), "edges")
+        edges = ws.table(_stars(_stars(edges, True), False), "edges", rows=now[0])
     roots = edges.select(F.col("b").alias("id"), F.col("b").alias("component"))
-    return ws.table(edges.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(roots).distinct(), "components")
+    return ws.table(edges.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(roots).distinct(), "components", rows=before[0] if before else 0)

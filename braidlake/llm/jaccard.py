@@ -299,29 +299,30 @@ def link_classes(docs: DataFrame, k: int, percent: int, ws: Workspace) -> tuple[
     multi = ws.table(multi, "multi")
     shared = ws.table(keys.hint("merge").join(multi, "key", "left_semi").distinct(), "shared")
     remove(spark, f"{made}/kind=1")
+    n = shared.count()
     ws.drop("multi")
     owners = heads.groupBy("id").agg(F.max(F.struct("doc_id", "text_hash")).alias("row"))
-    weights = ws.table(shared.groupBy("id").agg(F.count("*").alias("w")), "weights")
+    weights = ws.table(shared.groupBy("id").agg(F.count("*").alias("w")), "weights", rows=n)
     owners = owners.hint("merge").join(weights, "id", "left_semi").select("id", F.col("row.doc_id").alias("owner"), F.col("row.text_hash").alias("owner_hash"))
     texts = _rows(docs).where(F.length("text") > 0)
     chosen = texts.hint("merge").join(owners, texts["doc_id"].eqNullSafe(owners["owner"]) & (texts["text_hash"] == owners["owner_hash"]))
     sets = ws.bucketed(_tokens(chosen, k), "sets", "id")
-    members = ws.table(shared.hint("merge").join(weights, "id").select("key", "id", "w", F.col("id").alias("component")), "members0")
+    members = ws.table(shared.hint("merge").join(weights, "id").select("key", "id", "w", F.col("id").alias("component")), "members0", rows=n)
     ws.drop("shared")
     tested = edges = spark.createDataFrame([], "a long, b long")
     groups = spark.createDataFrame([], "id long, component long")
     for round_ in range(STAR_ROUNDS + 1):
         pairs = _stars(members, round_) if round_ < STAR_ROUNDS else _meetings(members, sets, percent, ws)
-        pairs = ws.table(pairs.hint("merge").join(tested, ["a", "b"], "left_anti"), "pairs")
+        pairs = ws.table(pairs.hint("merge").join(tested, ["a", "b"], "left_anti"), "pairs", rows=n)
         tested = tested.unionByName(pairs)
-        near = ws.table(_allowed(pairs, sets, percent), "near") if round_ < STAR_ROUNDS else pairs
-        edges = ws.table(edges.unionByName(_verify(near, sets, percent)), "links")
+        near = ws.table(_allowed(pairs, sets, percent), "near", rows=n) if round_ < STAR_ROUNDS else pairs
+        edges = ws.table(edges.unionByName(_verify(near, sets, percent)), "links", rows=n)
         groups = components(edges, ws)
         if round_ < STAR_ROUNDS:
             members = members.drop("component").hint("merge").join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
-            members = ws.table(members, f"labelled{round_}")
+            members = ws.table(members, f"labelled{round_}", rows=n)
             spread = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-            members = ws.table(members.hint("merge").join(spread, "key", "left_semi"), f"members{round_ + 1}")
+            members = ws.table(members.hint("merge").join(spread, "key", "left_semi"), f"members{round_ + 1}", rows=n)
             ws.drop(f"labelled{round_}", f"members{round_}")
             if members.isEmpty():
                 break

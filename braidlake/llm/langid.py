@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from braidlake.llm._common import share_of, slices
+from braidlake.llm._common import give_back, share_of, slices
 
 #: Training reads about so many documents of each language, taken by the hash of their id.
 SAMPLE_DOCUMENTS = 1_000
@@ -291,8 +291,9 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 langs = [shared.value.languages[k] if n else UNDETERMINED for k, n in zip(best.tolist(), sizes.tolist(), strict=True)]
             own = pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], schema=schema)
             yield pa.RecordBatch.from_arrays([*b.columns, *own.columns], [*b.schema.names, "lang_pred", "score"])
-        if scorer is not None:
-            scorer.clear()  # the worker may live on in stages that need its memory
+        scorer = None
+        _SCORERS.clear()
+        give_back()
 
     docs = docs.drop("lang_pred", "score")
     at = docs.columns.index("text")

@@ -26,7 +26,7 @@ _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_POWERS[0]) < n:
         for k, base in enumerate((BASE, INVERSE)):
-            x = np.full(max(n, 1 << 20), base, np.uint64)
+            x = np.full(max(n, 1 << 18), base, np.uint64)
             x[0] = 1
             _POWERS[k] = np.multiply.accumulate(x)
     return _POWERS[0][:n], _POWERS[1][:n]
@@ -53,7 +53,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, at - at[0]
 
 
-def byte_chunks(batch: pa.RecordBatch, column: int, most: int = 1 << 20):
+def byte_chunks(batch: pa.RecordBatch, column: int, most: int = 1 << 18):
     """Slices of a batch of about `most` bytes of text, one row at least."""
     _, at = text_bytes(batch.column(column))
     i = 0
