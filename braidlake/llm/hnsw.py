@@ -1,10 +1,15 @@
-"""Near-duplicate vectors through navigable small-world graphs, one for each shard of a label.
+"""Near-duplicate vectors through a layered graph for each label, searched by blocks of vectors at once.
 
-Equal vectors of a label are one class with a count. The classes of a label are dealt by hash into shards of a bounded
-size; each shard gets a graph and an audit: for a part of its own vectors the nearest are also found by comparing all, and
-the beam widens until enough of them are found by the graph. Every class is then a query to every shard of its label, in
-blocks; while a beam is full of links it widens, so no group is cut short. Links are verified in double precision. A block
-returns sums of links and the edges of a spanning forest of what it linked, never all pairs of a group.
+Equal vectors of a label are one class with a count. A label's graph has two layers: above, hubs (a bounded sample of its
+classes by hash); below, all its classes, each linked with its nearest hub. Every class is a query: it is compared with all
+hubs, and the links of every hub within a margin of its nearest one are followed. An audit sets the margin: sampled classes
+are turned by just the greatest angle that still links, at random and towards other classes, and the margin is what leads
+from all but a few of these to the hub of the class, and back. Layers are met by matrix products of many queries with a
+hub's links, not walked node by node: in Python that costs less than a walk among so few hubs, so hubs have no links among
+each other. Labels of more than SHARD classes lie in files of neighbouring hubs, which blocks of queries read in turn.
+
+Links are verified in double precision where single precision leaves a doubt. A block returns sums of links and the edges of
+a spanning forest of what it linked, never all pairs of a group.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components, and those without a label, have no
 links and are kept; rows that repeat are links of each other; labels may be of any type that can be written as text; an
@@ -14,251 +19,354 @@ empty table gives no rows; other columns are ignored, whatever their names.
 from __future__ import annotations
 
 import hashlib
-import heapq
-import io
+import json
+import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from braidlake.llm._common import Workspace, file_system, write_file
 from braidlake.llm.components import components
 
 COSINE = 0.93
-SHARD, BLOCK = 8_192, 512
-NEIGHBOURS, BUILD_BEAM, BEAM = 12, 64, 48
-#: The audit: so many vectors of a shard, so many of their nearest, and the part of these that must be found.
-AUDITED, NEAREST, RECALL = 48, 10, 0.97
-
-
-class Graph:
-    """A hierarchical navigable small-world graph over unit vectors. layers[l] maps a node to its neighbours."""
-
-    def __init__(self, unit: np.ndarray, beam: int = BEAM):
-        self.unit, self.layers, self.entry, self.beam = unit, [{}], 0, beam
-
-    def add(self, i: int, level: int) -> None:
-        q, top = self.unit[i], len(self.layers) - 1
-        if not self.layers[0]:
-            self.layers = [{i: []} for _ in range(level + 1)]
-            self.entry = i
-            return
-        at = [self.entry]
-        for layer in range(top, level, -1):
-            at = [self.search(q, at, 1, layer)[0][1]]
-        for layer in range(min(top, level), -1, -1):
-            near = self.search(q, at, BUILD_BEAM, layer)
-            chosen = self._diverse(near, NEIGHBOURS)
-            self.layers[layer][i] = chosen
-            for j in chosen:
-                links = self.layers[layer][j]
-                links.append(i)
-                if len(links) > (2 * NEIGHBOURS if layer == 0 else NEIGHBOURS):
-                    d = self.unit[links] @ self.unit[j]
-                    order = sorted(zip(d.tolist(), links, strict=True), reverse=True)
-                    self.layers[layer][j] = self._diverse(order, 2 * NEIGHBOURS if layer == 0 else NEIGHBOURS)
-            at = [j for _, j in near]
-        for _ in range(top, level):
-            self.layers.append({i: []})
-            self.entry = i
-
-    def _diverse(self, near: list[tuple[float, int]], most: int) -> list[int]:
-        """Neighbours that are nearer to the point than to each other, filled up with the nearest others."""
-        if len(near) <= most:
-            return [j for _, j in near]
-        ids = [j for _, j in near]
-        among = self.unit[ids] @ self.unit[ids].T
-        closest, kept, rest = np.full(len(ids), -2.0), [], []
-        for k, (d, j) in enumerate(near):
-            if closest[k] < d and len(kept) < most:
-                kept.append(j)
-                np.maximum(closest, among[k], out=closest)
-            else:
-                rest.append(j)
-        return kept + rest[: most - len(kept)]
-
-    def search(self, q: np.ndarray, entries: list[int], beam: int, layer: int = 0) -> list[tuple[float, int]]:
-        """The (cosine, node) nearest to q, best first."""
-        links, unit = self.layers[layer], self.unit
-        seen = set(entries)
-        found = [(float(d), j) for d, j in zip((unit[entries] @ q).tolist(), entries, strict=True)]
-        heapq.heapify(found)
-        todo = [(-d, j) for d, j in found]
-        heapq.heapify(todo)
-        while len(found) > beam:
-            heapq.heappop(found)
-        while todo:
-            d, j = heapq.heappop(todo)
-            if len(found) >= beam and -d < found[0][0]:
-                break
-            new = [k for k in links[j] if k not in seen]
-            if not new:
-                continue
-            seen.update(new)
-            for d, k in zip((unit[new] @ q).tolist(), new, strict=True):
-                if len(found) < beam:
-                    heapq.heappush(found, (d, k))
-                    heapq.heappush(todo, (-d, k))
-                elif d > found[0][0]:
-                    heapq.heapreplace(found, (d, k))
-                    heapq.heappush(todo, (-d, k))
-        return sorted(found, reverse=True)
-
-    def nearest(self, q: np.ndarray, beam: int, own: int | None = None) -> list[tuple[float, int]]:
-        at = self.entry
-        for layer in range(len(self.layers) - 1, 0, -1):
-            at = self.search(q, [at], 1, layer)[0][1]
-        return self.search(q, [at] if own is None or own == at else [at, own], beam)
-
-    def within(self, q: np.ndarray, cosine: float, own: int | None = None) -> list[int]:
-        """Nodes found with at least that cosine; the beam widens while it holds nothing else."""
-        beam = self.beam
-        while True:
-            found = self.nearest(q, beam, own)
-            if found[-1][0] < cosine or len(found) < beam or beam >= len(self.unit):
-                return [j for d, j in found if d >= cosine]
-            beam *= 2
-
-
-def build(unit: np.ndarray, ids: np.ndarray) -> Graph:
-    """A graph whose levels come from hashes of the ids, with a beam that passes the audit."""
-    g = Graph(unit)
-    draws = ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(11)).astype(np.float64) / (1 << 53)
-    levels = np.minimum(12, (-np.log(np.maximum(draws, 1e-12)) / np.log(NEIGHBOURS)).astype(int)).tolist()
-    for i in range(len(unit)):
-        g.add(i, levels[i])
-    audited = np.argsort(draws, kind="stable")[:AUDITED].tolist()
-    n = min(NEAREST, len(unit))
-    cosines = unit[audited] @ unit.T
-    true = np.argpartition(-cosines, n - 1, axis=1)[:, :n]
-    least = np.take_along_axis(cosines, true, 1).min(axis=1)
-    while g.beam < len(unit):
-        hits = sum(min(n, sum(d >= least[k] - 1e-6 for d, _ in g.nearest(unit[i], g.beam))) for k, i in enumerate(audited))
-        if hits >= RECALL * n * len(audited):
-            break
-        g.beam *= 2
-    return g
+#: Classes of a file, and of a block of queries.
+SHARD, BLOCK = 8_192, 16_384
+#: A label of n classes has sqrt(SPREAD * n) hubs, up to so many and so many bytes.
+SPREAD, HUBS, HUB_BYTES = 16, 8_192, 1 << 25
+#: The audit: so many classes beside the hubs, and the part of the hardest links that must be followed from either end.
+AUDITED, RECALL = 512, 0.995
+#: Hubs that a block follows in one pass over the files, elements of a product, and edges held before they become a forest.
+FOLLOWED, PRODUCT, EDGES = 1_000_000, 1 << 19, 100_000
+
 
+def hub_count(n: int, d: int) -> int:
+    return max(1, min(n, int((SPREAD * n) ** 0.5), HUBS, HUB_BYTES // (4 * max(1, d))))
 
-def _save(path: str, g: Graph, ids, counts, vectors) -> None:
-    parts = {"ids": ids, "counts": counts, "vectors": vectors, "head": np.array([g.entry, g.beam, len(g.layers)])}
-    for k, layer in enumerate(g.layers):
-        nodes = sorted(layer)
-        parts[f"nodes{k}"] = np.array(nodes, np.int32)
-        parts[f"sizes{k}"] = np.array([len(layer[i]) for i in nodes], np.int32)
-        parts[f"links{k}"] = np.array([j for i in nodes for j in layer[i]], np.int32)
-    out = io.BytesIO()
-    np.savez(out, **parts)
-    write_file(path, [out.getvalue()])
+
+def _scaled(vectors: np.ndarray) -> np.ndarray:
+    """Vectors over a power of two that leaves their components below 1: their squares neither overflow nor vanish."""
+    return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1, keepdims=True))[1])
+
+
+def _unit(vectors: np.ndarray) -> np.ndarray:
+    """Unit vectors of scaled ones."""
+    out = np.empty(vectors.shape, np.float32)
+    for i in range(0, len(out), 2048):
+        v = vectors[i : i + 2048]
+        norms = np.sqrt(np.einsum("ij,ij->i", v, v, dtype=np.float64))
+        np.multiply(v, (1 / norms).astype(np.float32)[:, None], out=out[i : i + 2048], casting="same_kind")
+    return out
 
 
-def _load(path: str, graph: bool = True):
+def pack(column: pa.Array, double: bool) -> tuple[np.ndarray, pa.Array]:
+    """Lengths of lists of numbers and their bytes after scaling; none for those that can link with nothing."""
+    kind = np.dtype("<f8" if double else "<f4")
+    lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy().astype(np.int32)
+    out = np.empty(len(lengths), object)
+    for d in np.unique(lengths[lengths > 0]).tolist():
+        at = np.flatnonzero(lengths == d)
+        v = column.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(-1, d)  # null: not a number
+        usable = np.isfinite(v).all(axis=1) & (v != 0).any(axis=1)
+        data, size = _scaled(v[usable]).tobytes(), d * kind.itemsize
+        out[at[usable]] = [data[i : i + size] for i in range(0, len(data), size)]
+    return lengths, pa.array(out, pa.binary())
+
+
+def _matrix(column, at: np.ndarray, d: int) -> np.ndarray:
+    """Those rows of a column of d packed numbers each."""
+    data = column.take(pa.array(at)).combine_chunks() if isinstance(column, pa.ChunkedArray) else column.take(pa.array(at))
+    width = len(data[0].as_buffer()) if len(data) else 4 * d
+    begin = np.frombuffer(data.buffers()[1], np.int32, 1, 4 * data.offset)[0] if len(data) else 0
+    return np.frombuffer(data.buffers()[2], f"<f{width // d}", len(at) * d, begin).reshape(len(at), d)
+
+
+def audit(hubs: np.ndarray, sample: np.ndarray, cosine: float, recall: float = RECALL) -> float:
+    """The margin that leads from a sampled unit vector's hardest links to its hub, and from it to theirs."""
+    if len(sample) < 64:
+        return 4.0
+    rng, x, far = np.random.default_rng(6), sample.astype(np.float64), (1 - cosine * cosine) ** 0.5
+    scores = sample @ hubs.T
+    home, top, row, margins = scores.argmax(axis=1), scores.max(axis=1), np.arange(len(x)), []
+    for aside in (rng.normal(size=x.shape), np.roll(x, 1, axis=0), -np.roll(x, len(x) // 2, axis=0)):
+        aside = aside - (aside * x).sum(axis=1, keepdims=True) * x
+        aside /= np.maximum(np.sqrt((aside * aside).sum(axis=1, keepdims=True)), 1e-12)
+        turned = (cosine * x + far * aside).astype(np.float32) @ hubs.T
+        margins += [turned.max(axis=1) - turned[row, home], top - scores[row, turned.argmax(axis=1)]]
+    return max(float(np.quantile(m, recall)) for m in margins) + 1e-5
+
+
+def layer(vectors: np.ndarray, ids: np.ndarray, n: int, cosine: float) -> tuple[np.ndarray, float]:
+    """Unit vectors of the hubs of n classes and the margin, from all of the classes or a sample by hash."""
+    order = np.argsort(ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), kind="stable")
+    k = min(hub_count(n, vectors.shape[1]), len(order))
+    hubs = _unit(vectors[order[:k]])
+    return hubs, audit(hubs, _unit(vectors[order[k : k + AUDITED]]), cosine)
+
+
+def homes(unit: np.ndarray, hubs: np.ndarray) -> np.ndarray:
+    step = max(16, PRODUCT // len(hubs))
+    return np.concatenate([(unit[i : i + step] @ hubs.T).argmax(axis=1) for i in range(0, len(unit), step)]).astype(np.int32)
+
+
+def passes(unit: np.ndarray, hubs: np.ndarray, margin: float):
+    """The hubs that queries follow, as (queries sorted by hub, where each hub's begin), a bounded number at a time."""
+    step, whole, queries, followed, n = max(16, PRODUCT // len(hubs)), hubs.T.copy(), [], [], 0
+    for i in range(0, len(unit), step):
+        scores = unit[i : i + step] @ whole
+        q, h = np.divmod(np.flatnonzero(scores >= scores.max(axis=1, keepdims=True) - np.float32(margin)), len(hubs))
+        queries.append((q + i).astype(np.int32))
+        followed.append(h.astype(np.uint16))
+        n += len(q)
+        if n > FOLLOWED or i + step >= len(unit):
+            h = np.concatenate(followed)
+            order = np.argsort(h, kind="stable")
+            yield np.concatenate(queries)[order], np.concatenate([[0], np.cumsum(np.bincount(h, minlength=len(hubs)))])
+            queries, followed, n = [], [], 0
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As many of the edges as connect what all of them connect: components hook onto a lower neighbour in rounds."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y, kept = at[: len(a)], at[len(a) :], []
+    label, edge = np.arange(len(nodes)), np.arange(len(a))
+    while True:
+        low, high = np.minimum(label[x], label[y]), np.maximum(label[x], label[y])
+        apart = np.flatnonzero(low != high)
+        if not len(apart):
+            break
+        apart = apart[np.argsort(-low[apart], kind="stable")]
+        x, y, edge, low, high = x[apart], y[apart], edge[apart], low[apart], high[apart]
+        last = np.full(len(nodes), -1)
+        last[high] = np.arange(len(high))  # the lowest neighbour is written last
+        chosen = last[last >= 0]
+        kept.append(edge[chosen])
+        up = np.arange(len(nodes))
+        up[high[chosen]] = low[chosen]
+        while (up[up] != up).any():
+            up = up[up]
+        label = up[label]
+    kept = np.concatenate(kept) if kept else np.zeros(0, np.int64)
+    return a[kept], b[kept]
+
+
+class Links:
+    """Sums of links of a block of queries, and a forest of these links."""
+
+    def __init__(self, vectors: np.ndarray, unit: np.ndarray, ids: np.ndarray, cosine: float):
+        self.vectors, self.unit, self.ids, self.cosine = vectors, unit, ids, cosine
+        self.sums, self.a, self.b, self.held = np.zeros(len(ids)), [], [], 0
+
+    def follow(self, queries: np.ndarray, vectors: np.ndarray, unit: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
+        """Compares queries with the classes that a hub links."""
+        doubt, n = 1e-4 + 1.2e-7 * unit.shape[1], len(unit)
+        for i in range(0, n, PRODUCT):
+            part = slice(i, min(n, i + PRODUCT))
+            other, step = unit[part].T, max(1, PRODUCT // (part.stop - i))
+            for k in range(0, len(queries), step):
+                q = queries[k : k + step]
+                scores = (self.unit[q] @ other).ravel()
+                hits = np.flatnonzero(scores >= np.float32(self.cosine - doubt))
+                if not len(hits):
+                    continue
+                near, (at, j) = scores[hits], np.divmod(hits, part.stop - i)
+                at, j = q[at], j + i
+                take = self.ids[at] != ids[j]
+                unsure = np.flatnonzero(take & (near < self.cosine + doubt))
+                for s in range(0, len(unsure), 10_000):
+                    u = unsure[s : s + 10_000]
+                    v, w = self.vectors[at[u]].astype(np.float64), vectors[j[u]].astype(np.float64)
+                    take[u] = (v * w).sum(axis=1) / np.sqrt((v * v).sum(axis=1) * (w * w).sum(axis=1)) >= self.cosine
+                at, j = at[take], j[take]
+                if len(at):
+                    np.add.at(self.sums, at, counts[j])
+                    self.a.append(self.ids[at])
+                    self.b.append(ids[j])
+                    self.held += len(at)
+                    if self.held > EDGES:
+                        self._shrink()
+
+    def _shrink(self) -> None:
+        if self.a:
+            a, b = forest(np.concatenate(self.a), np.concatenate(self.b))
+            self.a, self.b, self.held = [a], [b], 0
+
+    def rows(self) -> tuple[list, list, list]:
+        """id, links and other: links of an id, or an edge."""
+        self._shrink()
+        linked = np.flatnonzero(self.sums)
+        a, b = (self.a[0].tolist(), self.b[0].tolist()) if self.a else ([], [])
+        return self.ids[linked].tolist() + a, self.sums[linked].astype(np.int64).tolist() + [None] * len(a), [None] * len(linked) + b
+
+
+def search_label(vectors: np.ndarray, ids: np.ndarray, counts: np.ndarray, cosine: float) -> Links:
+    """All links of a label whose classes are at hand."""
+    hubs, margin = layer(vectors, ids, len(ids), cosine)
+    unit = _unit(vectors)
+    links, home = Links(vectors, unit, ids, cosine), homes(unit, hubs)
+    below = np.argsort(home, kind="stable")
+    begin = np.searchsorted(home[below], np.arange(len(hubs) + 1))
+    for queries, starts in passes(unit, hubs, margin):
+        for h in np.flatnonzero((np.diff(starts) > 0) & (np.diff(begin) > 0)).tolist():
+            at = below[begin[h] : begin[h + 1]]
+            links.follow(queries[starts[h] : starts[h + 1]], vectors[at], unit[at], ids[at], counts[at])
+    return links
+
+
+def _save(path: str, **parts: np.ndarray) -> None:
+    head = json.dumps([(k, v.dtype.str, v.shape) for k, v in parts.items()]).encode()
+    write_file(path, [len(head).to_bytes(8, "little"), head, *(np.ascontiguousarray(v).tobytes() for v in parts.values())])
+
+
+def _load(path: str) -> dict[str, np.ndarray]:
     fs, path = file_system(path)
     with fs.open_input_stream(path, compression=None) as f:
-        parts = np.load(io.BytesIO(f.read()))
-    vectors = parts["vectors"]
-    norms = np.sqrt((vectors * vectors).sum(axis=1))
-    g = None
-    if graph:
-        g = Graph((vectors / norms[:, None]).astype(np.float32))
-        g.entry, g.beam, layers = map(int, parts["head"])
-        g.layers = []
-        for k in range(layers):
-            ends = np.cumsum(parts[f"sizes{k}"])
-            links = parts[f"links{k}"].tolist()
-            g.layers.append({i: links[e - s : e] for i, s, e in zip(parts[f"nodes{k}"].tolist(), parts[f"sizes{k}"].tolist(), ends.tolist(), strict=True)})
-    return g, parts["ids"], parts["counts"], vectors, norms
-
-
-def _forest(edges: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """As many of the edges as connect what all of them connect."""
-    root: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        while root.setdefault(x, x) != x:
-            root[x] = x = root[root[x]]
-        return x
-
-    out = []
-    for a, b in edges:
-        x, y = find(a), find(b)
-        if x != y:
-            root[x] = y
-            out.append((a, b))
-    return out
+        data = f.read()
+    at, parts = 8 + int.from_bytes(data[:8], "little"), {}
+    for k, kind, shape in json.loads(data[8:at]):
+        parts[k] = np.frombuffer(data, kind, math.prod(shape), at).reshape(shape)
+        at += parts[k].nbytes
+    return parts
+
+
+def _place(folder: str, label: str, d: int, shard: int | str) -> str:
+    return f"{folder}/{hashlib.sha1(label.encode()).hexdigest()}-{d}-{shard}"
+
+
+def search_block(folder: str, label: str, d: int, shards: list[int], asked: list[int], cosine: float) -> Links:
+    """The links of the classes of some shards of a label among all of its shards."""
+    top = _load(_place(folder, label, d, "hubs"))
+    own = [_load(_place(folder, label, d, s)) for s in asked]
+    vectors, ids = np.concatenate([p["vectors"] for p in own]), np.concatenate([p["ids"] for p in own])
+    del own
+    links = Links(vectors, _unit(vectors), ids, cosine)
+    for queries, starts in passes(links.unit, top["hubs"], top["margin"][0]):
+        for s in shards:
+            lo, hi = np.searchsorted(top["shards"], [s, s + 1])
+            if starts[lo] == starts[hi]:
+                continue
+            p = _load(_place(folder, label, d, s))
+            unit, begin = _unit(p["vectors"]), np.searchsorted(p["home"], np.arange(lo, hi + 1))
+            for h in np.flatnonzero((np.diff(starts[lo : hi + 1]) > 0) & (np.diff(begin) > 0)).tolist():
+                at = slice(begin[h], begin[h + 1])
+                links.follow(queries[starts[lo + h] : starts[lo + h + 1]], p["vectors"][at], unit[at], p["ids"][at], p["counts"][at])
+    return links
 
 
-def search_block(index_path: str, query_path: str, block: int, cosine: float) -> tuple[list, list]:
-    """(id, links) of a block of one shard's classes among another shard's, and edges that connect them."""
-    g, ids, counts, vectors, norms = _load(index_path)
-    own = index_path == query_path
-    _, qids, _, qvectors, qnorms = (None, ids, None, vectors, norms) if own else _load(query_path, False)
-    sums, edges = [], []
-    for i in range(block * BLOCK, min(len(qids), (block + 1) * BLOCK)):
-        q = (qvectors[i] / qnorms[i]).astype(np.float32)
-        near = np.array([j for j in g.within(q, cosine - 1e-4, i if own else None) if not own or j != i], np.int64)
-        if len(near):
-            exact = (vectors[near] @ qvectors[i]) / (norms[near] * qnorms[i])
-            near = near[exact >= cosine]
-        if len(near):
-            sums.append((int(qids[i]), int(counts[near].sum())))
-            edges += [(int(qids[i]), int(j)) for j in ids[near]]
-            if len(edges) > 200_000:
-                edges = _forest(edges)
-    return sums, _forest(edges)
+FOUND = pa.schema([("id", pa.int64()), ("links", pa.int64()), ("other", pa.int64())])
 
 
 def near_vectors(rows: DataFrame, cosine: float = COSINE) -> DataFrame:
     """vec_id, n_links, component_id and kept for every row of (vec_id, embedding, label). Written."""
-    spark = rows.sparkSession
-    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    usable = F.col("label").isNotNull() & F.coalesce(finite & F.exists("embedding", lambda x: x != 0), F.lit(False))
+    spark, double = rows.sparkSession, dict(rows.dtypes)["embedding"] != "array<float>"
+    shard_rows, block_shards = SHARD, max(1, BLOCK // SHARD)
     with Workspace(spark, "vectors") as ws:
-        rows = rows.select("vec_id", "embedding", "label").withColumn("id", F.when(usable, F.xxhash64("label", "embedding")))
-        named = ws.table(rows.select("vec_id", "id"), "named")
-        classes = rows.where("id is not null").groupBy("id", "label", "embedding").agg(F.count("*").alias("c"))
-        classes = ws.table(classes.withColumn("embedding", F.col("embedding").cast("array<double>")), "classes")
-        sizes = classes.groupBy("label").agg(F.ceil(F.count("*") / SHARD).alias("shards"))
-        dealt = classes.join(sizes, "label").withColumn("shard", F.pmod("id", F.col("shards")))
+        rows = rows.select("vec_id", F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>" if double else "array<float>"))
+        kinds = [rows.schema["vec_id"], *T.StructType().add("label", "string").add("d", "integer").add("vector", "binary")]
+
+        def packed(batches):
+            for b in batches:
+                d, vector = pack(b.column("embedding"), double)
+                yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("label"), pa.array(d), vector], ["vec_id", "label", "d", "vector"])
+
+        name = F.when(F.col("label").isNotNull() & F.col("vector").isNotNull(), F.xxhash64("label", "vector")).alias("id")
+        whole = ws.table(rows.mapInArrow(packed, T.StructType(kinds)).select("vec_id", name, "label", "d", "vector"), "packed")
+        named = ws.table(whole.select("vec_id", "id"), "named")
+        classes = ws.table(whole.where("id is not null").groupBy("id", "label", "d", "vector").agg(F.count("*").alias("c")), "classes")
+        ws.drop("packed")
+        counts = ws.table(classes.select("id", "c"), "counts")
+        sizes = ws.table(classes.groupBy("label", "d").agg(F.count("*").alias("n")), "sizes")  # vectors of other lengths can't be compared
         folder = ws.path("graphs")
 
-        def index(key, table):
-            label, shard = (k.as_py() for k in key)
-            ids = table.column("id").to_numpy()
-            order = np.argsort(ids)
-            width = np.array([len(v) for v in table.column("embedding")])
-            paths = []
-            for d in np.unique(width):  # vectors of other lengths can't be compared
-                at = order[width[order] == d]
-                vectors = np.array(table.column("embedding").take(pa.array(at)).to_pylist(), np.float64).reshape(len(at), d)
-                vectors /= np.abs(vectors).max(axis=1, keepdims=True)
-                norms = np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
-                g = build((vectors / norms).astype(np.float32), ids[at])
-                paths.append((label, int(d), shard, f"{folder}/{hashlib.sha1(label.encode()).hexdigest()[:16]}-{d}-{shard}.npz", len(at)))
-                _save(paths[-1][3], g, ids[at], table.column("c").to_numpy()[at], vectors)
-            names = ["label", "d", "shard", "path", "n"]
-            return pa.Table.from_pylist([dict(zip(names, p, strict=True)) for p in paths], schema=graphs)
-
-        graphs = pa.schema([("label", pa.string()), ("d", pa.int64()), ("shard", pa.int64()), ("path", pa.string()), ("n", pa.int64())])
-        made = dealt.select(F.col("label").cast("string").alias("label"), "shard", "id", "embedding", "c").groupBy("label", "shard")
-        made = ws.table(made.applyInArrow(index, "label string, d long, shard long, path string, n long"), "shards")
-        asked = made.select("label", "d", F.col("path").alias("query"), F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / BLOCK) - 1)).alias("block"))
-        jobs = ws.table(asked.join(made.select("label", "d", "path"), ["label", "d"]).select("path", "query", "block"), "jobs")
-        out = pa.schema([("id", pa.int64()), ("links", pa.int64()), ("other", pa.int64())])
+        def small(key, table):
+            d = key[1].as_py()
+            vectors = _matrix(table.column("vector"), np.arange(table.num_rows), d)
+            links = search_label(vectors, table.column("id").to_numpy(), table.column("c").to_numpy(), cosine)
+            return pa.table([pa.array(x, pa.int64()) for x in links.rows()], schema=FOUND)
+
+        def sample(key, table):
+            label, d, n = (k.as_py() for k in key)
+            vectors = _matrix(table.column("vector"), np.arange(table.num_rows), d)
+            hubs, margin = layer(vectors, table.column("id").to_numpy(), n, cosine)
+            shards = np.arange(len(hubs)) * -(-n // shard_rows) // len(hubs)
+            _save(_place(folder, label, d, "hubs"), hubs=hubs, margin=np.array([margin]), shards=shards)
+            return pa.table({"hubs": pa.array([len(hubs)], pa.int64())})
+
+        def link(batches):
+            """Each class with its nearest hub."""
+            known, size = {}, 0
+
+            def linked(part):
+                nonlocal size
+                b = pa.Table.from_batches(part).combine_chunks()
+                names = pc.dictionary_encode(b.column("label")).combine_chunks()
+                code, ds, column = names.indices.to_numpy(), b.column("d").to_numpy(), b.column("vector")
+                home, shard = np.zeros(len(code), np.int32), np.zeros(len(code), np.int64)
+                for c, d in set(zip(code.tolist(), ds.tolist(), strict=True)):
+                    key = (names.dictionary[c].as_py(), d)
+                    if key not in known:
+                        if size > 2 * HUB_BYTES:
+                            known.clear()
+                            size = 0
+                        top = _load(_place(folder, *key, "hubs"))
+                        known[key] = top["hubs"], top["shards"]
+                        size += top["hubs"].nbytes
+                    hubs, shards = known[key]
+                    at = np.flatnonzero((code == c) & (ds == d))
+                    home[at] = homes(_unit(_matrix(column, at, d)), hubs)
+                    shard[at] = shards[home[at]]
+                b = b.append_column("home", pa.array(home)).append_column("shard", pa.array(shard))
+                yield from b.to_batches(max_chunksize=1000)
+
+            part, n = [], 0
+            for b in batches:
+                part.append(b)
+                n += b.nbytes
+                if n > 1 << 22:
+                    yield from linked(part)
+                    part, n = [], 0
+            if part:
+                yield from linked(part)
+
+        def store(key, table):
+            label, d, shard = (k.as_py() for k in key)
+            home, ids = table.column("home").to_numpy(), table.column("id").to_numpy()
+            order = np.lexsort((ids, home))
+            vectors = _matrix(table.column("vector"), order, d)
+            _save(_place(folder, label, d, shard), vectors=vectors, ids=ids[order], counts=table.column("c").to_numpy()[order], home=home[order])
+            return pa.table({"label": [label], "d": pa.array([d], pa.int32()), "shard": pa.array([shard], pa.int64())})
 
         def search(batches):
             for b in batches:
                 for job in b.to_pylist():
-                    sums, edges = search_block(job["path"], job["query"], job["block"], cosine)
-                    columns = [[x for x, _ in sums + edges], [n for _, n in sums] + [None] * len(edges), [None] * len(sums) + [y for _, y in edges]]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=out)
-
-        spread = jobs.repartition(max(1, min(4096, jobs.count())))
-        found = ws.table(spread.mapInArrow(search, "id long, links long, other long"), "found")
-        groups = components(found.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")), ws)
+                    links = search_block(folder, job["label"], job["d"], job["shards"], job["asked"], cosine)
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in links.rows()], schema=FOUND)
+
+        result = "id long, links long, other long"
+        few = classes.join(sizes.where(F.col("n") <= shard_rows).drop("n"), ["label", "d"])
+        found = ws.table(few.groupBy("label", "d").applyInArrow(small, result), "found")
+        big = sizes.where(F.col("n") > shard_rows)
+        if not big.isEmpty():
+            many = classes.join(big, ["label", "d"])
+            wanted = F.least(F.sqrt(SPREAD * F.col("n")), F.lit(HUBS), HUB_BYTES / (4 * F.col("d"))) + AUDITED
+            sampled = many.where(F.pmod(F.xxhash64("id"), F.col("n")) < wanted).select("label", "d", "n", "id", "vector")
+            ws.table(sampled.groupBy("label", "d", "n").applyInArrow(sample, "hubs long"), "hubs")
+            many = many.select("label", "d", "id", "c", "vector")
+            dealt = many.mapInArrow(link, f"label string, d int, id long, c long, vector binary, home int, shard long")
+            shards = ws.table(dealt.groupBy("label", "d", "shard").applyInArrow(store, "label string, d int, shard long"), "shards")
+            ws.drop("classes")
+            every = shards.groupBy("label", "d").agg(F.sort_array(F.collect_list("shard")).alias("shards"))
+            block = F.floor(F.col("shard") / block_shards).alias("block")
+            asked = shards.groupBy("label", "d", block).agg(F.sort_array(F.collect_list("shard")).alias("asked"))
+            jobs = ws.table(asked.join(every, ["label", "d"]).select("label", "d", "shards", "asked"), "jobs")
+            spread = jobs.repartition(max(1, min(4096, jobs.count())))
+            found = found.unionByName(ws.table(spread.mapInArrow(search, result), "linked"))
+        groups = components(found.where("other is not null").select(F.greatest("id", "other").alias("a"), F.least("id", "other").alias("b")), ws)
         links = found.where("links is not null").groupBy("id").agg(F.sum("links").alias("links"))
-        facts = classes.select("id", "c").join(links, "id", "left").join(groups, "id", "left")
+        facts = counts.join(links, "id", "left").join(groups, "id", "left")
         facts = facts.select("id", (F.col("c") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component"))
         named = ws.table(named.join(facts, "id", "left"), "facts")
         least = named.where("component is not null").groupBy("component").agg(F.min("vec_id").alias("least"))

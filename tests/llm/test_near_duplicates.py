@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -179,3 +180,32 @@ def test_vectors_equal_all_pairs(spark, monkeypatch):
         assert sum(r.n_links for r in got) >= 0.99 * sum(n_links.values())
         assert sum(r.n_links for r in got) <= sum(n_links.values())
     assert hnsw.near_vectors(df.where("false")).count() == 0
+
+
+def test_large_label_is_not_compared_with_all():
+    """A label of 20,000 vectors, a fifth of them turned by up to the angle that still links: links, sums and the work done."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(16_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    aside, cosine = rng.normal(size=(4000, 64)), rng.uniform(0.93, 1, size=(4000, 1))
+    aside -= (aside * x[:4000]).sum(axis=1, keepdims=True) * x[:4000]
+    aside /= np.linalg.norm(aside, axis=1, keepdims=True)
+    v = np.concatenate([x, cosine * x[:4000] + np.sqrt(1 - cosine**2) * aside]).astype(np.float32)
+    ids, counts = (rng.permutation(20_000) - 5000) * 7919, rng.integers(1, 4, 20_000)
+    begun = time.process_time()
+    got, links, other = hnsw.search_label(v, ids, counts, 0.93).rows()
+    spent = time.process_time() - begun
+    unit = v.astype(np.float64) / np.linalg.norm(v.astype(np.float64), axis=1, keepdims=True)
+    want, pairs = np.zeros(20_000, np.int64), []
+    for i in range(0, 20_000, 1000):
+        near = unit[i : i + 1000] @ unit.T >= 0.93
+        near[np.arange(1000), np.arange(i, i + 1000)] = False
+        want[i : i + 1000] = near @ counts
+        pairs += [(i + int(a), int(b)) for a, b in zip(*np.nonzero(near), strict=True)]
+    have = {a: n for a, n in zip(got, links, strict=True) if n is not None}
+    assert all(n <= m for n, m in zip(map(have.get, ids.tolist(), [0] * len(ids)), want.tolist(), strict=True))
+    assert sum(have.values()) >= 0.98 * want.sum() > 0
+    at = {int(x): i for i, x in enumerate(ids)}
+    edges = [(at[a], at[b]) for a, b in zip(got, other, strict=True) if b is not None]
+    assert linked(ids.tolist(), edges) == linked(ids.tolist(), pairs)
+    assert spent < 20  # the walked graphs took over 2 ms a vector and shard
