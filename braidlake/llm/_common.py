@@ -73,22 +73,22 @@ class Workspace:
         (self.kept if keep else self.temporary).append(path)
         return path
 
-    def write(self, df: DataFrame, name: str, by: str | None = None, keep: bool = False) -> str:
-        """Writes df, in a folder for each value of `by` if given, and returns the path."""
+    def write(self, df: DataFrame, name: str, by: str | None = None, keep: bool = False, at_once: int = 1000) -> str:
+        """Writes df, in a folder for each value of `by` if given, and returns the path. at_once: rows of a batch for Python."""
         path = self.path(name, keep)
         writer = df.write.partitionBy(by) if by else df.write
-        with settings(self.spark, {**WRITING, "spark.sql.maxConcurrentOutputFileWriters": "64"}):
+        with settings(self.spark, {**WRITING, "spark.sql.maxConcurrentOutputFileWriters": "64", "spark.sql.execution.arrow.maxRecordsPerBatch": str(at_once)}):
             writer.parquet(path)
         return path
 
-    def table(self, df: DataFrame, name: str, keep: bool = False, rows: int | None = None) -> DataFrame:
+    def table(self, df: DataFrame, name: str, keep: bool = False, rows: int | None = None, at_once: int = 1000) -> DataFrame:
         """Writes df and reads it again: its lineage ends in files that outlive any executor.
 
         rows: about how many it has, if that is known, so that few rows don't make many files.
         """
         if rows is not None:
             df = df.coalesce(max(8, -(-rows // ROWS_A_FILE)))
-        return self.spark.read.schema(df.schema).parquet(self.write(df, name, keep=keep))
+        return self.spark.read.schema(df.schema).parquet(self.write(df, name, keep=keep, at_once=at_once))
 
     def bucketed(self, df: DataFrame, name: str, *by: str, dealt: bool = False) -> DataFrame:
         """Writes df dealt out and sorted by columns: joins on them read it as it lies, without a shuffle of this side.
