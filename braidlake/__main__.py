@@ -33,6 +33,7 @@ def _parser() -> argparse.ArgumentParser:
     p.add_argument("--ref-free", metavar="GRAPH")
     p.add_argument("--no-quality", action="store_true")
     p.add_argument("--no-optional", action="store_true")
+    p.add_argument("--positions", action="store_true", help="keep paths as start positions with a table of jumps")
     p = sub.add_parser("export-reads", help="a store of alignments to text")
     p.add_argument("reads")
     p.add_argument("graph")
@@ -113,7 +114,7 @@ def main(argv: list[str] | None = None) -> None:
         _say(**{r.key: r.value for r in store.header_counts(store.open_graph(spark, args.output)).collect()})
     elif args.command == "build-reads":
         graph = store.open_graph(spark, args.ref_free) if args.ref_free else None
-        params = store.AlignmentParams(args.block_size, graph is not None, not args.no_quality, not args.no_optional)
+        params = store.AlignmentParams(args.block_size, graph is not None, not args.no_quality, not args.no_optional, args.positions)
         heads = [r.value for r in text.headers(text.read_lines(spark, args.gaf)).collect()]
         store.write_alignments(text.read_gaf(spark, args.gaf), args.output, params, graph, name=GraphName.from_headers(heads))
         opened = store.open_alignments(spark, args.output)

@@ -122,10 +122,18 @@ def _binned(offsets: DataFrame) -> DataFrame:
 
 
 def offset_to_position(queries: DataFrame, offsets: DataFrame) -> DataFrame:
-    """The step that holds each path_offset, and the offset in its node. Offsets past the end have no row."""
+    """The step that holds each path_offset, and the offset in its node. Offsets past the end have no row. If steps have
+    their visits' places, also that of the visit."""
     q = queries.withColumn("bin", F.floor(F.col("path_offset") / BIN))
     hit = q.join(_binned(offsets), ["path_handle", "bin"]).where("step_start <= path_offset and path_offset < step_end")
-    return hit.select(*queries.columns, "step", "handle", "step_start", "step_end", (F.col("path_offset") - F.col("step_start")).alias("node_offset"))
+    visit = ["offset"] if "offset" in offsets.columns and "offset" not in queries.columns else []
+    return hit.select(*queries.columns, "step", "handle", "step_start", "step_end", (F.col("path_offset") - F.col("step_start")).alias("node_offset"), *visit)
+
+
+def position_views(found: DataFrame) -> DataFrame:
+    """What a located offset is in other terms: its node, orientation and offset there, and the visit (handle, place among its visits)."""
+    handle = F.col("handle")
+    return found.withColumns({"node_id": F.shiftright(handle, 1), "is_reverse": handle.bitwiseAND(F.lit(1)) == 1}).withColumnRenamed("offset", "visit")
 
 
 def interval_to_steps(queries: DataFrame, offsets: DataFrame) -> DataFrame:

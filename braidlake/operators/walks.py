@@ -9,28 +9,37 @@ from braidlake.schema import Graph, edge_is_canonical, flipped_path, is_reverse,
 
 
 def islands(offsets: DataFrame, nodes: DataFrame, ref_path: int | None = None, ref_step: int | None = None) -> DataFrame:
-    """Maximal runs of steps inside the nodes: path_handle, first_step, walk, walk_start, walk_end, is_ref."""
+    """Maximal runs of steps inside the nodes: path_handle, first_step, walk, walk_start, walk_end, is_ref.
+
+    If steps have their visits' places, also those of the first visit and, read backwards, of the last.
+    """
+    places = [F.min_by("offset", "step").alias("offset"), F.max_by("flip_offset", "step").alias("flip_offset")] if "flip_offset" in offsets.columns else []
     inside = offsets.join(nodes.select("node_id").distinct(), node_of(F.col("handle")) == F.col("node_id"), "left_semi")
     run = F.col("step") - F.row_number().over(Window.partitionBy("path_handle").orderBy("step"))
     ref = F.lit(False) if ref_path is None else (F.col("path_handle") == ref_path) & (F.col("step") == ref_step)
     rows = inside.withColumn("run", run).groupBy("path_handle", "run").agg(
         F.min("step").alias("first_step"), F.sort_array(F.collect_list(F.struct("step", "handle")))["handle"].alias("walk"),
-        F.min("step_start").alias("walk_start"), F.max("step_end").alias("walk_end"), F.max(ref).alias("is_ref"))
+        F.min("step_start").alias("walk_start"), F.max("step_end").alias("walk_end"), F.max(ref).alias("is_ref"), *places)
     return rows.drop("run")
 
 
 def walks(found: DataFrame) -> DataFrame:
     """Each run in canonical orientation; the reference as it is, and its mirror too if only that is canonical.
 
-    A run that is its own mirror is visited in both orientations, and comes twice.
+    A run that is its own mirror is visited in both orientations, and comes twice. If the runs have the places of their
+    first visits, each form has its own as offset.
     """
-    back, walk = flipped_path(F.col("walk")), F.col("walk")
-    least, same = F.least(walk, back), walk == back
-    forms = F.when(F.col("is_ref"), F.when(walk < back, F.array(F.struct(walk.alias("walk"), F.lit(True).alias("is_ref")))).otherwise(
-        F.array(F.struct(walk.alias("walk"), F.lit(True).alias("is_ref")), F.struct(back.alias("walk"), F.lit(False).alias("is_ref")))))
-    plain = F.struct(least.alias("walk"), F.lit(False).alias("is_ref"))
-    forms = forms.otherwise(F.when(same, F.array(plain, plain)).otherwise(F.array(plain)))
-    return found.withColumn("f", F.explode(forms)).select("path_handle", "first_step", F.col("f.walk").alias("walk"), F.col("f.is_ref").alias("is_ref"), (F.col("walk_end") - F.col("walk_start")).alias("len"))
+    back, walk, placed = flipped_path(F.col("walk")), F.col("walk"), "flip_offset" in found.columns
+
+    def form(which, is_ref: bool, place: str):
+        return F.struct(which.alias("walk"), F.lit(is_ref).alias("is_ref"), *([F.col(place).alias("offset")] if placed else []))
+
+    here, there = form(walk, False, "offset"), form(back, False, "flip_offset")
+    as_ref = form(walk, True, "offset")
+    forms = F.when(F.col("is_ref"), F.when(walk < back, F.array(as_ref)).otherwise(F.array(as_ref, there)))
+    forms = forms.otherwise(F.when(walk == back, F.array(here, there)).when(walk < back, F.array(here)).otherwise(F.array(there)))
+    names = ["walk", "is_ref", *(["offset"] if placed else [])]
+    return found.withColumn("f", F.explode(forms)).select("path_handle", "first_step", *[F.col(f"f.{c}").alias(c) for c in names], (F.col("walk_end") - F.col("walk_start")).alias("len"))
 
 
 def distinct_walks(all_walks: DataFrame) -> DataFrame:
@@ -53,11 +62,12 @@ def path_start(graph: Graph, path_handle: int) -> tuple[int, int]:
 
 
 def named(rows: DataFrame, sample: str | None, contig: str | None, haplotype: int | None, start: int | None, end: int | None) -> DataFrame:
-    """Names: the reference's own with its interval; others are `unknown`, numbered from 1 in the order of their walks.
+    """Names: the reference's own with its interval; others are `unknown`, numbered from 1 by start handle and the place of
+    that visit, if walks have it, or else in the order of the walks. Equal walks that are one are in that order too.
 
     The walks of one subgraph are numbered in a task: no more than the haplotypes that pass through it.
     """
-    order = [c for c in ("walk", "path_handle", "first_step") if c in rows.columns]
+    order = [F.col("walk")[0], F.col("offset")] if "offset" in rows.columns else [c for c in ("walk", "path_handle", "first_step") if c in rows.columns]
     ref = F.col("is_ref")
     number = F.row_number().over(Window.partitionBy("is_ref").orderBy(*order))
     return rows.select(

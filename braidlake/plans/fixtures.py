@@ -6,10 +6,13 @@ same tables; queries compare the two.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from braidlake.operators.locate import step_offsets
+from braidlake.operators.visits import with_offsets
 from braidlake.operators.walks import edges_of_steps
 from braidlake.schema import Graph
 
@@ -57,6 +60,10 @@ lines AS (SELECT aln_id, concat(name, '\t', CAST(seq_len AS VARCHAR), '\t0\t', C
  CAST(matches AS VARCHAR), '\t', CAST(matches + edits AS VARCHAR), '\t', CAST(mapq0 AS VARCHAR), '\tAS:i:', CAST(aln_id % 100 - 20 AS VARCHAR),
  CASE WHEN cs IS NULL THEN '' ELSE concat('\tcs:Z:', cs) END, CASE WHEN aln_id % 4 = 0 THEN concat('\tfn:Z:r', CAST(aln_id + 1 AS VARCHAR), '\tpd:b:1') WHEN aln_id % 4 = 1 THEN concat('\tfp:Z:r', CAST(aln_id - 1 AS VARCHAR), '\tpd:b:0') ELSE '' END,
  '\txx:Z:', event_type) AS line FROM reads)"""
+VISITS = """vs AS (SELECT 2*path_handle AS seq, step AS idx, handle FROM steps UNION ALL SELECT 2*path_handle + 1, -step, handle + 1 - 2*(handle%2) FROM steps),
+vl AS (SELECT seq, list(handle ORDER BY idx DESC) AS back, MAX(idx) AS top FROM vs GROUP BY seq),
+vr AS (SELECT seq, idx, handle, ROW_NUMBER() OVER (PARTITION BY handle ORDER BY list_append(back[top - idx + 2:], seq - 1000000000000)) - 1 AS "offset" FROM vs JOIN vl USING (seq)),
+placed AS (SELECT path_handle, step, s.handle, f."offset", b."offset" AS flip_offset FROM steps s JOIN vr f ON f.seq = 2*path_handle AND f.idx = step JOIN vr b ON b.seq = 2*path_handle + 1 AND b.idx = -step)"""
 ALL = ",\n".join([STEPS, NODES, EDGES, OFFSETS, LINKS, PATHS, FRAGMENTS, MOVES, READS])
 
 
@@ -103,6 +110,15 @@ def load(spark: SparkSession, sf_dir: str) -> Graph:
     return _CACHE[key]
 
 
+def placed(spark: SparkSession, sf_dir: str) -> Graph:
+    """The graph whose steps have the places of their visits, cached for the session."""
+    key = (spark.sparkContext.applicationId, sf_dir, "placed")
+    if key not in _CACHE:
+        graph = load(spark, sf_dir)
+        _CACHE[key] = replace(graph, steps=with_offsets(graph.steps).persist())
+    return _CACHE[key]
+
+
 def fragments(graph: Graph) -> DataFrame:
     """Paths cut every few steps into fragments that start at their offset."""
     rows = graph.steps.withColumn("piece", F.floor((F.col("step") - 1) / PIECE))

@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from braidlake.functions import cs, gaf, mapping, seq
-from braidlake.operators import cigar, locate, traverse, walks
+from braidlake.operators import cigar, locate, traverse, visits, walks
 from braidlake.operators import reads as R
 from braidlake.operators._shared import ensure_checkpoint, numbered
 from braidlake.plans import fixtures
 from braidlake.plans.query import DISTINCT, REFERENCE, SubgraphQuery, run, slide
-from braidlake.schema import Graph, is_reverse, node_of, walk_text
+from braidlake.schema import Graph, flipped_path, is_reverse, node_of, walk_text
 from braidlake.sources import store
 from braidlake.sources import text as text_io
 
@@ -397,6 +397,42 @@ def json_paths(g):
     return walks.json_paths(_named(g))
 
 
+# --- visits in order, paths as positions -----------------------------------------------------------------------------
+
+
+@query(f", {fixtures.VISITS} SELECT path_handle, step, handle, \"offset\", flip_offset FROM placed")
+def visit_ranks(g, spark, sf_dir):
+    """The place of every visit among those to its handle, read forwards and backwards."""
+    return fixtures.placed(spark, sf_dir).steps.select("path_handle", "step", "handle", "offset", "flip_offset")
+
+
+@query(f", {fixtures.VISITS} SELECT a.handle, a.\"offset\", b.handle AS next_handle, b.\"offset\" AS next_offset FROM vr a JOIN vr b ON a.seq = b.seq AND b.idx = a.idx + 1 WHERE a.seq % 2 = 0")
+def visit_successors(g, spark, sf_dir):
+    steps = fixtures.placed(spark, sf_dir).steps
+    return visits.successors(steps.select((2 * F.col("path_handle")).alias("seq"), F.col("step").alias("idx"), "handle", "offset"))
+
+
+@query(f""", {fixtures.VISITS} SELECT e.event_id AS query_id, e.event_id % 97 AS seq_offset, CAST(FLOOR(o.handle/2) AS BIGINT) AS node_id, o.handle % 2 = 1 AS is_reverse, e.event_id % 97 - o.step_start AS node_offset,
+ o.handle, p."offset" AS visit FROM events e JOIN offsets o ON o.path_handle = e.user_id AND o.step_start <= e.event_id % 97 AND e.event_id % 97 < o.step_end JOIN placed p ON p.path_handle = o.path_handle AND p.step = o.step""")
+def position_views(g, spark, sf_dir):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    q = events.select(F.col("event_id").alias("query_id"), F.col("user_id").alias("path_handle"), (F.col("event_id") % 97).alias("path_offset"))
+    found = locate.position_views(locate.offset_to_position(q, fixtures.placed(spark, sf_dir).steps))
+    return found.select("query_id", F.col("path_offset").alias("seq_offset"), "node_id", "is_reverse", "node_offset", "handle", "visit")
+
+
+@query(f""", {fixtures.VISITS}, {WALKS},
+ first AS (SELECT i.path_handle, i.first_step, i.first_step + len(i.lf) - 1 AS last_step FROM isl i),
+ forms AS (SELECT w.*, l[1] AS start_handle, p."offset" FROM wk w JOIN first f USING (path_handle, first_step) JOIN isl i USING (path_handle, first_step) JOIN placed p ON p.path_handle = w.path_handle AND p.step = w.first_step WHERE w.l = i.lf AND i.lf <> i.lb
+  UNION ALL SELECT w.*, l[1], p.flip_offset FROM wk w JOIN first f USING (path_handle, first_step) JOIN isl i USING (path_handle, first_step) JOIN placed p ON p.path_handle = w.path_handle AND p.step = f.last_step WHERE w.l = i.lb AND i.lf <> i.lb)
+ SELECT path_handle, first_step, walk, start_handle, "offset", is_ref, CASE WHEN is_ref THEN 0 ELSE ROW_NUMBER() OVER (PARTITION BY is_ref ORDER BY start_handle, "offset") END AS haplotype FROM forms""")
+def walk_order(g, spark, sf_dir):
+    """All walks of a subgraph, numbered by start handle and the place of the visit that they start with."""
+    rows = walks.walks(walks.islands(fixtures.placed(spark, sf_dir).steps, region(g), 10, 9))
+    rows = walks.named(rows.where(F.col("walk") != flipped_path(F.col("walk"))), "c10", "x", 0, 0, 0)
+    return rows.select("path_handle", "first_step", walk_text(F.col("walk")).alias("walk"), F.col("walk")[0].alias("start_handle"), "offset", "is_ref", "haplotype")
+
+
 @query("SELECT path_handle, string_agg(concat(CASE WHEN rev = 0 THEN '>' ELSE '<' END, CAST(node_id AS VARCHAR)), '' ORDER BY step) AS walk FROM steps GROUP BY path_handle")
 def path_walk_text(g):
     """The walk of every path."""
@@ -692,6 +728,29 @@ def alignment_store(g, spark, sf_dir):
     return count(opened.alignments, "alignments").unionByName(count(opened.blocks, "blocks")).unionByName(count(opened.nodes, "nodes"))
 
 
+READ_VISITS = """rv AS (SELECT aln_id AS seq, pos AS idx, {handle} AS handle FROM tk), rl AS (SELECT seq, list(handle ORDER BY idx DESC) AS back, MAX(idx) AS top FROM rv GROUP BY seq),
+rr AS (SELECT seq, idx, handle, ROW_NUMBER() OVER (PARTITION BY handle ORDER BY list_append(back[top - idx + 2:], seq - 1000000000000)) - 1 AS "offset" FROM rv JOIN rl USING (seq))"""
+
+
+def _position_store(spark, sf_dir) -> str:
+    path = _store_folder(spark, "positions")
+    store.write_alignments(_reads(spark, sf_dir).drop("error"), path, store.AlignmentParams(block_size=50, start_positions=True))
+    return path
+
+
+@query(f", {TOKENS}, {READ_VISITS.format(handle=HANDLE)} SELECT aln_id, rr.handle AS start_handle, rr.\"offset\" AS start_offset FROM reads LEFT JOIN rr ON rr.seq = aln_id AND rr.idx = 0")
+def read_start_positions(g, spark, sf_dir):
+    """What a store keeps of the paths of reads: the first visit of each."""
+    return spark.read.parquet(f"{_position_store(spark, sf_dir)}/alignments").select("aln_id", "start_handle", "start_offset")
+
+
+@query("SELECT aln_id, path, min_handle, max_handle FROM reads")
+def read_paths_restored(g, spark, sf_dir):
+    """All paths of a store that keeps positions, restored by jumps."""
+    rows = store.open_alignments(spark, _position_store(spark, sf_dir)).alignments
+    return rows.select("aln_id", F.when(F.size("path") > 0, walk_text(F.col("path"))).otherwise("*").alias("path"), "min_handle", "max_handle")
+
+
 @query(f"SELECT handle, next FROM links WHERE FLOOR(handle/2) <= {HI} AND FLOOR(next/2) <= {HI}")
 def chain_discovery(g):
     """The graph up to an anchor has two tips; the chain between them runs along the anchors."""

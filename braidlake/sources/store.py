@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 
 from braidlake.functions import gaf
 from braidlake.operators import reads as reads_ops
+from braidlake.operators import visits
 from braidlake.operators.locate import reference_index
 from braidlake.schema import VERSION, Graph, encode, node_of
 from braidlake.sources.names import NAME, SUBGRAPHS, GraphName, require_reference
 
 GRAPH_TABLES = ("nodes", "edges", "steps", "paths", "chain_links", "tags")
+JUMPS = "handle long, offset long, next_handle long, next_offset long, level int"
 GRAPH_VERSION, READS_VERSION = f"graph {VERSION}", f"alignments {VERSION}"
 
 
@@ -27,15 +29,17 @@ class AlignmentParams:
     reference_free: bool = False
     quality_strings: bool = True
     optional: bool = True
+    #: Paths are kept as their first visit, in the order of all reads' visits, with a table of jumps that restores them.
+    start_positions: bool = False
 
     def to_json(self) -> str:
-        names = ("reference_free", "quality_strings", "optional")
+        names = ("reference_free", "quality_strings", "optional", "start_positions")
         return json.dumps({"block_size": self.block_size, "fields": [n for n in names if getattr(self, n)]})
 
     @classmethod
     def from_json(cls, text: str) -> AlignmentParams:
         data = json.loads(text)
-        return cls(data["block_size"], *[n in data["fields"] for n in ("reference_free", "quality_strings", "optional")])
+        return cls(data["block_size"], *[n in data["fields"] for n in ("reference_free", "quality_strings", "optional", "start_positions")])
 
 
 def header_counts(graph: Graph) -> DataFrame:
@@ -63,6 +67,7 @@ def write_graph(graph: Graph, path: str, interval: int = 1000, name: GraphName |
     """Fails if the folder exists. Paths need names; the reference index covers indexed paths. name goes into the tags.
 
     Tables are sorted by what queries ask for, so that they read few files and row groups; steps twice, by path and by node.
+    Steps get the places of their visits, which order the walks of subgraphs.
     """
     bad = graph.paths.where("sample is null or contig is null or sample = '' or contig = ''")
     if not bad.isEmpty():
@@ -72,9 +77,13 @@ def write_graph(graph: Graph, path: str, interval: int = 1000, name: GraphName |
     tags = graph.tags.unionByName(header_counts(graph)).unionByName(spark.createDataFrame(own, "key string, value string"))
     order = {"nodes": ["node_id"], "edges": ["src", "dst"], "steps": ["path_handle", "step"], "paths": ["path_handle"], "chain_links": ["handle"]}
     for name, by in order.items():
-        getattr(graph, name).repartitionByRange(*by).sortWithinPartitions(*by).write.mode("errorifexists").parquet(f"{path}/{name}")
-    graph.steps.repartitionByRange("handle", "path_handle", "step").sortWithinPartitions("handle", "path_handle", "step").write.parquet(f"{path}/steps_by_node")
-    reference_index(graph.steps, graph.paths, interval).write.parquet(f"{path}/reference_index")
+        rows = getattr(graph, name)
+        if name == "steps" and "flip_offset" not in rows.columns:
+            rows = visits.with_offsets(rows)
+        rows.repartitionByRange(*by).sortWithinPartitions(*by).write.mode("errorifexists").parquet(f"{path}/{name}")
+    steps = spark.read.parquet(f"{path}/steps")
+    steps.repartitionByRange("handle", "path_handle", "step").sortWithinPartitions("handle", "path_handle", "step").write.parquet(f"{path}/steps_by_node")
+    reference_index(steps, graph.paths, interval).write.parquet(f"{path}/reference_index")
     tags.coalesce(1).write.parquet(f"{path}/tags")
 
 
@@ -145,17 +154,41 @@ def write_alignments(
     if not params.optional:
         reads = reads.withColumn("optional", F.array().cast(gaf.FIELD))
     spark = reads.sparkSession
+    levels = 0
+    if params.start_positions:
+        reads, levels = _as_positions(reads, path)
     reads.repartitionByRange("block_id").sortWithinPartitions("block_id", "aln_id").write.mode("errorifexists").parquet(f"{path}/alignments")
     stored = spark.read.parquet(f"{path}/alignments")
+    if params.start_positions:
+        stored = _with_paths(stored, spark.read.schema(JUMPS).parquet(f"{path}/jumps"), levels)
     reads_ops.block_summary(stored).write.parquet(f"{path}/blocks")
     visited = reads_ops.path_steps(stored).select(node_of(F.col("handle")).alias("node_id")).distinct()
     if params.reference_free:
         visited = visited.join(graph.nodes, "node_id", "left")
     visited.write.parquet(f"{path}/nodes")
-    counts = {"version": READS_VERSION, "alignments": str(stored.count()), "nodes": str(spark.read.parquet(f"{path}/nodes").count()), "bidirectional_gbwt": "0", "params": params.to_json(), **name.tags(), **(tags or {})}
+    counts = {"version": READS_VERSION, "alignments": str(stored.count()), "nodes": str(spark.read.parquet(f"{path}/nodes").count()), "bidirectional_gbwt": "0", "params": params.to_json(), "levels": str(levels), **name.tags(), **(tags or {})}
     spark.createDataFrame(sorted(counts.items()), "key string, value string").coalesce(1).write.parquet(f"{path}/tags")
 
 
+def _as_positions(reads: DataFrame, path: str) -> tuple[DataFrame, int]:
+    """Reads with the (start_handle, start_offset) of their paths instead of these, and the number of levels of the jumps
+    that are written beside them, sorted by what a restored path asks for."""
+    found = visits.visit_offsets(reads_ops.path_steps(reads).select(F.col("aln_id").alias("seq"), F.col("pos").alias("idx"), "handle"))
+    levels = visits.levels_of(found)
+    rows = visits.jumps(found).repartitionByRange("level", "handle", "offset").sortWithinPartitions("level", "handle", "offset")
+    rows.write.mode("errorifexists").partitionBy("level").parquet(f"{path}/jumps")
+    starts = found.where("idx = 0").select(F.col("seq").alias("aln_id"), F.col("handle").alias("start_handle"), F.col("offset").alias("start_offset"))
+    return reads.drop("path").join(starts, "aln_id", "left"), levels
+
+
+def _with_paths(stored: DataFrame, jumps: DataFrame, levels: int) -> DataFrame:
+    """Stored reads with their paths; a filter on blocks reaches the starts that are followed."""
+    starts = stored.where("start_handle is not null").select("block_id", "aln_id", F.col("start_handle").alias("handle"), F.col("start_offset").alias("offset"))
+    paths = visits.restore(starts, jumps, levels, ["block_id", "aln_id"])
+    rows = stored.drop("start_handle", "start_offset").join(paths, ["block_id", "aln_id"], "left")
+    return rows.withColumn("path", F.coalesce("path", F.array().cast("array<bigint>")))
+
+
 @dataclass(frozen=True)
 class AlignmentStore:
     alignments: DataFrame
@@ -184,10 +217,10 @@ class AlignmentStore:
     def n_blocks(self) -> int:
         return self.blocks.count()
 
-    def size(self) -> int:
-        """Bytes on disk."""
+    def size(self, table: str | None = None) -> int:
+        """Bytes on disk, of one table if named."""
         spark = self.alignments.sparkSession
-        hpath = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        hpath = spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{table}" if table else self.path)
         return hpath.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(hpath).getLength()
 
     def graph_name(self) -> GraphName:
@@ -212,5 +245,8 @@ def open_alignments(spark: SparkSession, path: str) -> AlignmentStore:
     tags = _tags(spark, path, READS_VERSION)
     if tags.get("bidirectional_gbwt") not in ("0", "1"):
         raise ValueError("bidirectional_gbwt must be 0 or 1")
-    tables = [spark.read.parquet(f"{path}/{t}") for t in ("alignments", "blocks", "nodes")]
-    return AlignmentStore(*tables, tags, AlignmentParams.from_json(tags["params"]), path)
+    alignments, blocks, nodes = (spark.read.parquet(f"{path}/{t}") for t in ("alignments", "blocks", "nodes"))
+    params = AlignmentParams.from_json(tags["params"])
+    if params.start_positions:
+        alignments = _with_paths(alignments, spark.read.schema(JUMPS).parquet(f"{path}/jumps"), int(tags["levels"]))
+    return AlignmentStore(alignments, blocks, nodes, tags, params, path)
