@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from braidlake.functions import gaf, seq
-from braidlake.operators import locate, traverse, walks
+from braidlake.operators import chains, locate, traverse, walks
 from braidlake.operators import reads as R
 from braidlake.operators.reads import path_steps
 from braidlake.plans.query import ALL, DISTINCT, GENERIC, REFERENCE, SubgraphQuery, node_records, run
@@ -108,7 +108,7 @@ def main(argv: list[str] | None = None) -> None:
     if args.command == "build-graph":
         g = text.read_gfa(spark, args.gfa)
         near = traverse.adjacency(g)
-        links = traverse.discover_chains_frontier(g) if near is None else spark.createDataFrame(traverse.discover_chains(near), "handle long, next long")
+        links = chains.discover_chains(g) if near is None else spark.createDataFrame(traverse.discover_chains(near), "handle long, next long")
         name = GraphName(walks.stable_name(g.nodes, g.edges).first().name)
         store.write_graph(Graph(g.nodes, g.edges, g.steps, g.paths, links, g.tags), args.output, args.interval, name)
         _say(**{r.key: r.value for r in store.header_counts(store.open_graph(spark, args.output)).collect()})

@@ -397,30 +397,12 @@ def _components(pairs: DataFrame) -> DataFrame:
         before, pairs = now, _stars(_stars(pairs, True), False).checkpoint()
 
 
-def _chain(table):
-    """Links of one component from its edges and two tips, in a task."""
-    import pyarrow as pa
-
-    near = Adjacency(zip(table["src"].to_pylist(), table["dst"].to_pylist(), strict=True), {})
-    chain = dominators(near, table["first"][0].as_py(), table["last"][0].as_py() ^ 1)
-    out = [p for a, b in zip(chain, chain[1:], strict=False) for p in ((a, b), (b ^ 1, a ^ 1))]
-    return pa.table({"handle": pa.array([a for a, _ in out], pa.int64()), "next": pa.array([b for _, b in out], pa.int64())})
-
-
-def discover_chains_frontier(graph: Graph) -> DataFrame:
-    """Tier 2 of `discover_chains`: (handle, next). Components by stars, in few rounds however long they are; each is then walked in a task."""
-    ensure_checkpoint(graph.spark)
-    edges = graph.edges.where("src > 1 and dst > 1").select("src", "dst").distinct().checkpoint()
+def components_of_edges(edges: DataFrame) -> DataFrame:
+    """(node_id, component) of the nodes that handles of (src, dst) are of."""
     a, b = node_of(F.col("src")), node_of(F.col("dst"))
-    pairs = _components(edges.select(a.alias("a"), b.alias("b")))
-    label = pairs.select(F.col("a").alias("node_id"), F.col("b").alias("component"))
+    label = _components(edges.select(a.alias("a"), b.alias("b"))).select(F.col("a").alias("node_id"), F.col("b").alias("component"))
     own = edges.select(F.explode(F.array(a, b)).alias("node_id")).distinct()
-    label = own.join(label, "node_id", "left").select("node_id", F.coalesce("component", "node_id").alias("component")).checkpoint()
-    ends = label.select("component", F.explode(F.array(encode(F.col("node_id"), F.lit(0)), encode(F.col("node_id"), F.lit(1)))).alias("tip"))
-    ends = ends.join(edges.select(F.col("src").bitwiseXOR(F.lit(1)).alias("tip")), "tip", "left_anti")
-    ends = ends.groupBy("component").agg(F.count("*").alias("n"), F.min("tip").alias("first"), F.max("tip").alias("last")).where("n = 2").drop("n")
-    rows = edges.withColumn("node_id", a).join(label, "node_id").join(ends, "component").select("component", "src", "dst", "first", "last")
-    return rows.groupBy("component").applyInArrow(_chain, "handle long, next long")
+    return own.join(label, "node_id", "left").select("node_id", F.coalesce("component", "node_id").alias("component"))
 
 
 def with_snarls(graph: Graph, nodes: DataFrame) -> DataFrame:

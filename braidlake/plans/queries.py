@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from braidlake.functions import cs, gaf, mapping, seq
-from braidlake.operators import cigar, locate, traverse, visits, walks
+from braidlake.operators import chains, cigar, locate, traverse, visits, walks
 from braidlake.operators import reads as R
 from braidlake.operators._shared import ensure_checkpoint, numbered
 from braidlake.plans import fixtures
@@ -759,7 +759,7 @@ def chain_discovery(g):
     upto = Graph(nodes, edges, g.steps, g.paths, g.chain_links.limit(0), g.tags)
     near = traverse.adjacency(upto)
     if near is None:
-        return traverse.discover_chains_frontier(upto)
+        return chains.discover_chains(upto)
     return g.spark.createDataFrame(traverse.discover_chains(near), "handle long, next long")
 
 

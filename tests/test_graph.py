@@ -8,7 +8,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from braidlake.operators import locate, traverse, walks
+from braidlake.operators import chains, locate, traverse, walks
 from braidlake.plans.query import ALL, DISTINCT, REFERENCE, SubgraphQuery, run, slide
 from braidlake.schema import Graph, handle
 
@@ -127,7 +127,7 @@ def test_snarls_and_chains_beyond_the_first_tier(spark, graph, monkeypatch):
     for nodes in ({12}, {25}, {12, 16}):
         df = spark.createDataFrame([(n,) for n in nodes], "node_id long")
         assert rows(traverse.enclosing_frontier(graph, df)) == [(n,) for n in sorted(near.enclosing(nodes))], nodes
-    want = rows(queries.enclosing_snarl(graph)), rows(traverse.discover_chains_frontier(graph))
+    want = rows(queries.enclosing_snarl(graph)), rows(chains.discover_chains(graph))
     extended = [(q, n, p) for q, n, p in QUERIES if q.snarls or q.extend_snarls][::2]
     monkeypatch.setattr(traverse, "RANGES", 1)
     monkeypatch.setattr(traverse, "WIDTH", 2)  # so the first tier meets too much at once
