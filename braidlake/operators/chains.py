@@ -96,8 +96,8 @@ def _passed_by_all(edges: DataFrame, levels: DataFrame) -> DataFrame:
     return cuts.join(only, ["component", "src", "dst"], "left").select("src", "dst", F.when(F.col("step") == 1, F.col("via")).alias("via"))
 
 
-def _with_cycles(edges: DataFrame, ends: DataFrame) -> list[tuple[int, int, int | None]]:
-    """The same for components whose rest has cycles, by dominators on the driver."""
+def _dominating(edges: DataFrame, ends: DataFrame) -> list[tuple[int, int, int | None]]:
+    """The same by dominators on the driver, cycles or not."""
     rows = edges.select("component", "src", "dst", "via").limit(MAX_EDGES + 1).collect()
     if len(rows) > MAX_EDGES:
         raise ValueError(f"components with cycles keep more than {MAX_EDGES} edges when their chains are contracted")
@@ -118,8 +118,27 @@ def _with_cycles(edges: DataFrame, ends: DataFrame) -> list[tuple[int, int, int
     return out
 
 
-def discover_chains(graph: Graph) -> DataFrame:
-    """(handle, next): the links of all chains, both ways."""
+def _in_levels(core: DataFrame, ends: DataFrame) -> DataFrame:
+    """(src, dst, via): the links of contracted components, a round for each level; of those with cycles on the driver."""
+    first, last = (ends.select("component", F.col(c).alias("handle")) for c in ("first", "last"))
+    forth = _reached(core, first, "src", "dst")
+    used = forth.join(_reached(core, last, "dst", "src"), ["component", "handle"]).checkpoint()
+    for c in ("src", "dst"):
+        core = core.join(used.withColumnRenamed("handle", c), ["component", c], "left_semi")
+    core = core.checkpoint()
+    levels, left = _levels(core, first.join(used, ["component", "handle"], "left_semi"))
+    cyclic = left.select("component").distinct().checkpoint()
+    links = _passed_by_all(core.join(cyclic, "component", "left_anti"), levels.join(cyclic, "component", "left_anti"))
+    more = [] if cyclic.isEmpty() else _dominating(core.join(cyclic, "component", "left_semi"), ends)
+    return links.unionByName(core.sparkSession.createDataFrame(more, LINKS))
+
+
+LINKS = "src long, dst long, via long"
+
+
+def discover_chains(graph: Graph, on_driver: int = MAX_EDGES) -> DataFrame:
+    """(handle, next): the links of all chains, both ways. What contraction leaves goes to the driver if it has no more edges
+    than that, which saves its rounds; the links are the same."""
     ensure_checkpoint(graph.spark)
     edges = graph.edges.where("src > 1 and dst > 1").select("src", "dst").distinct().checkpoint()
     label = components_of_edges(edges).checkpoint()
@@ -129,18 +148,10 @@ def discover_chains(graph: Graph) -> DataFrame:
     wanted = edges.withColumn("node_id", F.shiftright("src", 1)).join(label.join(ends, "component", "left_semi"), "node_id").select("src", "dst")
     core, contractions = contract(wanted)
     core = core.withColumn("node_id", F.shiftright("src", 1)).join(label, "node_id").drop("node_id").checkpoint()
-    first, last = (ends.select("component", F.col(c).alias("handle")) for c in ("first", "last"))
-    forth = _reached(core, first, "src", "dst")
-    used = forth.join(_reached(core, last, "dst", "src"), ["component", "handle"]).checkpoint()
-    for c in ("src", "dst"):
-        core = core.join(used.withColumnRenamed("handle", c), ["component", c], "left_semi")
-    core = core.checkpoint()
-    levels, left = _levels(core, first.join(used, ["component", "handle"], "left_semi"))
-    cyclic = left.select("component").distinct().checkpoint()
-    plain = core.join(cyclic, "component", "left_anti")
-    links = _passed_by_all(plain, levels.join(cyclic, "component", "left_anti"))
-    more = _with_cycles(core.join(cyclic, "component", "left_semi"), ends) if not cyclic.isEmpty() else []
-    links = links.unionByName(graph.spark.createDataFrame(more, "src long, dst long, via long"))
+    if core.limit(on_driver + 1).count() <= on_driver:
+        links = graph.spark.createDataFrame(_dominating(core, ends), LINKS)
+    else:
+        links = _in_levels(core, ends)
     found = expand(links, contractions)
     both = F.array(F.struct(F.col("src").alias("handle"), F.col("dst").alias("next")), F.struct(F.col("dst").bitwiseXOR(F.lit(1)).alias("handle"), F.col("src").bitwiseXOR(F.lit(1)).alias("next")))
     return found.select(F.explode(both).alias("e")).select("e.*")

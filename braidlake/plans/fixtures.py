@@ -64,6 +64,9 @@ VISITS = """vs AS (SELECT 2*path_handle AS seq, step AS idx, handle FROM steps U
 vl AS (SELECT seq, list(handle ORDER BY idx DESC) AS back, MAX(idx) AS top FROM vs GROUP BY seq),
 vr AS (SELECT seq, idx, handle, ROW_NUMBER() OVER (PARTITION BY handle ORDER BY list_append(back[top - idx + 2:], seq - 1000000000000)) - 1 AS "offset" FROM vs JOIN vl USING (seq)),
 placed AS (SELECT path_handle, step, s.handle, f."offset", b."offset" AS flip_offset FROM steps s JOIN vr f ON f.seq = 2*path_handle AND f.idx = step JOIN vr b ON b.seq = 2*path_handle + 1 AND b.idx = -step)"""
+NATIONS = """ns AS (SELECT 1000000 * (c_nationkey + 1) AS base, path_handle, step, 2*(1000000 * (c_nationkey + 1) + node_id) + CASE WHEN c_nationkey % 2 = 0 THEN 0 ELSE rev END AS handle FROM steps JOIN customer ON c_custkey = path_handle),
+n0 AS (SELECT DISTINCT base, a, b FROM (SELECT base, handle AS a, LEAD(handle, 1, 2*(base + 999999)) OVER (PARTITION BY path_handle ORDER BY step) AS b FROM ns UNION ALL SELECT base, 2*base, handle FROM ns WHERE step = 1) x),
+ne AS (SELECT base, a AS src, b AS dst FROM n0 UNION SELECT base, b + 1 - 2*(b%2), a + 1 - 2*(a%2) FROM n0)"""
 ALL = ",\n".join([STEPS, NODES, EDGES, OFFSETS, LINKS, PATHS, FRAGMENTS, MOVES, READS])
 
 
@@ -119,6 +122,24 @@ def placed(spark: SparkSession, sf_dir: str) -> Graph:
     return _CACHE[key]
 
 
+def nations(spark: SparkSession, sf_dir: str) -> Graph:
+    """A graph with a component for each nation: the steps of its customers between a first and a last node, so that it has
+    two tips. Every other nation has inverted steps, and so walks that turn back."""
+    graph = load(spark, sf_dir)
+    customer = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("path_handle"), "c_nationkey")
+    base = 1_000_000 * (F.col("c_nationkey") + 1).cast("long")
+    rev = F.when(F.col("c_nationkey") % 2 == 0, 0).otherwise(F.col("handle").bitwiseAND(F.lit(1)))
+    rows = graph.steps.select("path_handle", "step", "handle").join(customer, "path_handle")
+    rows = rows.select("path_handle", base.alias("base"), "step", (2 * (base + F.shiftright("handle", 1)) + rev).alias("handle"))
+    last = Window.partitionBy("path_handle").orderBy("step")
+    pairs = rows.select(F.col("handle").alias("a"), F.coalesce(F.lead("handle").over(last), 2 * (F.col("base") + 999_999)).alias("b"))
+    pairs = pairs.unionByName(rows.where("step = 1").select((2 * F.col("base")).alias("a"), F.col("handle").alias("b"))).distinct()
+    one = F.lit(1)
+    edges = pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(pairs.select(F.col("b").bitwiseXOR(one).alias("src"), F.col("a").bitwiseXOR(one).alias("dst"))).distinct()
+    nodes = edges.select(F.shiftright("src", 1).alias("node_id")).distinct().select("node_id", F.lit("A").alias("sequence"), F.lit(1).cast("long").alias("seq_len"))
+    return Graph(nodes, edges, graph.steps.limit(0), graph.paths.limit(0), graph.chain_links.limit(0), graph.tags)
+
+
 def fragments(graph: Graph) -> DataFrame:
     """Paths cut every few steps into fragments that start at their offset."""
     rows = graph.steps.withColumn("piece", F.floor((F.col("step") - 1) / PIECE))

@@ -751,16 +751,15 @@ def read_paths_restored(g, spark, sf_dir):
     return rows.select("aln_id", F.when(F.size("path") > 0, walk_text(F.col("path"))).otherwise("*").alias("path"), "min_handle", "max_handle")
 
 
-@query(f"SELECT handle, next FROM links WHERE FLOOR(handle/2) <= {HI} AND FLOOR(next/2) <= {HI}")
-def chain_discovery(g):
-    """The graph up to an anchor has two tips; the chain between them runs along the anchors."""
-    nodes = g.nodes.where(F.col("node_id") <= HI)
-    edges = g.edges.where((node_of(F.col("src")) <= HI) & (node_of(F.col("dst")) <= HI))
-    upto = Graph(nodes, edges, g.steps, g.paths, g.chain_links.limit(0), g.tags)
-    near = traverse.adjacency(upto)
-    if near is None:
-        return chains.discover_chains(upto)
-    return g.spark.createDataFrame(traverse.discover_chains(near), "handle long, next long")
+@query(f""", {fixtures.NATIONS}, nh AS (SELECT DISTINCT base, src AS gone FROM ne),
+ reached AS (SELECT base, gone, 2*base AS handle FROM nh WHERE gone <> 2*base UNION SELECT r.base, r.gone, e.dst FROM reached r JOIN ne e ON e.src = r.handle AND e.dst <> r.gone),
+ doms AS (SELECT DISTINCT base, h AS handle FROM (SELECT base, gone AS h FROM nh UNION SELECT base, 2*(base + 999999) FROM nh) c WHERE NOT EXISTS (SELECT 1 FROM reached r WHERE r.base = c.base AND r.gone = h AND r.handle = 2*(r.base + 999999))),
+ placed AS (SELECT d.base, d.handle, CASE WHEN d.handle % 1000000 = 999998 AND d.handle = 2*(d.base + 999999) THEN 1000000000 ELSE (SELECT COUNT(*) FROM reached r JOIN doms o ON o.base = r.base AND o.handle = r.handle WHERE r.base = d.base AND r.gone = d.handle) END AS place FROM doms d),
+ found AS (SELECT handle, LEAD(handle) OVER (PARTITION BY base ORDER BY place) AS next FROM placed)
+ SELECT handle, next FROM found WHERE next IS NOT NULL UNION ALL SELECT {FLIP.format(h='next')}, {FLIP.format(h='handle')} FROM found WHERE next IS NOT NULL""")
+def chain_discovery(g, spark, sf_dir):
+    """The chains of a graph with a component for each nation; the SQL takes each handle away and looks what is still reached."""
+    return chains.discover_chains(fixtures.nations(spark, sf_dir))
 
 
 def _by_path(g: Graph, output: str) -> DataFrame:
