@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-import numpy as np
+from bisect import bisect_left
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from braidlake.functions.seq import oriented
+
 MISMATCH, GAP_OPEN, GAP_EXTEND = 4, 6, 1
 
 
@@ -37,29 +40,33 @@ def align_gap(a: str, b: str) -> list[tuple[str, int]]:
 def weighted_lcs(a: list[int], b: list[int], weight) -> list[tuple[int, int]]:
     """Places (in a, in b) of a common subsequence of the greatest total weight.
 
-    Equal ends belong to one in any case; what lies between them is compared a row at a time.
+    Equal ends belong to one in any case. Between them only equal pairs are met: along a, the places in b at which the best
+    weight so far rises make a staircase, on which a pair finds by bisection what it continues, and takes its own step. A
+    step points to the one that it continues, so what no step leads to is forgotten; no table of both walks is made.
     """
     start = common_prefix(a, b)
     tail = min(common_prefix(a[::-1], b[::-1]), len(a) - start, len(b) - start)
-    n, m = len(a) - start - tail, len(b) - start - tail
-    out = [(k, k) for k in range(start)]
-    if n and m:
-        y = np.array(b[start : start + m], np.int64)
-        best = np.zeros((n + 1, m + 1), np.int32)
-        for i in range(n - 1, -1, -1):
-            x = a[start + i]
-            row = np.maximum(best[i + 1, :-1], np.where(y == x, best[i + 1, 1:] + weight(x), 0))
-            best[i, :-1] = np.maximum.accumulate(row[::-1])[::-1]
-        i = j = 0
-        while i < n and j < m:
-            if a[start + i] == b[start + j] and best[i, j] == best[i + 1, j + 1] + weight(a[start + i]):
-                out.append((start + i, start + j))
-                i, j = i + 1, j + 1
-            elif best[i, j] == best[i + 1, j]:
-                i += 1
-            else:
-                j += 1
-    return out + [(len(a) - k, len(b) - k) for k in range(tail, 0, -1)]
+    inside_b: dict[int, list[int]] = {}
+    for j in range(len(b) - tail - 1, start - 1, -1):  # later places first: a place of a is used once
+        inside_b.setdefault(b[j], []).append(j)
+    places, bests, links = [start - 1], [0], [None]
+    for i in range(start, len(a) - tail):
+        if a[i] in inside_b:
+            w = weight(a[i])
+            for j in inside_b[a[i]]:
+                k = bisect_left(places, j)
+                best = bests[k - 1] + w
+                end = k
+                while end < len(places) and bests[end] <= best and (bests[end] < best or places[end] > j):
+                    end += 1
+                if end < len(places) and places[end] == j or w <= 0:
+                    continue  # as good is known to end there
+                places[k:end], bests[k:end], links[k:end] = [j], [best], [(i, j, links[k - 1])]
+    out, link = [], links[-1]
+    while link is not None:
+        i, j, link = link
+        out.append((i, j))
+    return [(k, k) for k in range(start)] + out[::-1] + [(len(a) - k, len(b) - k) for k in range(tail, 0, -1)]
 
 
 def cigar(walk: list[int], ref: list[int], sequence) -> str:
@@ -80,20 +87,32 @@ def cigar(walk: list[int], ref: list[int], sequence) -> str:
     return "".join(f"{n}{op}" for op, n in edits)
 
 
-def with_cigars(walks: DataFrame, ref: list[int], sequences: dict[int, str]) -> DataFrame:
-    """Adds cigar to rows with a walk; null for the reference. sequences: the bases of the subgraph's nodes."""
-    comp = str.maketrans("ACGT", "TGCA")
+def with_bases(walks: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(walk, bases): each distinct walk with the oriented bases of its nodes."""
+    distinct = walks.select("walk").distinct()
+    steps = distinct.select("walk", F.posexplode("walk").alias("pos", "handle")).withColumn("node_id", F.shiftright("handle", 1))
+    steps = steps.join(nodes.select("node_id", "sequence"), "node_id")
+    here = F.struct("pos", oriented(F.col("sequence"), F.col("handle").bitwiseAND(F.lit(1))).alias("s"))
+    return steps.groupBy("walk").agg(F.array_sort(F.collect_list(here))["s"].alias("bases"))
 
-    def sequence(h: int) -> str:
-        s = sequences[h >> 1]
-        return s[::-1].translate(comp) if h & 1 else s
 
-    at = walks.columns.index("walk"), walks.columns.index("is_ref")
+def with_cigars(walks: DataFrame, ref: list[int], nodes: DataFrame) -> DataFrame:
+    """Adds cigar to rows with a walk; null for the reference. Equal walks are aligned once, each with the bases of its own
+    nodes, so a task holds a walk and the reference, whatever the size of the subgraph."""
+    if not ref:
+        return walks.withColumn("cigar", F.lit(None).cast("string"))
+    spark = walks.sparkSession
+    one = with_bases(spark.createDataFrame([(list(ref),)], "walk array<long>"), nodes).first()
+    of_ref = dict(zip(ref, one.bases, strict=True))
 
     def rows(batches):
         for b in batches:
-            out = [None if is_ref else cigar(walk, ref, sequence) for walk, is_ref in zip(b.column(at[0]).to_pylist(), b.column(at[1]).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], [*b.schema.names, "cigar"])
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in walks.schema.fields)
-    return walks.mapInArrow(rows, fields + ", cigar string") if ref else walks.withColumn("cigar", F.lit(None).cast("string"))
+            out = []
+            for walk, bases in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                of = of_ref | dict(zip(walk, bases, strict=True))
+                out.append(cigar(walk, ref, of.__getitem__))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], ["walk", "cigar"])
+
+    aligned = with_bases(walks.where(~F.col("is_ref")), nodes).mapInArrow(rows, "walk array<long>, cigar string")
+    found = walks.join(aligned.select(F.col("walk").alias("__walk"), "cigar"), F.col("walk") == F.col("__walk"), "left").drop("__walk")
+    return found.withColumn("cigar", F.when(~F.col("is_ref"), F.col("cigar")))

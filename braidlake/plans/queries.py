@@ -440,12 +440,31 @@ def path_walk_text(g):
     return rows.select("path_handle", walk_text(F.col("w")).alias("walk"))
 
 
-@query()
+def _gap_sql(n: str) -> str:
+    return f"CASE WHEN {n} = 0 THEN 0 ELSE 6 + {n} - 1 END"
+
+
+CIGARS = f"""hs AS (SELECT 2*node_id AS h, sequence AS s FROM nodes UNION ALL SELECT 2*node_id + 1, {REVCOMP} FROM nodes),
+ st AS (SELECT walk, is_ref, x, h, s FROM (SELECT walk, is_ref, unnest(l) AS h, generate_subscripts(l, 1) AS x FROM nm) u JOIN hs USING (h)), rf AS (SELECT x AS y, h, s FROM st WHERE is_ref),
+ mt AS (SELECT walk, x, y, length(st.s) AS n FROM st JOIN rf USING (h) WHERE NOT is_ref UNION ALL SELECT walk, 0, 0, 0 FROM nm WHERE NOT is_ref UNION ALL SELECT walk, len(l) + 1, (SELECT COUNT(*) FROM rf) + 1, 0 FROM nm WHERE NOT is_ref),
+ gp AS (SELECT walk, x, y, n, LAG(x) OVER w AS px, LAG(y) OVER w AS py FROM mt WINDOW w AS (PARTITION BY walk ORDER BY x)),
+ ga AS (SELECT g.walk, g.x, string_agg(s, '' ORDER BY st.x) AS a FROM gp g JOIN st ON st.walk = g.walk AND NOT is_ref AND st.x > px AND st.x < g.x GROUP BY g.walk, g.x),
+ gb AS (SELECT g.walk, g.x, string_agg(s, '' ORDER BY rf.y) AS b FROM gp g JOIN rf ON rf.y > py AND rf.y < g.y GROUP BY g.walk, g.x),
+ gs AS (SELECT g.walk, g.x, n, coalesce(a, '') AS a, coalesce(b, '') AS b FROM gp g LEFT JOIN ga ON ga.walk = g.walk AND ga.x = g.x LEFT JOIN gb ON gb.walk = g.walk AND gb.x = g.x WHERE px IS NOT NULL),
+ g1 AS (SELECT *, len(list_filter(range(1, least(length(a), length(b)) + 1), lambda k: a[1:k] = b[1:k])) AS p, len(list_filter(range(1, least(length(a), length(b)) + 1), lambda k: right(a, k) = right(b, k))) AS q FROM gs),
+ g2 AS (SELECT *, least(q, length(a) - p, length(b) - p) AS sf FROM g1), g3 AS (SELECT *, length(a) - p - sf AS i, length(b) - p - sf AS d FROM g2),
+ g4 AS (SELECT *, CASE WHEN 4*least(i, d) + {_gap_sql("(i - least(i, d))")} + {_gap_sql("(d - least(i, d))")} > {_gap_sql("i")} + {_gap_sql("d")} THEN 0 ELSE least(i, d) END AS m FROM g3),
+ op AS (SELECT walk, x, 1 AS k, 'M' AS op, p AS n FROM g4 UNION ALL SELECT walk, x, 2, 'M', m FROM g4 UNION ALL SELECT walk, x, 3, 'I', i - m FROM g4 UNION ALL SELECT walk, x, 4, 'D', d - m FROM g4 UNION ALL SELECT walk, x, 5, 'M', sf FROM g4 UNION ALL SELECT walk, x, 6, 'M', n FROM g4),
+ o1 AS (SELECT *, CASE WHEN op IS DISTINCT FROM LAG(op) OVER (PARTITION BY walk ORDER BY x, k) THEN 1 ELSE 0 END AS cut FROM op WHERE n > 0), o2 AS (SELECT *, SUM(cut) OVER (PARTITION BY walk ORDER BY x, k) AS run FROM o1),
+ o3 AS (SELECT walk, run, op, CAST(SUM(n) AS BIGINT) AS n FROM o2 GROUP BY walk, run, op), cg AS (SELECT walk, string_agg(concat(CAST(n AS VARCHAR), op), '' ORDER BY run) AS cigar FROM o3 GROUP BY walk)"""
+
+
+@query(f", {WALKS}, {NAMED}, {CIGARS} SELECT walk, weight, cigar FROM nm LEFT JOIN cg USING (walk)")
 def cigar_walks(g):
+    """Walks aligned to the reference walk. Here all nodes that two walks share can be aligned at once, as layers have one order: the SQL takes them all."""
     rows = _named(g)
     ref = list(rows.where("is_ref").first().walk)
-    sequences = {r.node_id: r.sequence for r in g.nodes.join(region(g), "node_id", "left_semi").collect()}
-    return cigar.with_cigars(rows, ref, sequences).select(walk_text(F.col("walk")).alias("walk"), "weight", "cigar")
+    return cigar.with_cigars(rows, ref, g.nodes).select(walk_text(F.col("walk")).alias("walk"), "weight", "cigar")
 
 
 @query(f"""SELECT sha256(string_agg(concat(lpad(CAST(part AS VARCHAR), 20, '0'), ' ', digest), chr(10) ORDER BY part)) AS name FROM (SELECT part, sha256(string_agg(line, chr(10) ORDER BY line)) AS digest FROM (

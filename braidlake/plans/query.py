@@ -78,12 +78,8 @@ class Subgraph:
     ref_walk: tuple[int, ...] = ()
 
     def with_cigars(self) -> Subgraph:
-        """Adds alignments to the reference walk. The bases of the subgraph go to the tasks, so they have to be few."""
-        rows = self.nodes.select("node_id", "sequence").limit(traverse.MAX_EDGES + 1).collect()
-        if len(rows) > traverse.MAX_EDGES:
-            raise ValueError(f"a subgraph of more than {traverse.MAX_EDGES} nodes is too large to align")
-        sequences = {r.node_id: r.sequence for r in rows}
-        return replace(self, walks=cigar.with_cigars(self.walks, list(self.ref_walk), sequences))
+        """Adds alignments to the reference walk."""
+        return replace(self, walks=cigar.with_cigars(self.walks, list(self.ref_walk), self.nodes))
 
     def graph_name(self, parent: GraphName | None = None) -> GraphName:
         """The stable name of the subgraph, as a subgraph of its parent."""

@@ -299,6 +299,39 @@ def test_cigars():
         assert sum(len(s(a[i])) for i, _ in got) == best[-1][-1]
 
 
+def test_weighted_lcs_of_walks_that_repeat_nodes():
+    rng = random.Random(5)
+    for n in (30, 60):
+        for letters in (2, 5, 40):
+            a, b = ([rng.randrange(letters) for _ in range(n)] for _ in "ab")
+            weight = lambda h: 1 + h % 3
+            best = [[0] * (n + 1) for _ in range(n + 1)]
+            for i in range(n):
+                for j in range(n):
+                    best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + weight(a[i]) if a[i] == b[j] else 0)
+            got = cigar.weighted_lcs(a, b, weight)
+            assert sum(weight(a[i]) for i, _ in got) == best[-1][-1] and all(a[i] == b[j] for i, j in got)
+            assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(got, got[1:], strict=False))
+
+
+def test_long_walks_are_aligned_in_little_memory():
+    """Walks of 50,000 nodes, of which a table would take 10 GB. With weight 1 the rest of a permutation is a rising run."""
+    import tracemalloc
+    from bisect import bisect_left
+
+    rng, n = random.Random(6), 50_000
+    b = list(range(n))
+    a = [x for k in range(0, n, 50) for x in rng.sample(b[k : k + 50], 50)]
+    tails = []
+    for x in a:
+        tails[bisect_left(tails, x) : bisect_left(tails, x) + 1] = [x]
+    tracemalloc.start()
+    got = cigar.weighted_lcs(a, b, lambda h: 1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(got) == len(tails) and peak < 100 << 20
+
+
 def test_small_functions():
     for n in range(30):
         dna = ("ACGTNACGGT" * 3)[:n]
