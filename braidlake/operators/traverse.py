@@ -289,30 +289,6 @@ def adjacency(graph: Graph, most: int = MAX_EDGES) -> Adjacency | None:
     return Adjacency(map(tuple, rows), map(tuple, lengths), map(tuple, graph.chain_links.select("handle", "next").collect()))
 
 
-def moves(graph: Graph) -> DataFrame:
-    """(n1, s1, n2, s2, w): crossing a node costs its length less one, an edge one. Side 0 is left."""
-    cross = graph.nodes.select("node_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("s1"), "seq_len")
-    cross = cross.select(F.col("node_id").alias("n1"), "s1", F.col("node_id").alias("n2"), (1 - F.col("s1")).alias("s2"), (F.col("seq_len") - 1).alias("w"))
-    src, dst = F.col("src"), F.col("dst")
-    edge = graph.edges.select(node_of(src).alias("n1"), (1 - is_reverse(src)).cast("int").alias("s1"), node_of(dst).alias("n2"), is_reverse(dst).cast("int").alias("s2"), F.lit(1).cast("long").alias("w"))
-    return cross.unionByName(edge)
-
-
-def context_frontier(graph: Graph, seeds: DataFrame, limit: int) -> DataFrame:
-    """Tier 2 of `context`, for many queries: seeds (query_id, node_id, side, dist) to (query_id, node_id, dist)."""
-    ensure_checkpoint(graph.spark)
-    key = ["query_id", "node_id", "side"]
-    known = seeds.groupBy(*key).agg(F.min("dist").cast("long").alias("dist")).checkpoint()
-    frontier, steps = known, moves(graph)
-    while not frontier.isEmpty():
-        out = frontier.join(steps, (F.col("node_id") == F.col("n1")) & (F.col("side") == F.col("s1")))
-        out = out.select("query_id", F.col("n2").alias("node_id"), F.col("s2").alias("side"), (F.col("dist") + F.col("w")).alias("dist")).where(F.col("dist") <= limit)
-        best = out.groupBy(*key).agg(F.min("dist").alias("new"))
-        frontier = best.join(known, key, "left").where("dist is null or new < dist").select(*key, F.col("new").alias("dist")).checkpoint()
-        known = known.unionByName(frontier).groupBy(*key).agg(F.min("dist").alias("dist")).checkpoint()
-    return known.groupBy("query_id", "node_id").agg(F.min("dist").alias("dist"))
-
-
 def between_frontier(graph: Graph, ends: DataFrame, limit: int | None = None) -> DataFrame:
     """Tier 2 of `between`: (query_id, start, end) to (query_id, node_id)."""
     ensure_checkpoint(graph.spark)

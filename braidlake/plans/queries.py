@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from braidlake.functions import cs, gaf, mapping, seq
-from braidlake.operators import chains, cigar, locate, traverse, visits, walks
+from braidlake.operators import chains, cigar, contexts, locate, traverse, visits, walks
 from braidlake.operators import reads as R
 from braidlake.operators._shared import ensure_checkpoint, numbered
 from braidlake.plans import fixtures
@@ -211,7 +211,7 @@ CONTEXT = "ctx AS ({seeds} UNION SELECT m.n2, m.s2, c.d + m.w FROM ctx c JOIN mo
 def _context(g: Graph, seeds, limit: int) -> DataFrame:
     def in_frames():
         df = g.spark.createDataFrame([(0, *s) for s in seeds], "query_id long, node_id long, side int, dist long")
-        return traverse.context_frontier(g, df, limit).select("node_id", "dist")
+        return contexts.contexts(g, df, limit).select("node_id", "dist")
 
     return traverse.tiered(g, lambda near: g.spark.createDataFrame(sorted(near.context(seeds, limit).items()), "node_id long, dist long"), in_frames)
 
@@ -248,7 +248,14 @@ def context_interval(g):
 def context_frontier(g):
     """The second tier: a frontier a round in DataFrames."""
     seeds = g.spark.createDataFrame([(0, 40, 0, 0), (0, 40, 1, 0)], "query_id long, node_id long, side int, dist long")
-    return traverse.context_frontier(g, seeds, 6).select("node_id", "dist")
+    return contexts.contexts(g, seeds, 6).select("node_id", "dist")
+
+
+@query(", ctx AS (SELECT node_id AS q, node_id AS n, s, CAST(0 AS BIGINT) AS d FROM nodes CROSS JOIN (SELECT CAST(0 AS BIGINT) AS s UNION ALL SELECT 1) z UNION SELECT c.q, m.n2, m.s2, c.d + m.w FROM ctx c JOIN moves m ON m.n1 = c.n AND m.s1 = c.s WHERE c.d + m.w <= 9) SELECT q AS query_id, n AS node_id, CAST(MIN(d) AS BIGINT) AS dist FROM ctx GROUP BY q, n")
+def context_many(g):
+    """The contexts of all nodes, each a query of its own, at once."""
+    sides = F.explode(F.array(F.lit(0), F.lit(1))).alias("side")
+    return contexts.contexts(g, g.nodes.select(F.col("node_id").alias("query_id"), "node_id", sides, F.lit(0).alias("dist")), 9)
 
 
 BETWEEN = """bt AS (SELECT CAST(2*22 AS BIGINT) AS h UNION SELECT CAST(2*31 + 1 AS BIGINT) UNION SELECT x.h FROM bt JOIN edges e ON e.src = bt.h

@@ -7,7 +7,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from braidlake.operators import cigar, locate, reads, traverse, walks
+from braidlake.operators import cigar, contexts, locate, reads, traverse, walks
 from braidlake.schema import Graph, node_of
 from braidlake.sources.names import GraphName, require_reference
 from braidlake.sources.store import AlignmentStore, graph_name
@@ -178,7 +178,7 @@ def run(graph: Graph, query: SubgraphQuery) -> Subgraph:
         if query.kind == "between":
             ids = traverse.between_frontier(graph, spark.createDataFrame([(0, *query.handles)], "query_id long, start long, end long"), query.limit)
         else:
-            ids = traverse.context_frontier(graph, spark.createDataFrame([(0, *s) for s in seeds], "query_id long, node_id long, side int, dist long"), query.context)
+            ids = contexts.contexts(graph, spark.createDataFrame([(0, *s) for s in seeds], "query_id long, node_id long, side int, dist long"), query.context)
         ids = ids.select("node_id").distinct()
         if query.kind != "between":
             ids = traverse.extended(graph, ids) if query.extend_snarls else traverse.with_snarls(graph, ids) if query.snarls else ids

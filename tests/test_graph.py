@@ -8,7 +8,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from braidlake.operators import chains, locate, traverse, walks
+from braidlake.operators import chains, contexts, locate, traverse, walks
 from braidlake.plans.query import ALL, DISTINCT, REFERENCE, SubgraphQuery, run, slide
 from braidlake.schema import Graph, handle
 
@@ -91,7 +91,7 @@ def test_tiers_agree(spark, graph):
     ensure_checkpoint(spark)
     near = traverse.adjacency(graph)
     seeds = [(0, 14, 0, 0), (0, 14, 1, 0), (1, 23, 0, 0), (1, 23, 1, 0)]
-    got = traverse.context_frontier(graph, spark.createDataFrame(seeds, "query_id long, node_id long, side int, dist long"), 2).collect()
+    got = contexts.contexts(graph, spark.createDataFrame(seeds, "query_id long, node_id long, side int, dist long"), 2).collect()
     for q in (0, 1):
         assert {r.node_id: r.dist for r in got if r.query_id == q} == near.context([s[1:] for s in seeds if s[0] == q], 2)
     ends = spark.createDataFrame([(0, 22, 28), (1, 45, 46)], "query_id long, start long, end long")
