@@ -66,36 +66,90 @@ def find_paths(queries: DataFrame, paths: DataFrame) -> DataFrame:
     return found.withColumn("path_offset", (F.col("offset") - F.col("fragment")).cast("long"))
 
 
+def _groups(batches, keys: int):
+    """Rows that agree in their first columns, as one record batch each. Rows come sorted by these."""
+    held = []
+    for b in batches:
+        if b.num_rows:
+            changes = np.zeros(b.num_rows - 1, bool)
+            for c in range(keys):
+                changes |= np.diff(b.column(c).to_numpy()) != 0
+            at = [0, *(np.flatnonzero(changes) + 1).tolist(), b.num_rows]
+            for i, j in zip(at, at[1:], strict=False):
+                part = b.slice(i, j - i)
+                if held and any(held[-1].column(c)[0] != part.column(c)[0] for c in range(keys)):
+                    yield pa.concat_batches(held)
+                    held = []
+                held.append(part)
+    if held:
+        yield pa.concat_batches(held)
+
+
+def jump_function(starts: np.ndarray, interval: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bounds, exits): if the next choice is due at an offset up to bounds[k] and over the one before, then after these
+    starts it is due at exits[k]; if it is due after the last bound, they change nothing."""
+    n = len(starts)
+    following = np.searchsorted(starts, starts + interval)
+    last = np.where(following < n, following, np.arange(n))
+    while True:  # each start points to the last choice that it leads to here, twice as far in every round
+        further = last[last]
+        if (further == last).all():
+            break
+        last = further
+    exits = starts[last] + interval
+    keep = np.append(exits[1:] != exits[:-1], True)
+    return starts[keep], exits[keep]
+
+
 def reference_index(offsets: DataFrame, paths: DataFrame, interval: int = BIN) -> DataFrame:
     """Node starts about every `interval` bases of indexed paths, the first at 0; each at least that far from the last.
+    Interval 0 takes every node. Paths without an index raise no error: they have no rows.
 
-    Each choice depends on the one before, so a path's sorted starts stream through one task, which keeps the last choice
-    and jumps to the next by bisection. Paths without an index raise no error: they have no rows.
+    Each choice depends on the one before. A bin of steps says, as a function of where the next choice is due when it
+    begins, where that is when it ends; a path's functions are applied one after the other, a row for each bin, and then
+    all bins choose at once. So no task meets the steps of a whole path.
     """
-    if interval < 1:
-        raise ValueError("the interval must be positive")
-    names = ["path_handle", "path_offset", "node_handle", "step"]
+    if interval < 0:
+        raise ValueError("the interval must not be negative")
     rows = offsets.join(paths.where("is_indexed").select("path_handle"), "path_handle", "left_semi")
-    rows = rows.select("path_handle", F.col("step_start").alias("path_offset"), F.col("handle").alias("node_handle"), "step")
+    rows = rows.select("path_handle", F.floor(F.col("step") / STEPS_AT_ONCE).cast("long").alias("bin"), F.col("step_start").alias("path_offset"), F.col("handle").alias("node_handle"), "step")
+    names = ["path_handle", "path_offset", "node_handle", "step"]
+    if interval == 0:
+        return rows.select(*names)
+
+    def functions(batches):
+        for b in _groups(batches, 2):
+            bounds, exits = jump_function(b.column(2).to_numpy(), interval)
+            columns = [b.column(0).slice(0, 1), b.column(1).slice(0, 1), pa.array([bounds], pa.list_(pa.int64())), pa.array([exits], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["path_handle", "bin", "bounds", "exits"])
 
-    def picked(batches):
+    def entries(batches):
         path, due = None, 0
         for b in batches:
-            paths_, starts = b.column(0).to_numpy(), b.column(1).to_numpy()
-            edges = np.flatnonzero(np.diff(paths_)) + 1
-            take = []
-            for i, j in zip([0, *edges.tolist()], [*edges.tolist(), b.num_rows], strict=True):
-                if i < j and paths_[i] != path:
-                    path, due = paths_[i], 0
-                at = i + int(np.searchsorted(starts[i:j], due))
-                while at < j:
-                    take.append(at)
-                    due = int(starts[at]) + interval
-                    at += int(np.searchsorted(starts[at:j], due))
-            yield b.take(pa.array(take, pa.int64()))
-
-    ordered = rows.repartition("path_handle").sortWithinPartitions("path_handle", "path_offset", "step")
-    return ordered.mapInArrow(picked, ", ".join(f"{c} long" for c in names))
+            out = []
+            for p, bounds, exits in zip(b.column(0).to_pylist(), b.column(2), b.column(3), strict=True):
+                if p != path:
+                    path, due = p, 0
+                out.append(due)
+                k = int(np.searchsorted(bounds.values.to_numpy(), due))
+                if k < len(bounds.values):
+                    due = exits.values[k].as_py()
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.int64())], ["path_handle", "bin", "due"])
+
+    def choices(batches):
+        for b in _groups(batches, 2):
+            starts, due, take = b.column(2).to_numpy(), b.column(5)[0].as_py(), []
+            at = int(np.searchsorted(starts, due))
+            while at < len(starts):
+                take.append(at)
+                at += int(np.searchsorted(starts[at:], int(starts[at]) + interval))
+            yield b.take(pa.array(take, pa.int64())).select(names)
+
+    by_bin = lambda df: df.repartition("path_handle", "bin").sortWithinPartitions("path_handle", "bin", "step")
+    bins = by_bin(rows.select("path_handle", "bin", "path_offset", "step")).mapInArrow(functions, "path_handle long, bin long, bounds array<long>, exits array<long>")
+    due = bins.repartition("path_handle").sortWithinPartitions("path_handle", "bin").mapInArrow(entries, "path_handle long, bin long, due long")
+    both = rows.join(due, ["path_handle", "bin"]).select("path_handle", "bin", "path_offset", "node_handle", "step", "due")
+    return by_bin(both).mapInArrow(choices, ", ".join(f"{c} long" for c in names))
 
 
 def path_named(paths: DataFrame, sample: str, contig: str, haplotype: int = 0, fragment: int = 0) -> DataFrame:
@@ -143,9 +197,58 @@ def interval_to_steps(queries: DataFrame, offsets: DataFrame) -> DataFrame:
     return hit.drop("bin").distinct()
 
 
+#: Node ids that one task puts in order.
+IDS_AT_ONCE = 1 << 20
+
+
 def clusters(ids: DataFrame, gap: int = 1000) -> DataFrame:
-    """Runs of node ids with no gap over `gap` between neighbours: (cluster_min, cluster_max, n)."""
-    order = Window.orderBy("node_id")
-    apart = F.coalesce(F.col("node_id") - F.lag("node_id").over(order) > gap, F.lit(False))
-    rows = ids.select("node_id").distinct().withColumn("cluster", F.sum(apart.cast("long")).over(order))
-    return rows.groupBy("cluster").agg(F.min("node_id").alias("cluster_min"), F.max("node_id").alias("cluster_max"), F.count("*").alias("n")).drop("cluster")
+    """Runs of node ids with no gap over `gap` between neighbours: (cluster_min, cluster_max, n).
+
+    Ids are ordered bin by bin; a bin passes its last id and its number of ids on. What is seen in one task is a row for each
+    bin, and one for each run.
+    """
+    rows = ids.select("node_id").distinct().withColumn("bin", F.floor(F.col("node_id") / IDS_AT_ONCE))
+    bins = rows.groupBy("bin").agg(F.count("*").alias("n"), F.max("node_id").alias("last"))
+    order = Window.orderBy("bin")
+    bins = bins.select("bin", F.lag("last").over(order).alias("before"), F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    inside = Window.partitionBy("bin").orderBy("node_id")
+    rows = rows.withColumn("previous", F.lag("node_id").over(inside)).withColumn("rank", F.row_number().over(inside)).join(bins, "bin")
+    rows = rows.withColumns({"previous": F.coalesce("previous", "before"), "rank": F.col("base") + F.col("rank")})
+    last = rows.agg(F.max("node_id").alias("previous"), (F.max("rank") + 1).alias("rank")).where("rank is not null").select(F.lit(None).cast("long").alias("node_id"), "previous", "rank")
+    starts = rows.where(F.col("previous").isNull() | (F.col("node_id") - F.col("previous") > gap)).select("node_id", "previous", "rank").unionByName(last)
+    following = Window.orderBy("rank")
+    runs = starts.select(F.col("node_id").alias("cluster_min"), F.lead("previous").over(following).alias("cluster_max"), (F.lead("rank").over(following) - F.col("rank")).cast("long").alias("n"))
+    return runs.where("cluster_min is not null")
+
+
+#: Levels of bins; a bin of level k holds 2^k numbers.
+LEVELS = 62
+
+
+def _binned_ranges(rows: DataFrame, low: str, high: str, own_first: bool) -> DataFrame:
+    """Rows with (turn, level, bin): the one or two bins of the level at which a range is shorter than a bin, and those of
+    all levels above. On one turn a row is met by its own level, on the other by those above and itself."""
+    lo, hi = F.col(low), F.col(high)
+    level = F.when(hi > lo, F.length(F.bin(hi - lo))).otherwise(0).cast("int")
+    own = F.array(F.struct(F.lit(0 if own_first else 1).alias("turn"), level.alias("level")))
+    least = level + 1 if own_first else level  # a pair of one level is met on the first turn only
+    above = F.transform(F.sequence(least, F.lit(LEVELS + 1)), lambda k: F.struct(F.lit(1 if own_first else 0).alias("turn"), k.alias("level")))
+    keyed = rows.withColumn("__at", F.explode(F.concat(own, above))).withColumns({"turn": F.col("__at.turn"), "level": F.col("__at.level")})
+    first, last = F.expr(f"shiftright({low}, level)"), F.expr(f"shiftright({high}, level)")
+    return keyed.withColumn("bin", F.explode(F.when(first == last, F.array(first)).otherwise(F.array(first, last)))).drop("__at")
+
+
+def overlapping(left: DataFrame, right: DataFrame, ranges: tuple[str, str], others: tuple[str, str]) -> DataFrame:
+    """The rows of left whose range (inclusive, of numbers that aren't negative) meets one of right's, each once for each
+    that it meets in a bin; distinct them by a key.
+
+    An equi-join: of two ranges that meet, the shorter one's bins at the level of the longer one are among the longer's own.
+    """
+    sides = _binned_ranges(left.where(F.col(ranges[0]) <= F.col(ranges[1])), *ranges, True)
+    names = {c: f"__{k}" for k, c in enumerate(others)}
+    probe = right.where(F.col(others[0]) <= F.col(others[1])).select(*others).distinct().withColumnsRenamed(names)
+    probe = _binned_ranges(probe, "__0", "__1", False)
+    keys = ["turn", "level", "bin"]
+    meets = (F.col(ranges[0]) <= F.col("__1")) & (F.col(ranges[1]) >= F.col("__0"))
+    same = [sides[k] == probe[k] for k in keys]
+    return sides.join(probe, [*same, meets], "left_semi").drop(*keys)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from braidlake.functions import cs, gaf
+from braidlake.operators.locate import overlapping
 from braidlake.schema import node_of
 
 OVERLAPPING, CLIPPED, CONTAINED = "overlapping", "clipped", "contained"
@@ -94,9 +95,9 @@ def start_ranks(reads: DataFrame) -> DataFrame:
 
 
 def blocks_meeting(block_rows: DataFrame, clusters: DataFrame) -> DataFrame:
-    """Blocks whose handle range meets a cluster of nodes, each once. Clusters are few: one for each gap in a subgraph."""
-    meets = (F.col("min_handle") <= 2 * F.col("cluster_max") + 1) & (F.col("max_handle") >= 2 * F.col("cluster_min"))
-    return block_rows.join(clusters, meets, "left_semi")
+    """Blocks whose handle range meets a cluster of nodes, each once, for any number of both and ranges of any length."""
+    handles = clusters.select((2 * F.col("cluster_min")).alias("low"), (2 * F.col("cluster_max") + 1).alias("high"))
+    return overlapping(block_rows, handles, ("min_handle", "max_handle"), ("low", "high")).dropDuplicates(["block_id"])
 
 
 def select(reads: DataFrame, nodes: DataFrame, how: str = OVERLAPPING) -> DataFrame:

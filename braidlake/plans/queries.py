@@ -175,6 +175,12 @@ def reference_index(g):
     return locate.reference_index(g.steps, g.paths, 20)
 
 
+@query("SELECT o.path_handle, o.step_start AS path_offset, o.handle AS node_handle, o.step FROM offsets o JOIN paths p ON p.path_handle = o.path_handle WHERE p.is_indexed")
+def reference_index_all(g):
+    """An index of every node of the indexed paths."""
+    return locate.reference_index(g.steps, g.paths, 0)
+
+
 @query(INDEX + ", pq AS (SELECT event_id AS query_id, user_id AS path_handle, event_id % 97 AS \"at\" FROM events) SELECT q.query_id, q.path_handle, x.path_offset, x.node_handle, x.step FROM pq q ASOF LEFT JOIN ix x ON q.path_handle = x.path_handle AND q.\"at\" >= x.path_offset")
 def indexed_position_asof(g, spark, sf_dir):
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
@@ -510,6 +516,20 @@ TOKENS = "tk AS (SELECT aln_id, pos - 1 AS pos, tok FROM (SELECT aln_id, unnest(
 HANDLE = "2*CAST(substr(tok, 2) AS BIGINT) + CASE WHEN tok LIKE '<%' THEN 1 ELSE 0 END"
 
 
+@query("""SELECT event_id AS aln_id, CASE event_id % 11 WHEN 1 THEN 'too few fields' WHEN 2 THEN 'bad query interval' WHEN 3 THEN 'bad strand' WHEN 4 THEN 'bad path' WHEN 5 THEN 'bad path length' WHEN 6 THEN 'bad number'
+ WHEN 7 THEN 'bad optional field' WHEN 8 THEN 'duplicate field' WHEN 9 THEN CASE WHEN cs IS NOT NULL THEN 'bad difference string' END WHEN 10 THEN 'bad target interval' END AS error FROM events JOIN reads ON aln_id = event_id""")
+def gaf_errors(g, spark, sf_dir):
+    """What is wrong with lines that were broken, each in one of ten ways."""
+    part, kind = F.split("value", "\t", -1), F.col("aln_id") % 11
+    put = lambda k, text: F.array_join(F.transform(part, lambda x, i: F.when(i == k, F.lit(text)).otherwise(x)), "\t")
+    broken = F.when(kind == 1, F.array_join(F.slice(part, 1, 11), "\t"))
+    for n, (k, text) in {2: (1, "x"), 3: (4, "?"), 4: (5, "12>3"), 5: (6, "-5"), 6: (9, "1.5")}.items():
+        broken = broken.when(kind == n, put(k, text))
+    broken = broken.when(kind == 7, F.concat("value", F.lit("\tzz:i:1.5"))).when(kind == 8, F.concat("value", F.lit("\tAS:i:1")))
+    broken = broken.when(kind == 9, F.regexp_replace("value", "\tcs:Z:[^\t]*", "\tcs:Z::3?")).when(kind == 10, F.regexp_replace(put(7, "x"), "\tcs:Z:[^\t]*", ""))
+    return gaf.parse_lines(fixtures.lines(spark, sf_dir).withColumn("value", F.coalesce(broken, "value"))).select("aln_id", "error")
+
+
 @query(f", {TOKENS} SELECT aln_id, pos, {HANDLE} AS handle FROM tk")
 def gaf_path_steps(g, spark, sf_dir):
     return R.path_steps(_reads(spark, sf_dir))

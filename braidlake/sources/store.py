@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from braidlake.functions import gaf
 from braidlake.operators import reads as reads_ops
 from braidlake.operators import visits
+from braidlake.operators.locate import clusters as block_runs
 from braidlake.operators.locate import reference_index
 from braidlake.schema import VERSION, Graph, encode, node_of
 from braidlake.sources.names import NAME, SUBGRAPHS, GraphName, require_reference
@@ -227,14 +228,18 @@ class AlignmentStore:
         """The name of the graph that the reads are aligned to; tags that cannot be read are an error."""
         return GraphName.from_tags(self.tags, strict=True)
 
-    def meeting(self, clusters: DataFrame, most: int = 10_000) -> DataFrame:
-        """The reads of the blocks whose handle range meets a cluster of nodes. Up to `most` blocks are read by their ids,
-        which prunes files and row groups, as reads are stored in the order of blocks; more are joined."""
+    def meeting(self, clusters: DataFrame, runs: int = 64) -> DataFrame:
+        """The reads of the blocks whose handle range meets a cluster of nodes. Blocks that follow each other are runs, and
+        up to so many of these prune files and row groups, as reads are stored in the order of blocks."""
         blocks = reads_ops.blocks_meeting(self.blocks, clusters).select("block_id")
-        ids = [r.block_id for r in blocks.limit(most + 1).collect()]
-        if len(ids) > most:
-            return self.alignments.join(blocks, "block_id", "left_semi")
-        return self.alignments.where(F.col("block_id").isin(ids))
+        found = block_runs(blocks.withColumnRenamed("block_id", "node_id"), gap=1).limit(runs + 1).collect()
+        rows = self.alignments
+        if len(found) <= runs:
+            near = F.lit(False)
+            for r in found:
+                near = near | F.col("block_id").between(r.cluster_min, r.cluster_max)
+            return rows.where(near)  # all blocks of a run are met
+        return rows.join(blocks, "block_id", "left_semi")
 
     def rows(self, first: int, last: int) -> DataFrame:
         """The reads of blocks first <= block_id < last."""

@@ -107,11 +107,15 @@ def records(lines: DataFrame) -> DataFrame:
 
 
 def read_gaf(spark: SparkSession, path: str, on_error: str = "raise") -> DataFrame:
-    """Alignment records of a text file, plain or gzip. on_error: raise, drop, or keep with what is wrong in `error`."""
+    """Alignment records of a text file, plain or gzip. on_error: raise, drop, or keep with what is wrong in `error`.
+
+    A line that is wrong raises whatever is read of the records, if only their number.
+    """
     parsed = gaf.parse_lines(records(read_lines(spark, path)))
     if on_error == "raise":
         message = F.concat(F.lit("line "), F.col("aln_id").cast("string"), F.lit(": "), F.col("error"))
-        return parsed.withColumn("name", F.when(F.col("error").isNull(), F.col("name")).otherwise(F.raise_error(message))).drop("error")
+        good = F.when(F.col("error").isNull(), F.lit(True)).otherwise(F.raise_error(message).cast("boolean"))
+        return gaf.evaluated(parsed, __good=good).where("__good").drop("__good", "error")
     return parsed.where("error is null").drop("error") if on_error == "drop" else parsed
 
 

@@ -133,3 +133,32 @@ def test_graph_store_orders_walks_by_visits(spark, tmp_path):
     place = plain_offsets(sequences)
     starts = [next((place[s, k]) for s in (2 * r.path_handle, 2 * r.path_handle + 1) for k in range(12) if sequences[s][k : k + len(r.walk)] == r.walk and (s % 2 == 0) == (r.walk == paths[r.path_handle][r.first_step : r.first_step + len(r.walk)])) for r in rows]
     assert len(rows) >= 9 and starts == sorted(starts) and [r.offset for r in rows] == [o for _, o in starts]
+
+
+@pytest.mark.parametrize("at_once", [1, 7, 1 << 16])
+def test_sampling_over_many_bins(spark, monkeypatch, at_once):
+    """Equal to choosing one after the other, whatever the bins; interval 0 takes every step."""
+    from braidlake.operators import locate
+
+    monkeypatch.setattr(locate, "STEPS_AT_ONCE", at_once)
+    rng, rows, lengths = random.Random(at_once), [], {}
+    for p in range(12):
+        at = 0
+        for k in range(rng.choice([1, 2, 60, 150])):
+            size = rng.choice([1, 1, 2, 5, 40])
+            rows.append((p, k, 2 * rng.randint(1, 99), at, at + size))
+            at += size
+        lengths[p] = at
+    steps = spark.createDataFrame(rows, "path_handle long, step long, handle long, step_start long, step_end long")
+    paths = spark.createDataFrame([(p, p != 5) for p in lengths], "path_handle long, is_indexed boolean")
+    for interval in (0, 1, 3, 17, 1000):
+        want, due = set(), {}
+        for p, k, h, start, _ in rows:
+            if p != 5 and start >= due.get(p, 0):
+                want.add((p, start, h, k))
+                due[p] = start + interval
+        got = [tuple(r) for r in locate.reference_index(steps, paths, interval).collect()]
+        assert len(got) == len(want) and set(got) == want
+    with pytest.raises(ValueError, match="negative"):
+        locate.reference_index(steps, paths, -1)
+    assert locate.reference_index(steps.where("false"), paths, 5).count() == 0
