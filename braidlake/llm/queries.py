@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from braidlake.llm import bpe, chat, fim, hnsw, jaccard, langid, license, mixing, negatives, packing, quality, suffix, tokenbin
+from braidlake.llm import bpe, chat, fim, jaccard, langid, license, mixing, negatives, packing, quality, suffix, tokenbin, vectorcells
 from braidlake.llm._common import Workspace, documents
 
 
@@ -37,7 +37,7 @@ def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hnsw.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return vectorcells.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
 def op7_license(spark: SparkSession, sf_dir: str) -> DataFrame:

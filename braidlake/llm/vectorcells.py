@@ -1,12 +1,16 @@
-"""Near-duplicate vectors through a layered graph for each label, searched by blocks of vectors at once.
+"""Near-duplicate vectors through cells around sampled hubs, for each label, searched by blocks of vectors at once.
 
-Equal vectors of a label are one class with a count. A label's graph has two layers: above, hubs (a bounded sample of its
-classes by hash); below, all its classes, each linked with its nearest hub. Every class is a query: it is compared with all
-hubs, and the links of every hub within a margin of its nearest one are followed. An audit sets the margin: sampled classes
-are turned by just the greatest angle that still links, at random and towards other classes, and the margin is what leads
-from all but a few of these to the hub of the class, and back. Layers are met by matrix products of many queries with a
-hub's links, not walked node by node: in Python that costs less than a walk among so few hubs, so hubs have no links among
-each other. Labels of more than SHARD classes lie in files of neighbouring hubs, which blocks of queries read in turn.
+This takes the place of small-world graphs walked by beams: in numpy a walk of many queries in step costs more than fifty
+times the products with a whole shard that it saves (README has the figures), so a label has no graph but two layers: hubs (a
+bounded sample of its classes by hash), and all its classes, each in the cell of its nearest hub. Equal vectors of a label are
+one class with a count. Every class is a query: it is compared with all hubs, and with the cells of every hub within a margin
+of its nearest one. An audit sets the margin: sampled classes are turned by just the greatest angle that still links, at
+random and towards other classes, and the margin is what leads from all but a few of these to the hub of the class, and back.
+Labels of more than SHARD classes lie in files of some cells each, which blocks of queries read in turn.
+
+A pair counts for both of its classes if either leads to the other: who finds it looks whether the other would find it too,
+and counts for both if not. Whether a class follows a hub is decided in double precision where single precision leaves a
+doubt, so both ends decide alike.
 
 Links are verified in double precision where single precision leaves a doubt. A block returns sums of links and the edges of
 a spanning forest of what it linked, never all pairs of a group.
@@ -107,17 +111,37 @@ def layer(vectors: np.ndarray, ids: np.ndarray, n: int, cosine: float) -> tuple[
     return hubs, audit(hubs, _unit(vectors[order[k : k + AUDITED]]), cosine)
 
 
-def homes(unit: np.ndarray, hubs: np.ndarray) -> np.ndarray:
-    step = max(16, PRODUCT // len(hubs))
-    return np.concatenate([(unit[i : i + step] @ hubs.T).argmax(axis=1) for i in range(0, len(unit), step)]).astype(np.int32)
+def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products of rows in double precision, the same whatever rows they stand among."""
+    return (a.astype(np.float64) * b.astype(np.float64)).sum(axis=1)
+
+
+#: Single precision may err by less on products of unit vectors.
+DOUBT = 1e-5
+
+
+def homes(unit: np.ndarray, hubs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest hub of each unit vector, and the score with it."""
+    step, home, top = max(16, PRODUCT // len(hubs)), [], []
+    for i in range(0, len(unit), step):
+        part = unit[i : i + step]
+        home.append((part @ hubs.T).argmax(axis=1).astype(np.int32))
+        top.append(exact(part, hubs[home[-1]]))
+    return np.concatenate(home), np.concatenate(top)
 
 
-def passes(unit: np.ndarray, hubs: np.ndarray, margin: float):
+def passes(unit: np.ndarray, top: np.ndarray, hubs: np.ndarray, margin: float):
     """The hubs that queries follow, as (queries sorted by hub, where each hub's begin), a bounded number at a time."""
     step, whole, queries, followed, n = max(16, PRODUCT // len(hubs)), hubs.T.copy(), [], [], 0
     for i in range(0, len(unit), step):
-        scores = unit[i : i + step] @ whole
-        q, h = np.divmod(np.flatnonzero(scores >= scores.max(axis=1, keepdims=True) - np.float32(margin)), len(hubs))
+        scores, least = unit[i : i + step] @ whole, top[i : i + step, None] - margin
+        q, h = np.divmod(np.flatnonzero(scores >= (least - DOUBT).astype(np.float32)), len(hubs))
+        unsure = np.flatnonzero(scores[q, h] < least[q, 0] + DOUBT)
+        keep = np.ones(len(q), bool)
+        for k in range(0, len(unsure), 20_000):
+            u = unsure[k : k + 20_000]
+            keep[u] = exact(unit[q[u] + i], hubs[h[u]]) >= least[q[u], 0]
+        q, h = q[keep], h[keep]
         queries.append((q + i).astype(np.int32))
         followed.append(h.astype(np.uint16))
         n += len(q)
@@ -156,12 +180,14 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Links:
     """Sums of links of a block of queries, and a forest of these links."""
 
-    def __init__(self, vectors: np.ndarray, unit: np.ndarray, ids: np.ndarray, cosine: float):
-        self.vectors, self.unit, self.ids, self.cosine = vectors, unit, ids, cosine
+    def __init__(self, vectors: np.ndarray, ids: np.ndarray, counts: np.ndarray, home: np.ndarray, top: np.ndarray, hubs: np.ndarray, margin: float, cosine: float):
+        self.vectors, self.unit, self.ids, self.counts, self.home, self.top = vectors, _unit(vectors), ids, counts, home, top
+        self.hubs, self.margin, self.cosine = hubs, margin, cosine
         self.sums, self.a, self.b, self.held = np.zeros(len(ids)), [], [], 0
+        self.others, self.other_links = [], []
 
-    def follow(self, queries: np.ndarray, vectors: np.ndarray, unit: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
-        """Compares queries with the classes that a hub links."""
+    def follow(self, queries: np.ndarray, vectors: np.ndarray, unit: np.ndarray, ids: np.ndarray, counts: np.ndarray, tops: np.ndarray) -> None:
+        """Compares queries with the classes of a cell."""
         doubt, n = 1e-4 + 1.2e-7 * unit.shape[1], len(unit)
         for i in range(0, n, PRODUCT):
             part = slice(i, min(n, i + PRODUCT))
@@ -183,6 +209,11 @@ class Links:
                 at, j = at[take], j[take]
                 if len(at):
                     np.add.at(self.sums, at, counts[j])
+                    back = np.concatenate([exact(unit[j[s : s + 20_000]], self.hubs[self.home[at[s : s + 20_000]]]) for s in range(0, len(at), 20_000)])
+                    alone = back < tops[j] - self.margin  # the other end does not lead here
+                    if alone.any():
+                        self.others.append(ids[j[alone]])
+                        self.other_links.append(self.counts[at[alone]])
                     self.a.append(self.ids[at])
                     self.b.append(ids[j])
                     self.held += len(at)
@@ -193,26 +224,32 @@ class Links:
         if self.a:
             a, b = forest(np.concatenate(self.a), np.concatenate(self.b))
             self.a, self.b, self.held = [a], [b], 0
+        if self.others:
+            ids, at = np.unique(np.concatenate(self.others), return_inverse=True)
+            self.others, self.other_links = [ids], [np.bincount(at, np.concatenate(self.other_links)).astype(np.int64)]
 
     def rows(self) -> tuple[list, list, list]:
         """id, links and other: links of an id, or an edge."""
         self._shrink()
         linked = np.flatnonzero(self.sums)
         a, b = (self.a[0].tolist(), self.b[0].tolist()) if self.a else ([], [])
-        return self.ids[linked].tolist() + a, self.sums[linked].astype(np.int64).tolist() + [None] * len(a), [None] * len(linked) + b
+        more, links = (self.others[0].tolist(), self.other_links[0].tolist()) if self.others else ([], [])
+        counted = self.ids[linked].tolist() + more
+        return counted + a, self.sums[linked].astype(np.int64).tolist() + links + [None] * len(a), [None] * len(counted) + b
 
 
 def search_label(vectors: np.ndarray, ids: np.ndarray, counts: np.ndarray, cosine: float) -> Links:
     """All links of a label whose classes are at hand."""
     hubs, margin = layer(vectors, ids, len(ids), cosine)
-    unit = _unit(vectors)
-    links, home = Links(vectors, unit, ids, cosine), homes(unit, hubs)
+    home, top = homes(_unit(vectors), hubs)
+    links = Links(vectors, ids, counts, home, top, hubs, margin, cosine)
+    unit = links.unit
     below = np.argsort(home, kind="stable")
     begin = np.searchsorted(home[below], np.arange(len(hubs) + 1))
-    for queries, starts in passes(unit, hubs, margin):
+    for queries, starts in passes(unit, top, hubs, margin):
         for h in np.flatnonzero((np.diff(starts) > 0) & (np.diff(begin) > 0)).tolist():
             at = below[begin[h] : begin[h + 1]]
-            links.follow(queries[starts[h] : starts[h + 1]], vectors[at], unit[at], ids[at], counts[at])
+            links.follow(queries[starts[h] : starts[h + 1]], vectors[at], unit[at], ids[at], counts[at], top[at])
     return links
 
 
@@ -238,21 +275,21 @@ def _place(folder: str, label: str, d: int, shard: int | str) -> str:
 
 def search_block(folder: str, label: str, d: int, shards: list[int], asked: list[int], cosine: float) -> Links:
     """The links of the classes of some shards of a label among all of its shards."""
-    top = _load(_place(folder, label, d, "hubs"))
+    above = _load(_place(folder, label, d, "hubs"))
     own = [_load(_place(folder, label, d, s)) for s in asked]
-    vectors, ids = np.concatenate([p["vectors"] for p in own]), np.concatenate([p["ids"] for p in own])
+    parts = [np.concatenate([p[name] for p in own]) for name in ("vectors", "ids", "counts", "home", "top")]
     del own
-    links = Links(vectors, _unit(vectors), ids, cosine)
-    for queries, starts in passes(links.unit, top["hubs"], top["margin"][0]):
+    links = Links(*parts, above["hubs"], above["margin"][0], cosine)
+    for queries, starts in passes(links.unit, links.top, above["hubs"], above["margin"][0]):
         for s in shards:
-            lo, hi = np.searchsorted(top["shards"], [s, s + 1])
+            lo, hi = np.searchsorted(above["shards"], [s, s + 1])
             if starts[lo] == starts[hi]:
                 continue
             p = _load(_place(folder, label, d, s))
             unit, begin = _unit(p["vectors"]), np.searchsorted(p["home"], np.arange(lo, hi + 1))
             for h in np.flatnonzero((np.diff(starts[lo : hi + 1]) > 0) & (np.diff(begin) > 0)).tolist():
                 at = slice(begin[h], begin[h + 1])
-                links.follow(queries[starts[lo + h] : starts[lo + h + 1]], p["vectors"][at], unit[at], p["ids"][at], p["counts"][at])
+                links.follow(queries[starts[lo + h] : starts[lo + h + 1]], p["vectors"][at], unit[at], p["ids"][at], p["counts"][at], p["top"][at])
     return links
 
 
@@ -304,21 +341,21 @@ def near_vectors(rows: DataFrame, cosine: float = COSINE) -> DataFrame:
                 b = pa.Table.from_batches(part).combine_chunks()
                 names = pc.dictionary_encode(b.column("label")).combine_chunks()
                 code, ds, column = names.indices.to_numpy(), b.column("d").to_numpy(), b.column("vector")
-                home, shard = np.zeros(len(code), np.int32), np.zeros(len(code), np.int64)
+                home, top, shard = np.zeros(len(code), np.int32), np.zeros(len(code)), np.zeros(len(code), np.int64)
                 for c, d in set(zip(code.tolist(), ds.tolist(), strict=True)):
                     key = (names.dictionary[c].as_py(), d)
                     if key not in known:
                         if size > 2 * HUB_BYTES:
                             known.clear()
                             size = 0
-                        top = _load(_place(folder, *key, "hubs"))
-                        known[key] = top["hubs"], top["shards"]
-                        size += top["hubs"].nbytes
+                        above = _load(_place(folder, *key, "hubs"))
+                        known[key] = above["hubs"], above["shards"]
+                        size += above["hubs"].nbytes
                     hubs, shards = known[key]
                     at = np.flatnonzero((code == c) & (ds == d))
-                    home[at] = homes(_unit(_matrix(column, at, d)), hubs)
+                    home[at], top[at] = homes(_unit(_matrix(column, at, d)), hubs)
                     shard[at] = shards[home[at]]
-                b = b.append_column("home", pa.array(home)).append_column("shard", pa.array(shard))
+                b = b.append_column("home", pa.array(home)).append_column("top", pa.array(top)).append_column("shard", pa.array(shard))
                 yield from b.to_batches(max_chunksize=1000)
 
             part, n = [], 0
@@ -336,7 +373,7 @@ def near_vectors(rows: DataFrame, cosine: float = COSINE) -> DataFrame:
             home, ids = table.column("home").to_numpy(), table.column("id").to_numpy()
             order = np.lexsort((ids, home))
             vectors = _matrix(table.column("vector"), order, d)
-            _save(_place(folder, label, d, shard), vectors=vectors, ids=ids[order], counts=table.column("c").to_numpy()[order], home=home[order])
+            _save(_place(folder, label, d, shard), vectors=vectors, ids=ids[order], counts=table.column("c").to_numpy()[order], home=home[order], top=table.column("top").to_numpy()[order])
             return pa.table({"label": [label], "d": pa.array([d], pa.int32()), "shard": pa.array([shard], pa.int64())})
 
         def search(batches):
@@ -355,7 +392,7 @@ def near_vectors(rows: DataFrame, cosine: float = COSINE) -> DataFrame:
             sampled = many.where(F.pmod(F.xxhash64("id"), F.col("n")) < wanted).select("label", "d", "n", "id", "vector")
             ws.table(sampled.groupBy("label", "d", "n").applyInArrow(sample, "hubs long"), "hubs")
             many = many.select("label", "d", "id", "c", "vector")
-            dealt = many.mapInArrow(link, f"label string, d int, id long, c long, vector binary, home int, shard long")
+            dealt = many.mapInArrow(link, f"label string, d int, id long, c long, vector binary, home int, top double, shard long")
             shards = ws.table(dealt.groupBy("label", "d", "shard").applyInArrow(store, "label string, d int, shard long"), "shards")
             ws.drop("classes")
             every = shards.groupBy("label", "d").agg(F.sort_array(F.collect_list("shard")).alias("shards"))
