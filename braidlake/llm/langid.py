@@ -5,11 +5,12 @@ the sum over all ways to cut the word into pieces, found by a forward pass; a te
 distributions are trained by expectation maximisation over words of labelled documents. Counts come back per language and
 piece, so what reaches the driver is bounded by the vocabulary times the languages, and so is what is broadcast.
 
-A word is a run of letters, in lower case; runs over 24 letters are scored in parts of 24, so that nothing underflows. Words
-that a task has not met are scored together, all words of a length at once.
+A word is a run of letters, in lower case. Words of up to 24 letters that a task has not met are scored together, all words of
+a length at once; longer ones, of any length, by a forward pass that rescales as it goes, so that nothing underflows. Only
+training reads long runs in parts of 24 letters.
 
 Defined results: `und` and score 0 for a text that is null or has no letter, and for all texts when nothing was learned;
-equal scores go to the language first in order; rows that repeat are scored each; very long texts are scored in parts; an
+equal scores go to the language first in order; rows that repeat are scored each; very long texts are scored whole, some words at a time; an
 empty table gives no rows; other columns pass through unread, but for columns named lang_pred and score, which the results
 replace.
 """
@@ -31,7 +32,7 @@ from braidlake.llm._common import give_back, share_of, slices
 #: Training reads about so many documents of each language, taken by the hash of their id.
 SAMPLE_DOCUMENTS = 1_000
 ROUNDS, PSEUDO, FLOOR = 2, 200.0, 1e-9
-#: Letters of a word that are summed over at once, words that a task remembers, and words that it looks up together.
+#: Letters of a word that is scored with others and remembered, words that a task remembers, and words that it looks up together.
 LONGEST, MEMORY, AT_ONCE = 24, 120_000, 50_000
 UNDETERMINED = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -63,10 +64,12 @@ def trie(vocabulary: str) -> dict:
 
 
 def words(text: str) -> list[str]:
-    out = _LETTERS.findall(text.lower())
-    if any(len(w) > LONGEST for w in out):
-        out = [w[i : i + LONGEST] for w in out for i in range(0, len(w), LONGEST)]
-    return out
+    return _LETTERS.findall(text.lower())
+
+
+def _parts(found: list[str]) -> list[str]:
+    """Words for training, long ones in parts."""
+    return [w[i : i + LONGEST] for w in found for i in range(0, len(w), LONGEST)]
 
 
 def arcs(root: dict, word: str) -> list[tuple[int, int, int]]:
@@ -139,7 +142,7 @@ def train(docs: DataFrame, vocabulary: str | None = None, sample: int = SAMPLE_D
             root, counts = trie(vocabulary), defaultdict(Counter)
             for b in slices(batches):
                 for lang, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                    counts[lang].update(words(text))
+                    counts[lang].update(_parts(words(text)))
             for lang, c in counts.items():
                 rows = shared.value[:, languages.index(lang)][:, None].tolist()
                 uses = _expected(root, c, rows)
@@ -219,6 +222,54 @@ def forward_all(pieces: Pieces, found: list[str], table: np.ndarray) -> np.ndarr
     return alpha[n]
 
 
+#: Letters of a long word whose pieces are looked up together.
+STRETCH = 1 << 14
+
+
+def log_forward(pieces: Pieces, word: str, table: list[list[float]], width: int) -> list[float]:
+    """The logarithm of what `forward` gives at the end of a word of any length, for each language.
+
+    The sums of the last starts are all that a place needs; they are divided by a common factor before they get too small,
+    a factor for each language, and the factors' logarithms are added up.
+    """
+    text, longest = "▁" + word, pieces.longest
+    n, logs = len(text), [0.0] * width
+    last = [[1.0] * width]  # the sums of the places up to here, the latest first
+    for first in range(0, n, STRETCH):
+        stop = min(n, first + STRETCH)
+        points = np.frombuffer(text[first : stop + longest].encode("utf-32-le"), np.uint32).astype(np.uint64) + np.uint64(1)
+        into = [[] for _ in range(stop - first + longest)]  # (length, piece) of the arcs that end after a place
+        h, alive = np.zeros(stop - first, np.uint64), np.arange(stop - first)
+        for k in range(longest):
+            alive = alive[alive + k < len(points)]
+            h[alive] = h[alive] * np.uint64(Pieces.BASE) + points[alive + k]
+            there, piece = pieces.find(h[alive])
+            good = there & (piece >= 0)
+            if k == 0:
+                good, piece = np.ones(len(alive), bool), np.where(good, piece, -1)
+            for i, p in zip(alive[good].tolist(), piece[good].tolist(), strict=True):
+                into[i + k].append((k + 1, p))
+            alive = alive[there]
+        if first:
+            for i, arcs_ in enumerate(ahead):
+                into[i] = arcs_ + into[i]
+        ahead = into[stop - first :]
+        for here in into[: stop - first]:
+            sums = [0.0] * width
+            for length, p in here:
+                a, row = last[length - 1], table[p]
+                for c in range(width):
+                    sums[c] += a[c] * row[c]
+            last = [sums, *last[: longest - 1]]
+            if min(sums) < 1e-200:
+                for c in range(width):
+                    factor = max(sums[c], 1e-300)
+                    logs[c] += math.log(factor)
+                    for a in last:
+                        a[c] /= factor
+    return [x + math.log(y) for x, y in zip(logs, last[0], strict=True)]
+
+
 class Scorer(dict):
     """word -> row of a table of log probabilities; starts afresh when it would hold more than MEMORY words."""
 
@@ -226,6 +277,7 @@ class Scorer(dict):
         super().__init__()
         self.pieces, self.table = Pieces(trie(model.vocabulary)), model.table
         _TRIES.clear()  # a worker that scores needs the table only
+        self.rows = model.table.tolist()
         self.logs = np.zeros((MEMORY, len(model.languages)))
 
     def _learn(self, parts: list[list[str]]) -> None:
@@ -257,6 +309,11 @@ class Scorer(dict):
         for k, text in enumerate(texts):
             found = words(text) if text else []
             sizes[k] = len(found)
+            if any(len(w) > LONGEST for w in found):
+                for w in found:
+                    if len(w) > LONGEST:
+                        total[k] += log_forward(self.pieces, w, self.rows, total.shape[1])
+                found = [w for w in found if len(w) <= LONGEST]
             for i in range(0, len(found), AT_ONCE):
                 held.append((k, found[i : i + AT_ONCE]))
                 n += len(held[-1][1])

@@ -1,4 +1,5 @@
 import hashlib
+import math
 import re
 from collections import Counter
 
@@ -147,6 +148,38 @@ def test_forward_sums_all_segmentations():
         assert all_[:, 0].tolist() == pytest.approx([got, segmentations("▁" + word[::-1], table, vocabulary)])
 
 
+def plain_log_forward(root, word, column):
+    """All sums as logarithms, one place after the other."""
+    out = [0.0] + [-math.inf] * (len(word) + 1)
+    for i, j, piece in langid.arcs(root, word):
+        a, b = out[j], out[i] + math.log(column[piece])
+        out[j] = max(a, b) + math.log1p(math.exp(-abs(a - b))) if a > -math.inf else b
+    return out[-1]
+
+
+@pytest.mark.parametrize("stretch", [7, 100, 1 << 14])
+def test_long_runs_are_summed_whole(monkeypatch, stretch):
+    """No cut at any length: a run of 10,000 letters, pieces across stretches, letters outside the vocabulary."""
+    monkeypatch.setattr(langid, "STRETCH", stretch)
+    vocabulary = langid.default_vocabulary()
+    root, rng = langid.trie(vocabulary), np.random.default_rng(stretch)
+    table = np.vstack([rng.random((root[0], 2)) ** 3 / root[0], np.full(2, langid.FLOOR)])
+    pieces, rows = langid.Pieces(root), table.tolist()
+    letters = list("etaoinshrdluabcdefgh") + ["ß", "語", "\U00010330"]
+    for n in (1, 23, 25, 26, 60, 333, 10_000 if stretch > 7 else 700):
+        word = "".join(rng.choice(letters, n))
+        got = langid.log_forward(pieces, word, rows, 2)
+        assert got == pytest.approx([plain_log_forward(root, word, table[:, c].tolist()) for c in range(2)], rel=1e-9)
+    for word in ["ab" * 12, "the" * 8]:
+        assert langid.log_forward(pieces, word, rows, 2) == pytest.approx(np.log(langid.forward(langid.arcs(root, word), len(word) + 1, rows, 2)[-1]).tolist())
+    scorer = langid.Scorer(langid.Model(vocabulary, ["a", "b"], table))
+    word = "".join(rng.choice(letters[:20], 500))
+    root = langid.trie(vocabulary)
+    logs, sizes = scorer.scores([f"{word} ab {word}", word])
+    long_, short = ([plain_log_forward(root, w, table[:, c].tolist()) for c in range(2)] for w in (word, "ab"))
+    assert sizes.tolist() == [3, 1] and logs[1] == pytest.approx(long_) and logs[0] == pytest.approx(2 * np.array(long_) + short)
+
+
 def test_scores_of_many_texts(monkeypatch):
     """Words scored together, and forgotten again, are scored as one by one."""
     vocabulary = langid.default_vocabulary()
