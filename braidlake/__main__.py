@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from braidlake.functions import gaf, seq
-from braidlake.operators import chains, locate, traverse, walks
+from braidlake.operators import chains, traverse, walks
 from braidlake.operators import reads as R
 from braidlake.operators.reads import path_steps
 from braidlake.plans.query import ALL, DISTINCT, GENERIC, REFERENCE, SubgraphQuery, node_records, run
@@ -55,6 +55,7 @@ def _parser() -> argparse.ArgumentParser:
     p.add_argument("--output", choices=[ALL, DISTINCT, REFERENCE], default=ALL)
     p.add_argument("--cigar", action="store_true")
     p.add_argument("--format", choices=["gfa", "json"], default="gfa")
+    p.add_argument("--to", help="a folder for the text, written in parts; without it the text goes to standard output")
     p.add_argument("--reads")
     p.add_argument("--reads-output")
     p.add_argument("--reads-how", choices=[R.OVERLAPPING, R.CLIPPED, R.CONTAINED], default=R.OVERLAPPING)
@@ -137,13 +138,16 @@ def main(argv: list[str] | None = None) -> None:
         sub = run(graph, _query(args))
         sub = sub.with_cigars() if args.cigar else sub
         name = sub.graph_name(store.graph_name(graph))
-        print("\n".join(sub.gfa(name)) if args.format == "gfa" else sub.json())
+        if args.to:
+            sub.write_gfa(args.to, name) if args.format == "gfa" else sub.write_json(args.to)
+        else:
+            print("\n".join(sub.gfa(name)) if args.format == "gfa" else sub.json())
         if args.reads:
             opened = store.open_alignments(spark, args.reads)
-            found = sub.reads(opened, args.reads_how, graph)
+            picked = sub.selected(opened, args.reads_how, graph).persist()  # what is written and counted, so the store is read once
+            found = sub.clipped(picked, graph) if args.reads_how == R.CLIPPED else picked
             _write_reads(found, graph.nodes, args.reads_output, opened.graph_name())
-            met = R.blocks_meeting(opened.blocks, locate.clusters(sub.nodes))
-            _say(**R.counters(R.select(opened.alignments, sub.nodes), found, met).first().asDict())
+            _say(**R.counters(picked, found, opened.blocks_visiting(sub.nodes)).first().asDict())
     print(f"{args.command}: {time.time() - began:.3f} seconds, peak memory of the driver's Python {_peak_memory()}", file=sys.stderr)
 
 

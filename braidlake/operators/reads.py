@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from braidlake.functions import cs, gaf
-from braidlake.operators.locate import overlapping
+from braidlake.operators.locate import clusters, overlapping
 from braidlake.schema import node_of
 
 OVERLAPPING, CLIPPED, CONTAINED = "overlapping", "clipped", "contained"
@@ -100,8 +100,62 @@ def blocks_meeting(block_rows: DataFrame, clusters: DataFrame) -> DataFrame:
     return overlapping(block_rows, handles, ("min_handle", "max_handle"), ("low", "high")).dropDuplicates(["block_id"])
 
 
+def node_bitmaps(rows: DataFrame, *keys: str) -> DataFrame:
+    """(keys, bucket, bitmap): the sets of node_id of each key, as bitmaps of 32,768 ids."""
+    at = rows.withColumn("bucket", F.bitmap_bucket_number("node_id")).withColumn("bit", F.bitmap_bit_position("node_id"))
+    return at.groupBy(*keys, "bucket").agg(F.bitmap_construct_agg("bit").alias("bitmap"))
+
+
+def blocks_with_nodes(block_bitmaps: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(block_id, shared): blocks whose reads visit some of the nodes, and how many of these they visit. Bitmaps of a bucket
+    that both have are and-ed."""
+    wanted = node_bitmaps(nodes.select("node_id").distinct()).withColumnRenamed("bitmap", "wanted")
+    both = block_bitmaps.join(wanted, "bucket")
+    pairs = both.select("block_id", "bucket", F.explode(F.array("bitmap", "wanted")).alias("bitmap"))
+    met = pairs.groupBy("block_id", "bucket").agg(F.bitmap_count(F.bitmap_and_agg("bitmap")).alias("n"))
+    return met.groupBy("block_id").agg(F.sum("n").alias("shared")).where("shared > 0")
+
+
+#: Clusters of a node set, and words of 64 ids that these span, that may go to all tasks: 1 MB of them.
+MOST_CLUSTERS, MOST_WORDS = 64, 1 << 17
+
+
+def node_words(nodes: DataFrame) -> list[tuple[int, int, list[int]]] | None:
+    """A node set as (first word, last word, words) of its clusters, a bit for each id; None if it is too large to broadcast.
+    Only numbers of clusters and words are asked first."""
+    runs = clusters(nodes.select("node_id"), 1024).limit(MOST_CLUSTERS + 1).collect()
+    spans = [(r.cluster_min >> 6, r.cluster_max >> 6) for r in runs]
+    if len(runs) > MOST_CLUSTERS or sum(b - a + 1 for a, b in spans) > MOST_WORDS:
+        return None
+    word = F.shiftright("node_id", 6)
+    rows = nodes.select("node_id").distinct().groupBy(word.alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(node_id & 63 as int))")).alias("bits")).collect()
+    found = {r.word: r.bits for r in rows}
+    return [(a, b, [found.get(k, 0) for k in range(a, b + 1)]) for a, b in spans]
+
+
+def is_inside(words: list[tuple[int, int, list[int]]], spark) -> tuple[DataFrame, Column]:
+    """A row for all tasks that holds a node set, as column `__set`, and whether its bit of column handle is set, as a function."""
+    one = spark.createDataFrame([(words,)], "__set array<struct<first: long, last: long, words: array<long>>>")
+
+    def inside(handle: Column) -> Column:
+        word, bit = F.shiftright(handle, 7), F.shiftright(handle, 1).bitwiseAND(F.lit(63)).cast("int")
+        at = lambda s: F.element_at(s["words"], (word - s["first"] + 1).cast("int"))
+        return F.exists("__set", lambda s: (word >= s["first"]) & (word <= s["last"]) & (F.getbit(F.when((word >= s["first"]) & (word <= s["last"]), at(s)), bit) == 1))
+
+    return one, inside
+
+
 def select(reads: DataFrame, nodes: DataFrame, how: str = OVERLAPPING) -> DataFrame:
-    """Reads with a node in the subgraph, or with all of them."""
+    """Reads with a node in the subgraph, or with all of them.
+
+    A node set of up to 1 MB of bits goes to all tasks, and each read looks its nodes up, so reads are neither taken apart nor
+    moved; a larger one is joined with the steps of the reads.
+    """
+    words = node_words(nodes)
+    if words is not None:
+        one, inside = is_inside(words, reads.sparkSession)
+        test = F.forall("path", inside) if how == CONTAINED else F.exists("path", inside)
+        return reads.join(F.broadcast(one)).where((F.size("path") > 0) & test).select(*[F.col(f"`{c}`") for c in reads.columns])
     steps = path_steps(reads).withColumn("node_id", node_of(F.col("handle")))
     ids = nodes.select("node_id").distinct()
     if how == CONTAINED:

@@ -155,6 +155,26 @@ def json_paths(named_walks: DataFrame) -> DataFrame:
     return named_walks.select("is_ref", "haplotype", F.concat(F.lit('{"name": '), _quoted(name), F.lit(", "), weight, cigar, F.lit('"path": ['), F.array_join(steps, ", "), F.lit("]}")).alias("json"))
 
 
+def in_order(lines: DataFrame) -> DataFrame:
+    """Lines (section, k1, k2, line) as sorted text, in parts: written, the part files in the order of their names are one text."""
+    return lines.orderBy("section", "k1", "k2").select(F.col("line").alias("value"))
+
+
+def json_lines(nodes: DataFrame, edges: DataFrame, named_walks: DataFrame) -> DataFrame:
+    """(section, k1, k2, line): the document of `json_document` in lines, whatever its size. A line ends in a comma unless it
+    is the last of its list, which is known by the greatest key, not by collecting."""
+    zero, long_ = F.lit(0).cast("long"), lambda c: F.col(c).cast("long")
+    parts = [json_nodes(nodes).select(F.lit(1).alias("list"), long_("node_id").alias("k1"), zero.alias("k2"), "json"), json_edges(edges).select(F.lit(2).alias("list"), long_("src").alias("k1"), long_("dst").alias("k2"), "json")]
+    parts.append(json_paths(named_walks).select(F.lit(3).alias("list"), (~F.col("is_ref")).cast("long").alias("k1"), F.when(F.col("is_ref"), 0).otherwise(F.col("haplotype")).cast("long").alias("k2"), "json"))
+    rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    last = rows.groupBy(F.col("list").alias("of")).agg(F.max(F.struct("k1", "k2")).alias("last"))  # three rows
+    rows = rows.join(F.broadcast(last), F.col("list") == F.col("of"))
+    ended = F.struct("k1", "k2") == F.col("last")
+    rows = rows.select((2 * F.col("list")).alias("section"), "k1", "k2", F.concat("json", F.when(ended, "").otherwise(",")).alias("line"))
+    frame = [(1, '{"nodes": ['), (3, '], "edges": ['), (5, '], "paths": ['), (7, "]}")]
+    return rows.unionByName(nodes.sparkSession.createDataFrame([(s, 0, 0, text) for s, text in frame], "section int, k1 long, k2 long, line string"))
+
+
 def json_document(nodes: DataFrame, edges: DataFrame, named_walks: DataFrame) -> str:
     """The whole text of a subgraph; subgraphs are small by their nature."""
     parts = [[r.json for r in json_nodes(nodes).orderBy("node_id").collect()], [r.json for r in json_edges(edges).orderBy("src", "dst").collect()]]

@@ -646,6 +646,13 @@ def blocks_overlapping(g, spark, sf_dir):
     return R.blocks_meeting(R.block_summary(_blocked(spark, sf_dir)), clusters).select("block_id")
 
 
+@query(f", {BLOCKS}, {TOKENS} SELECT block_id, COUNT(DISTINCT CAST(substr(tok, 2) AS BIGINT)) AS shared FROM bl JOIN tk USING (aln_id) WHERE CAST(substr(tok, 2) AS BIGINT) % 5 = 2 GROUP BY block_id")
+def blocks_with_nodes(g, spark, sf_dir):
+    """Blocks whose reads visit some of a scattered set of nodes, by bitmaps, and how many of them."""
+    steps = _blocked(spark, sf_dir).select("block_id", F.explode("path").alias("handle")).select("block_id", node_of(F.col("handle")).alias("node_id"))
+    return R.blocks_with_nodes(R.node_bitmaps(steps, "block_id"), g.nodes.where("node_id % 5 = 2"))
+
+
 @query(f", {TOKENS} SELECT DISTINCT aln_id FROM tk WHERE CAST(substr(tok, 2) AS BIGINT) BETWEEN {LO} AND {HI}")
 def reads_overlapping(g, spark, sf_dir):
     return R.select(_reads(spark, sf_dir), region(g)).select("aln_id")

@@ -93,19 +93,35 @@ class Subgraph:
     def json(self) -> str:
         return walks.json_document(self.nodes, self.edges, self.walks)
 
-    def reads(self, alignments: DataFrame | AlignmentStore, how: str = reads.OVERLAPPING, graph: Graph | None = None) -> DataFrame:
-        """Reads of the subgraph: those that overlap it, their fragments inside, or those wholly contained.
+    def write_gfa(self, path: str, name: GraphName | None = None) -> None:
+        """The text of a subgraph of any size, sorted and written in parts."""
+        lines = walks.gfa_lines(self.nodes, self.edges, self.walks, self.sample, name.gfa_headers() if name else ())
+        walks.in_order(lines).write.text(path)
 
-        Of a store only the blocks are read whose handle range meets the subgraph, after its reference has been checked.
-        """
+    def write_json(self, path: str) -> None:
+        """The document of a subgraph of any size, written in parts."""
+        walks.in_order(walks.json_lines(self.nodes, self.edges, self.walks)).write.text(path)
+
+    def clipped(self, selected: DataFrame, graph: Graph | None = None) -> DataFrame:
+        """The fragments of selected reads inside the subgraph."""
+        return reads.clip(selected, (graph.nodes if graph else self.nodes), self.nodes)
+
+    def selected(self, alignments: DataFrame | AlignmentStore, how: str = reads.OVERLAPPING, graph: Graph | None = None) -> DataFrame:
+        """Whole reads that overlap the subgraph or are contained in it."""
         if isinstance(alignments, AlignmentStore):
             if graph is not None:
                 require_reference(alignments.graph_name(), graph_name(graph))
-            alignments = alignments.meeting(locate.clusters(self.nodes)).drop("block_id")
-        if how == reads.CLIPPED:
-            return reads.clip(reads.select(alignments, self.nodes), (graph.nodes if graph else self.nodes), self.nodes)
+            alignments = alignments.visiting(self.nodes).drop("block_id")
         return reads.select(alignments, self.nodes, how)
 
+    def reads(self, alignments: DataFrame | AlignmentStore, how: str = reads.OVERLAPPING, graph: Graph | None = None) -> DataFrame:
+        """Reads of the subgraph: those that overlap it, their fragments inside, or those wholly contained.
+
+        Of a store only the blocks are read that visit nodes of the subgraph, after its reference has been checked.
+        """
+        selected = self.selected(alignments, how, graph)
+        return self.clipped(selected, graph) if how == reads.CLIPPED else selected
+
 
 def node_records(store: AlignmentStore, sub: Subgraph | None = None, graph: Graph | None = None) -> DataFrame:
     """(node_id, sequence) of the nodes that a store's reads visit: from its own table, else the subgraph, else the graph."""
@@ -128,30 +144,30 @@ def locate_path(graph: Graph, query: SubgraphQuery):
     return row.path_handle, query.start - row.fragment, row.fragment
 
 
+#: Steps of an interval whose seeds may come to the driver; those of longer ones stay in a DataFrame.
+MOST_SEEDS = 100_000
+
+
 def seeds_of(graph: Graph, query: SubgraphQuery):
-    """Seeds (node, side, distance) of a query by path, and its place: (path_handle, first step, fragment)."""
+    """Seeds (node, side, distance) of a query by path, as a list or, of a long interval, a DataFrame (node_id, side, dist),
+    and the query's place: (path_handle, first step, fragment)."""
     path, offset, fragment = locate_path(graph, query)
     end = offset + (query.end - query.start if query.kind == "interval" else 1)
     if end <= offset:
         raise ValueError("empty interval")
     here = (F.col("path_handle") == path) & (F.col("step_start") < end) & (F.col("step_end") > offset)
-    steps = graph.steps.where(here).orderBy("step").collect()
-    if not steps or steps[-1].step_end < end:
+    rows = graph.steps.where(here)
+    ends = rows.agg(F.count("*").alias("n"), F.min("step").alias("first"), F.max("step_end").alias("end")).first()
+    if not ends.n or ends.end < end:
         raise ValueError(f"path {query.contig} does not contain offset {end - 1}")
-    out = []
-    for s in steps:
-        node, rev, size = s.handle >> 1, s.handle & 1, s.step_end - s.step_start
-        entry, exit_ = (0, 1) if not rev else (1, 0)
-        at = max(offset - s.step_start, 0)
-        out.append((node, entry, at))
-        left = end - max(offset, s.step_start)  # what is left of the interval here
-        if query.kind == "offset":
-            out.append((node, exit_, size - at - 1))
-        elif s.step_end >= end:
-            out.append((node, exit_, 0 if left == size - at else size - at - left - 1))
-        else:
-            out.append((node, exit_, 0))
-    return out, (path, steps[0].step, fragment)
+    size, rev = F.col("step_end") - F.col("step_start"), F.col("handle").bitwiseAND(F.lit(1)).cast("int")
+    at = F.greatest(offset - F.col("step_start"), F.lit(0))
+    left = end - F.greatest(F.lit(offset), F.col("step_start"))  # what is left of the interval here
+    beyond = F.when(F.lit(query.kind == "offset"), size - at - 1).when((F.col("step_end") >= end) & (left != size - at), size - at - left - 1).otherwise(0)
+    both = F.array(F.struct(rev.alias("side"), at.cast("long").alias("dist")), F.struct((1 - rev).alias("side"), beyond.cast("long").alias("dist")))
+    seeds = rows.select(node_of(F.col("handle")).alias("node_id"), F.explode(both).alias("x")).select("node_id", "x.side", "x.dist")
+    place = path, ends.first, fragment
+    return (seeds if ends.n > MOST_SEEDS else [tuple(r) for r in seeds.collect()]), place
 
 
 def run(graph: Graph, query: SubgraphQuery) -> Subgraph:
@@ -178,13 +194,15 @@ def run(graph: Graph, query: SubgraphQuery) -> Subgraph:
         if query.kind == "between":
             ids = traverse.between_frontier(graph, spark.createDataFrame([(0, *query.handles)], "query_id long, start long, end long"), query.limit)
         else:
-            ids = contexts.contexts(graph, spark.createDataFrame([(0, *s) for s in seeds], "query_id long, node_id long, side int, dist long"), query.context)
+            many = seeds if isinstance(seeds, DataFrame) else spark.createDataFrame(list(seeds), "node_id long, side int, dist long")
+            ids = contexts.contexts(graph, many.select(F.lit(0).cast("long").alias("query_id"), "node_id", "side", "dist"), query.context)
         ids = ids.select("node_id").distinct()
         if query.kind != "between":
             ids = traverse.extended(graph, ids) if query.extend_snarls else traverse.with_snarls(graph, ids) if query.snarls else ids
         return ids.checkpoint()
 
-    return extract(graph, traverse.tiered(graph, on_driver, in_frames), query, place)
+    ids = in_frames() if isinstance(seeds, DataFrame) else traverse.tiered(graph, on_driver, in_frames)
+    return extract(graph, ids, query, place)
 
 
 #: Runs of node ids that a subgraph is read by; more are only joined.

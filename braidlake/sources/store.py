@@ -163,11 +163,14 @@ def write_alignments(
     if params.start_positions:
         stored = _with_paths(stored, spark.read.schema(JUMPS).parquet(f"{path}/jumps"), levels)
     reads_ops.block_summary(stored).write.parquet(f"{path}/blocks")
-    visited = reads_ops.path_steps(stored).select(node_of(F.col("handle")).alias("node_id")).distinct()
+    steps = stored.select("block_id", F.explode("path").alias("handle")).select("block_id", node_of(F.col("handle")).alias("node_id"))
+    bitmaps = reads_ops.node_bitmaps(steps, "block_id").repartitionByRange("bucket", "block_id").sortWithinPartitions("bucket", "block_id")
+    bitmaps.write.parquet(f"{path}/block_bitmaps")
+    visited = steps.select("node_id").distinct()
     if params.reference_free:
         visited = visited.join(graph.nodes, "node_id", "left")
     visited.write.parquet(f"{path}/nodes")
-    counts = {"version": READS_VERSION, "alignments": str(stored.count()), "nodes": str(spark.read.parquet(f"{path}/nodes").count()), "bidirectional_gbwt": "0", "params": params.to_json(), "levels": str(levels), **name.tags(), **(tags or {})}
+    counts = {"version": READS_VERSION, "alignments": str(stored.count()), "nodes": str(spark.read.parquet(f"{path}/nodes").count()), "bidirectional_gbwt": "0", "params": params.to_json(), "levels": str(levels), "bitmaps": "1", **name.tags(), **(tags or {})}
     spark.createDataFrame(sorted(counts.items()), "key string, value string").coalesce(1).write.parquet(f"{path}/tags")
 
 
@@ -231,7 +234,20 @@ class AlignmentStore:
     def meeting(self, clusters: DataFrame, runs: int = 64) -> DataFrame:
         """The reads of the blocks whose handle range meets a cluster of nodes. Blocks that follow each other are runs, and
         up to so many of these prune files and row groups, as reads are stored in the order of blocks."""
-        blocks = reads_ops.blocks_meeting(self.blocks, clusters).select("block_id")
+        return self._of_blocks(reads_ops.blocks_meeting(self.blocks, clusters).select("block_id"), runs)
+
+    def visiting(self, nodes: DataFrame, runs: int = 64) -> DataFrame:
+        """The reads of the blocks that visit some of the nodes, by bitmaps: exact where `meeting` knows ranges only. A store
+        without bitmaps goes by ranges."""
+        if self.tags.get("bitmaps") != "1":
+            return self.meeting(block_runs(nodes), runs)
+        return self._of_blocks(self.blocks_visiting(nodes).select("block_id"), runs)
+
+    def blocks_visiting(self, nodes: DataFrame) -> DataFrame:
+        """(block_id, shared): how many of the nodes the reads of a block visit."""
+        return reads_ops.blocks_with_nodes(self.alignments.sparkSession.read.parquet(f"{self.path}/block_bitmaps"), nodes)
+
+    def _of_blocks(self, blocks: DataFrame, runs: int) -> DataFrame:
         found = block_runs(blocks.withColumnRenamed("block_id", "node_id"), gap=1).limit(runs + 1).collect()
         rows = self.alignments
         if len(found) <= runs:

@@ -172,6 +172,35 @@ def test_sets_edges_and_starts(spark, graph):
     assert [r.path_handle for r in locate.path_named(graph.paths, "sample", "A", 2).collect()] == [3] and locate.indexed_paths(graph.paths).count() == 2
 
 
+def test_texts_are_written_in_parts(graph, tmp_path):
+    """The parts in the order of their names are the collected text."""
+    import json
+    from pathlib import Path
+
+    sub = run(graph, QUERIES[0][0]).with_cigars()
+    read = lambda name: "\n".join(f.read_text().rstrip("\n") for f in sorted(Path(tmp_path, name).glob("part-*")) if f.stat().st_size)
+    sub.write_gfa(f"{tmp_path}/gfa")
+    sub.write_json(f"{tmp_path}/json")
+    assert read("gfa").splitlines() == sub.gfa()
+    assert json.loads(read("json")) == json.loads(sub.json())
+    none = run(graph, between(22, 28))
+    none = type(none)(none.nodes.where("false"), none.edges.where("false"), none.walks.where("false"))
+    none.write_json(f"{tmp_path}/none")
+    assert json.loads(read("none")) == {"nodes": [], "edges": [], "paths": []}
+
+
+def test_seeds_of_a_long_interval_stay_in_a_frame(graph, monkeypatch):
+    from braidlake.plans import query as q
+
+    wanted = [x for x in QUERIES if x[0].kind == "interval"]
+    lists = [sorted(q.seeds_of(graph, x[0])[0]) for x in wanted]
+    monkeypatch.setattr(q, "MOST_SEEDS", 0)
+    for (one, nodes, paths), seeds in zip(wanted[:2], lists, strict=False):
+        assert sorted(map(tuple, q.seeds_of(graph, one)[0].collect())) == seeds
+        sub = run(graph, one)
+        assert ids(sub) == nodes and sub.walks.count() == paths
+
+
 def test_errors(graph):
     for bad in (off("A", 5), off("C", 0), SubgraphQuery.path_interval("A", 2, 9), SubgraphQuery.path_interval("A", 2, 2)):
         with pytest.raises(ValueError):

@@ -59,3 +59,42 @@ def test_bad_lines_raise_whatever_is_read(spark, tmp_path):
             read()
     assert read_gaf(spark, f"{tmp_path}/bad.gaf", "drop").count() == 1
     assert [r.error for r in read_gaf(spark, f"{tmp_path}/bad.gaf", "keep").orderBy("aln_id").collect()] == [None, "too few fields"]
+
+
+@pytest.fixture(scope="module")
+def paths(spark):
+    rng, rows = random.Random(7), []
+    for i in range(500):
+        base = rng.choice([0, 40, 70_000, 1 << 33])
+        rows.append((i, [2 * (base + rng.randrange(300)) + rng.randrange(2) for _ in range(rng.randrange(6))]))
+    return rows, spark.createDataFrame([(i, p, i % 7) for i, p in rows], "aln_id long, path array<long>, block_id long")
+
+
+@pytest.mark.parametrize("most", [1 << 17, 3])
+def test_reads_of_a_node_set(spark, paths, monkeypatch, most):
+    """The same reads whether the node set goes to all tasks as bits or is joined with steps; as bits no read is taken apart."""
+    monkeypatch.setattr(R, "MOST_WORDS", most)
+    rows, df = paths
+    rng = random.Random(1)
+    ids = {base + rng.randrange(300) for base in (0, 40, 70_000, 1 << 33) for _ in range(260)}
+    for nodes in (ids, {7}, set(), {(1 << 33) + 63, (1 << 33) + 64}):
+        frame = spark.createDataFrame([(n,) for n in sorted(nodes)] * 2, "node_id long")
+        for how in (R.OVERLAPPING, R.CONTAINED):
+            test = all if how == R.CONTAINED else any
+            got = R.select(df, frame, how)
+            assert got.columns == df.columns
+            assert sorted(r.aln_id for r in got.collect()) == [i for i, p in rows if p and test(h >> 1 in nodes for h in p)]
+            plan = got._jdf.queryExecution().executedPlan().toString()
+            if most > 3:
+                assert "Generate" not in plan and "Exchange hashpartitioning" not in plan
+
+
+def test_blocks_by_bitmaps(spark, paths):
+    rows, df = paths
+    ids = {3, 41, 70_007, 70_008, (1 << 33) + 299}
+    steps = df.selectExpr("block_id", "explode(path) AS h").selectExpr("block_id", "h div 2 AS node_id")
+    got = R.blocks_with_nodes(R.node_bitmaps(steps, "block_id"), spark.createDataFrame([(n,) for n in ids], "node_id long"))
+    want = {}
+    for i, p in rows:
+        want.setdefault(i % 7, set()).update({h >> 1 for h in p} & ids)
+    assert {r.block_id: r.shared for r in got.collect()} == {b: len(s) for b, s in want.items() if s}
