@@ -190,6 +190,15 @@ class Ranged(Adjacency):
             if k == 1 and a in self.next:
                 self.next[a].sort()
 
+    def forget(self, keep: set[int]) -> None:
+        """Drops the ranges that none of the nodes is in; others can be fetched in their place."""
+        gone = self.loaded - {n // self.width for n in keep}
+        self.loaded -= gone
+        self.left += len(gone)
+        for held, node in ((self.length, lambda n: n), (self.next, lambda h: h >> 1), (self.link, lambda h: h >> 1)):
+            for k in [k for k in held if node(k) // self.width in gone]:
+                del held[k]
+
     def successors(self, handle: int) -> list[int]:
         self._need(handle >> 1)
         return super().successors(handle)

@@ -12,7 +12,7 @@ from braidlake.operators import chains, cigar, contexts, locate, traverse, visit
 from braidlake.operators import reads as R
 from braidlake.operators._shared import ensure_checkpoint, numbered
 from braidlake.plans import fixtures
-from braidlake.plans.query import DISTINCT, REFERENCE, SubgraphQuery, run, slide
+from braidlake.plans.query import DISTINCT, REFERENCE, SlidingContext, SubgraphQuery, run, slide
 from braidlake.schema import Graph, flipped_path, is_reverse, node_of, walk_text
 from braidlake.sources import store
 from braidlake.sources import text as text_io
@@ -264,6 +264,23 @@ def context_many(g):
     return contexts.contexts(g, g.nodes.select(F.col("node_id").alias("query_id"), "node_id", sides, F.lit(0).alias("dist")), 9)
 
 
+@query(""", wq AS (SELECT unnest(range(0, path_len, 20)) AS pos FROM paths WHERE path_handle = 10),
+ ctx AS (SELECT q.pos, CAST(FLOOR(o.handle/2) AS BIGINT) AS n, CASE WHEN k = 0 THEN o.handle % 2 ELSE 1 - o.handle % 2 END AS s, CASE WHEN k = 0 THEN q.pos - o.step_start ELSE o.step_end - q.pos - 1 END AS d
+  FROM wq q JOIN offsets o ON o.path_handle = 10 AND o.step_start <= q.pos AND q.pos < o.step_end CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1) z
+  UNION SELECT c.pos, m.n2, m.s2, c.d + m.w FROM ctx c JOIN moves m ON m.n1 = c.n AND m.s1 = c.s WHERE c.d + m.w <= 15),
+ win AS (SELECT DISTINCT pos, n FROM ctx)
+ SELECT pos, n AS node_id, 'inserted' AS change FROM win w WHERE NOT EXISTS (SELECT 1 FROM win b WHERE b.pos = w.pos - 20 AND b.n = w.n)
+ UNION ALL SELECT pos + 20, n, 'removed' FROM win w WHERE pos + 20 IN (SELECT pos FROM wq) AND NOT EXISTS (SELECT 1 FROM win b WHERE b.pos = w.pos + 20 AND b.n = w.n)""")
+def window_slides(g):
+    """A window along a whole path: what each move brings in and leaves behind."""
+    row, out = g.paths.where("path_handle = 10").first(), []
+    window = SlidingContext(g)
+    for at in range(0, row.path_len, 20):
+        changes = window.move(SubgraphQuery.path_offset(row.contig, at, sample=row.sample, haplotype=row.haplotype).with_(context=15))
+        out += [(at, n, change) for change, nodes in zip(("inserted", "removed"), changes, strict=True) for n in nodes]
+    return g.spark.createDataFrame(out, "pos long, node_id long, change string")
+
+
 BETWEEN = """bt AS (SELECT CAST(2*22 AS BIGINT) AS h UNION SELECT CAST(2*31 + 1 AS BIGINT) UNION SELECT x.h FROM bt JOIN edges e ON e.src = bt.h
  JOIN LATERAL (SELECT e.dst AS h UNION ALL SELECT e.dst + 1 - 2*(e.dst % 2)) x ON true WHERE FLOOR(e.dst/2) NOT IN (22, 31))"""
 

@@ -246,3 +246,36 @@ def extract(graph: Graph, ids: DataFrame, query: SubgraphQuery, place=None) -> S
 def slide(before: DataFrame, after: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(inserted, removed) node ids when one context replaces another."""
     return after.join(before, "node_id", "left_anti"), before.join(after, "node_id", "left_anti")
+
+
+class SlidingContext:
+    """The context of a window that moves over a graph: what a move has in common with the last one is not fetched again.
+
+    fetched counts the ranges of node ids that were read; those that the window has left are forgotten. A window that meets
+    more than the driver should hold is searched in DataFrames.
+    """
+
+    def __init__(self, graph: Graph):
+        self.graph, self.near, self.nodes, self.fetched = graph, traverse.Ranged(graph), set(), 0
+
+    def move(self, query: SubgraphQuery) -> tuple[list[int], list[int]]:
+        """Moves to a query by path or nodes; (inserted, removed) node ids, ascending."""
+        if query.kind not in ("offset", "interval", "nodes"):
+            raise ValueError("a window is around an offset, an interval or nodes")
+        seeds = [(n, side, 0) for n in query.nodes for side in (0, 1)] if query.kind == "nodes" else seeds_of(self.graph, query)[0]
+        before, had = self.nodes, len(self.near.loaded)
+        try:
+            if isinstance(seeds, DataFrame):
+                raise traverse.Spread
+            self.nodes = set(self.near.context(seeds, query.context))
+            self.fetched += len(self.near.loaded) - had
+            self.near.forget(self.nodes)
+        except traverse.Spread:
+            self.near = traverse.Ranged(self.graph)
+            many = seeds if isinstance(seeds, DataFrame) else self.graph.spark.createDataFrame(seeds, "node_id long, side int, dist long")
+            found = contexts.contexts(self.graph, many.select(F.lit(0).cast("long").alias("query_id"), "node_id", "side", "dist"), query.context)
+            rows = found.select("node_id").limit(traverse.MAX_EDGES + 1).collect()
+            if len(rows) > traverse.MAX_EDGES:
+                raise ValueError(f"a window of more than {traverse.MAX_EDGES} nodes") from None
+            self.nodes = {r.node_id for r in rows}
+        return sorted(self.nodes - before), sorted(before - self.nodes)

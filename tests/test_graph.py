@@ -220,6 +220,26 @@ def test_sliding_window(graph):
     assert slide(a.nodes, a.nodes)[0].count() == 0
 
 
+def test_a_window_fetches_only_what_is_new(spark, graph, monkeypatch):
+    """Moves along both paths, back and away, with what they have in common kept; too large a window goes on in DataFrames."""
+    from braidlake.plans.query import SlidingContext
+
+    monkeypatch.setattr(traverse, "WIDTH", 2)
+    window, have = SlidingContext(graph), set()
+    for at, context in ((0, 1), (1, 1), (2, 1), (2, 1), (4, 0), (0, 2)):
+        query = off("A", at).with_(context=context)
+        inserted, removed = window.move(query)
+        have = (have | set(inserted)) - set(removed)
+        assert sorted(have) == ids(run(graph, query)) and not set(inserted) & set(removed)
+    fetched = window.fetched
+    assert window.move(query) == ([], []) and window.fetched == fetched
+    assert window.near.loaded == {n // 2 for n in have}
+    monkeypatch.setattr(traverse, "RANGES", 1)
+    wide = SlidingContext(graph)
+    assert wide.move(SubgraphQuery.around_nodes([14]).with_(context=9)) == (list(range(11, 18)), [])
+    assert wide.move(SubgraphQuery.around_nodes([12]).with_(context=0)) == ([], [11, 13, 14, 15, 16, 17])
+
+
 def test_store_round_trip(spark, graph, tmp_path):
     from braidlake.sources import store
     from braidlake.sources.text import identify_source, read_gfa
