@@ -86,9 +86,13 @@ def graph_header_counts(g):
     return store.header_counts(g)
 
 
-@query("SELECT 'source' AS key, 'braidlake' AS value UNION ALL SELECT 'kind', 'layered'")
-def tags_by_prefix(g):
-    return store.tags_with_prefix(g.tags, "gbwt_")
+@query("""SELECT substr(key, 6) AS key, value FROM (SELECT concat(CASE n_nationkey % 4 WHEN 0 THEN 'gbwt_' WHEN 1 THEN 'gbwt_gbwt_' WHEN 2 THEN 'gbwtx' ELSE 'gbz_gbwt_' END, n_name) AS key, CAST(n_regionkey AS VARCHAR) AS value FROM nation) t WHERE starts_with(key, 'gbwt_')""")
+def tags_by_prefix(g, spark, sf_dir):
+    """Tags made of the nations' names, of which some have the prefix, twice or inside."""
+    kind = F.col("n_nationkey") % 4
+    prefix = F.when(kind == 0, "gbwt_").when(kind == 1, "gbwt_gbwt_").when(kind == 2, "gbwtx").otherwise("gbz_gbwt_")
+    tags = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.concat(prefix, F.col("n_name")).alias("key"), F.col("n_regionkey").cast("string").alias("value"))
+    return store.tags_with_prefix(tags, "gbwt_")
 
 
 REVCOMP = "reverse(translate(sequence, 'ACGT', 'TGCA'))"
@@ -559,9 +563,13 @@ def gaf_strand_flip(g, spark, sf_dir):
     return gaf.parse_lines(lines).select("aln_id", "path_start", "path_end", walk_text(F.col("path")).alias("path"))
 
 
-@query("SELECT aln_id, 'xx' AS tag, 'Z' AS type, event_type AS value FROM reads")
+@query("""SELECT aln_id, unnest(['xx', 'ya', 'yi', 'yf', 'yb']) AS tag, unnest(['Z', 'A', 'i', 'f', 'b']) AS type, unnest([event_type, substr(event_type, 1, 1), concat('-', CAST(aln_id AS VARCHAR)), concat(CAST(aln_id % 7 AS VARCHAR), '.5e-3'), CAST(aln_id % 2 AS VARCHAR)]) AS value FROM reads""")
 def typed_fields(g, spark, sf_dir):
-    return _reads(spark, sf_dir).select("aln_id", F.explode("optional").alias("x")).select("aln_id", "x.tag", "x.type", "x.value")
+    """Optional fields of every type, besides those that have columns of their own."""
+    number = F.col("aln_id").cast("string")
+    more = [F.lit("\tya:A:"), F.regexp_extract("value", "\txx:Z:(.)", 1), F.lit("\tyi:i:-"), number, F.lit("\tyf:f:"), (F.col("aln_id") % 7).cast("string"), F.lit(".5e-3\tyb:b:"), (F.col("aln_id") % 2).cast("string")]
+    rows = gaf.parse_lines(fixtures.lines(spark, sf_dir).withColumn("value", F.concat("value", *more)))
+    return rows.select("aln_id", F.explode("optional").alias("x")).select("aln_id", "x.tag", "x.type", "x.value")
 
 
 OPS = r"""op AS (SELECT aln_id, CAST(pos - 1 AS BIGINT) AS op_no, substr(t, 1, 1) AS op, CASE substr(t, 1, 1) WHEN ':' THEN CAST(substr(t, 2) AS BIGINT) WHEN '*' THEN 1 ELSE length(t) - 1 END AS len,
@@ -590,16 +598,25 @@ def cs_normalize(g, spark, sf_dir):
     return rows.select("aln_id", F.size(ops).cast("long").alias("ops"), merged.alias("merged_len"))
 
 
-@query("SELECT aln_id, CASE WHEN cs IS NOT NULL AND aln_id % 3 = 0 THEN 'matches' END AS problem FROM reads")
+@query("""SELECT aln_id, CASE aln_id % 8 WHEN 1 THEN 'query interval' WHEN 2 THEN 'target interval' WHEN 3 THEN CASE WHEN cs IS NOT NULL THEN 'empty path with a length' END WHEN 4 THEN CASE WHEN cs IS NOT NULL THEN 'query length' END
+ WHEN 5 THEN CASE WHEN cs IS NOT NULL THEN 'target length' ELSE 'empty path with a length' END WHEN 6 THEN CASE WHEN cs IS NOT NULL THEN 'matches' END WHEN 7 THEN CASE WHEN cs IS NOT NULL THEN 'edits' END END AS problem FROM reads""")
 def gaf_validate(g, spark, sf_dir):
-    rows = _reads(spark, sf_dir)
-    broken = rows.withColumn("matches", F.when((F.size("diff") > 0) & (F.col("aln_id") % 3 == 0), F.col("matches") + 1).otherwise(F.col("matches")))
+    """Reads of which seven in eight are made inconsistent, each in one of seven ways."""
+    kind, c = F.col("aln_id") % 8, F.col
+    more = lambda name, *kinds, by=1: F.col(name) + F.when(kind.isin(*kinds), by).otherwise(0)
+    long_query = F.when(kind == 4, 5).otherwise(0)
+    changed = {"seq_end": more("seq_end", 1, 4), "seq_len": c("seq_len") + long_query, "path_end": more("path_end", 2, 5), "path_len": more("path_len", 5), "matches": more("matches", 6), "edits": more("edits", 7)}
+    broken = _reads(spark, sf_dir).withColumns(changed | {"path": F.when(kind == 3, F.array().cast("array<long>")).otherwise(c("path"))})
     return broken.select("aln_id", gaf.validation_error().alias("problem"))
 
 
-@query("SELECT aln_id, cs IS NULL AS is_unaligned, true AS is_full, cs IS NOT NULL AND edits = 0 AS is_exact FROM reads")
+@query("""SELECT aln_id, cs IS NULL AS is_unaligned, CASE WHEN cs IS NOT NULL THEN aln_id % 4 NOT IN (1, 2) ELSE aln_id % 4 <> 2 END AS is_full, cs IS NOT NULL AND edits = 0 AS is_exact FROM reads""")
 def gaf_flags(g, spark, sf_dir):
-    return _reads(spark, sf_dir).select("aln_id", gaf.is_unaligned().alias("is_unaligned"), gaf.is_full().alias("is_full"), gaf.is_exact().alias("is_exact"))
+    """Flags of reads of which some begin after, and some end before, what they are reads of."""
+    kind = F.col("aln_id") % 4
+    starts = F.col("seq_start") + F.when((kind == 1) & (F.size("path") > 0), 1).otherwise(0)
+    rows = _reads(spark, sf_dir).withColumns({"seq_start": starts, "seq_len": F.col("seq_len") + F.when(kind == 2, 2).otherwise(0)})
+    return rows.select("aln_id", gaf.is_unaligned().alias("is_unaligned"), gaf.is_full().alias("is_full"), gaf.is_exact().alias("is_exact"))
 
 
 def _target(g: Graph, reads: DataFrame) -> DataFrame:
