@@ -14,7 +14,7 @@ from braidlake.operators._shared import ensure_checkpoint, numbered
 from braidlake.plans import fixtures
 from braidlake.plans.query import DISTINCT, REFERENCE, SlidingContext, SubgraphQuery, run, slide
 from braidlake.schema import Graph, flipped_path, is_reverse, node_of, walk_text
-from braidlake.sources import store
+from braidlake.sources import formats, store
 from braidlake.sources import text as text_io
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -790,6 +790,40 @@ def _store_folder(spark: SparkSession, name: str) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def _as_file(ordered: DataFrame, kind: str) -> str:
+    """Writes sorted lines (value) as zipped parts and returns their folder."""
+    spark = ordered.sparkSession
+    formats.register(spark)
+    path = _store_folder(spark, kind)
+    ordered.write.format(kind).option("compression", "gzip").mode("append").save(path)
+    return path
+
+
+@query("SELECT aln_id, concat('r', CAST(aln_id AS VARCHAR)) AS name, line FROM lines")
+def gaf_file_source(g, spark, sf_dir):
+    """The reads as a zipped file, read back by ranges; header lines are left out as the file is read."""
+    lines = fixtures.lines(spark, sf_dir).unionByName(spark.createDataFrame([(-1, "@HD\tVN:Z:1.0")], "aln_id long, value string"))
+    path = _as_file(lines.orderBy("aln_id").select("value"), "gaf")
+    rows = spark.read.format("gaf").option("splitBytes", 1 << 20).load(path).where("kind = 'r'")
+    return rows.select(F.substr("name", F.lit(2)).cast("long").alias("aln_id"), "name", F.col("value").alias("line"))
+
+
+@query(f"SELECT 'S' AS kind, CAST(node_id AS VARCHAR) AS name, concat('S', chr(9), CAST(node_id AS VARCHAR), chr(9), sequence) AS line FROM nodes UNION ALL SELECT 'L', CAST({NODE.format(h='src')} AS VARCHAR), {EDGE_TEXT} FROM edges WHERE {CANONICAL}")
+def gfa_file_source(g, spark):
+    """The nodes and edges of the whole graph as a zipped file, read back by ranges without its header."""
+    path = _as_file(walks.in_order(walks.gfa_lines(g.nodes, g.edges, None)), "gfa")
+    return spark.read.format("gfa").load(path).where("kind in ('S', 'L')").select("kind", "name", F.col("value").alias("line"))
+
+
+@query("SELECT concat('c', CAST(path_handle AS VARCHAR)) AS sample, step, handle, step_start, step_end FROM offsets")
+def gfa_reader(g, spark):
+    """The whole graph with all its paths as a zipped file, read as a graph: the steps of its paths with their offsets."""
+    whole = g.steps.groupBy("path_handle").agg(F.sort_array(F.collect_list(F.struct("step", "handle")))["handle"].alias("walk"))
+    named = whole.join(g.paths, "path_handle").select("walk", F.lit(False).alias("is_ref"), "sample", "contig", "haplotype", F.lit(0).cast("long").alias("start"), F.col("path_len").alias("end"))
+    read = text_io.read_gfa(spark, _as_file(walks.in_order(walks.gfa_lines(g.nodes, g.edges, named)), "gfa"))
+    return read.steps.join(read.paths.select("path_handle", "sample"), "path_handle").select("sample", (F.col("step") + 1).alias("step"), "handle", "step_start", "step_end")
+
+
 @query(INDEX + """ SELECT 'nodes' AS name, COUNT(*) AS n FROM nodes UNION ALL SELECT 'edges', COUNT(*) FROM edges UNION ALL SELECT 'steps', COUNT(*) FROM offsets UNION ALL SELECT 'paths', COUNT(*) FROM paths
 UNION ALL SELECT 'chain_links', COUNT(*) FROM links UNION ALL SELECT 'reference_index', COUNT(*) FROM ix""")
 def graph_store(g, spark, sf_dir):

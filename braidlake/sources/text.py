@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import gzip
-import io
-import itertools
 import os
 import sys
 import uuid
@@ -15,8 +12,8 @@ from pyspark.sql import functions as F
 from braidlake.functions import gaf
 from braidlake.operators._shared import ensure_checkpoint
 from braidlake.schema import Graph, encode
-
-GZIP = b"\x1f\x8b"
+from braidlake.sources import formats
+from braidlake.sources.members import GZIP
 
 
 def _file_system(spark: SparkSession, path: str):
@@ -57,30 +54,20 @@ def _from_stdin(spark: SparkSession) -> str:
 
 
 def _unzipped(spark: SparkSession, files: list[str]) -> DataFrame:
-    """Lines of gzip files whatever they are called, each in one task, as such a file can only be read from its start."""
-    import pyarrow as pa
-
-    def lines(batches):
-        for b in batches:
-            for path, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                with gzip.open(io.BytesIO(content.as_buffer()), "rt", encoding="utf-8", newline="\n") as f:
-                    while chunk := [x.rstrip("\r\n") for x in itertools.islice(f, 10_000)]:
-                        n = len(chunk)
-                        yield pa.RecordBatch.from_arrays([pa.array(chunk), pa.array([path] * n), pa.array([0] * n, pa.int64())], ["value", "f", "b"])
-
-    whole = spark.read.format("binaryFile").load(files).select("path", "content")
-    return whole.mapInArrow(lines, "value string, f string, b long").withColumn("m", F.monotonically_increasing_id())
+    """Lines of gzip files whatever they are called, by ranges: a task reads the members that begin in its range."""
+    formats.register(spark)
+    return spark.read.format("gaf").load(files).select("value", F.col("file").alias("f"), F.col("split").alias("b"), F.col("at").alias("m"))
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """(line_no, value): lines numbered from 0 in file order, files in the order of their names.
 
-    `-` is standard input. Gzip is known by its first bytes, whatever the file's name. Lines get their place in their file's
-    split first, then splits are added up, so no sort of all lines is needed.
+    `-` is standard input. Gzip is known by its first bytes, whatever the file's name, and its members are read by several
+    tasks. Lines get their place in their file's split first, then splits are added up, so no sort of all lines is needed.
     """
     path = _from_stdin(spark) if path == "-" else path
     files = _files(spark, path)
-    zipped = [f for f in files if not f.endswith(".gz") and file_head(spark, f, 2) == GZIP]
+    zipped = [f for f in files if file_head(spark, f, 2) == GZIP]
     plain = [f for f in files if f not in zipped] or ([] if zipped else [path])
     raw = None
     if plain:
@@ -122,12 +109,20 @@ def read_gaf(spark: SparkSession, path: str, on_error: str = "raise") -> DataFra
 def write_gaf(lines: DataFrame, path: str, header_lines: list[str] = (), single_file: bool = False) -> None:
     """(line_no, line) as text, after the version header and others.
 
-    The part files, in the order of their names, are the sorted text; single_file makes one, in one task.
+    The part files, in the order of their names, are the sorted text. single_file makes path one file, put together from
+    parts that several tasks wrote, and zipped in members if its name ends in .gz.
     """
     spark = lines.sparkSession
     head = spark.createDataFrame([(i - 1_000_000, h) for i, h in enumerate(["@HD\tVN:Z:1.0", *header_lines])], "line_no long, line string")
-    ordered = head.unionByName(lines.select(F.col("line_no").cast("long").alias("line_no"), "line")).orderBy("line_no").select("line")
-    (ordered.coalesce(1) if single_file else ordered).write.text(path)
+    ordered = head.unionByName(lines.select(F.col("line_no").cast("long").alias("line_no"), "line")).orderBy("line_no").select(F.col("line").alias("value"))
+    write_document(ordered, path) if single_file else ordered.write.text(path)
+
+
+def write_document(ordered: DataFrame, path: str) -> int:
+    """One file of the lines (value) in the order that they are in; returns its bytes. Its parts go to path.parts, which stays."""
+    formats.register(ordered.sparkSession)
+    ordered.select("value").write.format("gaf").option("compression", "gzip" if path.endswith(".gz") else "none").mode("append").save(f"{path}.parts")
+    return formats.assemble(ordered.sparkSession, f"{path}.parts", path)
 
 
 def read_gfa(spark: SparkSession, path: str) -> Graph:
