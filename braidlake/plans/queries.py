@@ -16,6 +16,7 @@ from braidlake.plans.query import DISTINCT, REFERENCE, SlidingContext, SubgraphQ
 from braidlake.schema import Graph, flipped_path, is_reverse, node_of, walk_text
 from braidlake.sources import formats, store
 from braidlake.sources import text as text_io
+from braidlake.streaming import windows
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -285,6 +286,20 @@ def window_slides(g):
     return g.spark.createDataFrame(out, "pos long, node_id long, change string")
 
 
+@query(f""", mv AS (SELECT DISTINCT path_handle AS w, CAST(FLOOR((step - 1) / 5) AS BIGINT) - k AS mv, {NODE.format(h='handle')} AS n FROM steps CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1) y WHERE FLOOR((step - 1) / 5) >= k),
+ ctx AS (SELECT w, mv, n, s, CAST(0 AS BIGINT) AS d FROM mv CROSS JOIN (SELECT CAST(0 AS BIGINT) AS s UNION ALL SELECT 1) z UNION SELECT c.w, c.mv, m.n2, m.s2, c.d + m.w FROM ctx c JOIN moves m ON m.n1 = c.n AND m.s1 = c.s WHERE c.d + m.w <= 6),
+ win AS (SELECT DISTINCT w, mv, n FROM ctx), tops AS (SELECT w, MAX(mv) AS top FROM mv GROUP BY w)
+ SELECT w AS window_id, mv AS move, n AS node_id, 'inserted' AS change FROM win ANTI JOIN (SELECT w, mv + 1 AS mv, n FROM win) b USING (w, mv, n)
+ UNION ALL SELECT w, mv + 1, n, 'removed' FROM win JOIN tops USING (w) WHERE mv < top AND NOT EXISTS (SELECT 1 FROM win b WHERE b.w = win.w AND b.mv = win.mv + 1 AND b.n = win.n)""")
+def window_states(g):
+    """A window of ten steps along each path, five at a time: what each move brings in and leaves, from kept distances."""
+    at = F.floor((F.col("step") - 1) / 5)
+    sides = [F.struct(node_of(F.col("handle")).alias("node_id"), F.lit(side).alias("side"), F.lit(0).cast("long").alias("dist")) for side in (0, 1)]
+    seeds = g.steps.select("path_handle", F.explode(F.when(at > 0, F.array(at, at - 1)).otherwise(F.array(at))).alias("move"), F.explode(F.array(*sides)).alias("seed"))
+    moves = seeds.groupBy(F.col("path_handle").alias("window_id"), "move").agg(F.collect_set("seed").alias("seeds"))  # ten steps at most
+    return windows.slide_windows(moves, contexts.Adjacency(g), 6).drop("settled")
+
+
 BETWEEN = """bt AS (SELECT CAST(2*22 AS BIGINT) AS h UNION SELECT CAST(2*31 + 1 AS BIGINT) UNION SELECT x.h FROM bt JOIN edges e ON e.src = bt.h
  JOIN LATERAL (SELECT e.dst AS h UNION ALL SELECT e.dst + 1 - 2*(e.dst % 2)) x ON true WHERE FLOOR(e.dst/2) NOT IN (22, 31))"""
 

@@ -32,7 +32,8 @@ SCHEMA = "file string, split long, at long, kind string, name string, value stri
 MANIFEST = "_SUCCESS"
 
 
-def _open(path: str) -> tuple[pafs.FileSystem, str]:
+def file_system(path: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a path and the path in it, for tasks, which have no Java."""
     if "://" not in path:
         path = os.path.abspath(path.removeprefix("file:"))
     if path.startswith("s3a://"):  # Hadoop's name of it
@@ -42,7 +43,7 @@ def _open(path: str) -> tuple[pafs.FileSystem, str]:
 
 def _files(path: str) -> list[tuple[str, int]]:
     """The files of a path with their sizes, in the order of their names; those of _ and . are not part of a folder."""
-    fs, inner = _open(path)
+    fs, inner = file_system(path)
     info = fs.get_file_info(inner)
     if info.type == pafs.FileType.NotFound:
         raise FileNotFoundError(path)
@@ -92,7 +93,7 @@ class Reader(DataSourceReader):
     def partitions(self):
         out = []
         for path, size in self.files:
-            fs, inner = _open(path)
+            fs, inner = file_system(path)
             with fs.open_input_file(inner) as f:
                 zipped = f.read(2) == members.GZIP
             out += [Split(path, at, min(at + self.split, size), zipped) for at in range(0, size, self.split)]
@@ -108,7 +109,7 @@ class Reader(DataSourceReader):
     def read(self, partition: Split) -> Iterator[pa.RecordBatch]:
         if not partition.file:
             return
-        fs, inner = _open(partition.file)
+        fs, inner = file_system(partition.file)
         with fs.open_input_file(inner) as f:
             blocks = (members.gzip_blocks if partition.gzip else members.plain_blocks)(f, partition.start, partition.end)
             rows, size, at = [], 0, -1
@@ -156,7 +157,7 @@ class Writer(DataSourceArrowWriter):
         from pyspark import TaskContext
 
         context = TaskContext.get()
-        fs, inner = _open(self.path)
+        fs, inner = file_system(self.path)
         folder = f"{inner}/{self.hidden}"
         fs.create_dir(folder, recursive=True)
         file = f"{folder}/{context.partitionId()}-{context.taskAttemptId()}"
@@ -184,14 +185,14 @@ class Writer(DataSourceArrowWriter):
         return size
 
     def commit(self, messages: list[Part]) -> None:
-        fs, inner = _open(self.path)
+        fs, inner = file_system(self.path)
         fs.create_dir(inner, recursive=True)
         old = [f for f, _ in _files(self.path)]
         if old and not self.overwrite:
             raise FileExistsError(f"{self.path} has files; a sorted text is not added to")
-        fs, _ = _open(self.path)
+        fs, _ = file_system(self.path)
         for f in [*old, f"{inner}/{MANIFEST}"]:
-            name = _open(f)[1]
+            name = file_system(f)[1]
             if fs.get_file_info(name).type != pafs.FileType.NotFound:
                 fs.delete_file(name)
         parts = []
@@ -204,7 +205,7 @@ class Writer(DataSourceArrowWriter):
         self.abort(messages)
 
     def abort(self, messages) -> None:
-        fs, inner = _open(self.path)
+        fs, inner = file_system(self.path)
         if fs.get_file_info(f"{inner}/{self.hidden}").type != pafs.FileType.NotFound:
             fs.delete_dir(f"{inner}/{self.hidden}")
 
@@ -247,8 +248,8 @@ def assemble(spark: SparkSession, folder: str, target: str) -> int:
     """One file of the parts of a folder that was written here; returns its bytes. Each part is copied to its place by a task
     of its own, so a repeated task writes the same bytes again. Needs a file system with writes at any place (a local or a
     mounted one); elsewhere the folder is the document."""
-    fs, inner = _open(folder)
-    if not isinstance(fs, pafs.LocalFileSystem) or not isinstance(_open(target)[0], pafs.LocalFileSystem):
+    fs, inner = file_system(folder)
+    if not isinstance(fs, pafs.LocalFileSystem) or not isinstance(file_system(target)[0], pafs.LocalFileSystem):
         raise ValueError("one file can only be made on a mounted file system; read the folder's parts in the order of their names")
     with fs.open_input_stream(f"{inner}/{MANIFEST}") as f:
         manifest = json.loads(f.read())
@@ -257,7 +258,7 @@ def assemble(spark: SparkSession, folder: str, target: str) -> int:
         places.append((f"{inner}/{p['name']}", at))
         at += p["size"]
     last = members.member(b"") if manifest["gzip"] else b""  # the empty member that ends such a file
-    final = _open(target)[1]
+    final = file_system(target)[1]
     made = f"{os.path.dirname(final)}/.{os.path.basename(final)}-{uuid.uuid4().hex}"
     with open(made, "wb") as out:
         out.truncate(at + len(last))
