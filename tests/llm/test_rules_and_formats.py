@@ -1,5 +1,6 @@
 import hashlib
 import math
+import random
 import re
 from collections import Counter
 
@@ -76,6 +77,47 @@ def test_license(spark, docs, rows, empty):
     assert license.scan(empty).count() == 0
 
 
+def spans_by_hand(text):
+    """(labels, score) from the words themselves."""
+    w, found = license.template_words(text or ""), []
+    all_ = [(label, t) for t, label in license.PHRASES.items()] + list(license.TEMPLATES)
+    for label, t in all_:
+        t = license.template_words(t)
+        votes, held = {}, {}
+        for p in range(len(w) - 2):
+            for q in range(len(t) - 2):
+                if w[p : p + 3] == t[q : q + 3]:
+                    votes.setdefault(p - q, set()).update(range(q, q + 3))
+                    held.setdefault(p - q, set()).update(range(p, p + 3))
+        span, where, last = set(), set(), None
+        for d in [*sorted(votes), *([None] if votes else [])]:
+            if d is None or (last is not None and d - last > (license.NEAR if len(t) >= license.LONG else 0)):
+                found.append((label, len(span) / max(len(t), max(where) + 1 - min(where)), len(t)))
+                span, where = set(), set()
+            span, where, last = span | votes.get(d, set()), where | held.get(d, set()), d
+    good = [(label, part) for label, part, n in found if part >= (license.COVERED if n >= license.LONG else 1.0)]
+    return ",".join(sorted({x for x, _ in good})), max((p for _, p in good), default=0.0)
+
+
+def test_license_spans_are_those_of_their_words(spark, monkeypatch):
+    rng, data = random.Random(4), [(0, None), (1, ""), (2, "a b"), (3, "  !  "), (4, "Under the MIT license" * 2), (5, "ünder the mit license")]
+    for label, t in license.TEMPLATES:
+        w = t.split()
+        for _ in range(2):  # words left out, put in, changed, said twice
+            v = [x for y in w for x in ([] if rng.random() < 0.08 else [y, "so"] if rng.random() < 0.08 else [y.upper() + ";  "])]
+            data.append((len(data), " ".join(v)))
+        data.append((len(data), f"{label} {t}\t {t[: len(t) // 2]}. {t}"))
+    docs = spark.createDataFrame([*data, data[-1]], "doc_id long, text string")
+    for bits in (62, 7):  # with one and with several columns of votes
+        monkeypatch.setattr(license, "BITS", bits)
+        monkeypatch.setattr(license, "ROWS", 11)
+        got = license.scan(docs).collect()
+        assert Counter((r.doc_id, r.labels, round(r.score, 9)) for r in got) == Counter((i, x[0], round(x[1], 9)) for i, t in [*data, data[-1]] for x in [spans_by_hand(t)])
+        assert all(0 <= s["from"] < s.to <= r.n_words for r in got for s in r.spans)
+    monkeypatch.setattr(license, "shingles", lambda hashes, k: np.zeros(max(0, len(hashes) - k + 1), np.uint64))  # equal hashes are not equal words
+    assert {r.doc_id: r.labels for r in license.scan(docs.where("doc_id < 6")).collect()} == {i: spans_by_hand(t)[0] for i, t in data[:6]}
+
+
 def test_chat_template_is_reversible():
     for text in ["", "\\", "\\s", "</turn>\n### user: x", "a: b\\h#<", "\\### Assistant: </turn> ok"]:
         for role in ["user", "a: b", "", "###"]:
