@@ -21,37 +21,90 @@ def both_directions(steps: DataFrame) -> DataFrame:
     return steps.select(F.explode(forms).alias("v")).select("v.*")
 
 
+#: Steps of a sequence whose prefixes one task names in a row; sequences that are ranked in a row in a class.
+STEPS_AT_ONCE, SEQUENCES_AT_ONCE = 1 << 16, 1 << 20
+PREFIX = ["name", "check"]
+
+
+def _with_prefixes(sequences: DataFrame) -> DataFrame:
+    """Adds pos, the place in the sequence from 0, and (name, check): what the handles up to there are called.
+
+    A prefix is called by the sums (xor) of 64 and 32 bits of hashes of its handles with their places. So a sequence can be
+    named in bins, each with the sums of the bins before it, and a prefix less its last handle is a known sum.
+    """
+    ends = sequences.groupBy("seq").agg(F.min("idx").alias("first"), F.max("idx").alias("last"))
+    longest = ends.agg(F.max(F.col("last") - F.col("first")).alias("n")).first().n or 0
+    rows = sequences.select("seq", "idx", "handle").join(ends.select("seq", "first"), "seq").withColumn("pos", F.col("idx") - F.col("first")).drop("first")
+    key = ["seq"] if longest < STEPS_AT_ONCE else ["seq", "bin"]
+    if len(key) > 1:
+        rows = rows.withColumn("bin", F.floor(F.col("pos") / STEPS_AT_ONCE)).repartition(*key)
+    upto = Window.partitionBy(*key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    named = rows.withColumns({c: F.bit_xor(own).over(upto) for c, own in zip(PREFIX, _own("handle", "pos"), strict=True)})
+    if len(key) == 1:
+        return named
+    before = Window.partitionBy("seq").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy(*key).agg(*[F.bit_xor(own).alias(c) for c, own in zip(PREFIX, _own("handle", "pos"), strict=True)])
+    sums = sums.select(*key, *[F.coalesce(F.bit_xor(c).over(before), F.lit(0)).alias(f"{c}_before") for c in PREFIX])
+    return named.join(sums, key).select("seq", "idx", "handle", "pos", *[F.col(c).bitwiseXOR(F.col(f"{c}_before")).alias(c) for c in PREFIX])
+
+
+def _own(handle: str, pos: str) -> list:
+    return [F.xxhash64(handle, pos), F.hash(pos, handle)]
+
+
 def visit_offsets(sequences: DataFrame) -> DataFrame:
     """Adds offset to (seq, idx, handle).
 
-    After k rounds visits are told apart by the 2^k handles that end there; a round orders those still equal by the place
-    that the visit 2^k before has. A visit alone in its class is settled and is written no more; the rounds are as many as
-    the logarithm of the longest context that two visits share. Equal classes are counted before they are ordered, so a
-    handle that all paths visit is ordered by its different contexts, not by its visits.
+    Visits that all handles from the start lead to alike are a class, ordered by seq; classes are ordered among themselves
+    (`_places`), so rounds write classes and not visits. Ranks in a class are counted bin by bin of sequences, so a handle
+    that all sequences start with is no single task's.
     """
     ensure_checkpoint(sequences.sparkSession)
-    of_handle = sequences.groupBy("handle").agg((F.count("*") == 1).alias("settled"))
-    rows = sequences.select("seq", "idx", "handle", F.lit(0).cast("long").alias("offset"))
-    rows = rows.join(of_handle, "handle").select("seq", "idx", "handle", "offset", "settled").checkpoint()
-    settled, active, reach = [rows.where("settled").drop("settled")], rows.where("not settled").drop("settled"), 1
+    rows = _with_prefixes(sequences).withColumn("some", F.floor(F.col("seq") / SEQUENCES_AT_ONCE))
+    counts = rows.groupBy("handle", "pos", *PREFIX, "some").agg(F.count("*").alias("n")).checkpoint()
+    earlier = Window.partitionBy(*PREFIX).orderBy("some").rowsBetween(Window.unboundedPreceding, -1)
+    bases = counts.select(*PREFIX, "some", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("earlier"))
+    bases = bases.join(_places(counts.groupBy("handle", "pos", *PREFIX).agg(F.sum("n").alias("n"))), PREFIX)
+    bases = bases.select(*PREFIX, "some", (F.col("offset") + F.col("earlier")).alias("base"))
+    among = Window.partitionBy(*PREFIX, "some").orderBy("seq")
+    ranked = rows.drop("pos").withColumn("rank", F.row_number().over(among) - 1).join(bases, [*PREFIX, "some"])
+    return ranked.select("seq", "idx", "handle", (F.col("base") + F.col("rank")).cast("long").alias("offset"))
+
+
+def _places(classes: DataFrame) -> DataFrame:
+    """(name, check, offset) of classes (handle, pos, name, check, n): how many visits to the handle are in smaller classes.
+
+    After k rounds classes are told apart by the 2^k handles that end there; a round orders those still equal by the place
+    that the class 2^k handles before has. A class that is told apart is settled and is written no more; the rounds are as
+    many as the logarithm of the longest context that two classes share. Equal contexts are counted before they are ordered,
+    so a handle is ordered by its different contexts, not by its visits.
+    """
+    of_handle = classes.groupBy("handle").agg((F.count("*") == 1).alias("settled"))
+    # what a class goes back to: its prefix less the last handle, or nothing at the start
+    back = [F.col(c).bitwiseXOR(own).alias(f"{c}_back") for c, own in zip(PREFIX, _own("handle", "pos"), strict=True)]
+    columns = ["handle", "pos", *PREFIX, "n", "offset", "name_back", "check_back"]
+    rows = classes.join(of_handle, "handle").select("handle", "pos", *PREFIX, "n", F.lit(0).cast("long").alias("offset"), *back, "settled").checkpoint()
+    settled, active, reach = [rows.where("settled").select(columns)], rows.where("not settled").select(columns), 1
     while not active.isEmpty():
         known = active
         for part in settled:
             known = known.unionByName(part)
-        before = known.select("seq", (F.col("idx") + reach).alias("idx"), F.col("handle").alias("handle_before"), F.col("offset").alias("offset_before"))
-        # the context of an active visit is longer than what is known of it, or ends just there
-        asked = active.join(before, ["seq", "idx"], "left").withColumn("offset_before", F.coalesce("offset_before", "seq")).withColumn("handle_before", F.coalesce("handle_before", F.lit(-1)))
+        before = known.select(*[F.col(c).alias(f"{c}_back") for c in PREFIX], F.col("handle").alias("handle_before"), F.col("offset").alias("offset_before"), *[F.col(f"{c}_back").alias(f"{c}_far") for c in PREFIX])
+        # the context of an active class is longer than what is known of it, or ends just there
+        further = active.where(F.col("pos") >= reach).join(before, ["name_back", "check_back"])
+        start = active.where(F.col("pos") < reach).withColumns({"handle_before": F.lit(-1).cast("long"), "offset_before": F.lit(0).cast("long"), "name_far": F.col("name_back"), "check_far": F.col("check_back")})
+        asked = further.unionByName(start)
         key = ["handle", "offset", "handle_before", "offset_before"]
-        classes = asked.groupBy(*key).agg(F.count("*").alias("n"))
+        equal = asked.groupBy(*key).agg(F.sum("n").alias("visits"), (F.count("*") == 1).alias("settled"))
         smaller = Window.partitionBy("handle", "offset").orderBy("handle_before", "offset_before").rowsBetween(Window.unboundedPreceding, -1)
-        classes = classes.select(*key, (F.col("offset") + F.coalesce(F.sum("n").over(smaller), F.lit(0))).alias("place"), (F.col("n") == 1).alias("settled"))
-        rows = asked.join(classes, key).select("seq", "idx", "handle", F.col("place").alias("offset"), "settled").checkpoint()
-        settled.append(rows.where("settled").drop("settled"))
-        active, reach = rows.where("not settled").drop("settled"), 2 * reach
+        equal = equal.select(*key, (F.col("offset") + F.coalesce(F.sum("visits").over(smaller), F.lit(0))).alias("place"), "settled")
+        rows = asked.join(equal, key).select("handle", "pos", *PREFIX, "n", F.col("place").alias("offset"), F.col("name_far").alias("name_back"), F.col("check_far").alias("check_back"), "settled").checkpoint()
+        settled.append(rows.where("settled").select(columns))
+        active, reach = rows.where("not settled").select(columns), 2 * reach
     out = settled[0]
     for part in settled[1:]:
         out = out.unionByName(part)
-    return out
+    return out.select(*PREFIX, "offset")
 
 
 def with_offsets(steps: DataFrame) -> DataFrame:

@@ -68,6 +68,26 @@ def test_both_directions(spark):
     assert visits.with_offsets(steps.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["nested", "one", "random"])
+def test_sequences_longer_than_a_bin(spark, kind, monkeypatch):
+    """Prefixes that are named in several bins, and classes that are ranked in several bins of sequences."""
+    monkeypatch.setattr(visits, "STEPS_AT_ONCE", 5)
+    monkeypatch.setattr(visits, "SEQUENCES_AT_ONCE", 4)
+    sequences = made(kind)
+    df = spark.createDataFrame([(s, k - 3, h) for s, path in sequences.items() for k, h in enumerate(path)], "seq long, idx long, handle long")
+    assert {(r.seq, r.idx + 3): (r.handle, r.offset) for r in visits.visit_offsets(df).collect()} == plain_offsets(sequences)
+
+
+def test_rounds_write_classes_and_not_visits(spark, monkeypatch):
+    """Copies of a path add visits to its classes, but no rows to the rounds."""
+    seen, places = [], visits._places
+    monkeypatch.setattr(visits, "_places", lambda classes: seen.append(classes.count()) or places(classes))
+    for copies in (2, 30):
+        rows = [(s, k, 2 * h) for s in range(copies) for k, h in enumerate([1, 2, 3, 1, 2, 3, 4])]
+        assert visits.visit_offsets(spark.createDataFrame(rows, "seq long, idx long, handle long")).count() == 7 * copies
+    assert seen == [7, 7]
+
+
 @pytest.fixture(scope="module")
 def reads(spark):
     """Reads over few nodes, many of one path, some without a path."""
