@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from braidlake.operators.contexts import Adjacency, contexts
 from braidlake.schema import Graph
+from braidlake.streaming import windows
 from braidlake.streaming.windows import Window, slide_windows
 
 
@@ -72,6 +73,32 @@ def test_a_long_window_settles_what_its_ends_reach():
     assert len(window.move({}, near, 8)[1]) == 408 and window.dist == {}
 
 
+def test_a_move_that_another_window_made_is_looked_up(monkeypatch):
+    """A task's searches are those of its different moves; what it remembers is bounded, and forgetting changes nothing."""
+    near, asked = neighbours(*made(5, 60)), []
+    seeds = lambda m: {(n, s): 0 for n in range(1 + 5 * m, 11 + 5 * m) for s in (0, 1)}
+    alone, want = Window(), []
+    for m in range(8):
+        want.append(alone.move(seeds(m), near, 6))
+    moves = windows.Moves(lambda at: asked.append(at) or near(at), 6)
+    for w in range(20):
+        window, got = moves.same(Window()), []
+        for m in range(8):
+            window, *changes = moves.move(window, seeds(m))
+            got.append(tuple(changes))
+        assert got == want and window.dist == alone.dist and window.came == alone.came
+        assert Window.of_packed(window.packed()).content() == window.content()
+        once = once if w else len(asked)
+    assert len(asked) == once
+    monkeypatch.setattr(windows, "MOVES_HELD", 3)
+    few = windows.Moves(near, 6)
+    for _ in range(3):
+        window = few.same(Window())
+        for m in range(8):
+            window, *changes = few.move(window, seeds(m))
+            assert tuple(changes) == want[m] and len(few.made) <= 3
+
+
 def test_a_stream_of_moves(spark, tmp_path, monkeypatch):
     from braidlake.operators import contexts as C
 
