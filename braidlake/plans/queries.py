@@ -241,7 +241,7 @@ def context_nodes(g):
 
 @query(", " + CONTEXT.format(seeds="SELECT CAST(FLOOR(o.handle/2) AS BIGINT) AS n, CASE WHEN k = 0 THEN o.handle % 2 ELSE 1 - o.handle % 2 END AS s, CASE WHEN k = 0 THEN 33 - o.step_start ELSE o.step_end - 34 END AS d FROM offsets o CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1) z WHERE o.path_handle = 10 AND o.step_start <= 33 AND 33 < o.step_end", limit=12))
 def context_position(g):
-    s = locate.offset_to_position(g.spark.createDataFrame([(0, 10, 33)], "query_id long, path_handle long, path_offset long"), g.steps).first()
+    s = locate.offset_to_position(F.broadcast(g.spark.createDataFrame([(0, 10, 33)], "query_id long, path_handle long, path_offset long")), g.steps).first()
     rev = s.handle & 1
     return _context(g, [(s.handle >> 1, rev, s.node_offset), (s.handle >> 1, 1 - rev, s.step_end - s.step_start - s.node_offset - 1)], 12)
 

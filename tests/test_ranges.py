@@ -98,3 +98,14 @@ def test_blocks_by_bitmaps(spark, paths):
     for i, p in rows:
         want.setdefault(i % 7, set()).update({h >> 1 for h in p} & ids)
     assert {r.block_id: r.shared for r in got.collect()} == {b: len(s) for b, s in want.items() if s}
+
+
+def test_one_position_moves_no_steps(spark, monkeypatch):
+    """The query of one offset goes to the steps, which stay where they are."""
+    from braidlake.plans import queries
+
+    found, real = [], locate.offset_to_position
+    monkeypatch.setattr(locate, "offset_to_position", lambda q, steps: found.append(real(q, steps)) or found[-1])
+    queries.queries()["context_position"](spark, "/root/testdata/sf0.001")
+    plan = found[0]._jdf.queryExecution().executedPlan().toString().split("InMemory")[0]  # what is above the kept steps
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
