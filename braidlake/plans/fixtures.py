@@ -11,7 +11,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from braidlake.operators.locate import step_offsets
+from braidlake.operators.locate import short_paths, step_offsets
 from braidlake.operators.visits import with_offsets
 from braidlake.operators.walks import edges_of_steps
 from braidlake.schema import Graph
@@ -91,13 +91,14 @@ def load(spark: SparkSession, sf_dir: str) -> Graph:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key in _CACHE:
         return _CACHE[key]
-    raw = steps(spark, sf_dir).persist()
+    raw = steps(spark, sf_dir).sortWithinPartitions("path_handle", "step").persist()  # what follows reads paths in this order
+    short = short_paths(raw)
     node_id = F.col("node_id")
     nodes = raw.select(F.shiftright("handle", 1).alias("node_id")).distinct()
     sequence = F.substr(F.repeat(F.lit("ACGTTGCAAC"), 3), (1 + node_id % 10).cast("int"), (1 + node_id % 5).cast("int"))
     nodes = nodes.select("node_id", sequence.alias("sequence"), (1 + node_id % 5).alias("seq_len")).persist()
-    edges = edges_of_steps(raw).persist()
-    offsets = step_offsets(raw, nodes).persist()
+    edges = edges_of_steps(raw, short).persist()
+    offsets = step_offsets(raw, nodes, short).sortWithinPartitions("path_handle", "step").persist()
     anchors = nodes.where("node_id % 3 = 1").select("node_id")
     pairs = anchors.join(anchors.select((F.col("node_id") - 3).alias("node_id")), "node_id").select((2 * node_id).alias("handle"), (2 * node_id + 6).alias("next"))
     links = pairs.unionByName(pairs.select((F.col("next") + 1).alias("handle"), (F.col("handle") + 1).alias("next"))).persist()
