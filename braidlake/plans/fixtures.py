@@ -18,6 +18,8 @@ from braidlake.schema import Graph
 
 _CACHE: dict[tuple, Graph] = {}
 INDEXED_EVERY, PIECE = 10, 8
+#: A read starts at one of so many first steps of its path and has up to so many.
+READ_STARTS, READ_STEPS = 20, 5
 
 STEPS = """steps AS (SELECT path_handle, step, 2*node_id + rev AS handle, node_id, rev FROM (
  SELECT o_custkey AS path_handle, step,
@@ -152,11 +154,16 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(aln_id, value): the reads as text lines."""
     graph = load(spark, sf_dir)
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "event_type")
-    on = (F.col("path_handle") == F.col("user_id")) & F.col("step").between(1 + F.col("event_id") % 20, 5 + F.col("event_id") % 20)
-    rows = events.join(graph.steps, on).groupBy("event_id").agg(F.sort_array(F.collect_list(F.struct("step", "handle")))["handle"].alias("walk"), F.sum(F.col("step_end") - F.col("step_start")).alias("path_len"))
+    after = Window.partitionBy("path_handle").orderBy("step")
+    ahead = lambda c: [F.col(c), *[F.lead(c, k).over(after) for k in range(1, READ_STEPS)]]
+    rows = graph.steps.where(F.col("step") < READ_STARTS + READ_STEPS)
+    rows = rows.select("path_handle", "step", "step_start", F.array(*ahead("handle")).alias("walk"), F.greatest(*ahead("step_end")).alias("end")).where(F.col("step") <= READ_STARTS)
+    rows = rows.select("path_handle", "step", F.filter("walk", lambda h: h.isNotNull()).alias("walk"), (F.col("end") - F.col("step_start")).alias("path_len"))
     from braidlake.schema import walk_text
 
-    rows = events.join(rows.where("path_len >= 5"), "event_id", "left")
+    # events go to the paths, each to the steps that a read may start at; as no key, the step leaves paths where they are
+    on = (F.col("path_handle") == F.col("user_id")) & (F.col("step") - 1 - F.col("event_id") % READ_STARTS == 0)
+    rows = events.join(rows.where("path_len >= 5"), on, "left")
     kind, n, text = F.col("event_type"), F.col("path_len"), lambda x: x.cast("string")
     cs = F.when(kind == "click", F.concat(F.lit(":"), text(n - 1))).when(kind == "error", F.concat(F.lit(":1*AC:"), text(n - 2))).when(kind == "purchase", F.concat(F.lit(":1+GAT:"), text(n - 1)))
     cs = cs.when(kind == "signup", F.concat(F.lit(":1-AA:"), text(n - 3))).otherwise(F.concat(F.lit(":"), text(n)))

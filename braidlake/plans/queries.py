@@ -530,7 +530,7 @@ def _reads(spark, sf_dir) -> DataFrame:
     """The parsed reads, as a store would hold them."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _READS:
-        _READS[key] = fixtures.reads(spark, sf_dir).persist()
+        _READS[key] = gaf.parse_lines(fixtures.lines(spark, sf_dir).repartition("aln_id")).persist()  # operators group by read
     return _READS[key]
 
 

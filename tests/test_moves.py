@@ -1,6 +1,9 @@
 """What large tables are not made to do: rows that lie in order are not moved, and pairs are not remembered."""
 
+import pytest
+
 from braidlake.operators import locate, walks
+from braidlake.plans import fixtures
 
 STEPS = "path_handle long, step long, handle long"
 
@@ -44,3 +47,10 @@ def test_intervals_over_many_bins_meet_each_step_once(spark, monkeypatch):
     want = sorted((q, s) for q, _, a, b in asked for s, (c, d) in enumerate(spans) if c < b and a < d)
     assert sorted((r.query_id, r.step) for r in found.collect()) == want
     assert "Aggregate" not in plan(found)
+
+
+@pytest.mark.parametrize("sf", ["/root/testdata/sf0.001"])
+def test_lines_are_made_without_taking_reads_apart(spark, sf):
+    lines = fixtures.lines(spark, sf)
+    assert "collect_list" not in plan(lines).split("InMemoryRelation")[0]
+    assert lines.count() == lines.select("aln_id").distinct().count() == spark.read.parquet(f"{sf}/events.parquet").count()
