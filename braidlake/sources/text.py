@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from braidlake.functions import gaf
-from braidlake.operators._shared import ensure_checkpoint
-from braidlake.schema import Graph, encode
+from braidlake.operators._shared import ensure_checkpoint, numbered
+from braidlake.schema import Graph, encode, node_of
 from braidlake.sources import formats
 from braidlake.sources.members import GZIP
 
@@ -133,17 +133,18 @@ def read_gfa(spark: SparkSession, path: str) -> Graph:
     end = lambda i: encode(get(i).try_cast("long"), (get(i + 1) == "-").cast("long"))
     edges = lines.where(get(0) == "L").select(end(1).alias("src"), end(3).alias("dst"))
     edges = edges.unionByName(edges.select(F.col("dst").bitwiseXOR(F.lit(1)).alias("src"), F.col("src").bitwiseXOR(F.lit(1)).alias("dst"))).distinct()
-    w = lines.where(get(0) == "W").select("line_no", get(1).alias("sample"), get(3).alias("contig"), get(2).try_cast("long").alias("haplotype"), F.coalesce(get(4).try_cast("long"), F.lit(0)).alias("fragment"), gaf.parse_path(get(6)).alias("walk"))
     signs = F.transform(F.split(get(2), ","), lambda s: F.rtrim(F.regexp_replace(s, "[+-]$", "")).try_cast("long") * 2 + F.when(s.endswith("-"), 1).otherwise(0))
-    p = lines.where(get(0) == "P").select("line_no", F.lit("_gbwt_ref").alias("sample"), get(1).alias("contig"), F.lit(0).cast("long").alias("haplotype"), F.lit(0).cast("long").alias("fragment"), signs.alias("walk"))
-    both = w.unionByName(p)
-    numbers = both.select("line_no").withColumn("path_handle", F.row_number().over(Window.orderBy("line_no")).cast("long") - 1)  # one number a path, without its walk
-    both = both.join(numbers, "line_no")
+    named, zero = get(0) == "W", F.lit(0).cast("long")
+    both = lines.where(get(0).isin("W", "P")).select(
+        "line_no", F.when(named, get(1)).otherwise("_gbwt_ref").alias("sample"), F.when(named, get(3)).otherwise(get(1)).alias("contig"), F.when(named, get(2).try_cast("long")).otherwise(zero).alias("haplotype"),
+        F.when(named, F.coalesce(get(4).try_cast("long"), zero)).otherwise(zero).alias("fragment"), F.when(named, gaf.parse_path(get(6))).otherwise(signs).alias("walk"))
+    both = numbered(both.orderBy("line_no"), "path_handle")  # written: what follows does not read the text again
     steps = both.select("path_handle", F.posexplode("walk").alias("step", "handle")).withColumn("step", F.col("step").cast("long"))
-    from braidlake.operators.locate import step_offsets
+    from braidlake.operators.locate import STEPS_AT_ONCE, step_offsets
 
-    offsets = step_offsets(steps, nodes)
-    lengths = offsets.groupBy("path_handle").agg(F.max("step_end").alias("path_len"))
+    longest = both.agg(F.max(F.size("walk")).alias("n")).first().n or 0
+    offsets = step_offsets(steps, nodes, short=longest <= STEPS_AT_ONCE)
+    lengths = steps.select("path_handle", node_of(F.col("handle")).alias("node_id")).join(nodes, "node_id").groupBy("path_handle").agg(F.sum("seq_len").cast("long").alias("path_len"))
     paths = both.join(lengths, "path_handle").select("path_handle", "sample", "contig", "haplotype", "fragment", (F.col("sample") == "_gbwt_ref").alias("is_indexed"), "path_len")
     empty = spark.createDataFrame([], "handle long, next long")
     tags = spark.createDataFrame([], "key string, value string")

@@ -54,3 +54,17 @@ def test_lines_are_made_without_taking_reads_apart(spark, sf):
     lines = fixtures.lines(spark, sf)
     assert "collect_list" not in plan(lines).split("InMemoryRelation")[0]
     assert lines.count() == lines.select("aln_id").distinct().count() == spark.read.parquet(f"{sf}/events.parquet").count()
+
+
+def test_text_is_not_read_again_for_the_paths(spark, tmp_path):
+    from braidlake.sources.text import read_gfa
+
+    lines = ["S\t1\tAC", "S\t2\tG", "W\ta\t0\tx\t0\t3\t>1<2", "P\ty\t1+, 2-,1+\t*", "W\tb\t1\tx\t7\t9\t>1", "L\t1\t+\t2\t-\t0M"]
+    (tmp_path / "g.gfa").write_text("\n".join(lines) + "\n")
+    read = read_gfa(spark, f"{tmp_path}/g.gfa")
+    got = {r.path_handle: (r.sample, r.contig, r.haplotype, r.fragment, r.is_indexed, r.path_len) for r in read.paths.collect()}
+    assert got == {0: ("a", "x", 0, 0, False, 3), 1: ("_gbwt_ref", "y", 0, 0, True, 5), 2: ("b", "x", 1, 7, False, 2)}
+    rows = sorted((r.path_handle, r.step, r.handle, r.step_start, r.step_end) for r in read.steps.collect())
+    assert rows == [(0, 0, 2, 0, 2), (0, 1, 5, 2, 3), (1, 0, 2, 0, 2), (1, 1, 5, 2, 3), (1, 2, 2, 3, 5), (2, 0, 2, 0, 2)]
+    scans = lambda df: plan(df.select("path_handle")).count("FileScan text")
+    assert scans(read.paths) <= scans(read.nodes.select(read.nodes.node_id.alias("path_handle"))) >= scans(read.steps)
