@@ -8,10 +8,13 @@ handle, from 0. So a sequence is known by its first (handle, offset), and equal
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from braidlake.operators._shared import ensure_checkpoint
+from braidlake.schema import flipped_path
 
 
 def both_directions(steps: DataFrame) -> DataFrame:
@@ -23,6 +26,8 @@ def both_directions(steps: DataFrame) -> DataFrame:
 
 #: Steps of a sequence whose prefixes one task names in a row; sequences that are ranked in a row in a class.
 STEPS_AT_ONCE, SEQUENCES_AT_ONCE = 1 << 16, 1 << 20
+#: Sequences of up to so many handles have their contexts written out; a task takes some sequences of up to so many visits.
+HANDLES_AT_ONCE, VISITS_AT_ONCE = 512, 1 << 22
 PREFIX = ["name", "check"]
 
 
@@ -55,23 +60,135 @@ def _own(handle: str, pos: str) -> list:
 def visit_offsets(sequences: DataFrame) -> DataFrame:
     """Adds offset to (seq, idx, handle).
 
-    Visits that all handles from the start lead to alike are a class, ordered by seq; classes are ordered among themselves
-    (`_places`), so rounds write classes and not visits. Ranks in a class are counted bin by bin of sequences, so a handle
-    that all sequences start with is no single task's.
+    Visits that all handles from the start lead to alike are a class, ordered by seq; classes are ordered by their contexts.
+    Sequences of up to `HANDLES_AT_ONCE` handles are ranked as arrays (`_array_offsets`), others in rounds.
+    """
+    ensure_checkpoint(sequences.sparkSession)
+    longest = _longest(sequences, "seq", "idx")
+    if longest > min(HANDLES_AT_ONCE, STEPS_AT_ONCE):
+        return _long_offsets(sequences)
+    arrays = _arrays(sequences, "seq", "idx", "handle").select("seq", F.col("own")[0]["idx"].alias("first"), F.col("own.handle").alias("handles"))
+    found = _array_offsets(arrays.select("seq", "handles"), longest).join(arrays, "seq")
+    rows = found.select("seq", "first", F.posexplode(F.arrays_zip("handles", "offsets")).alias("k", "v"))
+    return rows.select("seq", (F.col("first") + F.col("k")).alias("idx"), F.col("v.handles").alias("handle"), F.col("v.offsets").alias("offset"))
+
+
+def _longest(rows: DataFrame, key: str, order: str) -> int:
+    """How many rows the longest sequence has."""
+    return rows.groupBy(key).agg((F.max(order) - F.min(order) + 1).alias("n")).agg(F.max("n").alias("n")).first().n or 0
+
+
+def _arrays(rows: DataFrame, key: str, *columns: str) -> DataFrame:
+    """(key, own): the rows of each key as an array of columns, in the order of the first of them."""
+    return rows.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("own"))
+
+
+def _array_offsets(arrays: DataFrame, longest: int) -> DataFrame:
+    """(seq, offsets) of (seq, handles): the places of a sequence's visits, as an array.
+
+    Sequences that follow each other by seq are a part, and one task's. A class has one row for each part that it is in: its
+    context, which is its handles read backwards, and how many visits it has there; so copies in a part add no rows. A
+    class in a part begins after the visits to its handle that smaller contexts have, and equal ones in the parts before
+    (`_places`); the visits of a part are then counted on from there. Handles are shipped as arrays, to their part alone.
+    """
+    width = min(SEQUENCES_AT_ONCE, max(1, VISITS_AT_ONCE // max(longest, 1)))
+    parts = arrays.select(F.floor(F.col("seq") / width).alias("part"), "seq", "handles")
+    pairs = parts.groupBy("part").applyInArrow(_classes_of, "handle long, context binary, part long, class int, n long")
+
+    def counted(sequences: pa.Table, bases: pa.Table) -> pa.Table:
+        base = np.zeros(bases.num_rows, np.int64)
+        base[bases["class"].to_numpy()] = bases["base"].to_numpy()
+        seqs, starts, handles = _in_order(sequences)
+        offsets = np.empty(len(handles), np.int64)
+        for _, _, at, own, _, rank, first in _levels(starts, handles):
+            offsets[at] = base[first + own] + rank
+        return pa.table({"seq": seqs, "offsets": pa.LargeListArray.from_arrays(starts, offsets).cast(pa.list_(pa.int64()))})
+
+    return parts.groupBy("part").cogroup(_places(pairs).groupBy("part")).applyInArrow(counted, "seq long, offsets array<long>")
+
+
+def _places(pairs: DataFrame) -> DataFrame:
+    """(part, class, base): how many visits come before those of a class in a part, (handle, context, part, class, n)."""
+    before = Window.partitionBy("handle").orderBy("context", "part").rowsBetween(Window.unboundedPreceding, -1)
+    return pairs.select("part", "class", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+
+
+def _in_order(sequences: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(seqs, starts, handles): a part's sequences by seq, all their handles in a row, and where each begins there."""
+    rows = sequences.select(["seq", "handles"]).sort_by("seq").combine_chunks()
+    lists = rows["handles"].combine_chunks() if rows.num_rows else pa.array([], pa.list_(pa.int64()))
+    starts = np.append(0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))).astype(np.int64)
+    return rows["seq"].to_numpy(), starts, lists.flatten().to_numpy()
+
+
+def _levels(starts: np.ndarray, handles: np.ndarray):
+    """For each place in sequences, from 0: the (handle, parent) of the classes of visits there, parent being the number of a
+    class of the place before; where the visits lie, each one's class, the visits of the classes, each visit's rank in its
+    class, and how many classes places before have. Classes are numbered alike whenever a part is read."""
+    lengths, first = np.diff(starts), 0
+    live = np.flatnonzero(lengths > 0)
+    parent, k = np.zeros(len(live), np.int64), 0
+    while len(live):
+        at = starts[live] + k
+        known, code = np.unique(handles[at], return_inverse=True)
+        classes, own, n = np.unique(parent * len(known) + code, return_inverse=True, return_counts=True)
+        order = np.argsort(own, kind="stable")  # visits are by seq, and stay so in a class
+        rank = np.empty(len(own), np.int64)
+        rank[order] = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
+        yield known[classes % len(known)], classes // len(known), at, own, n, rank, first
+        first, k = first + len(classes), k + 1
+        on = lengths[live] > k
+        live, parent = live[on], own[on]
+
+
+def _difference(d: int) -> bytes:
+    """A handle less the one after it, in bytes that are ordered as the numbers are; none begins with 0, which is the start."""
+    if -100 <= d <= 100:
+        return bytes((128 + d,))
+    n = (abs(d).bit_length() + 7) // 8
+    return bytes((240 + n,)) + d.to_bytes(n) if d > 0 else bytes((20 - n,)) + (d + (1 << 8 * n)).to_bytes(n)
+
+
+def _classes_of(sequences: pa.Table) -> pa.Table:
+    """The classes of a part: (handle, context, part, class, n). A context is the handles before, the last first, each as
+    its difference from the one after it: of one handle, contexts in their order are visits in theirs."""
+    _, starts, handles = _in_order(sequences)
+    columns, contexts, before, above, known = [], [], None, None, {}
+    for handle, parent, _, _, n, _, first in _levels(starts, handles):
+        if before is None:
+            above = [b"\0"] * len(handle)
+        else:
+            steps = (before[parent] - handle).tolist()
+            for d in set(steps) - known.keys():
+                known[d] = _difference(d)
+            above = [known[d] + above[p] for d, p in zip(steps, parent.tolist(), strict=True)]
+        columns.append((handle, np.arange(first, first + len(handle), dtype=np.int32), n))
+        contexts.append(pa.array(above, pa.binary()))
+        before = handle
+    handle, number, n = (np.concatenate(c) for c in zip(*columns, strict=True)) if columns else (np.empty(0, t) for t in (np.int64, np.int32, np.int64))
+    part = np.full(len(handle), sequences["part"][0].as_py(), np.int64)
+    table = pa.table({"handle": handle, "context": pa.chunked_array(contexts, pa.binary()), "part": part, "class": number, "n": n})
+    return pa.Table.from_batches(table.combine_chunks().to_batches(max_chunksize=1 << 14), table.schema)
+
+
+def _long_offsets(sequences: DataFrame) -> DataFrame:
+    """`visit_offsets` of sequences of any length: classes are ordered among themselves in rounds (`_long_places`), which
+    write classes and not visits. Ranks in a class are counted bin by bin of sequences, so a handle that all sequences start
+    with is no single task's.
     """
     ensure_checkpoint(sequences.sparkSession)
     rows = _with_prefixes(sequences).withColumn("some", F.floor(F.col("seq") / SEQUENCES_AT_ONCE))
     counts = rows.groupBy("handle", "pos", *PREFIX, "some").agg(F.count("*").alias("n")).checkpoint()
     earlier = Window.partitionBy(*PREFIX).orderBy("some").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select(*PREFIX, "some", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("earlier"))
-    bases = bases.join(_places(counts.groupBy("handle", "pos", *PREFIX).agg(F.sum("n").alias("n"))), PREFIX)
+    bases = bases.join(_long_places(counts.groupBy("handle", "pos", *PREFIX).agg(F.sum("n").alias("n"))), PREFIX)
     bases = bases.select(*PREFIX, "some", (F.col("offset") + F.col("earlier")).alias("base"))
     among = Window.partitionBy(*PREFIX, "some").orderBy("seq")
     ranked = rows.drop("pos").withColumn("rank", F.row_number().over(among) - 1).join(bases, [*PREFIX, "some"])
     return ranked.select("seq", "idx", "handle", (F.col("base") + F.col("rank")).cast("long").alias("offset"))
 
 
-def _places(classes: DataFrame) -> DataFrame:
+def _long_places(classes: DataFrame) -> DataFrame:
     """(name, check, offset) of classes (handle, pos, name, check, n): how many visits to the handle are in smaller classes.
 
     After k rounds classes are told apart by the 2^k handles that end there; a round orders those still equal by the place
@@ -109,12 +226,29 @@ def _places(classes: DataFrame) -> DataFrame:
 
 def with_offsets(steps: DataFrame) -> DataFrame:
     """Adds offset and flip_offset to steps: the places of the visits of a step forwards, and backwards at the flipped handle."""
+    steps = steps.drop("offset", "flip_offset")
+    longest = _longest(steps, "path_handle", "step")
+    if longest <= min(HANDLES_AT_ONCE, STEPS_AT_ONCE):
+        return _with_array_offsets(steps, longest)
     found = visit_offsets(both_directions(steps.select("path_handle", "step", "handle")))
     path = F.shiftright("seq", 1).alias("path_handle")
     rev = F.col("seq").bitwiseAND(F.lit(1)) == 1
     places = found.select(path, F.abs("idx").alias("step"), F.when(~rev, F.col("offset")).alias("offset"), F.when(rev, F.col("offset")).alias("flip_offset"))
     places = places.groupBy("path_handle", "step").agg(F.max("offset").alias("offset"), F.max("flip_offset").alias("flip_offset"))
-    return steps.drop("offset", "flip_offset").join(places, ["path_handle", "step"])
+    return steps.join(places, ["path_handle", "step"])
+
+
+def _with_array_offsets(steps: DataFrame, longest: int) -> DataFrame:
+    """`with_offsets` of short paths: a path's steps and their places meet as arrays, a row a path."""
+    path, handles, columns = F.col("path_handle"), F.col("own.handle"), [c for c in steps.columns if c not in ("path_handle", "step")]
+    forms = F.array(F.struct((2 * path).alias("seq"), handles.alias("handles")), F.struct((2 * path + 1).alias("seq"), flipped_path(handles).alias("handles")))
+    found = _array_offsets(_arrays(steps, "path_handle", "step", "handle").select(F.explode(forms).alias("f")).select("f.*"), longest)
+    rev = F.col("seq").bitwiseAND(F.lit(1)) == 1
+    places = found.groupBy(F.shiftright("seq", 1).alias("path_handle")).agg(
+        F.first(F.when(~rev, F.col("offsets")), True).alias("offset"), F.first(F.when(rev, F.reverse("offsets")), True).alias("flip_offset"))
+    whole = _arrays(steps, "path_handle", "step", *columns).join(places, "path_handle")
+    rows = whole.select("path_handle", F.explode(F.arrays_zip("own", "offset", "flip_offset")).alias("v"))
+    return rows.select("path_handle", *[F.col(f"v.own.{c}").alias(c) for c in ("step", *columns)], "v.offset", "v.flip_offset")
 
 
 def successors(visits: DataFrame) -> DataFrame:

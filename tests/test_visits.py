@@ -182,3 +182,55 @@ def test_sampling_over_many_bins(spark, monkeypatch, at_once):
     with pytest.raises(ValueError, match="negative"):
         locate.reference_index(steps, paths, -1)
     assert locate.reference_index(steps.where("false"), paths, 5).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["equal", "nested", "one", "random", "wide"])
+def test_parts_of_sequences_and_rounds_agree(spark, monkeypatch, kind):
+    """Sequences that are ranked as arrays, in parts of a few, and in rounds; handles that lie far apart."""
+    wide = {s: [random.Random(s % 9).choice([0, 1, 300, 1 << 20, (1 << 62) + 5]) for _ in range(20 + s % 3)] for s in range(-4, 30)}
+    sequences = wide if kind == "wide" else made(kind)
+    df = spark.createDataFrame([(s, k - 3, h) for s, path in sequences.items() for k, h in enumerate(path)], "seq long, idx long, handle long")
+    want = plain_offsets(sequences)
+    for name, value in (("VISITS_AT_ONCE", 100), ("SEQUENCES_AT_ONCE", 2), ("HANDLES_AT_ONCE", 0)):
+        monkeypatch.setattr(visits, name, value)
+        assert {(r.seq, r.idx + 3): (r.handle, r.offset) for r in visits.visit_offsets(df).collect()} == want
+
+
+def test_differences_are_ordered_as_bytes():
+    rng = random.Random(2)
+    numbers = sorted({sign * (x + d) for sign in (1, -1) for d in (-1, 0, 1) for x in [0, 100, *(1 << k for k in range(62)), *(rng.randrange(1 << 62) for _ in range(99))]} | {(1 << 63) - 1, 1 - (1 << 63)})
+    coded = [visits._difference(d) for d in numbers]
+    assert coded == sorted(coded) and len(set(coded)) == len(coded) and all(x[0] > 0 for x in coded)
+    assert all(not b.startswith(a) for a, b in zip(coded, coded[1:], strict=False))
+
+
+def _shuffled(spark, run):
+    """(bytes shuffled and spilled, bytes in the checkpoint folder) by a run."""
+    import pathlib
+
+    from braidlake.operators._shared import ensure_checkpoint
+
+    ensure_checkpoint(spark)
+    sc = spark.sparkContext
+    none, folder = sc._gateway.new_array(spark._jvm.double, 0), pathlib.Path(sc.getCheckpointDir().removeprefix("file:"))
+
+    def now():
+        sc._jsc.sc().listenerBus().waitUntilEmpty()
+        stages = sc._jsc.sc().statusStore().stageList(None, False, False, none, None)
+        own = sum(stages.apply(i).shuffleWriteBytes() + stages.apply(i).diskBytesSpilled() for i in range(stages.size()))
+        return own, sum(f.stat().st_size for f in folder.rglob("*") if f.is_file())
+
+    before = now()
+    run()
+    return [b - a for a, b in zip(before, now(), strict=True)]
+
+
+def test_visits_write_little(spark):
+    """Places of short paths go through no checkpoint, and shuffle a few bytes a visit."""
+    rng, n = random.Random(5), 3000
+    rows = [(p, k, 2 * (3 * k + rng.randrange(2) if k % 2 else 3 * k)) for p in range(n) for k in range(40)]
+    steps = spark.createDataFrame(rows, "path_handle long, step long, handle long").persist()
+    assert steps.count() == 40 * n
+    shuffled, kept = _shuffled(spark, lambda: visits.with_offsets(steps).write.format("noop").mode("overwrite").save())
+    steps.unpersist()
+    assert shuffled < 60 * 2 * 40 * n and kept == 0
