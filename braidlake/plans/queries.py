@@ -466,7 +466,8 @@ def visit_successors(g, spark, sf_dir):
 def position_views(g, spark, sf_dir):
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     q = events.select(F.col("event_id").alias("query_id"), F.col("user_id").alias("path_handle"), (F.col("event_id") % 97).alias("path_offset"))
-    found = locate.position_views(locate.offset_to_position(q, fixtures.placed(spark, sf_dir).steps))
+    in_place = locate.short_paths(g.steps, locate.STEPS_IN_PLACE)
+    found = locate.position_views(locate.offset_to_position(q, fixtures.placed(spark, sf_dir).steps, in_place))
     return found.select("query_id", F.col("path_offset").alias("seq_offset"), "node_id", "is_reverse", "node_offset", "handle", "visit")
 
 

@@ -109,3 +109,32 @@ def test_one_position_moves_no_steps(spark, monkeypatch):
     queries.queries()["context_position"](spark, "/root/testdata/sf0.001")
     plan = found[0]._jdf.queryExecution().executedPlan().toString().split("InMemory")[0]  # what is above the kept steps
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_positions_where_steps_lie(spark):
+    """Short paths: queries go to the steps, which are not moved, and find what they find through bins."""
+    rng, rows = random.Random(8), []
+    for p in range(60):
+        at = 0
+        for k in range(1, 2 + rng.randrange(70)):
+            size = rng.choice([1, 3, 40, 700])
+            rows.append((p, k, 2 * rng.randint(1, 9), at, at + size, k % 5))
+            at += size
+    steps = spark.createDataFrame(rows, "path_handle long, step long, handle long, step_start long, step_end long, offset long")
+    steps = steps.repartition(4, "path_handle").persist()
+    q = spark.createDataFrame([(i, rng.randrange(70), rng.randrange(9000)) for i in range(900)], "query_id long, path_handle long, path_offset long")
+    want = {(i, p, o, k, h, s, e, o - s, v) for i, p, o in map(tuple, q.collect()) for pp, k, h, s, e, v in rows if pp == p and s <= o < e}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        moved = []
+        for in_place in (False, True):
+            found = locate.offset_to_position(q, steps, in_place)
+            got = found.collect()
+            assert len(got) == len(want) > 300 and {tuple(r) for r in got} == want
+            plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+            moved.append(plan.count("Exchange hashpartitioning"))
+        assert moved[1] < moved[0]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        steps.unpersist()
+    assert locate.short_paths(steps, 71) and not locate.short_paths(steps, 20)
