@@ -251,8 +251,15 @@ def _with_array_offsets(steps: DataFrame, longest: int) -> DataFrame:
     return rows.select("path_handle", *[F.col(f"v.own.{c}").alias(c) for c in ("step", *columns)], "v.offset", "v.flip_offset")
 
 
-def successors(visits: DataFrame) -> DataFrame:
-    """(handle, offset, next_handle, next_offset): from each visit to the next of its sequence; the last of one has no row."""
+def successors(visits: DataFrame, in_a_row: bool = False) -> DataFrame:
+    """(handle, offset, next_handle, next_offset): from each visit to the next of its sequence; the last of one has no row.
+
+    in_a_row: sequences are so short that one task may take each; visits that lie by sequence are then not moved.
+    """
+    if in_a_row:
+        after = F.lead(F.struct("idx", "handle", "offset")).over(Window.partitionBy("seq").orderBy("idx"))
+        rows = visits.select("idx", "handle", "offset", after.alias("after")).where(F.col("after.idx") == F.col("idx") + 1)
+        return rows.select("handle", "offset", F.col("after.handle").alias("next_handle"), F.col("after.offset").alias("next_offset"))
     following = visits.select("seq", (F.col("idx") - 1).alias("idx"), F.col("handle").alias("next_handle"), F.col("offset").alias("next_offset"))
     return visits.join(following, ["seq", "idx"]).select("handle", "offset", "next_handle", "next_offset")
 

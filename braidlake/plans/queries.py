@@ -458,7 +458,8 @@ def visit_ranks(g, spark, sf_dir):
 @query(f", {fixtures.VISITS} SELECT a.handle, a.\"offset\", b.handle AS next_handle, b.\"offset\" AS next_offset FROM vr a JOIN vr b ON a.seq = b.seq AND b.idx = a.idx + 1 WHERE a.seq % 2 = 0")
 def visit_successors(g, spark, sf_dir):
     steps = fixtures.placed(spark, sf_dir).steps
-    return visits.successors(steps.select((2 * F.col("path_handle")).alias("seq"), F.col("step").alias("idx"), "handle", "offset"))
+    rows = steps.select(F.col("path_handle").alias("seq"), F.col("step").alias("idx"), "handle", "offset")
+    return visits.successors(rows, locate.short_paths(g.steps))
 
 
 @query(f""", {fixtures.VISITS} SELECT e.event_id AS query_id, e.event_id % 97 AS seq_offset, CAST(FLOOR(o.handle/2) AS BIGINT) AS node_id, o.handle % 2 = 1 AS is_reverse, e.event_id % 97 - o.step_start AS node_offset,

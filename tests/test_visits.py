@@ -234,3 +234,17 @@ def test_visits_write_little(spark):
     shuffled, kept = _shuffled(spark, lambda: visits.with_offsets(steps).write.format("noop").mode("overwrite").save())
     steps.unpersist()
     assert shuffled < 60 * 2 * 40 * n and kept == 0
+
+
+def test_successors_in_a_row(spark):
+    """Visits that lie by sequence meet the next one without moving; gaps end a run."""
+    rng = random.Random(6)
+    rows = [(s, k, rng.randrange(9), rng.randrange(99)) for s in range(20) for k in range(-3, rng.randrange(30)) if rng.random() < 0.9]
+    df = spark.createDataFrame(rows, "seq long, idx long, handle long, offset long").repartition(4, "seq").persist()
+    at = {(s, k): v for s, k, *v in rows}
+    want = sorted((*at[s, k], *at[s, k + 1]) for s, k in at if (s, k + 1) in at)
+    for in_a_row in (False, True):
+        assert sorted(map(tuple, visits.successors(df, in_a_row).collect())) == want
+    shuffled, _ = _shuffled(spark, lambda: visits.successors(df, True).write.format("noop").mode("overwrite").save())
+    assert shuffled == 0
+    df.unpersist()
